@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, flat, is_held_out, map_batches, record, slices
+from .common import Words, flat, is_held_out, map_batches, record, slices, training_rows
 
 SAMPLE, RANK, NEIGHBOURS, THRESHOLD = 8192, 32, 15, 0.3
 #: Texts that are turned into dense term rows at a time, and documents in a block of cosine products.
@@ -136,12 +136,6 @@ class Space:
         return np.clip(self.vote(np.concatenate(out)), 0, 1) if out else np.zeros(0)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """doc_id, text, label of at most `limit` labelled rows that aren't held out. The labels' side has a bounded number of rows."""
-    chosen = labels.filter(~is_held_out() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = SAMPLE) -> Space:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
