@@ -20,7 +20,6 @@ null. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -54,14 +53,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a long)."""
+    """doc_id, key (a hash of the text), fp (the fingerprint's 64 bits as a long)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             fps = np.array([fingerprint(x, shingle, seed) for x in part.column("text").to_pylist()], np.uint64)
-            yield record(doc_id=part.column("doc_id"), fp=fps.view(np.int64))
+            yield record(doc_id=part.column("doc_id"), key=part.column("key"), fp=fps.view(np.int64))
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", text_key().alias("key"), "text"), work, "doc_id long, key long, fp long")
+
+
+def text_key():
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def masks(radius: int) -> list[int]:
@@ -223,16 +226,27 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp, component_id of each row of docs."""
+    """doc_id, key, fp, root (the component's least fingerprint), component_id of each row of docs."""
     fps = saved(fingerprints(docs, shingle), "fps")
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(first.select("fp"), radius, shard))
     placed = first.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = saved(placed.join(least, "root").select("fp", "component_id"), "components")
-    return fps.join(by_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    by_fp = saved(placed.join(least, "root").select("fp", "root", "component_id"), "components")
+    return fps.join(by_fp, "fp", "left").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each document."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of each component, with all its columns: the least doc_id's (null: the last), then the least text key's.
+
+    Groups are reduced to ids before any text moves; repeated rows count as one.
+    """
+    id_ = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    first = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(id_.alias("__id"), F.col("key").alias("__key"))).alias("r")).select("r.*")
+    placed = docs.withColumn("__id", id_).withColumn("__key", text_key())
+    return placed.join(first, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
