@@ -17,6 +17,8 @@ from ..ship import ship
 
 #: Bytes of text that one numpy pass takes at a time; it bounds a worker's temporary arrays.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between the JVM and a worker, as near as whole rows allow.
+BATCH_BYTES = 8 << 20
 U = np.uint64
 
 
@@ -59,7 +61,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow; batches are cut by bytes, so that long texts don't make large ones."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(work, schema)
 
 

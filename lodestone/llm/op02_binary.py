@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, record, saved, slices
-from .tokens import Encoder, vocabulary_path, with_end
+from .tokens import encoder, id_type, vocabulary_path, with_end
 
-MAGIC, SHARD_IDS, END_ID = b"LSVB0001", 2_000_000, 2
+MAGIC, SHARD_IDS, END_ID = b"LSVB0001", 500_000, 2
 VOCABULARY = "word_bpe_49k.json"
 #: For each control byte the bytes of its four ids.
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -81,25 +81,25 @@ def read_blob(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [int(x) if k else None for x, k in zip(ids, known, strict=True)], counts, decode_ranks(blob[at : at + n_control], blob[at + n_control : at + n_control + n_data], total)
 
 
-def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian uint32 bytes, the end id last)."""
+def tokenize(docs: DataFrame, vocabulary: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, ids (bytes of the type `kind`, the end id last)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_path(vocabulary), spaced=False)
+        encode = encoder(vocabulary_path(vocabulary), spaced=False)
         for part in slices(batches, "text"):
-            ids, offsets = with_end(*encoder(part.column("text")), end_id)
-            yield record(doc_id=part.column("doc_id"), ids=pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()))
+            ids, offsets = with_end(*encode(part.column("text")), end_id)
+            yield record(doc_id=part.column("doc_id"), ids=pa.array([ids[a:b].astype(kind).tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()))
 
     return map_batches(docs.select("doc_id", "text"), work, "doc_id long, ids binary")
 
 
-def frequencies(tokens: DataFrame) -> DataFrame:
+def frequencies(tokens: DataFrame, kind: str) -> DataFrame:
     """id, n: how often the corpus has each id. Each task sums its own first; the rows are as many as the vocabulary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for part in slices(batches, "ids"):
-            found = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4"))
+            found = np.bincount(np.frombuffer(b"".join(part.column("ids").to_pylist()), kind))
             if len(found) > len(total):
                 found, total = total, found
             total[: len(found)] += found
@@ -112,9 +112,11 @@ def frequencies(tokens: DataFrame) -> DataFrame:
 def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID, partitions: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """Shards (part, seq, n_ids, blob), written in ascending order of doc_id, and the table of ids by rank."""
     spark = docs.sparkSession
-    tokens = saved(tokenize(docs, vocabulary, end_id), "ids")
+    kind = id_type(vocabulary_path(vocabulary))
+    width = np.dtype(kind).itemsize
+    tokens = saved(tokenize(docs, vocabulary, end_id, kind), "ids")
     # At most one row for each id of the vocabulary, which bounds what comes to the driver and what is broadcast.
-    by_rank = np.array([r[0] for r in frequencies(tokens).orderBy(F.desc("n"), "id").select("id").collect()], np.uint32)
+    by_rank = np.array([r[0] for r in frequencies(tokens, kind).orderBy(F.desc("n"), "id").select("id").collect()], np.uint32)
     rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     ranks = spark.sparkContext.broadcast(rank)
@@ -127,18 +129,18 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
 
         def shard():
             nonlocal seq
-            blob = write_blob(doc_ids, np.array([len(x) // 4 for x in ids]), ranks.value[np.frombuffer(b"".join(ids), "<u4")])
+            blob = write_blob(doc_ids, np.array([len(x) // width for x in ids]), ranks.value[np.frombuffer(b"".join(ids), kind)])
             seq += 1
             return record(part=pa.array([part], pa.int64()), seq=pa.array([seq], pa.int64()), n_ids=pa.array([held], pa.int64()), blob=pa.array([blob], pa.binary()))
 
         for batch in batches:
             for doc_id, x in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if ids and held + len(x) // 4 > SHARD_IDS:
+                if ids and held + len(x) // width > SHARD_IDS:
                     yield shard()
                     doc_ids, ids, held = [], [], 0
                 doc_ids.append(doc_id)
                 ids.append(x)
-                held += len(x) // 4
+                held += len(x) // width
         if ids:
             yield shard()
 
@@ -150,7 +152,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = EN
 def read_shards(shards: DataFrame, by_rank: np.ndarray) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the shards."""
     spark = shards.sparkSession
-    # One row a shard (about 2 MB of ids each): the index of the files, not of the documents.
+    # One row a shard (about half a million ids each): the index of the files, not of the documents.
     index = shards.select("part", "seq", "n_ids").orderBy("part", "seq").collect()
     base = spark.sparkContext.broadcast(dict(zip([(r[0], r[1]) for r in index], (np.cumsum([0] + [r[2] for r in index])[:-1]).tolist(), strict=True)))
     table = spark.sparkContext.broadcast(by_rank)

@@ -21,20 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, record, saved, slices
-from .tokens import Encoder, vocabulary_path, with_end
+from .tokens import encoder, id_type, vocabulary_path, with_end
 
 VOCABULARY, SEQUENCE, END_ID = "byte_bpe_50k.json", 1024, 0
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, part (partition), at (ids of that partition before the document), n, ids (little-endian uint32 bytes)."""
+def tokenize(docs: DataFrame, vocabulary: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, part (partition), at (ids of that partition before the document), n, ids (bytes of the type `kind`)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(vocabulary_path(vocabulary), spaced=True), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(vocabulary_path(vocabulary), spaced=True), TaskContext.get().partitionId(), 0
         for piece in slices(batches, "text"):
-            ids, offsets = with_end(*encoder(piece.column("text")), end_id)
-            yield record(doc_id=piece.column("doc_id"), part=np.full(len(offsets) - 1, part, np.int64), at=at + offsets[:-1].astype(np.int64), n=np.diff(offsets).astype(np.int64), ids=pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()))
+            ids, offsets = with_end(*encode(piece.column("text")), end_id)
+            yield record(doc_id=piece.column("doc_id"), part=np.full(len(offsets) - 1, part, np.int64), at=at + offsets[:-1].astype(np.int64), n=np.diff(offsets).astype(np.int64), ids=pa.array([ids[a:b].astype(kind).tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()))
             at += int(offsets[-1])
 
     return map_batches(docs.select("doc_id", "text"), work, "doc_id long, part long, at long, n long, ids binary")
@@ -42,7 +42,8 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """A row for each piece of a document; with_ids adds the piece's ids as bytes."""
-    tokens = saved(tokenize(docs, vocabulary, end_id), "packed")
+    kind = id_type(vocabulary_path(vocabulary))
+    tokens = saved(tokenize(docs, vocabulary, end_id, kind), "packed")
     totals = tokens.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row a partition
     before = np.cumsum([0] + [r[1] for r in totals])
     base = docs.sparkSession.sparkContext.broadcast({r[0]: int(b) for r, b in zip(totals, before[:-1], strict=True)})
@@ -58,7 +59,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUENCE,
             sequence = first[row] // length + k
             lo = np.maximum(sequence * length, first[row])
             hi = np.minimum((sequence + 1) * length, first[row] + n[row])
-            blobs = batch.column("ids").to_pylist()
+            blobs = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in batch.column("ids").to_pylist()]
             start = lo - first[row]
             cut = [blobs[r][4 * a : 4 * b] for r, a, b in zip(row.tolist(), start.tolist(), (hi - first[row]).tolist(), strict=True)]
             out = {"doc_id": batch.column("doc_id").take(pa.array(row)), "start": start, "length": hi - lo, "ids_crc32": pa.array([zlib.crc32(x) for x in cut], pa.int64()), "doc_tokens": n[row], "sequence_id": sequence, "offset": lo - sequence * length}

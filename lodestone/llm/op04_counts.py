@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .common import map_batches, record, slices
-from .tokens import Memo, load, vocabulary_path
+from .tokens import Memo, byte_symbols, load, vocabulary_path
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 MARK = "</w>"
@@ -33,13 +34,6 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PAIR_MEMO = 2_000_000
 
 
-def byte_symbols() -> list[str]:
-    """The printable symbol of each byte in byte-level vocabularies: itself if printable, else the next code from 256."""
-    keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(256, 512))
-    return [chr(b if b in keep else next(spare)) for b in range(256)]
-
-
 class PrefixCounter:
     """Counts for a word-end BPE vocabulary file of the tokenizers library."""
 
@@ -211,11 +205,17 @@ class PrefixCounter:
         return self.of_text(piece)
 
 
+@lru_cache(maxsize=1)
+def prefix_counter(path: str) -> PrefixCounter:
+    """A worker's counter; what it has solved lasts from task to task."""
+    return PrefixCounter(path)
+
+
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each whole text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(vocabulary_path(vocabulary))
+        counter = prefix_counter(vocabulary_path(vocabulary))
         for part in slices(batches, "text"):
             n = counter(part.column("text"))
             size = pc.cast(pc.fill_null(pc.binary_length(part.column("text")), 0), pa.int64())

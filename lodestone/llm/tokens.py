@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces in each of a memo's two generations.
-MEMO_PIECES = 350_000
+MEMO_PIECES = 400_000
 
 
 class Memo:
@@ -35,6 +36,13 @@ class Memo:
             self.old, self.young = self.young, {}
 
 
+def byte_symbols() -> list[str]:
+    """The printable symbol of each byte in byte-level vocabularies: itself if printable, else the next code from 256."""
+    keep = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in keep else next(spare)) for b in range(256)]
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -48,6 +56,17 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def id_type(path: str) -> str:
+    """The narrowest little-endian type that holds each id of the vocabulary."""
+    return "<u2" if max(load(path).get_vocab().values()) < 1 << 16 else "<u4"
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, spaced: bool) -> Encoder:
+    """A worker's encoder; its memo lasts from task to task."""
+    return Encoder(path, spaced)
+
+
 class Encoder:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).
 
@@ -59,22 +78,36 @@ class Encoder:
 
     def __init__(self, path: str, spaced: bool):
         self.tokenizer, self.spaced, self.memo = load(path), spaced, Memo()
-        vocabulary = self.tokenizer.get_vocab()
-        #: Ids that open a word (spaced) or close one: where to part the ids of words encoded together.
-        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edge[[i for x, i in vocabulary.items() if (x[0] == "\u0120" if spaced else x.endswith("</w>"))]] = True
+        self.model, self.symbols = self.tokenizer.model, byte_symbols()
+        self.marks = {c: self._model(c) for c in ".,;:!?"}
+
+    def _model(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of letters, with a mark behind it or without: the library's model on what the library's own
+        normalizer and splitter make of such a word. None: another kind of piece."""
+        mark = self.marks.get(word[-1:])
+        if mark is not None:
+            word = word[:-1]
+        if not word.isalpha():
+            return None
+        if not self.spaced:
+            if word.isascii():
+                word = word.lower()
+            elif "\u0130" in word or not is_normalized("NFC", word):
+                return None
+            else:
+                word = "".join([c.lower() for c in word])
+        if not word.isascii():
+            symbols = self.symbols
+            word = "".join([symbols[b] for b in word.encode()])
+        ids = self._model("\u0120" + word if self.spaced else word)
+        return ids if mark is None else ids + mark
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters alone, encoded in one text: each opens (or closes) at an id that no other place has."""
-        text = " ".join(["", *words] if self.spaced else words)
-        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        at = 4 * np.flatnonzero(self.edge[np.frombuffer(ids, np.uint32)])
-        cuts = [*at.tolist(), len(ids)] if self.spaced else [0, *(at + 4).tolist()]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end (uint32), and n + 1 offsets."""
         texts = pc.fill_null(texts, "")
@@ -95,10 +128,8 @@ class Encoder:
         memo.turn()
         found = [memo.get(x) for x in known]
         missed = [i for i, x in enumerate(found) if x is None]
-        plain = [i for i in missed if known[i].isalpha() and "\u0130" not in known[i] and is_normalized("NFC", known[i])]
-        if plain:
-            for i, ids in zip(plain, self._words([known[i] for i in plain]), strict=True):
-                found[i] = ids
+        for i in missed:
+            found[i] = self._word(known[i])
         rest = [i for i in missed if found[i] is None]
         strings = [known[i] for i in rest]
         as_text = [x if x[:1] == "\n" else x[1:] if x[:1] == "\x00" else " " + x for x in strings] if self.spaced else strings
