@@ -129,7 +129,7 @@ def trigrams(query: Query) -> set[str]:
     return set() if query is True else {query[1]} if query[0] == "tri" else set().union(*map(trigrams, query[1:]))
 
 
-_LOW = np.arange(256, dtype=np.int64)
+_LOW = np.arange(256, dtype=np.int32)
 _LOW[65:91] += 32
 
 

@@ -138,7 +138,7 @@ class Space:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = SAMPLE) -> Space:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             rows, terms, counts = term_rows(part.column("text"))
             order = np.argsort(rows, kind="stable")
             ends = np.searchsorted(rows[order], np.arange(part.num_rows + 1))
@@ -157,7 +157,7 @@ def scored(docs: DataFrame, space: Space, emit: Callable, schema) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(space)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 1 << 20):
             yield emit(part, held.value.score(part.column("text")))
 
     return map_batches(docs, work, schema)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces in each of a memo's two generations.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 300_000
 
 
 class Memo:
