@@ -24,9 +24,10 @@ def parents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", parent: tuple[int, int] = (PARENT, PARENT_OVERLAP), child: tuple[int, int] = (CHILD, CHILD_OVERLAP), min_words: int = 20) -> DataFrame:
     """key, chunk_index, chunk_type, parent_index, start, token_count, content of all clean chunks, in order: parent, its children.
 
-    Children stop after the first clean one that reaches its parent's end; unclean ones don't stop them.
+    Children stop after the first clean one that reaches its parent's end; unclean ones don't stop them. Texts are dealt by
+    key once, before windows multiply them; both window functions then find their rows in place.
     """
-    clean = parents(docs, key, text, *parent).withColumn("content", F.array_join("p_tokens", " ")).filter(is_clean(F.col("content"), min_words))
+    clean = parents(docs.select(key, text).repartition(key), key, text, *parent).withColumn("content", F.array_join("p_tokens", " ")).filter(is_clean(F.col("content"), min_words))
     size, step = child[0], _step(*child)
     kids = clean.select(key, "p_start", "p_tokens", F.explode(F.sequence(F.lit(0), F.size("p_tokens") - 1, F.lit(step))).alias("c"))
     kids = kids.select(key, "p_start", "c", F.size("p_tokens").alias("n"), F.slice("p_tokens", F.col("c") + 1, size).alias("w")).withColumn("content", F.array_join("w", " ")).filter(is_clean(F.col("content"), min_words))
