@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..ship import ship
 
 #: Bytes of text that one numpy pass takes at a time; it bounds a worker's temporary arrays.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and a worker, as near as whole rows allow.
 BATCH_BYTES = 8 << 20
 U = np.uint64
@@ -60,11 +61,38 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 
-def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow; batches are cut by bytes, so that long texts don't make large ones."""
+#: What empties a worker's memos that last from task to task.
+MEMOS: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    for clear in MEMOS:
+        clear()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps_memos: bool = False) -> DataFrame:
+    """mapInArrow; batches are cut by bytes, so that long texts don't make large ones, and workers are left tidy."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(work, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps_memos:
+            forget()
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -109,7 +137,7 @@ def powers(base: int, n: int) -> np.ndarray:
         size = max(n, 1 << 16)
         with np.errstate(over="ignore"):
             have = np.concatenate(([U(1)], np.cumprod(np.full(size - 1, U(base)), dtype=U)))
-        if size <= 2 * SLICE_BYTES:
+        if size <= 4 * SLICE_BYTES:
             _powers[base] = have
     return have[:n]
 

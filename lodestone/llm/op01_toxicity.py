@@ -141,7 +141,7 @@ def telling(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """The features that tell most about the label: keys, signed log-odds; and the numbers of toxic and clean rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 16 << 20):
+        for part in slices(batches, "text", 4 << 20):
             rows, keys = features(part.column("text"))
             toxic = part.column("label").to_numpy(zero_copy_only=False).astype(bool)[rows]
             found, inverse = np.unique(keys, return_inverse=True)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, record, saved, slices
-from .tokens import encoder, id_type, vocabulary_path, with_end
+from .tokens import TOKEN_SLICE, encoder, id_type, vocabulary_path, with_end
 
 MAGIC, SHARD_IDS, END_ID = b"LSVB0001", 500_000, 2
 VOCABULARY = "word_bpe_49k.json"
@@ -86,11 +86,11 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, kind: str) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary_path(vocabulary), spaced=False)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TOKEN_SLICE):
             ids, offsets = with_end(*encode(part.column("text")), end_id)
             yield record(doc_id=part.column("doc_id"), ids=pa.array([ids[a:b].astype(kind).tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()))
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, ids binary", keeps_memos=True)
 
 
 def frequencies(tokens: DataFrame, kind: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, record, saved, slices
-from .tokens import encoder, id_type, vocabulary_path, with_end
+from .tokens import TOKEN_SLICE, encoder, id_type, vocabulary_path, with_end
 
 VOCABULARY, SEQUENCE, END_ID = "byte_bpe_50k.json", 1024, 0
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -32,12 +32,12 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int, kind: str) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = encoder(vocabulary_path(vocabulary), spaced=True), TaskContext.get().partitionId(), 0
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", TOKEN_SLICE):
             ids, offsets = with_end(*encode(piece.column("text")), end_id)
             yield record(doc_id=piece.column("doc_id"), part=np.full(len(offsets) - 1, part, np.int64), at=at + offsets[:-1].astype(np.int64), n=np.diff(offsets).astype(np.int64), ids=pa.array([ids[a:b].astype(kind).tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary()))
             at += int(offsets[-1])
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, part long, at long, n long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, part long, at long, n long, ids binary", keeps_memos=True)
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

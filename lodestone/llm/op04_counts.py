@@ -24,8 +24,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, record, slices
-from .tokens import Memo, byte_symbols, load, vocabulary_path
+from .common import MEMOS, map_batches, record, slices
+from .tokens import TOKEN_SLICE, Memo, byte_symbols, load, vocabulary_path
 
 VOCABULARY, LIMIT = "word_bpe_49k.json", 2048
 MARK = "</w>"
@@ -211,14 +211,17 @@ def prefix_counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+MEMOS.append(prefix_counter.cache_clear)
+
+
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each whole text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(vocabulary_path(vocabulary))
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TOKEN_SLICE):
             n = counter(part.column("text"))
             size = pc.cast(pc.fill_null(pc.binary_length(part.column("text")), 0), pa.int64())
             yield record(doc_id=part.column("doc_id"), n_bytes=size, n_tokens=n, over_limit=n > limit)
 
-    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select("doc_id", "text"), work, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keeps_memos=True)

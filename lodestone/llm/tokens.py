@@ -11,8 +11,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import MEMOS
+
+#: Bytes of text in a slice: the larger, the fewer of its pieces are new.
+TOKEN_SLICE = 4 << 20
 #: Pieces in each of a memo's two generations.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 250_000
 
 
 class Memo:
@@ -67,6 +71,9 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return Encoder(path, spaced)
 
 
+MEMOS.append(encoder.cache_clear)
+
+
 class Encoder:
     """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).
 
