@@ -15,6 +15,8 @@ from .common import MEMOS
 
 #: Bytes of text in a slice: the larger, the fewer of its pieces are new.
 TOKEN_SLICE = 4 << 20
+#: Marks that part from the letters before them and stay together; an apostrophe may open a suffix, so it isn't one of them.
+MARKS = ".,;:!?#$%&*|()[]{}<>/+=@^~_\"-"
 #: Pieces in each of a memo's two generations.
 MEMO_PIECES = 250_000
 
@@ -31,6 +33,14 @@ class Memo:
             self.young[key] = found
         return found
 
+    def get_all(self, keys: list) -> list:
+        found = list(map(self.young.get, keys))
+        if self.old:
+            for i, x in enumerate(found):
+                if x is None and (y := self.old.get(keys[i])) is not None:
+                    found[i] = self.young[keys[i]] = y
+        return found
+
     def put(self, key, value) -> None:
         self.young[key] = value
 
@@ -86,19 +96,26 @@ class Encoder:
     def __init__(self, path: str, spaced: bool):
         self.tokenizer, self.spaced, self.memo = load(path), spaced, Memo()
         self.model, self.symbols = self.tokenizer.model, byte_symbols()
-        self.marks = {c: self._model(c) for c in ".,;:!?"}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def _model(self, word: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _word(self, word: str) -> bytes | None:
-        """Ids of a word of letters, with a mark behind it or without: the library's model on what the library's own
-        normalizer and splitter make of such a word. None: another kind of piece."""
-        mark = self.marks.get(word[-1:])
-        if mark is not None:
-            word = word[:-1]
-        if not word.isalpha():
+        """Ids of a word of letters, with a run of marks behind it or without: the library's model on what the library's own
+        normalizer and splitter make of such a piece. None: another kind of piece."""
+        head = word.rstrip(MARKS)
+        run = word[len(head) :]
+        if not head:
+            return self._model("\u0120" + run if self.spaced else run) if run else None
+        if not head.isalpha():
             return None
+        tail = self.marks.get(run)
+        if tail is None:
+            tail = self.marks[run] = self._model(run)
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+        word = head
         if not self.spaced:
             if word.isascii():
                 word = word.lower()
@@ -110,7 +127,7 @@ class Encoder:
             symbols = self.symbols
             word = "".join([symbols[b] for b in word.encode()])
         ids = self._model("\u0120" + word if self.spaced else word)
-        return ids if mark is None else ids + mark
+        return ids + tail
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -130,10 +147,10 @@ class Encoder:
         lists = pc.split_pattern(cut, " ")
         pieces = lists.flatten().dictionary_encode()
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        known = pieces.dictionary.to_pylist()
+        known = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         memo = self.memo
         memo.turn()
-        found = [memo.get(x) for x in known]
+        found = memo.get_all(known)
         missed = [i for i, x in enumerate(found) if x is None]
         for i in missed:
             found[i] = self._word(known[i])
