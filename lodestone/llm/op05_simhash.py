@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, record, saved, slices
 
-SHINGLE, RADIUS, SEED, SHARD = 4, 4, 42, 4096
+SHINGLE, RADIUS, SEED, SHARD, SALTS = 4, 4, 42, 4096, 16
 #: Query and node pairs that a search holds at a time.
 FRONTIER = 1 << 20
 BLOCK = 1 << 16
@@ -203,6 +203,14 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
     return near.unionByName(far).distinct()
 
 
+def salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """left join right on a key that many rows of left and one row of right may hold: both are dealt by the key and a salt
+    (from the column `spread` of left), so a large component's rows go to SALTS tasks."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.withColumn("__salt", salt).join(many.hint("merge"), [key, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """v, root for every vertex that has an edge and isn't its component's least: alternating large and small stars.
 
@@ -214,7 +222,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         edges = saved(small, name)
@@ -232,7 +240,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     roots = components(links(first.select("fp"), radius, shard))
     placed = first.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = saved(placed.join(least, "root").select("fp", "root", "component_id"), "components")
+    by_fp = saved(salted(placed, least, "root", "fp").select("fp", "root", "component_id"), "components")
     return fps.join(by_fp, "fp", "left").select("doc_id", "key", "fp", "root", "component_id")
 
 
