@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,10 +63,10 @@ def merged(df: DataFrame, group: str, order: list[str], source: str | None = Non
 def components(edges: DataFrame, vertices: DataFrame, key: str = "id") -> DataFrame:
     """key, root: the least vertex that each one is linked to, by label passing with jumps; rounds are checkpointed."""
     both = edges.select(F.col("l").alias("u"), F.col("r").alias("v")).unionByName(edges.select(F.col("r").alias("u"), F.col("l").alias("v"))).filter("u <> v").distinct()
-    if not edges.sparkSession.conf.get("spark.checkpoint.dir", None) and not edges.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        edges.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    context = edges.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        # The cluster's shared folder; one of our own only where none is named, as in tests.
+        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
     both = both.checkpoint()
     label = vertices.select(F.col(key).alias("v"), F.col(key).alias("root"))
     while True:
