@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from .lineage import checkpointed
 from .match import matches
 
 K, BOOST = 60, 5.0
@@ -63,17 +62,13 @@ def merged(df: DataFrame, group: str, order: list[str], source: str | None = Non
 def components(edges: DataFrame, vertices: DataFrame, key: str = "id") -> DataFrame:
     """key, root: the least vertex that each one is linked to, by label passing with jumps; rounds are checkpointed."""
     both = edges.select(F.col("l").alias("u"), F.col("r").alias("v")).unionByName(edges.select(F.col("r").alias("u"), F.col("l").alias("v"))).filter("u <> v").distinct()
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        # The cluster's shared folder; one of our own only where none is named, as in tests.
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
-    both = both.checkpoint()
+    both = checkpointed(both)
     label = vertices.select(F.col(key).alias("v"), F.col(key).alias("root"))
     while True:
         near = both.join(label, "v").groupBy(F.col("u").alias("v")).agg(F.min("root").alias("m"))
         step = label.join(near, "v", "left").select("v", "root", F.least("root", "m").alias("next"))
         jump = step.select(F.col("v").alias("next"), F.col("next").alias("far"))
-        new = step.join(jump, "next", "left").select("v", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")).checkpoint()
+        new = checkpointed(step.join(jump, "next", "left").select("v", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")))
         label = new.select("v", "root")
         if not new.filter("moved").limit(1).count():
             return label.select(F.col("v").alias(key), "root")

@@ -31,7 +31,8 @@ def id_matches(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
 
 
 def _titles(df: DataFrame, key: str, name: str) -> DataFrame:
-    y = N.year(F.col("publication_year"), F.col("year")) if "year" in df.columns else F.nullif(F.col("publication_year"), F.lit(0))
+    year = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("int")
+    y = N.year(year("publication_year"), year("year"))
     return df.select(F.col(key).alias(name), N.title(F.col("title")).alias("t"), y.cast("int").alias("y")).filter("t <> ''")
 
 

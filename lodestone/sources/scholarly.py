@@ -68,14 +68,3 @@ def works(df: DataFrame, json: str = "json") -> DataFrame:
         inverted_abstract(F.col("w.abstract_inverted_index")).alias("abstract"), F.coalesce("w.open_access.is_oa", F.lit(False)).alias("is_open_access"),
         F.col("w.open_access.oa_url").alias("oa_pdf_url"), F.coalesce("w.referenced_works", F.array().cast("array<string>")).alias("referenced_works"),
     )
-
-
-HEADING = r"(?i)^\s*(?:\d+\.?\s*)?(?:introduction|keywords|index terms)\b.*$"
-
-
-def front_matter(text: Column, most: int = 4000) -> Column:
-    """The lines before the first section heading, else the first characters."""
-    lines = F.split(text, r"\r?\n")
-    marks = F.transform(lines, lambda x: x.rlike(HEADING))
-    at = F.array_position(marks, True)
-    return F.when(at > 0, F.array_join(F.slice(lines, 1, F.greatest(at - 1, F.lit(0)).cast("int")), "\n")).otherwise(F.substring(text, 1, most))

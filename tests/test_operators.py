@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import normalize as N
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
-from lodestone.operators import availability, chunk, exclude, fuse, match, quota, report, retrieve, screen, validate
-from lodestone.sources import files, scholarly
+from lodestone.operators import availability, candidates, chunk, exclude, fuse, match, quota, report, retrieve, screen, summarize, validate
+from lodestone.sources import files, paper_text, scholarly
 
 PAPER = "id string, title string, doi string, arxiv_id string, openalex_id string, s2_id string, publication_year int, year int"
 
@@ -194,4 +194,68 @@ def test_sources(spark, tmp_path):
     assert one(spark, lambda c: files.file_name(F.lit(None).cast("string"), c, c), "10.1/a:b") == "10_1_a_b.pdf"
     files.write_clean(spark.createDataFrame([("a\x00b",)], "s string"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).first().s == "ab"
-    assert one(spark, scholarly.front_matter, "Title\nAbstract\n1. Introduction\nBody") == "Title\nAbstract"
+    assert one(spark, paper_text.front_matter, "Title\nAbstract\n1. Introduction\nBody") == "Title\nAbstract"
+
+
+TEXT = """Preprint: Under Review 298:1-21, 2026
+Robust Estimation for
+low-frequency Variants
+Anonymous Author
+doi 10.1234/own.1.
+Abstract
+We study variants.
+Across cohorts.
+1. Introduction
+See 10.5555/other, and arXiv:2301.00001v2.
+References
+[1] 10.5555/other"""
+
+
+def test_paper_text(spark):
+    d = spark.createDataFrame([(1, TEXT), (2, None), (3, "Only one line"), (4, "12\nIntroduction\n")], "id int, text string")
+    got = {r.id: r for r in paper_text.metadata(d).collect()}
+    assert (got[1].title, got[1].abstract, got[1].doi, got[1].arxiv_id) == ("Robust Estimation for low-frequency Variants", "We study variants. Across cohorts.", "10.1234/own.1", None)
+    assert (got[2].title, got[2].abstract, got[2].doi) == (None, "", None)
+    assert got[3].title == "Only one line" and got[4].title == "Introduction"
+    body = {r.id: r.body for r in paper_text.with_matter(d).collect()}
+    assert body[1] == TEXT[: TEXT.index("\nReferences")] and body[2] == ""
+    refs, status = paper_text.references(d, spark.createDataFrame([(3, "10.1/x")], "id int, doi string"), d, spark.createDataFrame([(4, "10.2/y"), (3, "10.9/z")], "id int, doi string"))
+    assert sorted((r.id, r.stage, r.doi or r.arxiv_id) for r in refs.collect()) == [(1, 2, "10.1234/own.1"), (1, 2, "10.5555/other"), (1, 2, "2301.00001v2"), (3, 1, "10.1/x"), (4, 3, "10.2/y")]
+    assert {r.id: r.exclusion_status for r in status.collect()} == {1: "complete", 2: "incomplete", 3: "complete", 4: "complete"}
+    spans = spark.createDataFrame([(1, 20.0, 1.0, 0, "A Large"), (1, 19.6, 2.0, 1, " Title "), (1, 10.0, 0.0, 2, "small"), (2, 20.0, 0.0, 0, "arXiv: 12345")], "id int, size double, top double, pos int, text string")
+    assert [tuple(r) for r in paper_text.largest_font_title(spans, "id").collect()] == [(1, "A Large Title")]
+
+
+def test_candidates(spark):
+    fields = "id int, title string, doi string, abstract string, embedding array<double>, rank int"
+    seed = spark.createDataFrame([(0, "Seed", "10.1/seed", "about things", [1.0, 0.0])], "id int, title string, doi string, abstract string, embedding array<double>")
+    cited = spark.createDataFrame([(9, "Cited", "10.1/cited", None, None)], seed.schema)
+    a = spark.createDataFrame([(1, None, "10.1/a", "x", [0.7, 0.714143], 1), (2, None, "10.1/cited", "x", [1.0, 0.0], 2)], fields)
+    b = spark.createDataFrame([(3, "Late title", "doi:10.1/A", None, None, 1), (4, None, "10.1/b", "x", [0.2, 0.979796], 2), (5, None, "10.1/seed", "x", [1.0, 0.0], 3)], fields)
+    lists = {"one": [a], "two": [b]}
+    got = candidates.build(seed, cited, lists, least=1.0).orderBy("rrf_rank").collect()
+    assert [(r.id, r.title, r.source_apis, r.abstract_relevance_score) for r in got] == [(1, "Late title", ["one", "two"], 7.0), (4, None, ["two"], 2.0)]
+    with pytest.raises(exclude.ExclusionIncomplete):
+        candidates.build(seed, cited, lists, "incomplete")
+    pool = spark.createDataFrame([(1, "x", [0.7, 0.714143]), (2, " ", None)], "id int, abstract string, embedding array<double>")
+
+    def broken(d):
+        return d.withColumn("abstract_relevance_score", F.raise_error(F.lit("no model")).cast("double")).withColumn("abstract_relevance_tier", F.lit("high"))
+
+    def told(d):
+        return d.withColumn("abstract_relevance_score", F.lit(9.0)).withColumn("abstract_relevance_tier", F.lit("high"))
+
+    assert [(r.id, r.abstract_relevance_score) for r in candidates.screened(seed, pool, broken).collect()] == [(1, 7.0)]
+    assert [(r.id, r.abstract_relevance_score) for r in candidates.screened(seed, pool, told).collect()] == [(1, 9.0)]
+
+
+def test_summaries(spark):
+    chunks = spark.createDataFrame([(1, "c1", 0, "Data are in GSE12 at the archive", 7), (1, "c2", 1, "The method is fast", 4), (2, "c3", 0, "One two three four five six", 6)], "paper_id int, id string, chunk_index int, content string, token_count int")
+    cut = summarize.trimmed(chunks, "paper_id", "chunk_index", 5).collect()
+    assert sorted((r.id, r.content, r.token_count) for r in cut) == [("c1", "Data are in GSE12 at", 5), ("c3", "One two three four five", 5)]
+    papers = spark.createDataFrame([(1, "T", ["A B"], 2020), (2, "malformed", None, None), (3, "No chunks", None, 2021)], "paper_id int, title string, authors array<string>, publication_year int")
+    rows = summarize.prompts(papers, chunks, "Seed", "About seeds")
+    got = {r.paper_id: r for r in summarize.summarized(rows, summarize.RuleModel()).collect()}
+    assert got[1].is_accepted and got[1].data_availability == "publicly_available" and got[1].data_location == "GEO: GSE12" and got[1].relevance_score == 8.0
+    assert not got[2].is_valid and not got[2].is_accepted and (got[2].verdict, got[2].relevance_score) == ("rejected", 0.0)
+    assert got[3].is_valid and got[3].data_availability == "not_reported"
