@@ -1 +1,3 @@
-"""Registered queries and their SQL."""
+"""Registered queries with their SQL."""
+
+from . import papers, queries  # noqa: F401
