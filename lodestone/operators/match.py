@@ -1,11 +1,13 @@
 """Which rows are the same paper: equal identifiers, or titles alike and years close.
 
-Identifiers go through one equality join on (kind, value). Titles are compared only where they share a rare token or are of
-like length without a common token; the ratio itself runs in Arrow batches over those pairs.
+Identifiers go through one equality join on (kind, value). Titles are compared only where they share a token or, without a
+common token, a piece of text in nearly the same place; the ratio itself runs in Arrow batches over those pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,28 +38,43 @@ def _titles(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.select(F.col(key).alias(name), N.title(F.col("title")).alias("t"), y.cast("int").alias("y")).filter("t <> ''")
 
 
-def title_pairs(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
-    """l, r, lt, rt, ly, ry: pairs that could reach the ratio.
+def _pieces(a: DataFrame, b: DataFrame, slack: float) -> DataFrame:
+    """l, r of titles whose sorted tokens, joined, may lie within a ratio of 1 - slack.
 
-    Titles that share a token meet in that token's block. Titles without a common token reach the ratio only as single
-    tokens of nearly equal length (inflections), which meet by length. A token that most titles have makes a large block:
-    give left and right sides that were cut down before (a run's candidates against its seed and references).
+    Such a pair of lengths m and n differs in at most D = n 2 slack / (1 - slack) insertions and deletions, so of D + 1 equal
+    pieces of the right one some piece stands in the left one, moved by D places at most.
+    """
+    c, widest = 2 * slack / (1 - slack), (1 + slack) / (1 - slack)
+    joined = F.array_join(F.array_sort("tok"), " ")
+    right = b.select("r", joined.alias("s")).withColumn("n", F.length("s")).withColumn("d", F.floor(F.col("n") * c + 1e-9).cast("int")).filter("d > 0")
+    at = lambda i: F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int")
+    right = right.select("r", "s", "n", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i")).withColumn("p", at(F.col("i")))
+    right = right.select("r", "n", "d", "p", F.expr("substring(s, p + 1, floor((i + 1) * n / (d + 1)) - p)").alias("piece"))
+    left = a.select("l", joined.alias("s")).withColumn("m", F.length("s")).filter(F.col("m") * widest * c >= 1)
+    shortest = F.greatest(F.floor(1 / (c + widest / F.col("m"))).cast("int"), F.lit(1))
+    left = left.select("l", "s", "m", F.explode(F.sequence(shortest, F.lit(math.ceil(1 / c)))).alias("w")).filter("w <= m")
+    left = left.select("l", "m", "s", "w", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("w"))).alias("q")).select("l", "m", "q", F.expr("substring(s, q + 1, w)").alias("piece"))
+    close = (F.abs(F.col("p") - F.col("q")) <= F.col("d")) & (F.greatest("m", "n") <= F.least("m", "n") * widest + 1e-9)
+    return left.join(right, "piece").filter(close).select("l", "r")
+
+
+def title_pairs(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO) -> DataFrame:
+    """l, r, lt, rt, ly, ry: all pairs that could reach the ratio, and some that don't.
+
+    Titles that share a token meet in that token's block; others in a piece's block. A token that most titles have makes a
+    large block: give left and right sides that were cut down before (a run's candidates against its seed and references).
     """
     a = _titles(left, key, "l").withColumn("tok", F.array_distinct(F.split("t", " ")))
     b = _titles(right, key, "r").withColumn("tok", F.array_distinct(F.split("t", " ")))
     ax, bx = a.select("l", F.explode("tok").alias("k")), b.select("r", F.explode("tok").alias("k"))
-    by_token = ax.join(bx, "k").select("l", "r").distinct()
-    # Without a common token the best join is of all tokens: single-token titles that differ in a letter or two.
-    one = lambda d, n: d.filter(F.size("tok") == 1).select(n, F.length("t").alias("len"))
-    near = one(a, "l").withColumn("len", F.explode(F.sequence(F.col("len") - F.ceil(F.col("len") * 0.09).cast("int"), F.col("len") + F.ceil(F.col("len") * 0.09).cast("int")))).join(one(b, "r"), "len").select("l", "r")
-    pairs = by_token.unionByName(near).distinct()
+    pairs = ax.join(bx, "k").select("l", "r").unionByName(_pieces(a, b, 1 - ratio)).distinct()
     return pairs.join(a.select("l", F.col("t").alias("lt"), F.col("y").alias("ly")), "l").join(b.select("r", F.col("t").alias("rt"), F.col("y").alias("ry")), "r")
 
 
 def title_matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
     """l, r, ratio of rows whose titles are alike, and whose years, where both are known, lie close."""
     ship(left.sparkSession)
-    pairs = title_pairs(left, right, key).filter(F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= year_gap, F.lit(True)))
+    pairs = title_pairs(left, right, key, ratio).filter(F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= year_gap, F.lit(True)))
     return pairs.withColumn("ratio", title_ratio("lt", "rt")).filter(F.col("ratio") >= ratio).select("l", "r", "ratio")
 
 

@@ -46,13 +46,23 @@ def lookup_cascade(spark, sf_dir):
     return match.lookup(p, e).select("id", "found")
 
 
-IDS = r"""SELECT doc_id, 'DOI: ' || unnest(list_distinct(list_transform(regexp_extract_all(text, '10\.\d{4,9}/[-._;()/:A-Za-z0-9]+'), lambda d: regexp_replace(d, '[.,;]+$', '')))) AS raw_citation FROM documents
-UNION ALL SELECT doc_id, 'arXiv: ' || unnest(list_distinct(regexp_extract_all(text, '(?i)(?:arXiv:\s*|arxiv/|abs/)?(\d{4}\.\d{4,5}(?:v\d+)?)', 1))) FROM documents"""
+#: Texts with identifiers behind them, some repeated, some with closing marks.
+CITING = """(SELECT doc_id, text || ' see 10.1234/ab.' || (doc_id % 7) || '., also arXiv: 2301.0' || (1000 + doc_id % 9) || 'v2 and 10.1234/ab.' || (doc_id % 2) || ';' AS text FROM documents)"""
+
+
+def _citing(spark, sf_dir) -> DataFrame:
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    more = F.concat(F.lit(" see 10.1234/ab."), (k % 7).cast("string"), F.lit("., also arXiv: 2301.0"), (k % 9 + 1000).cast("string"), F.lit("v2 and 10.1234/ab."), (k % 2).cast("string"), F.lit(";"))
+    return d.select("doc_id", F.concat("text", more).alias("text"))
+
+
+IDS = r"""SELECT doc_id, 'DOI: ' || unnest(list_distinct(list_transform(regexp_extract_all(text, '10\.\d{4,9}/[-._;()/:A-Za-z0-9]+'), lambda d: regexp_replace(d, '[.,;]+$', '')))) AS raw_citation FROM CITING
+UNION ALL SELECT doc_id, 'arXiv: ' || unnest(list_distinct(regexp_extract_all(text, '(?i)(?:arXiv:\s*|arxiv/|abs/)?(\d{4}\.\d{4,5}(?:v\d+)?)', 1))) FROM CITING""".replace("CITING", CITING)
 
 
 @query(IDS)
 def cited_identifiers(spark, sf_dir):
-    return paper_text.cited_identifiers(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "raw_citation")
+    return paper_text.cited_identifiers(_citing(spark, sf_dir), "doc_id").select("doc_id", "raw_citation")
 
 
 @query(f"""WITH t AS ({IDS}), p AS (SELECT doc_id, 'parsed' AS raw_citation FROM documents WHERE doc_id % 3 = 0), k AS (SELECT doc_id, 'known' AS raw_citation FROM documents WHERE doc_id % 5 = 0)
@@ -60,7 +70,7 @@ SELECT doc_id, raw_citation, 1 AS stage FROM p UNION ALL SELECT doc_id, raw_cita
 def reference_union(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     parsed, known = (d.filter(F.col("doc_id") % n == 0).select("doc_id", F.lit(c).alias("raw_citation")) for n, c in ((3, "parsed"), (5, "known")))
-    refs, _ = paper_text.references(d, parsed, d.select("doc_id", "text"), known, "doc_id")
+    refs, _ = paper_text.references(d, parsed, _citing(spark, sf_dir), known, "doc_id")
     return refs.select("doc_id", "raw_citation", "stage")
 
 

@@ -259,3 +259,25 @@ def test_summaries(spark):
     assert got[1].is_accepted and got[1].data_availability == "publicly_available" and got[1].data_location == "GEO: GSE12" and got[1].relevance_score == 8.0
     assert not got[2].is_valid and not got[2].is_accepted and (got[2].verdict, got[2].relevance_score) == ("rejected", 0.0)
     assert got[3].is_valid and got[3].data_availability == "not_reported"
+
+
+def test_titles_against_all_pairs(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 14)))
+    titles = [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    near = []
+    for t in titles:
+        x = list(t)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randint(0, 1)] = rng.choice(["", "k", " "])
+            x = x or ["k"]
+        near.append("".join(x))
+    near += ["".join(w + "s " for w in t.split()) for t in titles]
+    left, right = (spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "id int, title string") for ts in (titles, near))
+    clean = lambda ts: [" ".join(t.split()) for t in ts]
+    for ratio in (0.96, 0.9):
+        want = {(i, j) for i, x in enumerate(clean(titles)) for j, y in enumerate(clean(near)) if S.token_set_ratio(x, y) >= ratio}
+        alone = sum(not set(titles[i].split()) & set(near[j].split()) for i, j in want)
+        got = {(r.l, r.r) for r in match.title_matches(left, right, ratio=ratio).collect()}
+        assert got == want and alone > 3
