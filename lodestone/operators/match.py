@@ -58,24 +58,24 @@ def _pieces(a: DataFrame, b: DataFrame, slack: float) -> DataFrame:
     return left.join(right, "piece").filter(close).select("l", "r")
 
 
-def title_pairs(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO) -> DataFrame:
-    """l, r, lt, rt, ly, ry: all pairs that could reach the ratio, and some that don't.
+def title_pairs(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> DataFrame:
+    """l, r: all pairs of normalised titles (columns t, distinct here) that could reach the ratio, and some that don't.
 
     Titles that share a token meet in that token's block; others in a piece's block. A token that most titles have makes a
     large block: give left and right sides that were cut down before (a run's candidates against its seed and references).
     """
-    a = _titles(left, key, "l").withColumn("tok", F.array_distinct(F.split("t", " ")))
-    b = _titles(right, key, "r").withColumn("tok", F.array_distinct(F.split("t", " ")))
+    a, b = (d.select(F.col("t").alias(n)).distinct().withColumn("tok", F.array_distinct(F.split(n, " "))) for d, n in ((left, "l"), (right, "r")))
     ax, bx = a.select("l", F.explode("tok").alias("k")), b.select("r", F.explode("tok").alias("k"))
-    pairs = ax.join(bx, "k").select("l", "r").unionByName(_pieces(a, b, 1 - ratio)).distinct()
-    return pairs.join(a.select("l", F.col("t").alias("lt"), F.col("y").alias("ly")), "l").join(b.select("r", F.col("t").alias("rt"), F.col("y").alias("ry")), "r")
+    return ax.join(bx, "k").select("l", "r").unionByName(_pieces(a, b, 1 - ratio)).distinct()
 
 
 def title_matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
-    """l, r, ratio of rows whose titles are alike, and whose years, where both are known, lie close."""
+    """l, r, ratio of rows whose titles are alike, and whose years, where both are known, lie close. Equal titles are compared once."""
     ship(left.sparkSession)
-    pairs = title_pairs(left, right, key, ratio).filter(F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= year_gap, F.lit(True)))
-    return pairs.withColumn("ratio", title_ratio("lt", "rt")).filter(F.col("ratio") >= ratio).select("l", "r", "ratio")
+    a, b = _titles(left, key, "l"), _titles(right, key, "r")
+    alike = title_pairs(a, b, ratio).select(F.col("l").alias("lt"), F.col("r").alias("rt"), title_ratio("l", "r").alias("ratio")).filter(F.col("ratio") >= ratio)
+    rows = alike.join(a.select("l", F.col("t").alias("lt"), F.col("y").alias("ly")), "lt").join(b.select("r", F.col("t").alias("rt"), F.col("y").alias("ry")), "rt")
+    return rows.filter(F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= year_gap, F.lit(True))).select("l", "r", "ratio")
 
 
 def matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
