@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fuse import keep_first
+from .lineage import checkpointed
 
 TARGET, DEPTH, FLOOR = 20, 100, 3.0
 
@@ -28,14 +29,17 @@ def one_round(queue: DataFrame, accepted: Column, run: str = "run_id", rank: str
     return rows.filter((F.col("__before") < target) & (F.col("position") <= depth)).drop("__before", "__first")
 
 
-def loop(queue: DataFrame, accept: Callable[[DataFrame], Column], expand: Callable[[DataFrame, DataFrame], DataFrame] | None = None, target: int = TARGET, depth: int = DEPTH, rounds: int = 5, run: str = "run_id", key: str = "id", keep: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+def loop(queue: DataFrame, accept: Callable[[DataFrame], Column], expand: Callable[[DataFrame, DataFrame], DataFrame] | None = None, target: int = TARGET, depth: int = DEPTH, run: str = "run_id", key: str = "id", keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """Rounds of evaluation; whenever the queue is empty and the quota isn't met, expand(accepted, seen) makes the next one.
 
-    keep writes and rereads a round's result (cluster jobs pass one that uses the shared folder).
+    A round looks at a new row or is the last, so depth bounds the rounds. keep writes and rereads a round's result, without
+    which plans grow by the round (cluster jobs pass one that uses the shared folder).
     """
     seen = keep(one_round(queue, accept(queue), run=run, key=key, target=target, depth=depth))
-    for _ in range(rounds if expand else 0):
+    while expand:
         short = seen.groupBy(run).agg(F.sum(F.col("accepted").cast("int")).alias("a"), F.count(F.lit(1)).alias("n")).filter((F.col("a") < target) & (F.col("n") < depth))
+        if short.isEmpty():
+            break
         new = expand(seen.filter("accepted"), seen).join(short, run)
         fresh = new.join(seen.select(run, key).distinct(), [run, key], "left_anti")
         fresh = keep_first(fresh, [run, key], [F.col("rank")])

@@ -165,6 +165,22 @@ def test_quota(spark):
     assert [r.evaluated for r in quota.one_round(dup, F.col("ok"), target=10).orderBy("rank").collect()] == [True, False, True]
 
 
+def test_quota_rounds(spark):
+    """A chain of works, one new work a round: the quota, the depth or the end of the chain stops it, each run for itself."""
+    columns = "run_id string, id string, rank int, ok boolean"
+    start = spark.createDataFrame([(r, f"{r}0", 0, True) for r in "abc"], columns)
+    length = {"a": 30, "b": 8, "c": 30}
+    works = spark.createDataFrame([(r, f"{r}{i}", i, r != "c" or i == 0) for r in "abc" for i in range(length[r])], columns).withColumn("n", F.col("rank")).localCheckpoint()
+
+    def expand(accepted, seen):
+        last = seen.groupBy("run_id").agg(F.max("rank").alias("last"))
+        return works.join(last, "run_id").filter(F.col("n") == F.col("last") + 1).select("run_id", "id", "rank", "ok")
+
+    rows = quota.loop(start, lambda d: F.col("ok"), expand, target=9, depth=12).collect()
+    assert {r: sorted(x.rank for x in rows if x.run_id == r) for r in "abc"} == {"a": list(range(9)), "b": list(range(8)), "c": list(range(12))}
+    assert all(x.position == x.rank + 1 for x in rows)
+
+
 def test_report(spark):
     p = spark.createDataFrame([("Attention Is All You Need", ["Ashish Vaswani", "Noam Shazeer"], 2017, "NeurIPS", None, "1706.03762")], "title string, authors array<string>, publication_year int, venue string, doi string, arxiv_id string")
     key, entry = p.select(report.bibtex_key(p), report.bibtex(p)).first()
