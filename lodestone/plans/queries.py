@@ -252,6 +252,12 @@ def keyword_extract(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", S.keywords(F.col("text")).alias("keywords"))
 
 
+@query(ORACLES["keyword_extract"].replace(" WHERE lang = 'en'", ""))
+def keyword_extract_all(spark, sf_dir):
+    """keyword_extract over all languages."""
+    return table(spark, sf_dir, "documents").select("doc_id", S.keywords(F.col("text")).alias("keywords"))
+
+
 @query(f"""WITH t AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{4,}}')), lambda w: NOT list_contains({TOPIC}, w)) AS t FROM benchmark ORDER BY item_id LIMIT 1)
 SELECT doc_id, round(len(list_intersect((SELECT t FROM t), list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')))) / ((SELECT len(t) FROM t) + 1e-5::DOUBLE), 9) AS relevance
 FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")

@@ -1,6 +1,7 @@
 """Small fixtures for the scholarly operators."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from lodestone.functions import normalize as N
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.operators import availability, candidates, chunk, exclude, fuse, match, quota, report, retrieve, screen, summarize, validate
+from lodestone.plans import queries
 from lodestone.sources import files, paper_text, scholarly
 
 PAPER = "id string, title string, doi string, arxiv_id string, openalex_id string, s2_id string, publication_year int, year int"
@@ -297,3 +299,15 @@ def test_titles_against_all_pairs(spark):
         alone = sum(not set(titles[i].split()) & set(near[j].split()) for i, j in want)
         got = {(r.l, r.r) for r in match.title_matches(left, right, ratio=ratio).collect()}
         assert got == want and alone > 3
+
+
+def test_keywords_of_all_languages(spark, tmp_path):
+    texts = ["Größe größe naïve-Modelle Straße Wörter 日本語", "L'étude Étude Über-sicht the corpus Corpus", "", None, "Kelvin \u212aelvin İstanbul this With", *["mot%d-é palabra niño Haus " % i * 20 for i in range(3)]]
+    spark.createDataFrame([(i, t, ["fr", "de", "es", "en"][i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.keywords for r in queries.keyword_extract_all(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        first = {}
+        for w in re.findall(r"[A-Za-z][A-Za-z\-]{3,}", t or ""):
+            if w.lower() not in S.STOPWORDS:
+                first.setdefault(w.lower(), w)
+        assert got[i] == (None if t is None else " ".join(list(first.values())[:10]))
