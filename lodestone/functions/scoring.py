@@ -33,10 +33,13 @@ def relevance_tier(score: Column) -> Column:
 
 
 def lexical_relevance(target: Column, candidate: Column) -> Column:
-    """Share of the target's words (4 letters on, without stop words) that the candidate has; 1 if there are none."""
+    """Share of the target's words (4 letters on, without stop words) that the candidate has; 1 if there are none.
+
+    Words are letters, numbers and underscores of any script; a combining mark ends a word.
+    """
     stop = F.array(*map(F.lit, TOPIC_STOPWORDS))
-    t = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(target), F.lit(r"(?U)(\w{4,})"), 1)), stop)
-    c = F.array_distinct(F.regexp_extract_all(F.lower(candidate), F.lit(r"(?U)(\w{3,})"), 1))
+    t = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(target), F.lit(r"([\p{L}\p{N}_]{4,})"), 1)), stop)
+    c = F.array_distinct(F.regexp_extract_all(F.lower(candidate), F.lit(r"([\p{L}\p{N}_]{3,})"), 1))
     return F.when(F.size(t) == 0, 1.0).otherwise(F.size(F.array_intersect(t, c)) / (F.size(t) + F.lit(1e-5)))
 
 

@@ -267,6 +267,14 @@ def lexical_relevance(spark, sf_dir):
     return d.select("doc_id", F.round(S.lexical_relevance(F.lit(target), F.col("text")), 9).alias("relevance"))
 
 
+@query(f"""WITH t AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{4,}}')), lambda w: NOT list_contains({TOPIC}, w)) AS t FROM benchmark ORDER BY item_id LIMIT 1)
+SELECT doc_id, round(CASE WHEN (SELECT len(t) FROM t) = 0 THEN 1 ELSE len(list_intersect((SELECT t FROM t), list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{3,}}')))) / ((SELECT len(t) FROM t) + 1e-5::DOUBLE) END, 9) AS relevance FROM documents""")
+def lexical_relevance_all(spark, sf_dir):
+    """lexical_relevance over all documents."""
+    target = table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()[0]
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.lexical_relevance(F.lit(target), F.col("text")), 9).alias("relevance"))
+
+
 @query(r"SELECT a.doc_id, CASE WHEN b.doc_id IS NULL THEN 'unknown_chunk' WHEN contains(trim(regexp_replace(lower(b.text), '\s+', ' ', 'g')), trim(regexp_replace(lower(substr(a.text, 3, 40)), '\s+', ' ', 'g'))) THEN 'ok' ELSE 'not_in_chunk' END AS verdict FROM documents a LEFT JOIN documents b ON b.doc_id = CASE WHEN a.doc_id % 3 = 0 THEN a.doc_id + 1 WHEN a.doc_id % 3 = 1 THEN a.doc_id ELSE -1 END")
 def quote_containment(spark, sf_dir):
     d = table(spark, sf_dir, "documents")

@@ -311,3 +311,14 @@ def test_keywords_of_all_languages(spark, tmp_path):
             if w.lower() not in S.STOPWORDS:
                 first.setdefault(w.lower(), w)
         assert got[i] == (None if t is None else " ".join(list(first.values())[:10]))
+
+
+def test_relevance_of_all_scripts(spark, tmp_path):
+    target = "Größe naïve étude ΣΟΦΟΣ слова ١٢٣٤ x²³¼½ cafe\u0301 Ⓐword this_is under"
+    texts = ["GRÖSSE größe", "Naïve ÉTUDE", "σοφος ΣΟΦΟΣ", "Слова", "١٢٣٤ x²³¼½", "cafe\u0301", "cafe", "Ⓐword word", "THIS_IS", "naïveté", "", "plain ascii", "日本語 テキスト — naïve"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, target)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.relevance for r in queries.lexical_relevance_all(spark, str(tmp_path)).collect()}
+    want = set(re.findall(r"\w{4,}", target.lower())) - set(S.TOPIC_STOPWORDS)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(len(want & set(re.findall(r"\w{3,}", t.lower()))) / (len(want) + 1e-5), abs=1e-8), t
