@@ -29,8 +29,20 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]+", 0, 16),
 )
+#: A private key: from its BEGIN line through the END line, if no other marker comes first; else its headers and base64 lines
+#: (whole lines; where line ends were lost, runs of 40 characters on and a rest with a digit). Line ends may be escaped.
+_NL = r"(?:[^\S\r\n]*(?:\r\n?|\n|(?:\\r)?\\n|\\r))"
+_STOP = r"(?=\s|\\[rn]|\Z)"
+_LINE = r"[^\S\r\n]*[A-Za-z0-9+/=]++(?=[^\S\r\n]*(?:[\r\n]|\\[rn]|\Z))"
+_RUN = r"(?:\s|\\[rn])*+[A-Za-z0-9+/=]{40,}+"
+_REST = rf"[^\S\r\n]++(?=[A-Za-z]*[0-9+/=])[A-Za-z0-9+/=]++{_STOP}"
+_LABEL = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_KEY = (
+    rf"-----BEGIN {_LABEL}(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_LABEL}"
+    rf"|(?:{_NL}++[^\S\r\n]*[A-Z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+(?:{_RUN}|{_NL}++{_LINE})(?:{_RUN}|{_NL}{_LINE}|{_REST})*+)?+"
+)
 MORE = (
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("private_key", _KEY, 0, 1),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1),
