@@ -41,6 +41,8 @@ _KEY = (
     rf"-----BEGIN {_LABEL}(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END {_LABEL}"
     rf"|(?:{_NL}++[^\S\r\n]*[A-Z][A-Za-z0-9-]*+:\x20[^\r\n\\]*+)*+(?:{_RUN}|{_NL}++{_LINE})(?:{_RUN}|{_NL}{_LINE}|{_REST})*+)?+"
 )
+#: A scheme is read once, from its first character on; behind other characters of its class, from 21 characters before its end.
+_LOGIN = r"(?:(?<![a-z0-9+.-])[a-z][a-z0-9+.-]++|[a-z][a-z0-9+.-]{1,20})://[^\s/:@]++:[^\s/@]++@"
 MORE = (
     ("private_key", _KEY, 0, 1),
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
@@ -48,7 +50,7 @@ MORE = (
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 1),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1),
     ("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 1),
-    ("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{1,100}@", 0, 1),
+    ("url_login", _LOGIN, 0, 1),
 )
 #: Strings that an exact set may hold before it is turned into a query, and characters that a class may.
 SET, CLASS = 32, 8

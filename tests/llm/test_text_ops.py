@@ -133,6 +133,23 @@ def test_whole_private_keys(spark):
     assert len(rule.findall("-----BEGIN PRIVATE KEY-----\nab- \n" * 20_000)) == 20_000  # in one pass, not one for each marker
 
 
+def test_long_logins(spark):
+    jwt = "eyJ" + "aB3_-." * 400
+    cases = [
+        (f"see https://oauth2:{jwt}@host/x and", "see [url_login]host/x and"), (f"git+ssh://{'u' * 300}:p@h", "[url_login]h"), (f"{'s' * 40}+x://u:p@h", "[url_login]h"), (f"(1http://u:{'p' * 101}@h", "(1[url_login]h"),
+        ("http://host:80/a@b", "http://host:80/a@b"), ("http://user@host", "http://user@host"), (f"x://u:{'p' * 200} @", f"x://u:{'p' * 200} @"),
+    ]
+    got = {r.doc_id: r.text for r in o6.redact(frame(spark, [(i, t.replace("eyJ", "zyJ")) for i, (t, _) in enumerate(cases)])).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    rule = re.compile(dict((n, p) for n, p, *_ in o6.MORE)["url_login"])
+    old = re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{1,100}@")
+    rng = random.Random(8)
+    for _ in range(3000):
+        t = "".join(rng.choices(["a", "b", "1", "-", "://", "://", ":", "@", "/", " ", "A"], k=20))
+        assert [m.span() for m in rule.finditer(t)] == [m.span() for m in old.finditer(t)], t
+    assert not rule.findall("a1" * 500_000 + " x://") and not rule.findall("ab://" * 100_000) and not rule.findall("ab://c:" * 100_000)
+
+
 def test_trigram_queries_hold():
     rng = random.Random(4)
     for _, pattern, _, _ in o6.BASE + o6.MORE:
