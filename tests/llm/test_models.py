@@ -141,6 +141,75 @@ def test_pipeline(spark):
     assert op03_packing and op05_simhash and op10_decontaminate
 
 
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_pipeline_rows(spark):
+    """run() from the good documents on: near copies, all benchmark items in both directions, redacted texts, pieces and crc32."""
+    import re
+    import zlib
+
+    import corpus_pipeline as c
+
+    from lodestone.llm import op03_packing as o3
+    from lodestone.llm import op06_secrets as o6
+    from lodestone.llm.common import saved, table
+    from lodestone.llm.tokens import load, vocabulary_path
+
+    from .test_text_ops import WORD, brute_components, brute_fingerprint
+
+    docs = table(spark, DIR, "documents")
+    predicted = {r.doc_id: r.predicted for r in o8.quality(docs, table(spark, DIR, "labels")).collect()}
+    pairs = sorted((r.doc_id, r.text) for r in docs.collect() if predicted[r.doc_id])
+    good = saved(c.quality_classifier(spark, docs, DIR), "rows_a")
+    assert sorted((r.doc_id, r.text) for r in good.collect()) == pairs and 0 < len(pairs) < len(predicted)
+
+    comp = brute_components([brute_fingerprint(t) for _, t in pairs], 4)
+    pairs = [pairs[k] for k in sorted(set(comp))]
+    kept = saved(c.simhash_near_dedup(spark, good, DIR), "rows_b")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == pairs
+
+    words = lambda t: WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams, sizes = set(), set()
+    for r in table(spark, DIR, "benchmark").collect():
+        v = words(r.text)
+        n = min(10, len(v))
+        if n and r.item_id is not None:
+            sizes.add(n)
+            grams |= {tuple(v[i : i + n]) for i in range(len(v) - n + 1)}
+    hit = lambda w: any(tuple(w[i : i + n]) in grams for n in sizes for i in range(len(w) - n + 1))
+    before, pairs = len(pairs), [(i, t) for i, t in pairs if not hit(words(t))]
+    clean = saved(c.benchmark_decontamination(spark, kept, DIR), "rows_c")
+    assert sorted((r.doc_id, r.text) for r in clean.collect()) == pairs and len(pairs) < before
+
+    def redacted(t):
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, g, least) in enumerate(o6.BASE + o6.MORE) for m in re.finditer(p, t) if len(m[g]) >= least)
+        out, close = "", 0
+        for a, k, b in spans:
+            if a >= close:
+                out += t[close:a] + f"[{(o6.BASE + o6.MORE)[k][0]}]"
+            close = max(close, b)
+        return out + t[close:]
+
+    want = {i: redacted(t) for i, t in pairs}
+    safe = saved(c.secret_scans(spark, clean, DIR), "rows_d")
+    assert {r.doc_id: (r.text, r.n_chars) for r in safe.collect()} == {i: (t, len(t)) for i, t in want.items()} and want != dict(pairs)
+
+    library, pieces, stream = load(vocabulary_path(o3.VOCABULARY)), {}, []
+    for r in c.run(spark, DIR).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        stream.append((r.sequence_id * o3.SEQUENCE + r.offset, r.length))
+        assert 0 < r.length and r.offset + r.length <= o3.SEQUENCE
+    assert set(pieces) == set(want)
+    for i, rows_of in pieces.items():
+        ids = [*library.encode(want[i], add_special_tokens=False).ids, o3.END_ID]
+        at = 0
+        for r in sorted(rows_of, key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids)) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+    stream.sort()
+    assert all(a + n == b for (a, n), (b, _) in zip(stream, stream[1:])) and stream[0][0] == 0
+
+
 def plain_rows(df):
     return sorted((r.doc_id, r.doc_tokens) for r in df.select("doc_id", "doc_tokens").distinct().collect())
 
