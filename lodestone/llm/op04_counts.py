@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -145,33 +147,39 @@ class PrefixCounter:
         words concerned are solved again.
         """
         out = np.zeros(len(text) + 1, np.int64)
-        plain = text.isascii() and not self.special.search(text)
-        if not plain:  # cutting may split a composed character or a special string: ask word by word
-            words = list(regex.finditer(f"[^{SPACE}]+", text))
-            done, at = 0, 0
-            for m in words:
-                out[at : m.start() + 1] = done
-                for i in range(m.start() + 1, m.end() + 1):
-                    out[i] = done + self.of_piece(text[m.start() : i])
-                done, at = int(out[m.end()]), m.end()
-            out[at:] = done
-            return out
         done, at = 0, 0
-        low = text.lower()
-        for m in self.words.finditer(low):
+        for m in regex.finditer(f"[^{SPACE}]+", text):
             out[at : m.start() + 1] = done
+            out[m.start() + 1 : m.end() + 1] = self.prefixes_of_piece(m.group())[1:]
+            out[m.start() + 1 : m.end() + 1] += done
+            done, at = int(out[m.end()]), m.end()
+        out[at:] = done
+        return out
+
+    def prefixes_of_piece(self, piece: str) -> list[int]:
+        """prefix_counts of a text that holds no white space."""
+        out = [0] * (len(piece) + 1)
+        if self.special.search(piece) or not unicodedata.is_normalized("NFC", piece):
+            for i in range(1, len(piece) + 1):
+                out[i] = self.of_piece(piece[:i])
+            return out
+        # A prefix of a composed text is composed, so the words of piece[:i] are those of low, the last one cut short.
+        lower = [c.lower() for c in piece]
+        low = "".join(lower)
+        start = list(accumulate(map(len, lower), initial=0))  # of each character in low
+        done = 0
+        for m in self.words.finditer(low):
+            cuts = range(bisect_right(start, m.start()), bisect_right(start, m.end()))
+            symbols = self.word_symbols(m.group())
+            last, count = self.prefixes(symbols)
             if m.group()[0] == "'" and len(m.group()) > 1 or low[m.start() - 1 : m.start()] == "'":
-                for i in range(m.start() + 1, m.end() + 1):
-                    out[i] = self.of_text(low[:i])
-                done = int(out[m.end()])
+                for i in cuts:
+                    out[i] = self.of_piece(piece[:i])
             else:
-                symbols = self.word_symbols(m.group())
-                last, count = self.prefixes(symbols)
-                for i in range(1, len(symbols) + 1):
-                    out[m.start() + i] = done + self.closed(symbols, last, count, i)
-                done = int(out[m.end()])
-            at = m.end()
-        out[at:] = done
+                size = list(accumulate((len(c.encode("utf-8", "surrogatepass")) for c in m.group()), initial=0))
+                for i in cuts:
+                    out[i] = done + self.closed(symbols, last, count, size[start[i] - m.start()])
+            done += self.closed(symbols, last, count, len(symbols))
         return out
 
     def of_text(self, text: str) -> int:

@@ -50,6 +50,25 @@ def test_prefix_counts():
     assert library.encode("hello wonderful wor"[: counter.within("hello wonderful wor", 2)], add_special_tokens=False).ids == library.encode("hello wonderful", add_special_tokens=False).ids
 
 
+def test_prefix_counts_of_any_script(monkeypatch):
+    """Composed texts of any script are answered from the stored prefixes; only words with special or decomposed characters aren't."""
+    counter = o4.PrefixCounter(vocabulary_path(o4.VOCABULARY))
+    library, solve = load(vocabulary_path(o4.VOCABULARY)), counter.of_piece
+    asked = []
+    monkeypatch.setattr(counter, "of_piece", lambda piece: asked.append(piece) or solve(piece))
+    want = lambda t: [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+    for t in ["Größe naïve ÉTUDE", "日本語テキスト。東京 плохо СЛОВА", "İstanbul aİb İ̇ 1İ2 éİ!", "🙂🙂ab é🙂 x\u3000y\x85z", "Straße—«été» ΣΟΦΟΣ ﬁ ½²"]:
+        assert counter.prefix_counts(t).tolist() == want(t), t
+        assert not asked, t
+    for t in ["été cafe\u0301 naïve", "é<|endoftext|>x naïve été", "l'été it's qu'il I'LL é're '' 's!'s", "\u0344 a\u0301\u0323 é"]:
+        assert counter.prefix_counts(t).tolist() == want(t), t
+    assert not any("naïve".startswith(x) for x in asked if x)
+    asked.clear()
+    t = "東京都は日本の首都である" * 500
+    got = counter.prefix_counts(t)
+    assert not asked and [int(got[i]) for i in (1, 1000, len(t))] == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in (1, 1000, len(t))]
+
+
 def test_token_counts(spark):
     pairs, library = rows(), load(vocabulary_path(o4.VOCABULARY))
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in pairs]
