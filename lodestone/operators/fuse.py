@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from .lineage import checkpointed
+from . import components as stars
+from .lineage import unused
 from .match import matches
 
 K, BOOST = 60, 5.0
@@ -60,18 +61,9 @@ def merged(df: DataFrame, group: str, order: list[str], source: str | None = Non
 
 
 def components(edges: DataFrame, vertices: DataFrame, key: str = "id") -> DataFrame:
-    """key, root: the least vertex that each one is linked to, by label passing with jumps; rounds are checkpointed."""
-    both = edges.select(F.col("l").alias("u"), F.col("r").alias("v")).unionByName(edges.select(F.col("r").alias("u"), F.col("l").alias("v"))).filter("u <> v").distinct()
-    both = checkpointed(both)
-    label = vertices.select(F.col(key).alias("v"), F.col(key).alias("root"))
-    while True:
-        near = both.join(label, "v").groupBy(F.col("u").alias("v")).agg(F.min("root").alias("m"))
-        step = label.join(near, "v", "left").select("v", "root", F.least("root", "m").alias("next"))
-        jump = step.select(F.col("v").alias("next"), F.col("next").alias("far"))
-        new = checkpointed(step.join(jump, "next", "left").select("v", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("moved")))
-        label = new.select("v", "root")
-        if not new.filter("moved").limit(1).count():
-            return label.select(F.col("v").alias(key), "root")
+    """key, root: the least vertex that each one is linked to by edges (l, r)."""
+    roots = stars.components(edges.select(F.col("l").alias("u"), F.col("r").alias("v")), "pool")
+    return vertices.select(key).distinct().join(roots.withColumnRenamed("v", key), key, "left").select(key, F.coalesce("root", key).alias("root"))
 
 
 def deduplicated(pool: DataFrame, order: list[str], key: str = "id", source: str | None = None) -> DataFrame:
@@ -84,7 +76,8 @@ def deduplicated(pool: DataFrame, order: list[str], key: str = "id", source: str
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+    n = unused(df, "n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(n) == 1).drop(n)
 
 
 def within(df: DataFrame, n: int, rank: str = "rank") -> DataFrame:

@@ -1,15 +1,68 @@
-"""Cutting a plan's lineage where it is read several times."""
+"""Cutting a plan's lineage: checkpoints, and tables written to the folder that the cluster shares."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir). A temporary one only on a local master, as in tests."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), f'lodestone-{context.applicationId}')}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written under the context's checkpoint folder: the cluster's shared one, or one of our own where none is named, as in tests."""
+    """df written under the context's checkpoint folder, the shared one where none was named to the context."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone-tables/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
+    path = f"{_run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["saved_path"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of saved() that nothing reads any more."""
+    for t in tables:
+        path = t.__dict__.get("saved_path")
+        if path:
+            _delete(t.sparkSession, path)
+
+
+def drop_saved(spark: SparkSession) -> None:
+    """Delete every table that this application's saved() wrote; other applications' stay."""
+    _delete(spark, _run_dir(spark))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
