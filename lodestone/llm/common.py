@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,38 +11,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import discard, drop_saved, saved, shared_dir, unused
 from ..ship import ship
 
+__all__ = ["discard", "drop_saved", "saved", "shared_dir", "unused"]
+
 #: Bytes of text that one numpy pass takes at a time; it bounds a worker's temporary arrays.
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and a worker, as near as whole rows allow.
 BATCH_BYTES = 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 U = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where the setting is absent, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    local = os.path.join(tempfile.gettempdir(), f"lodestone-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", f"file://{local}")
-    return f"file://{local}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/lodestone-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_saved(spark: SparkSession) -> None:
-    """Delete every table that saved() wrote under the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodestone-tables")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -56,9 +34,14 @@ def is_held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """doc_id, text, label of at most `limit` labelled rows that aren't held out. The labels' side has a bounded number of rows."""
+    """doc_id, text, label of at most `limit` labelled documents that aren't held out, written once as several passes read them.
+
+    The first `limit` labelled ids by hash are chosen. Of several labels of one id the largest counts, of several rows of
+    one id the least text, so rows are bounded by ids; null labels and ids are left out, null texts are empty.
+    """
     chosen = labels.filter(~is_held_out() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return saved(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "training")
 
 
 #: What empties a worker's memos that last from task to task.
@@ -80,9 +63,14 @@ def trim() -> None:
 
 
 def map_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keeps_memos: bool = False) -> DataFrame:
-    """mapInArrow; batches are cut by bytes, so that long texts don't make large ones, and workers are left tidy."""
+    """mapInArrow; batches are cut by bytes, so that long texts don't make large ones, and workers are left tidy.
+
+    The bound is read when the plan runs, which is the caller's doing, so it can't be set for this step alone: it is set on
+    the session where the session sets none of its own.
+    """
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    if BATCH_SETTING not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps_memos:

@@ -1,36 +1,42 @@
 """SimHash near-duplicates, linked through BK-trees.
 
 Fingerprints: each word shingle is hashed to 64 bits, and a bit of the fingerprint is 1 if it is set in over half of them.
-Links: two fingerprints that differ in at most `radius` bits. With radius + 2 blocks of bits, two linked fingerprints agree
-on two whole blocks at least, so each pair of blocks deals the distinct fingerprints to shards by the bits of both, and all
+Links: two fingerprints that differ in at most `radius` bits. Cut into radius + 1 blocks of bits, two linked fingerprints agree
+on one whole block at least, so each block deals the distinct fingerprints to shards by its bits (12 or 13 of them), and all
 links lie within shards. A shard's BK-tree keys children by their Hamming distance to the parent, and a query follows only
-edges within the radius of its own distance. All trees of a task are built and searched together, level by level, in numpy.
+edges within the radius of its own distance: no pair of a shard is compared but those on such edges. All trees of a task are
+built and searched together, level by level, in numpy.
 
 The trees of all fingerprints grow with the corpus, so they are not broadcast: a shard's tree and its queries are sent to one
-task by the shard's key. Shards of over SHARD fingerprints are cut into chunks by hash, and each pair of chunks is a task's
-group of its own (the tree of one, the queries of the other). Tasks emit, for each fingerprint, one link to the smallest of
-its component in that group, never all pairs; alternating large and small stars then join these links, in rounds that are
-written to the shared folder.
+task by the shard's key. A coarse shard of over SHARD fingerprints is dealt again, in the same way, by radius + 1 blocks of
+its other bits; one that is still over SHARD is cut into chunks by hash, and each pair of chunks is a task's group of its own
+(the tree of one, the queries of the other): exact, but such a shard costs its square. What is broadcast are the dense
+shards' keys: of coarse ones there are at most (radius + 1) 2^13, whatever the corpus; of finer ones the list is counted
+first and joined with salts if it is long. Tasks emit, for each fingerprint, one link to the smallest of its component in
+that group, never all pairs; alternating large and small stars then join these links.
 
 Null texts count as empty. Texts without words have fingerprint zero, which links as any other. Rows with one doc_id count as
 rows of their own with equal component. Null doc_ids are never the smallest unless a component has no other: then its id is
-null. An empty table gives an empty result; other columns are ignored.
+null. Very long texts are hashed whole, BLOCK shingles at a time. An empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, record, saved, slices
+from ..operators.components import HOT, components, hot_keys, spread_join
+from .common import discard, map_batches, record, saved, slices, unused
 
-SHINGLE, RADIUS, SEED, SHARD, SALTS = 4, 4, 42, 4096, 16
+SHINGLE, RADIUS, SEED, SHARD = 4, 4, 42, 4096
+#: Rows of a list of dense shards that may be broadcast.
+LISTED = 1 << 16
 #: Query and node pairs that a search holds at a time.
 FRONTIER = 1 << 20
 BLOCK = 1 << 16
@@ -67,19 +73,30 @@ def text_key():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def masks(radius: int) -> list[int]:
-    """For each pair of blocks the bits of both, as signed longs."""
-    n = radius + 2
-    edges = [round(64 * i / n) for i in range(n + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [m - (1 << 64) if (m := x | y) >> 63 else m for x, y in combinations(blocks, 2)]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def masks(radius: int) -> list[tuple[int, list[int]]]:
+    """For each block of bits: its mask, and the masks of it and one block of the other bits. All are signed longs."""
+    n = radius + 1
+
+    def cut(bits: list[int]) -> list[int]:
+        edges = [round(len(bits) * i / n) for i in range(n + 1)]
+        return [sum(1 << b for b in bits[a:z]) for a, z in zip(edges, edges[1:])]
+
+    coarse = cut(list(range(64)))
+    return [(_signed(m), [_signed(m | x) for x in cut([b for b in range(64) if not m >> b & 1])]) for m in coarse]
 
 
 class Forest:
-    """BK-trees over groups of fingerprints (uint64, distinct within a group); tree nodes are indexes into them."""
+    """BK-trees over groups of fingerprints (uint64, distinct within a group); tree nodes are indexes into them.
+
+    visited counts the nodes that searches have looked at.
+    """
 
     def __init__(self, fps: np.ndarray, groups: np.ndarray):
-        self.fps = fps
+        self.fps, self.visited = fps, 0
         n = len(fps)
         self.group_ids, self.roots = np.unique(groups, return_index=True)
         at = self.roots[np.searchsorted(self.group_ids, groups)]
@@ -107,6 +124,7 @@ class Forest:
         stack = [(live[i : i + FRONTIER // 16], self.roots[at[live[i : i + FRONTIER // 16]]]) for i in range(0, len(live), FRONTIER // 16)]
         while stack:
             q, node = stack.pop()
+            self.visited += len(q)
             d = np.bitwise_count(queries[q] ^ self.fps[node]).astype(np.int64)
             near = d <= radius
             if near.any():
@@ -186,62 +204,62 @@ def _links(radius: int):
     return work
 
 
+def _dealt(rows: DataFrame, deals: list[tuple[int, int, int]], of: bool) -> DataFrame:
+    """c, shard, fp: each row's fp under the mask of each deal (number, block it refines, mask); with `of`, of its own block alone."""
+    every = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(block).alias("of"), F.col("fp").bitwiseAND(F.lit(m)).alias("shard")) for i, block, m in deals])
+    return rows.select("fp", F.explode(F.filter(every, lambda x: x["of"] == F.col("c")) if of else every).alias("k")).select("k.c", "k.shard", "fp")
+
+
+def _split_dense(rows: DataFrame, shard: int, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows of shards of at most `shard` fingerprints, and the rest with their shard's size n (None if there is none).
+
+    Sizes are summed by task before they are shuffled; no shard is ever gathered.
+    """
+    sizes = saved(rows.groupBy("c", "shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > shard), name)
+    n = sizes.count()
+    if not n:
+        return rows, None
+    if n <= LISTED:
+        sized = rows.join(F.broadcast(sizes), ["c", "shard"], "left")
+    else:
+        key = F.struct("c", "shard")
+        sized = spread_join(rows.withColumn("k", key), sizes.select(key.alias("k"), "n"), "k", "fp", sizes.select(key.alias("k")), "left").drop("k")
+    return sized.filter("n is null").drop("n"), sized.filter("n is not null")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """u, v: within each shard a star for each component of linked fingerprints. fps: distinct values of fp."""
-    keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("shard")) for i, m in enumerate(masks(radius))])).alias("k")).select("k.c", "k.shard", "fp")
-    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("c", "shard"))).filter("n > 1")
-    small = sized.filter(F.col("n") <= shard).select("c", "shard", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "fp")
-    # A large shard: chunk x is the tree of every pair (x, y), y >= x, and the queries of every pair (w, x), w <= x.
-    chunks = F.ceil(F.col("n") / F.lit(shard)).cast("int")
-    x = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    large = sized.filter(F.col("n") > shard).withColumn("chunks", chunks).withColumn("x", x)
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda y: F.struct(F.least("x", y).alias("a"), F.greatest("x", y).alias("b"), F.when(y == F.col("x"), 0).when(F.col("x") < y, -1).otherwise(1).alias("side")))
-    split = large.select("c", "shard", "fp", F.explode(pairs).alias("p")).select("c", "shard", "p.a", "p.b", "p.side", "fp")
-    order = ["c", "shard", "a", "b", "side", "fp"]
-    near = map_batches(small.sortWithinPartitions(*order), _links(radius), "u long, v long")
-    far = map_batches(split.repartition("c", "shard", "a", "b").sortWithinPartitions(*order), _links(radius), "u long, v long")
-    return near.unionByName(far).distinct()
-
-
-def salted(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
-    """left join right on a key that many rows of left and one row of right may hold: both are dealt by the key and a salt
-    (from the column `spread` of left), so a large component's rows go to SALTS tasks."""
-    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
-    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return left.withColumn("__salt", salt).join(many.hint("merge"), [key, "__salt"]).drop("__salt")
-
-
-def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """v, root for every vertex that has an edge and isn't its component's least: alternating large and small stars.
-
-    A round sends each vertex's larger neighbours, then its smaller ones, to the least neighbour. It ends when a round changes
-    nothing; rounds grow with the logarithm of a component's size.
-    """
-    edges = saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = salted(both.filter("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = saved(small, name)
-        # Stars are done when no round changes them; the sums stand for the sets.
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if now == seen:
-            return edges.select(F.col("u").alias("v"), F.col("v").alias("root"))
-        seen = now
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
+    blocks = masks(radius)
+    whole = lambda d: d.select("c", "shard", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "fp")
+    near, dense = _split_dense(_dealt(fps, [(i, -1, m) for i, (m, _) in enumerate(blocks)], False), shard, "dense")
+    groups = whole(near)
+    if dense is not None:
+        fine = [(len(blocks) * (i + 1) + j, i, m) for i, (_, more) in enumerate(blocks) for j, m in enumerate(more)]
+        near, dense = _split_dense(saved(_dealt(dense, fine, True), "fine"), shard, "denser")
+        groups = groups.unionByName(whole(near))
+    if dense is not None:
+        # Chunk x is the tree of every pair (x, y), y >= x, and the queries of every pair (w, x), w <= x.
+        chunks = F.ceil(F.col("n") / F.lit(shard)).cast("int")
+        large = dense.withColumn("chunks", chunks).withColumn("x", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda y: F.struct(F.least("x", y).alias("a"), F.greatest("x", y).alias("b"), F.when(y == F.col("x"), 0).when(F.col("x") < y, -1).otherwise(1).alias("side")))
+        groups = groups.unionByName(large.select("c", "shard", "fp", F.explode(pairs).alias("p")).select("c", "shard", "p.a", "p.b", "p.side", "fp"))
+    placed = groups.repartition("c", "shard", "a", "b").sortWithinPartitions("c", "shard", "a", "b", "side", "fp")
+    return map_batches(placed, _links(radius), "u long, v long").distinct()
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """doc_id, key, fp, root (the component's least fingerprint), component_id of each row of docs."""
     fps = saved(fingerprints(docs, shingle), "fps")
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(first.select("fp"), radius, shard))
-    placed = first.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = saved(salted(placed, least, "root", "fp").select("fp", "root", "component_id"), "components")
-    return fps.join(by_fp, "fp", "left").select("doc_id", "key", "fp", "root", "component_id")
+    first = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "distinct")
+    rows, kinds = first.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    roots = components(links(first.select("fp"), radius, shard), "stars", hot)
+    placed = saved(first.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_fp = saved(spread_join(placed, least.select("root", "component_id"), "root", "fp", hot_keys(least, "root", kinds, hot)).select("fp", "root", "component_id"), "components")
+    # A copied text's fingerprint is a key that many rows hold.
+    spread = spread_join(fps, by_fp, "fp", "doc_id", hot_keys(first, "fp", rows, hot))
+    discard(roots, placed)
+    return spread.select("doc_id", "key", "fp", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -252,9 +270,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns: the least doc_id's (null: the last), then the least text key's.
 
-    Groups are reduced to ids before any text moves; repeated rows count as one.
+    Groups are reduced to ids before any text moves; rows of equal id and text count as one. Columns of any name are kept.
     """
-    id_ = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    first = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(id_.alias("__id"), F.col("key").alias("__key"))).alias("r")).select("r.*")
-    placed = docs.withColumn("__id", id_).withColumn("__key", text_key())
-    return placed.join(first, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    null, id_, key = (unused(docs, x) for x in ("null", "id", "key"))
+    order = F.struct(F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("key").alias(key))
+    first = near_duplicates(docs).groupBy("root").agg(F.min(order).alias("r")).select("r.*")
+    placed = docs.select("*", F.col("doc_id").isNull().alias(null), F.coalesce("doc_id", F.lit(0)).alias(id_), text_key().alias(key))
+    return placed.join(first, [null, id_, key], "left_semi").dropDuplicates([null, id_, key]).select(*docs.columns)

@@ -40,8 +40,8 @@ def brute_components(fps, radius):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("shard", [4096, 2])
-def test_simhash(spark, shard):
+@pytest.mark.parametrize("shard, hot", [(4096, 10_000), (2, 3), (12, 10_000)])
+def test_simhash(spark, shard, hot):
     rng = random.Random(5)
     pairs = rows()
     base = sentence(rng, 150).split()
@@ -55,7 +55,7 @@ def test_simhash(spark, shard):
         if i is not None:
             least[c] = min(i, least.get(c, i))
     want = sorted(((i, f"{f:016x}", least.get(c)) for (i, _), f, c in zip(pairs, fps, comp, strict=True)), key=str)
-    got = o5.near_duplicates(frame(spark, pairs), shard=shard).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
+    got = o5.near_duplicates(frame(spark, pairs), shard=shard, hot=hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")), "component_id")
     assert plain(got) == want
     if shard == 4096:
         assert plain(o5.simhash_components(frame(spark, pairs))) == want
@@ -66,6 +66,28 @@ def test_simhash(spark, shard):
         assert plain(o5.simhash_components(empty(spark))) == [] and o5.keep_first(empty(spark)).count() == 0
 
 
+def test_keep_first_keeps_columns(spark):
+    """Columns named as the operator's own, and an id of 2^63 - 1 beside null ones."""
+    top = (1 << 63) - 1
+    rows_ = [(top, "one text here for all of us", "keepme", 1, "x"), (None, "another text altogether it is", "keepme", 2, "y"), (None, "another text altogether it is", "keepme", 3, "z"), (5, "one text here for all of us", "kept", 4, "w")]
+    got = o5.keep_first(spark.createDataFrame(rows_, "doc_id long, text string, __id string, __key int, __NULL string"))
+    assert got.columns == ["doc_id", "text", "__id", "__key", "__NULL"]
+    found = sorted((tuple(r) for r in got.collect()), key=str)
+    assert found[0] == rows_[3] and found[1][:3] == rows_[1][:3] and found[1][3] in (2, 3) and len(found) == 2
+
+
+def test_finer_shards():
+    """Deals of one block, and of one more block of the other bits, bring every linked pair together."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = int(rng.integers(0, 1 << 63)) * 2 + int(rng.integers(0, 2))
+        b = a
+        for bit in rng.choice(64, 4, replace=False).tolist():
+            b ^= 1 << bit
+        shared = [more for m, more in o5.masks(4) if a & m % (1 << 64) == b & m % (1 << 64)]
+        assert shared and all(any(a & m % (1 << 64) == b & m % (1 << 64) for m in more) for more in shared)
+
+
 def test_forest():
     rng = np.random.default_rng(1)
     fps = np.unique(rng.integers(0, 1 << 12, 400, dtype=np.uint64))
@@ -76,9 +98,11 @@ def test_forest():
         found |= set(zip(q.tolist(), n.tolist(), strict=True))
     want = {(i, j) for i in range(len(fps)) for j in range(len(fps)) if groups[i] == groups[j] and int(fps[i] ^ fps[j]).bit_count() <= 3}
     assert found == want
-    for m in range(1, 4):
-        pairs = {frozenset(p) for p in __import__("itertools").combinations(range(m + 2), 2)}
-        assert len(o5.masks(m)) == len(pairs)
+    assert 0 < forest.visited < sum(int((groups == g).sum()) ** 2 for g in range(3))
+    for m in range(5):
+        blocks = o5.masks(m)
+        assert len(blocks) == m + 1 and sum(x for x, _ in blocks) == -1
+        assert all(len(more) == m + 1 and all(x & y == x for y in more) and sum(y - x for y in more) + x == -1 for x, more in blocks)
 
 
 KINDS = [
