@@ -6,18 +6,20 @@ are extended: a document window that shares its fingerprint is compared with the
 by their words, and neighbouring windows make up the hit span. Items of fewer than 10 words are one window each; there every
 run of that many words is a fingerprint (a window of one).
 
-The benchmark is a set of queries run against all documents, in blocks of BLOCK_WORDS words: each block's index is broadcast,
-and its size is bounded by that parameter (an item longer than a block is a block of its own). A worker holds one block at a
-time.
+The benchmark is a set of queries run against all documents, in blocks of about BLOCK_BYTES of text (an item longer than that
+is a block of its own). Executors build each block's index, plain arrays of some ten times the block's bytes at most; blocks
+are written one a file, pass through the driver one at a time and are broadcast. A worker keeps HELD blocks at hand and reads
+the others again for each slice of documents.
 
 Null or wordless texts have no words and no hits; null and wordless items never hit, items with a null id are left out.
-Repeated rows are scored each; repeated item_ids count once. Empty tables give empty results, an empty benchmark no hits.
-Other columns are ignored.
+Repeated rows are scored each; repeated item_ids count once, and an id's texts all count for it. Very long texts are looked
+through whole; a document is never cut. Empty tables give empty results, an empty benchmark no hits. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, gram_hashes, map_batches, record, slices
+from .common import SLICE_BYTES, Words, gram_hashes, map_batches, mix, record, saved, slices
 
-WINDOW, GRAM, BLOCK_WORDS = 10, 5, 2_000_000
+WINDOW, GRAM, BLOCK_BYTES, HELD = 10, 5, 8 << 20, 4
 RUN = WINDOW - GRAM + 1
 _SIEVE = 20
 
@@ -59,98 +61,140 @@ class Lookup:
         return at[good], place[good]
 
 
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where a row of sorted columns differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 class Level:
-    """All windows of one length: their fingerprints, hashes, words and items."""
+    """All windows of one length as arrays: hashes, each one's different texts, and each text's items.
 
-    def __init__(self, length: int, gram: int):
+    The texts of hash k are text_at[k] to text_at[k + 1]; text t begins with word first[t] of the block, and its items are
+    items[item_at[t]] to items[item_at[t + 1]].
+    """
+
+    def __init__(self, length: int, gram: int, prints, hashes, others, first, items):
         self.length, self.gram, self.run = length, gram, length - gram + 1
-        self.prints: list[np.ndarray] = []
-        self.windows: dict[int, dict[bytes, set[int]]] = {}  # hash: words: items
-
-    def add(self, item: int, words: Words, start: int, stop: int) -> None:
-        hashes = words.hash[start:stop]
-        self.prints.append(window_minima(gram_hashes(hashes, self.gram), self.run))
-        for i, h in enumerate(gram_hashes(hashes, self.length).tolist()):
-            self.windows.setdefault(h, {}).setdefault(words.text(start + i, self.length), set()).add(item)
-
-    def close(self) -> None:
-        self.lookup = Lookup(np.concatenate(self.prints))
-        self.whole = Lookup(np.fromiter(self.windows, np.uint64, len(self.windows)))
-        self.texts = [self.windows[h] for h in self.whole.sorted.tolist()]
-        self.windows, self.prints = {}, []
-
-    def hits(self, words: Words) -> Iterator[tuple[int, set[int]]]:
+        self.lookup = Lookup(prints)
+        order = np.lexsort((items, others, hashes))
+        hashes, others, first, items = hashes[order], others[order], first[order], items[order]
+        kept = _edges(hashes, others, items)
+        hashes, others, first, self.items = hashes[kept], others[kept], first[kept], items[kept]
+        texts = np.flatnonzero(_edges(hashes, others))
+        self.item_at = np.append(texts, len(hashes)).astype(np.int32)
+        hashes, self.first = hashes[texts], first[texts]
+        self.text_at = np.append(np.flatnonzero(_edges(hashes)), len(hashes)).astype(np.int32)
+        self.whole = Lookup(hashes)
+
+    def hits(self, words: Words, block: Index) -> Iterator[tuple[int, np.ndarray]]:
         """(first word, items) of each window of this level that occurs."""
         minima = window_minima(gram_hashes(words.hash, self.gram), self.run)
         shared, _ = self.lookup.find(minima)
         shared = shared[words.doc[shared] == words.doc[shared + self.length - 1]]
         if not len(shared):
             return
-        with np.errstate(over="ignore"):
-            rows = words.hash[shared[:, None] + np.arange(self.length)]
-            whole = np.array([gram_hashes(r, self.length)[0] for r in rows], np.uint64) if len(rows) < 64 else _rows(rows)
-        at, place = self.whole.find(whole)
-        for i, p in zip(shared[at].tolist(), place.tolist(), strict=True):
-            items = self.texts[p].get(words.text(i, self.length))
-            if items:
-                yield i, items
+        rows = words.hash[shared[:, None] + np.arange(self.length)]
+        at, place = self.whole.find(_rows(rows))
+        for i, k in zip(shared[at].tolist(), place.tolist(), strict=True):
+            said = words.text(i, self.length)
+            for t in range(self.text_at[k], self.text_at[k + 1]):
+                if block.text(int(self.first[t]), self.length) == said:
+                    yield i, self.items[self.item_at[t] : self.item_at[t + 1]]
 
 
 def _rows(rows: np.ndarray) -> np.ndarray:
     """gram_hashes of each row."""
-    out = gram_hashes(np.ascontiguousarray(rows[:, ::1]).ravel(), rows.shape[1])
-    return out[:: rows.shape[1]]
+    return gram_hashes(np.ascontiguousarray(rows).ravel(), rows.shape[1])[:: rows.shape[1]]
 
 
 class Index:
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, gram: int = GRAM):
-        self.names = sorted({i for i, _ in items})
-        number = {x: i for i, x in enumerate(self.names)}
-        levels: dict[int, Level] = {}
-        words = Words(pa.array([t for _, t in items], pa.string()))
-        ends = np.cumsum(words.counts)
-        for (name, _), stop, n in zip(items, ends.tolist(), words.counts.tolist(), strict=True):
-            if n:
-                length = min(n, window)
-                level = levels.setdefault(length, Level(length, gram if length == window else length))
-                level.add(number[name], words, stop - n, stop)
-        self.levels = list(levels.values())
-        for x in self.levels:
-            x.close()
-
-
-def blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of about `limit` words, read a partition at a time."""
-    held, size = [], 0
-    for name, text in benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        n = len(text) // 2 + 1  # no text has more words
-        if held and size + n > limit:
-            yield held
-            held, size = [], 0
-        held.append((name, text))
-        size += n
-    if held:
-        yield held
-
-
-def matched(docs: DataFrame, benchmark: DataFrame, emit: Callable, schema, limit: int = BLOCK_WORDS) -> DataFrame:
+    """A block of items: names, the words of all (lower-cased, one space apart) and the levels of window lengths."""
+
+    def __init__(self, window: int = WINDOW, gram: int = GRAM):
+        self.window, self.gram, self.size = window, gram, 0
+        self.numbers: dict[str, int] = {}
+        self.words, self.chars = 0, 0
+        self.parts: dict[int, list[tuple]] = {}
+        self.held: list[tuple] = []
+
+    def add(self, names: list[str], texts: pa.Array) -> None:
+        words = Words(texts)
+        self.size += len(words.bytes)
+        numbers = np.array([self.numbers.setdefault(x, len(self.numbers)) for x in names], np.int32)
+        lengths = words.ends - words.starts
+        ends = np.cumsum(lengths + 1) - 1
+        stream = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
+        stream[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)] = words.bytes[words.bytes != 0]
+        self.held.append((stream, (ends - lengths + self.chars).astype(np.int64), (ends + self.chars).astype(np.int64)))
+        other = mix(words.hash ^ np.uint64(0x5851F42D4C957F2D))
+        size = words.counts[words.doc]  # words of each word's item
+        for n in np.unique(np.minimum(words.counts, self.window)).tolist():
+            if not n:
+                continue
+            gram = self.gram if n == self.window else n
+            hashes = gram_hashes(words.hash, n)
+            at = np.flatnonzero((words.doc[: len(hashes)] == words.doc[n - 1 :]) & ((size[: len(hashes)] >= n) if n == self.window else (size[: len(hashes)] == n)))
+            prints = window_minima(gram_hashes(words.hash, gram), n - gram + 1)[at]
+            self.parts.setdefault(n, []).append((np.unique(prints), hashes[at], gram_hashes(other, n)[at], (at + self.words).astype(np.int32), numbers[words.doc[at]]))
+        self.words += len(words.starts)
+        self.chars += len(stream)
+
+    def close(self) -> Index:
+        self.names = list(self.numbers)
+        self.stream, self.starts, self.ends = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        if self.chars < 1 << 31:
+            self.starts, self.ends = self.starts.astype(np.int32), self.ends.astype(np.int32)
+        self.levels = []
+        for n in sorted(self.parts):
+            self.levels.append(Level(n, self.gram if n == self.window else n, *(np.concatenate(x) for x in zip(*self.parts[n], strict=True))))
+            self.parts[n] = []
+        del self.held, self.parts, self.numbers
+        return self
+
+    def text(self, i: int, n: int) -> bytes:
+        """Words i to i + n, joined by a space."""
+        return self.stream[self.starts[i] : self.ends[i + n - 1]].tobytes()
+
+
+def blocks(benchmark: DataFrame, limit: int) -> Iterator[Index]:
+    """The indexes of the items, in blocks of about `limit` bytes, built on executors and read one at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index()
+        for part in slices(batches, "text", min(limit, 1 << 20)):
+            if index.size and index.size + part.column("text").nbytes > limit:
+                yield record(blob=pa.array([pickle.dumps(index.close(), protocol=5)], pa.binary()))
+                index = Index()
+            index.add(part.column("item_id").to_pylist(), part.column("text"))
+        if index.size:
+            yield record(blob=pa.array([pickle.dumps(index.close(), protocol=5)], pa.binary()))
+
+    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    for row in saved(map_batches(items, work, "blob binary"), "benchmark", maxRecordsPerFile=1).toLocalIterator():
+        yield pickle.loads(row.blob)
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, emit: Callable, schema, limit: int = BLOCK_BYTES) -> DataFrame:
     """Run all blocks over docs; emit(part, words, covered, items): covered marks the hit words, items has each row's item names."""
     spark = docs.sparkSession
-    indexes = [spark.sparkContext.broadcast(Index(x)) for x in blocks(benchmark, limit)]
+    indexes = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, limit)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES if len(indexes) <= HELD else 8 * SLICE_BYTES):
             words = Words(part.column("text"))
             steps = np.zeros(len(words.hash) + 1, np.int64)
             items: list[set[str]] = [set() for _ in range(part.num_rows)]
-            for held in indexes:
+            for k, held in enumerate(indexes):
                 index = held.value
                 for level in index.levels:
-                    for i, found in level.hits(words):
+                    for i, found in level.hits(words, index):
                         steps[i] += 1
                         steps[i + level.length] -= 1
-                        items[words.doc[i]].update(index.names[x] for x in found)
-                if len(indexes) > 1:  # one block in memory at a time; the next use reads it again
+                        items[words.doc[i]].update(index.names[x] for x in found.tolist())
+                if k >= HELD:  # the next use reads it again
                     del index
                     held.__dict__.pop("_value", None)
             yield emit(part, words, np.cumsum(steps[:-1]) > 0, items)

@@ -256,7 +256,7 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [2_000_000, 5])
+@pytest.mark.parametrize("block", [8 << 20, 5])
 def test_decontamination(spark, block):
     rng = random.Random(8)
     long_item = sentence(rng, 30)
@@ -278,3 +278,26 @@ def test_decontamination(spark, block):
     assert kept.columns == docs.columns and kept.count() == sum(not brute_hits(t, items)[4] for _, t in pairs)
     assert o10.contamination(empty(spark), benchmark).count() == 0
     assert not any(r.contaminated for r in o10.contamination(docs, benchmark.limit(0)).collect())
+
+
+def test_benchmark_block_memory():
+    """An index of two million words: arrays of about ten times its bytes, and built without more than that again."""
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    kinds = np.array([f"w{i:05x}" for i in range(50_000)])
+    texts = [" ".join(kinds[rng.integers(0, len(kinds), 200)]) for _ in range(10_000)]
+    tracemalloc.start()
+    index = o10.Index()
+    for a in range(0, len(texts), 700):
+        index.add([str(i) for i in range(a, min(a + 700, len(texts)))], pa.array(texts[a : a + 700]))
+    index.close()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.words == 2_000_000 and len(pickle.dumps(index, protocol=5)) < 200e6 and peak < 400e6
+    w = texts[77].split()
+    found = [f.tolist() for level in index.levels for _, f in level.hits(o10.Words(pa.array([" ".join(w[5:15])])), index)]
+    assert found == [[77]]
