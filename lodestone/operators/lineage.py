@@ -32,6 +32,11 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lodestone-tables/{spark.sparkContext.applicationId}"
 
 
+def run_path(spark: SparkSession, name: str) -> str:
+    """A new path in this application's part of the shared folder."""
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -39,7 +44,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def saved(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
-    path = f"{_run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = run_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["saved_path"] = path
