@@ -11,10 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lineage import discard, drop_saved, saved, shared_dir, unused
+from ..operators.lineage import discard, drop_saved, run_path, saved, shared_dir, unused
 from ..ship import ship
 
-__all__ = ["discard", "drop_saved", "saved", "shared_dir", "unused"]
+__all__ = ["discard", "drop_saved", "run_path", "saved", "shared_dir", "unused"]
 
 #: Bytes of text that one numpy pass takes at a time; it bounds a worker's temporary arrays.
 SLICE_BYTES = 1 << 20

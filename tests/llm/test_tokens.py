@@ -81,14 +81,15 @@ def test_stream_of_bytes():
     ranks = np.concatenate([rng.integers(0, 1 << b, 300, dtype=np.uint32) for b in (1, 8, 16, 24, 31)] + [np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1], np.uint32)])
     for n in (0, 1, 3, 4, 5, len(ranks)):
         assert o2.decode_ranks(*o2.encode_ranks(ranks[:n]), n).tolist() == ranks[:n].tolist()
-    ids, counts, got = o2.read_blob(o2.write_blob([3, None, 9], np.array([2, 0, 1]), ranks[:3]))
-    assert ids == [3, None, 9] and counts.tolist() == [2, 0, 1] and got.tolist() == ranks[:3].tolist()
+    ids, counts, got, before = o2.read_blob(o2.write_blob([3, None, 9], np.array([2, 0, 1]), ranks[:3], 17))
+    assert before == 17 and ids == [3, None, 9] and counts.tolist() == [2, 0, 1] and got.tolist() == ranks[:3].tolist()
     with pytest.raises(ValueError):
         o2.read_blob(b"x" * 64)
 
 
-def test_binary_ids(spark, monkeypatch):
+def test_binary_ids(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(o2, "SHARD_IDS", 500)
+    monkeypatch.setattr(o2, "PART_IDS", 3000)
     pairs, library = rows(), load(vocabulary_path(o2.VOCABULARY))
     got = o2.binary_ids(frame(spark, pairs)).orderBy("start").collect()
     crc = lambda t: zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())
@@ -100,6 +101,22 @@ def test_binary_ids(spark, monkeypatch):
     ids = [r.doc_id for r in got]
     assert ids == [None, None, *sorted(i for i, _ in pairs if i is not None)]
     assert plain(o2.binary_ids(empty(spark))) == []
+    # The same from the files alone, without Spark.
+    import pyarrow.parquet as pq
+
+    o2.write_shards(frame(spark, pairs), f"file://{tmp_path}/out")
+    table = pq.read_table(tmp_path / "out" / "ranks").sort_by("rank")
+    assert table.column("rank").to_pylist() == list(range(len(table)))
+    by_rank, at, seen = table.column("id").to_numpy(), 0, []
+    shards = pq.read_table(tmp_path / "out" / "shards").sort_by([("part", "ascending"), ("seq", "ascending")]).to_pylist()
+    assert len({x["part"] for x in shards}) > 1 and len(shards) > 5
+    for x in shards:
+        ids, counts, ranks, _ = o2.read_blob(x["blob"])
+        values = by_rank[ranks].astype("<u4")
+        for i, n in zip(ids, counts.tolist(), strict=True):
+            seen.append((i, at, n, zlib.crc32(values[:n].tobytes())))
+            values, at = values[n:], at + n
+    assert seen == [tuple(r) for r in got]
 
 
 @pytest.mark.parametrize("length", [1024, 7])
