@@ -1,29 +1,45 @@
 """Order MinHash fingerprints of documents, in DataFrame functions alone.
 
-A text's words give occurrence-numbered k-mers (k words, the last ones cut short by the text's end). One hash deals them to
-SIGNATURES buckets by its top bits; each bucket's TUPLE least k-mers are put back into text order and their hashes are hashed
-together. So a signature changes with the k-mers at hand and with their order, and two texts' likeness is the share of equal
-signatures among the buckets that either has filled.
-
-A k-mer is one long: 40 bits of hash above 24 bits of position (positions from 2^24 on share the last value: the order of
-words beyond the 16,777,215th is left out). Sorting those longs puts equal k-mers side by side, the first occurrence first.
-First occurrences keep their hash. Repeats are hashed with their number in a fold over the repeats alone, which holds each
-bucket's least so far and no more.
-
-The next document (descending doc_id) is found by one shuffle: documents go to buckets of doc_id by bounds from a quantile
-sketch, and each bucket also gets a copy of the row that follows its last one (one row a bucket). Null texts count as empty;
-an empty text has one k-mer, so equal texts have equal fingerprints throughout. Null doc_ids come last; equal doc_ids are
-ordered by text, so repeated rows follow one another. An empty table gives an empty result. Other columns are ignored.
+A text's units give occurrence-numbered k-mers (k units, the last ones cut short by the text's end). Units are words; a word
+of over LONG characters, as in scripts without spaces, gives its overlapping runs of CHARS characters instead, so that an edit
+inside it changes few of them. One hash deals k-mers to SIGNATURES buckets by its top bits; each bucket's TUPLE least k-mers
+are put back into text order and their hashes are hashed together. So a signature changes with the k-mers at hand and with
+their order, and two texts' likeness is the share of equal signatures among the buckets that either has filled. A fingerprint
+prints every signature whole (eight hex digits), so likeness can be had from two fingerprints.
+
+A k-mer is one long: 34 bits of hash above 30 bits of position, more than any string has units. Sorting those longs puts equal
+k-mers side by side, the first occurrence first. First occurrences keep their hash. Repeats are hashed with their number in a
+fold over the repeats alone, which holds each bucket's least so far and no more.
+
+The next document (descending doc_id) is found by one shuffle. Documents are dealt to ranges of about RANGE_BYTES of text, at
+most RANGES of them, by cuts of doc_id from a quantile sketch; as in any range partitioning the cuts are part of the plan, and
+a row finds its range by bisection. Rows of an id that fills several ranges, and those without an id, are dealt on by a hash
+of their text. Each range also gets a copy of the row that follows its last one (a join with one key a range). Null texts
+count as empty; an empty text has one k-mer, so equal texts have equal fingerprints throughout. Null doc_ids come last; equal
+doc_ids are ordered by their text's hash, so repeated rows follow one another. Very long texts are fingerprinted whole. An
+empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KMER, SIGNATURES, TUPLE = 3, 64, 2
-POSITIONS = (1 << 24) - 1
+KMER, SIGNATURES, TUPLE, LONG, CHARS = 3, 64, 2, 32, 4
+POSITIONS = (1 << 30) - 1
+RANGE_BYTES, RANGES = 4 << 20, 1 << 16
 _BITS = SIGNATURES.bit_length() - 1
+#: Bits of a signature's hash under its bucket's number.
+_SIGNED = 31 - _BITS
+
+
+def units(text: Column) -> Column:
+    """A text's words, those of over LONG characters as overlapping runs of CHARS characters."""
+    runs = F.lit(rf"(?s)(?=(.{{{CHARS}}})).")
+    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
+    return F.flatten(F.transform(F.array(words), lambda all_: F.when(F.exists(all_, lambda w: F.length(w) > LONG), F.flatten(F.transform(all_, lambda w: F.when(F.length(w) > LONG, F.regexp_extract_all(w, runs, F.lit(1))).otherwise(F.array(w))))).otherwise(all_)))
 
 
 def _bucket(packed: Column) -> Column:
@@ -35,9 +51,9 @@ def _hash(packed: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df and an array under `name`, of the column `text`: a signature (bucket, then hash) for each bucket that has a k-mer."""
+    """df and an array of ints under `name`, of the column `text`: a signature (bucket, then hash) for each bucket that has a k-mer."""
     keep, words, packed, ordered, firsts, again, chosen = [*df.columns], *(f"__{name}_{x}" for x in ("w", "p", "s", "f", "r", "c"))
-    df = df.withColumn(words, F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"))
+    df = df.withColumn(words, units(F.col(text)))
     hashed = lambda w, i: F.xxhash64(w, *(F.get(F.col(words), i + j) for j in range(1, KMER)))
     df = df.withColumn(packed, F.transform(words, lambda w, i: _hash(hashed(w, i)).bitwiseOR(F.least(i, F.lit(POSITIONS)).cast("long")))).drop(words)
     df = df.withColumn(ordered, F.sort_array(packed)).drop(packed)
@@ -68,46 +84,78 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     def signature(x: Column, i: Column) -> Column:
         run = F.filter(F.slice(chosen, i + 1, TUPLE), lambda y: _bucket(y) == _bucket(x))
         placed = F.sort_array(F.transform(run, lambda y: F.struct(y.bitwiseAND(F.lit(POSITIONS)).alias("at"), _hash(y).alias("h"))))
-        value = F.shiftrightunsigned(F.xxhash64(F.transform(placed, lambda y: y["h"])), _BITS)
-        return F.when((i == 0) | (_bucket(x) != _bucket(F.get(F.col(chosen), i - 1))), F.shiftleft(_bucket(x), 64 - _BITS).bitwiseOR(value))
+        value = F.shiftrightunsigned(F.xxhash64(F.transform(placed, lambda y: y["h"])), 64 - _SIGNED)
+        return F.when((i == 0) | (_bucket(x) != _bucket(F.get(F.col(chosen), i - 1))), F.shiftleft(_bucket(x), _SIGNED).bitwiseOR(value).cast("int"))
 
     return df.select(*keep, F.filter(F.transform(chosen, signature), lambda x: x.isNotNull()).alias(name))
 
 
 def as_text(signatures: str) -> Column:
-    """Six hex digits of each signature in the order of buckets: the bucket's number and 18 bits of its hash."""
-    return F.array_join(F.transform(signatures, lambda x: F.lower(F.lpad(F.hex(F.shiftrightunsigned(x, 40)), 6, "0"))), "")
+    """Eight hex digits of each signature, in the order of buckets."""
+    return F.array_join(F.transform(signatures, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
 def likeness(a: str, b: str) -> Column:
     """Share of equal signatures among the buckets that one of the two texts has filled."""
-    buckets = lambda c: F.transform(c, _bucket)
+    buckets = lambda c: F.transform(c, lambda x: F.shiftrightunsigned(x, _SIGNED))
     return F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(buckets(a), buckets(b)))
 
 
+def _values(values: list, kind: str) -> Column:
+    """An array as one literal (folded by the optimiser), not an expression for each entry."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def _share(h: Column, parts: Column) -> Column:
+    """The part, 0 to parts - 1, of a hash: equal parts of all hashes, in their order."""
+    return F.least(F.floor((h.cast("double") / F.lit(2.0**64) + 0.5) * parts).cast("int"), parts - 1)
+
+
+def ranges(docs: DataFrame, n: int, doc_id: str, h: str) -> Column:
+    """Number of each row's range, ascending as (doc_id, h) does; null doc_ids have ranges below 0."""
+    rows, known = docs.agg(F.count(F.lit(1)), F.count(doc_id)).first()
+    cuts = docs.agg(F.percentile_approx(doc_id, _values([i / n for i in range(1, n)], "double"), max(10_000, 4 * n)).alias("c")).first()[0] if n > 1 else []
+    cuts = sorted(cuts or [])
+    without = max(1, math.ceil(n * (rows - known) / max(rows, 1)))
+    at = sorted(set(cuts))
+    below = [i for i, x in enumerate(cuts) if i == 0 or x != cuts[i - 1]] + [len(cuts)]  # cuts below each different one
+    table, base = _values(at, "bigint"), _values(below, "int")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(at)).alias("hi"))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        less = F.get(table, middle) < F.col(doc_id)
+        return F.when(acc["lo"] < acc["hi"], F.struct(F.when(less, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(less, acc["hi"]).otherwise(middle).alias("hi"))).otherwise(acc)
+
+    def number(place: Column) -> Column:
+        first, same = F.get(base, place), F.get(table, place) == F.col(doc_id)
+        return F.when(same, first + _share(F.col(h), F.get(base, place + 1) - first + 1)).otherwise(first)
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, len(at).bit_length() + 1))), start, step, lambda acc: number(acc["lo"])) if at else F.lit(0)
+    return F.when(F.col(doc_id).isNull(), _share(F.col(h), F.lit(without)) - without).otherwise(found)
+
+
 def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
     """docs (doc_id, text and more) and, for each name in columns, next_<name> of the next row in descending order of doc_id."""
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = [i / parts for i in range(1, parts)]
-    bounds = sorted(set((docs.agg(F.percentile_approx("doc_id", cuts, 10_000).alias("b")).first()[0] or []) if cuts else []))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    part = F.coalesce(part, F.lit(0)) if bounds else part
-    placed = docs.withColumn("__part", F.when(F.col("doc_id").isNull(), -1).otherwise(part))
-    # The greatest doc_id of each part: one row a part.
-    heads = sorted((r[0], r[1]) for r in placed.groupBy("__part").agg(F.max("doc_id")).collect())
+    spark, h, none = docs.sparkSession, "__h", F.lit(None)
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(1, min(RANGES, math.ceil(size / RANGE_BYTES)))
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    placed = keyed.withColumn("__part", ranges(docs, parts, "doc_id", h))
+    # The greatest key of each range: one small row a range.
+    heads = sorted((r[0], r[1][1], r[1][2]) for r in placed.groupBy("__part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("k"), F.coalesce("doc_id", F.lit(0)).alias("d"), h))).collect())
     if not heads:
-        return docs.select("*", *(F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns))
-    wanted = {part: heads[(i - 1) % len(heads)] for i, (part, _) in enumerate(heads)}  # a part is followed by the head of the one below
-    ids = sorted({h for _, h in heads if h is not None})
-    at_head = F.col("doc_id").isin(ids) | F.col("doc_id").isNull() if any(h is None for _, h in heads) else F.col("doc_id").isin(ids)
-    first = placed.filter(at_head).groupBy("__part", "doc_id").agg(F.max_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("r"))
-    goes = F.array(*[F.struct(F.lit(to).alias("to"), F.lit(src).alias("src")) for to, (src, _) in wanted.items()])
-    guests = first.select("r.*", F.explode(F.filter(goes, lambda x: x["src"] == F.col("__part"))).alias("g")).select(*docs.columns, F.col("g.to").alias("__part"), F.lit(True).alias("__guest"))
-    rows = placed.withColumn("__guest", F.lit(False)).unionByName(guests).repartition(parts, "__part")
-    window = Window.partitionBy("__part").orderBy("__guest", F.col("doc_id").desc(), F.col("text").desc())
-    rows = rows.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns))
-    return rows.filter(~F.col("__guest")).drop("__part", "__guest")
+        return docs.select("*", *(none.cast(docs.schema[c].dataType).alias(f"next_{c}") for c in columns))
+    goes = [(part, d, x, heads[(i + 1) % len(heads)][0]) for i, (part, d, x) in enumerate(heads)]  # a range is followed by the head of the one below
+    known = F.broadcast(spark.createDataFrame(goes, "g_part int, g_id long, g_h long, g_to int"))
+    at = (F.col("__part") == F.col("g_part")) & (F.coalesce("doc_id", F.lit(0)) == F.col("g_id")) & (F.col(h) == F.col("g_h"))
+    stays = F.struct(F.col("__part").alias("part"), F.lit(False).alias("guest"))
+    visits = F.struct(F.col("g_to").alias("part"), F.lit(True).alias("guest"))
+    rows = placed.join(known, at, "left").withColumn("__goes", F.explode(F.when(F.col("g_to").isNull(), F.array(stays)).otherwise(F.array(stays, visits))))
+    window = Window.partitionBy("__goes.part").orderBy("__goes.guest", F.col("doc_id").desc_nulls_last(), F.col(h).desc(), F.col("text").desc())
+    rows = rows.select(*docs.columns, "__goes", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns))
+    return rows.filter(~F.col("__goes.guest")).drop("__goes")
 
 
 def order_minhash(docs: DataFrame) -> DataFrame:

@@ -193,24 +193,32 @@ def chain(*parts):
 
 
 def brute_order_minhash(t):
-    words = re.split(r"[ \t\n\x0b\f\r]+", t)
-    low = (1 << 24) - 1
+    words = [u for w in re.split(r"[ \t\n\x0b\f\r]+", t) for u in ([w] if len(w) <= 32 else [w[i : i + 4] for i in range(len(w) - 3)])]
+    low = (1 << 30) - 1
     seen, items = {}, []
     for i in range(len(words)):
         h = chain(*[w.encode() for w in words[i : i + 3]]) & ~low
         n = seen.get(h, 0)
         seen[h] = n + 1
         value = h if n == 0 else xxhash.xxh64_intdigest(struct.pack("<i", n), xxhash.xxh64_intdigest(struct.pack("<Q", h), 42)) & ~low
-        items.append((value, min(i, low)))
+        items.append((value, i))
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     out = set()
     for b in {v >> 58 for v, _ in items}:
         best = sorted((signed(v), p) for v, p in items if v >> 58 == b)[:2]
         value = chain(*[v for v, _ in sorted(best, key=lambda x: x[1])])
-        out.add(signed(b << 58 | value >> 6))
+        out.add(b << 25 | value >> 39)
     return out
 
 
+def read_fingerprint(t):
+    return {int(t[i : i + 8], 16) for i in range(0, len(t), 8)}
+
+
+def near(x, y):
+    return len(x & y) / len({v >> 25 for v in x | y})
+
+
 def test_order_minhash_signatures(spark):
     texts = sorted({(t or "") for _, t in rows()} | {"a b a b a b a b c", "x x x x x x x x x x"})
     df = o9.with_fingerprint(spark.createDataFrame([(t,) for t in texts], "text string"), "text", "f")
@@ -218,21 +226,56 @@ def test_order_minhash_signatures(spark):
         assert set(r.f) == brute_order_minhash(r.text) and len(r.f) == len(set(r.f)), r.text[:50]
 
 
+def signed_hash(t):
+    h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_next_of_hot_ids(spark, parts):
+    """Ids that fill many ranges, and rows without one, are dealt on by text; order holds across all ranges."""
+    rng = random.Random(parts)
+    ids = [rng.choice([None, None, 5, 5, 5, rng.randint(-50, 50), (1 << 62) + rng.randint(0, 3)]) for _ in range(300)]
+    pairs = [(i, rng.choice([None, "", f"text {rng.randint(0, 10**6)}", f"text {k}"])) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)
+    got = o9.with_next(df.withColumn("same", F.col("text")), ["same"], parts).collect()
+    order = sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, signed_hash(p[1]), p[1] is not None), reverse=True)
+    want = [(str(i), t or "", order[(k + 1) % len(order)][1] or "") for k, (i, t) in enumerate(order)]
+    assert sorted((str(r.doc_id), r.text or "", r.next_same or "") for r in got) == sorted(want)
+    df = df.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    numbers = df.withColumn("n", o9.ranges(df, parts, "doc_id", "h")).collect()
+    ordered = sorted(numbers, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h))
+    assert [r.n for r in ordered] == sorted(r.n for r in numbers)
+    if parts == 40:
+        assert len({r.n for r in numbers if r.doc_id == 5}) > 8 and len({r.n for r in numbers if r.doc_id is None}) > 8
+
+
+def test_text_without_spaces(spark):
+    """Two long texts without spaces that share most of their sentences are alike; unrelated ones aren't."""
+    rng = random.Random(9)
+    say = lambda: "".join(chr(rng.randrange(0x3041, 0x3097)) for _ in range(30)) + "。"
+    base = [say() for _ in range(40)]
+    texts = ["".join(base), "".join([*base[:20], say(), *base[21:]]), "".join(say() for _ in range(40)), "🙂" * 40, "x" * 33]
+    got = o9.with_fingerprint(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string"), "text", "f").orderBy("i").collect()
+    assert all(set(r.f) == brute_order_minhash(r.text) for r in got)
+    assert near(set(got[0].f), set(got[1].f)) > 0.7 and near(set(got[0].f), set(got[2].f)) < 0.1
+
+
 def test_order_minhash(spark):
     pairs = rows()
     got = o9.order_minhash(frame(spark, pairs).repartition(3)).collect()
-    order = sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1] or ""), reverse=True)
+    order = sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, signed_hash(p[1])), reverse=True)
     want = []
     for k, (i, t) in enumerate(order):
         t, u = t or "", order[(k + 1) % len(order)][1] or ""
         h = len(t) // 2
         e = t[: len(t) - h] + u[:h]
         a, b, c = (brute_order_minhash(x) for x in (t, e, u))
-        near = lambda x, y: len(x & y) / len({v >> 58 for v in x | y})
         want.append((str(i), len(t), hashlib.sha256(e.encode()).hexdigest(), round(near(a, b), 9), round(near(a, c), 9)))
     assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == sorted(want)
     same = {r.fingerprint for r in got if r.doc_id in (0, 44, 45)}
     assert len(same) == 1
+    assert all(r.near_edited == near(read_fingerprint(r.fingerprint), read_fingerprint(r.edited_fingerprint)) for r in got)
     assert plain(o9.order_minhash(empty(spark))) == []
     plan = o9.order_minhash(frame(spark, pairs))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
