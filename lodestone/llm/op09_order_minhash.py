@@ -35,11 +35,11 @@ _BITS = SIGNATURES.bit_length() - 1
 _SIGNED = 31 - _BITS
 
 
-def units(text: Column) -> Column:
-    """A text's words, those of over LONG characters as overlapping runs of CHARS characters."""
+def units(words: str) -> Column:
+    """The units of the array column `words`: words, those of over LONG characters as overlapping runs of CHARS characters."""
     runs = F.lit(rf"(?s)(?=(.{{{CHARS}}})).")
-    words = F.split(F.coalesce(text, F.lit("")), r"\s+")
-    return F.flatten(F.transform(F.array(words), lambda all_: F.when(F.exists(all_, lambda w: F.length(w) > LONG), F.flatten(F.transform(all_, lambda w: F.when(F.length(w) > LONG, F.regexp_extract_all(w, runs, F.lit(1))).otherwise(F.array(w))))).otherwise(all_)))
+    each = F.transform(words, lambda w: F.when(F.length(w) > LONG, F.regexp_extract_all(w, runs, F.lit(1))).otherwise(F.array(w)))
+    return F.when(F.exists(words, lambda w: F.length(w) > LONG), F.flatten(each)).otherwise(F.col(words))
 
 
 def _bucket(packed: Column) -> Column:
@@ -53,7 +53,7 @@ def _hash(packed: Column) -> Column:
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """df and an array of ints under `name`, of the column `text`: a signature (bucket, then hash) for each bucket that has a k-mer."""
     keep, words, packed, ordered, firsts, again, chosen = [*df.columns], *(f"__{name}_{x}" for x in ("w", "p", "s", "f", "r", "c"))
-    df = df.withColumn(words, units(F.col(text)))
+    df = df.withColumn(words, F.split(F.coalesce(F.col(text), F.lit("")), r"\s+")).withColumn(words, units(words))
     hashed = lambda w, i: F.xxhash64(w, *(F.get(F.col(words), i + j) for j in range(1, KMER)))
     df = df.withColumn(packed, F.transform(words, lambda w, i: _hash(hashed(w, i)).bitwiseOR(F.least(i, F.lit(POSITIONS)).cast("long")))).drop(words)
     df = df.withColumn(ordered, F.sort_array(packed)).drop(packed)
