@@ -9,7 +9,10 @@ The trees are trained here, on pages that training_pages() writes by rule (its e
 corpus is ever needed as a label; training takes about a second on the driver and the model is some kilobytes.
 
 Null pages count as empty and have no text. A page without any kept text gives an empty string. Unclosed tags end where HTML
-lets them end. Repeated rows give equal results; an empty table gives an empty result; other columns are ignored.
+lets them end. A tag whose quotes never close ends at its first `>`, and from there on the page's quotes are not honoured; a
+`<` behind the last `>` is text. Very long pages take time and memory in proportion: the parser never reads a stretch twice,
+and elements are scored ELEMENTS at a time. Ties: an element whose subtree scores exactly 0 is dropped. Repeated rows give
+equal results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,11 @@ BLOCKS = frozenset(
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 _NO_P = {"button", "table", "td", "th", "html", "body"}
 _PHRASE = frozenset("option select button legend td th tr tbody thead tfoot title head body html".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+#: References to numbers beyond all characters: as long as the page, if it likes.
+_HUGE = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{7,}+|0*+[0-9]{8,}+);?")
+ELEMENTS = 1 << 16
 _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -65,43 +72,60 @@ _BAD_TAGS = frozenset("nav menu aside footer header form".split())
 
 
 class Page:
-    """Elements in page order (0 is the root) and runs of text between block boundaries."""
+    """Elements in page order (0 is the root) and runs of text between block boundaries.
+
+    An element's subtree is the run of elements from it to `last`, as they come in page order.
+    """
 
     def __init__(self, source: str):
         self.tags, self.parents, self.groups = ["#root"], [-1], [0]
+        self.above, self.depth, self.linked, self.opened = [0], [0], [False], [0]
+        self.last: list[int] = [0]
         self.chunks: list[tuple[int, int, str]] = []  # element, run, text
-        stack, run, at = [0], 0, 0
-        tags = self.tags
-        end_of_raw = None
-        for m in _TAG.finditer(source):
-            if m.start() < at:
-                continue
-            if m.start() > at:
-                self.chunks.append((stack[-1], run, source[at : m.start()]))
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
-            if not name:
+        self.total = 0  # characters of text so far
+        self.stack: list[int] = [0]
+        self.places: dict[str, list[int]] = {}  # of each open name its places on the stack
+        tags, stack, run, at, seek = self.tags, self.stack, 0, 0, 0
+        close, quotes = source.rfind(">"), True
+        while m := _OPEN.search(source, seek):
+            start = m.start()
+            if m[1]:
+                end = source.find("-->", m.end())
+                end = len(source) if end < 0 else end + 3
+            elif start > close:
+                break
+            elif m[2]:
+                end = source.find(">", m.end()) + 1
+            else:
+                whole = _QUOTED.match(source, m.end()) if quotes else None
+                quotes = whole is not None
+                end = whole.end() if whole else source.find(">", m.end()) + 1
+                if not end:
+                    break
+            if not end:
+                break
+            if start > at:
+                self._text(run, source[at:start])
+            at = seek = end
+            if m[1] or m[2]:
                 continue
-            if m[1] or m[4]:
+            name = m[4].lower()
+            if m[3]:
                 if name in BLOCKS:
                     run += 1
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if self.places.get(name):
+                    self._pop(self.places[name][-1])
                 continue
             if name == "br":
-                self.chunks.append((stack[-1], run, " "))
+                self._text(run, " ")
                 continue
             if name in BLOCKS:
                 run += 1
                 if name not in _PHRASE:
-                    self._close(stack, {"p"}, _NO_P)
+                    self._close({"p"}, _NO_P)
             if name in CLOSES:
-                self._close(stack, *CLOSES[name])
-            tags.append(name)
-            self.parents.append(stack[-1])
-            attrs = m[3] or m[6] or ""
+                self._close(*CLOSES[name])
+            attrs = source[m.end() : end - 1]
             mask = 0
             if "=" in attrs:
                 for a in _ATTR.finditer(attrs):
@@ -109,83 +133,97 @@ class Page:
                         g = _GROUP.get(t.lower())
                         if g is not None:
                             mask |= 1 << g
+            parent, k = stack[-1], _KIND.get(name)
+            index = len(tags)
+            tags.append(name)
+            self.parents.append(parent)
             self.groups.append(mask)
+            self.above.append(self.above[parent] | mask | (1 << N_GROUPS + k if k is not None else 0))
+            self.depth.append(len(stack))
+            self.linked.append(self.linked[parent] or name == "a")
+            self.opened.append(self.total)
+            self.last.append(index)
             if name in VOID or attrs.endswith("/") and name not in BLOCKS:
                 continue
             if name in RAW:
-                end_of_raw = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(source, at)
-                at = end_of_raw.end() if end_of_raw else len(source)
+                found = re.compile(f"</{re.escape(name)}", re.I).search(source, at)
+                end = source.find(">", found.end()) + 1 if found else 0
+                at = seek = end or len(source)
                 continue
-            stack.append(len(tags) - 1)
+            self.places.setdefault(name, []).append(len(stack))
+            stack.append(index)
         if at < len(source):
-            self.chunks.append((stack[-1], run, source[at:]))
-
-    def _close(self, stack: list[int], names: set[str], stop: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[k]]
-            if tag in names:
-                del stack[k:]
-                return
-            if tag in stop:
-                return
-
-    def features(self) -> np.ndarray:
+            self._text(run, source[at:])
+        self._pop(1)
+        self.last[0] = len(tags) - 1
+        del self.places, self.stack
+
+    def _text(self, run: int, text: str) -> None:
+        self.chunks.append((self.stack[-1], run, text))
+        self.total += len(text)
+
+    def _pop(self, place: int) -> None:
+        """Close the elements from that place of the stack on."""
+        n = len(self.tags) - 1
+        while len(self.stack) > place:
+            index = self.stack.pop()
+            self.last[index] = n
+            self.places[self.tags[index]].pop()
+
+    def _close(self, names: set[str], stop: set[str]) -> None:
+        """Close the nearest open one of `names`, if none of `stop` is nearer."""
+        nearest = lambda kinds: max((p[-1] for x in kinds if (p := self.places.get(x))), default=0)
+        k = nearest(names)
+        if k > nearest(stop):
+            self._pop(k)
+
+    def measures(self) -> dict[str, np.ndarray]:
+        """Counts of each element, from sums over the run of elements that is its subtree."""
         n = len(self.tags)
-        par = self.parents
-        # Sums over subtrees: characters, words, marks, characters in links, elements; and the element's own characters.
-        s = [[0] * n for _ in range(5)]
-        own = [0] * n
-        before = [0] * n
-        total = 0
-        links = [False] * n
-        depth = [0] * n
-        above = [0] * n  # groups and kinds of the ancestors and itself
-        for i in range(1, n):
-            p = par[i]
-            depth[i] = depth[p] + 1
-            links[i] = links[p] or self.tags[i] == "a"
-            k = _KIND.get(self.tags[i])
-            above[i] = above[p] | self.groups[i] | (1 << N_GROUPS + k if k is not None else 0)
-        starts: dict[int, int] = {}
-        for e, _, text in self.chunks:
-            size = len(text)
-            starts.setdefault(e, total)
-            total += size
-            own[e] += size
-            s[0][e] += size
-            s[1][e] += text.count(" ") + 1
-            s[2][e] += text.count(".") + text.count(",")
-            if links[e]:
-                s[3][e] += size
-        for i in range(n):
-            before[i] = starts.get(i, -1)
-        count, same = [0] * n, {}
-        index = [0] * n
-        for i in range(n - 1, 0, -1):
-            p = par[i]
-            for k in range(4):
-                s[k][p] += s[k][i]
-            s[4][p] += s[4][i] + 1
-            if before[p] < 0 or -1 < before[i] < before[p]:
-                before[p] = before[i] if before[i] >= 0 else before[p]
-        for i in range(1, n):
-            p = par[i]
-            index[i] = count[p]
-            count[p] += 1
-            same[p, self.tags[i]] = same.get((p, self.tags[i]), 0) + 1
-        a = np.array([s[0], s[1], s[2], s[3], s[4], own, depth, count, index, before, above, self.groups, par], np.int64)
-        chars, words, marks, linked, inner, own_, dep, kids, idx, bef, abv, grp, parent = a
-        up = np.maximum(parent, 0)
-        tot = max(total, 1)
+        own = np.zeros((5, n), np.int64)  # characters, words, marks, characters in links, chunks
+        if self.chunks:
+            e = np.fromiter((c[0] for c in self.chunks), np.int64, len(self.chunks))
+            size = np.fromiter((len(c[2]) for c in self.chunks), np.int64, len(self.chunks))
+            np.add.at(own[0], e, size)
+            np.add.at(own[1], e, np.fromiter((c[2].count(" ") + 1 for c in self.chunks), np.int64, len(e)))
+            np.add.at(own[2], e, np.fromiter((c[2].count(".") + c[2].count(",") for c in self.chunks), np.int64, len(e)))
+            np.add.at(own[4], e, 1)
+            linked = np.array(self.linked, bool)
+            own[3][linked] = own[0][linked]
+        sums = np.concatenate((np.zeros((5, 1), np.int64), own.cumsum(1)), axis=1)
+        first, after = np.arange(n), np.array(self.last, np.int64) + 1
+        chars, words, marks, linked_, chunks = sums[:, after] - sums[:, first]
+        parent = np.array(self.parents, np.int64)
+        kids = np.bincount(parent[1:], minlength=n)
+        order = np.argsort(parent[1:], kind="stable") + 1
+        index = np.zeros(n, np.int64)
+        index[order] = np.arange(n - 1) - np.repeat(np.cumsum(kids) - kids, kids)
+        number: dict[str, int] = {}
+        name = np.array([number.setdefault(t, len(number)) for t in self.tags], np.int64)
+        _, inverse, count = np.unique(parent * len(number) + name, return_inverse=True, return_counts=True)
+        same = count[inverse]
+        same[0] = 0
+        kind = np.array([_KIND.get(t, N_TAGS) for t in number], np.int64)[name]
+        return {
+            "chars": chars, "words": words, "marks": marks, "linked": linked_, "inner": after - first - 1, "own": own[0], "depth": np.array(self.depth, np.int64), "kids": kids, "index": index,
+            "before": np.where(chunks > 0, np.array(self.opened, np.int64), -1), "above": np.array(self.above, np.int64), "groups": np.array(self.groups, np.int64), "parent": np.maximum(parent, 0), "same": same, "kind": kind,
+        }
+
+    def features(self, m: dict[str, np.ndarray] | None = None, a: int = 0, b: int | None = None) -> np.ndarray:
+        """Features of the elements from a to b."""
+        m = m or self.measures()
+        at = slice(a, b)
+        chars, words, marks, linked, inner, own, depth, kids, index, before, groups, up, same, kind = (m[k][at] for k in ("chars", "words", "marks", "linked", "inner", "own", "depth", "kids", "index", "before", "groups", "parent", "same", "kind"))
+        tot = max(self.total, 1)
+        kids_up, above = m["kids"][up], m["above"][up]
         cols = [
-            np.log1p(chars), np.log1p(own_), chars / tot, linked / np.maximum(chars, 1), np.log1p(chars / (inner + 1)), marks / np.maximum(words, 1), chars / np.maximum(words, 1),
-            dep, np.log1p(kids), np.log1p(kids[up]), idx / np.maximum(kids[up], 1), [same.get((p, t), 0) for p, t in zip(par, self.tags, strict=True)], bef / tot, chars / np.maximum(chars[up], 1),
+            np.log1p(chars), np.log1p(own), chars / tot, linked / np.maximum(chars, 1), np.log1p(chars / (inner + 1)), marks / np.maximum(words, 1), chars / np.maximum(words, 1),
+            depth, np.log1p(kids), np.log1p(kids_up), index / np.maximum(kids_up, 1), same, before / tot, chars / np.maximum(m["chars"][up], 1),
         ]
-        kind = np.array([_KIND.get(t, N_TAGS) for t in self.tags])
         cols += [kind == k for k in range(N_TAGS)]
-        cols += [grp >> k & 1 for k in range(N_GROUPS)]
-        cols += [abv[up] >> k & 1 for k in range(N_GROUPS + N_TAGS)]
-        return np.array(np.broadcast_arrays(*[np.asarray(c, np.float32) for c in cols])).T
+        cols += [groups >> k & 1 for k in range(N_GROUPS)]
+        cols += [above >> k & 1 for k in range(N_GROUPS + N_TAGS)]
+        return np.array([np.asarray(c, np.float32) for c in cols]).T
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """Which elements are kept: the labelling of greatest total score with no kept element under a dropped one."""
@@ -203,15 +241,16 @@ class Page:
         out: list[str] = []
         held: list[str] = []
         run = -1
+        joined = lambda: " ".join(entities.unescape(_HUGE.sub("\ufffd", "".join(held))).split())
         for e, r, text in self.chunks:
             if r != run:
                 if held:
-                    out.append(" ".join(entities.unescape("".join(held)).split()))
+                    out.append(joined())
                 held, run = [], r
             if keep[e]:
                 held.append(text)
         if held:
-            out.append(" ".join(entities.unescape("".join(held)).split()))
+            out.append(joined())
         return "\n".join(x for x in out if x)
 
 
@@ -381,14 +420,34 @@ def trained() -> Trees:
     return Trees().fit(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
-def extract_all(sources: list[str | None], model: Trees, block: int = 256) -> list[str]:
-    out = []
-    for a in range(0, len(sources), block):
-        pages = [Page(s or "") for s in sources[a : a + block]]
-        xs = [p.features() for p in pages]
-        scores = model.score(np.concatenate(xs))
-        ends = np.cumsum([len(x) for x in xs])
-        out += [p.text(p.decode(scores[e - len(x) : e])) for p, x, e in zip(pages, xs, ends.tolist(), strict=True)]
+def extract_all(sources: list[str | None], model: Trees) -> list[str]:
+    """The text of each page; pages are scored together until they have ELEMENTS elements, a larger one in parts."""
+    out: list[str] = []
+    held: list[tuple[Page, dict]] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if len(held) == 1 and size > ELEMENTS:
+            page, m = held[0]
+            scores = np.concatenate([model.score(page.features(m, a, a + ELEMENTS)) for a in range(0, size, ELEMENTS)])
+        else:
+            scores = model.score(np.concatenate([p.features(m) for p, m in held]))
+        at = 0
+        for page, _ in held:
+            out.append(page.text(page.decode(scores[at : at + len(page.tags)])))
+            at += len(page.tags)
+        held.clear()
+        size = 0
+
+    for s in sources:
+        page = Page(s or "")
+        if held and size + len(page.tags) > ELEMENTS:
+            flush()
+        held.append((page, page.measures()))
+        size += len(page.tags)
+    if held:
+        flush()
     return out
 
 
