@@ -50,30 +50,56 @@ def test_prefix_counts():
     assert library.encode("hello wonderful wor"[: counter.within("hello wonderful wor", 2)], add_special_tokens=False).ids == library.encode("hello wonderful", add_special_tokens=False).ids
 
 
-def test_prefix_counts_of_any_script(monkeypatch):
-    """Composed texts of any script are answered from the stored prefixes; only words with special or decomposed characters aren't."""
+def test_prefix_counts_of_any_script():
     counter = o4.PrefixCounter(vocabulary_path(o4.VOCABULARY))
-    library, solve = load(vocabulary_path(o4.VOCABULARY)), counter.of_piece
-    asked = []
-    monkeypatch.setattr(counter, "of_piece", lambda piece: asked.append(piece) or solve(piece))
+    library = load(vocabulary_path(o4.VOCABULARY))
     want = lambda t: [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
-    for t in ["Größe naïve ÉTUDE", "日本語テキスト。東京 плохо СЛОВА", "İstanbul aİb İ̇ 1İ2 éİ!", "🙂🙂ab é🙂 x\u3000y\x85z", "Straße—«été» ΣΟΦΟΣ ﬁ ½²"]:
+    texts = ["Größe naïve ÉTUDE", "日本語テキスト。東京 плохо СЛОВА", "İstanbul aİb İ̇ 1İ2 éİ!", "🙂🙂ab é🙂 x\u3000y\x85z", "Straße—«été» ΣΟΦΟΣ ﬁ ½²"]
+    texts += ["été cafe\u0301 naïve", "é<|endoftext|>x naïve été", "l'été it's qu'il I'LL é're '' 's!'s", "\u0344 a\u0301\u0323 é", "it's-it's-we'll!!'ll''s'", "!!<|endoftext|>!!<|startoftext|>it's", "\u0301\u0301x", "<|endoftext|", "|><|<|endoftext|>>"]
+    texts += ["'s\u0301 x'l\u0301 'ls\u0301 'll\u0301 'r\u0301e !'s\u0301", "e\u0301" * 30 + "s\u0301s", "\u212b\u1100\u1161\u11a8\u1100\u1161 \u0958", "ab" * 20 + "e\u0301\u0323" + "!" * 20 + "e\u0301"]
+    rng = random.Random(12)
+    texts += ["".join(rng.choice(["'", "s", "l", "L", "\u0301", "\u0323", "e", "r", "!", "1", "İ", "é", "\u1161", "\u1100", " ", "<|endoftext|>", "<|end", "zz" * 6]) for _ in range(rng.randint(1, 24))) for _ in range(400)]
+    for t in texts:
         assert counter.prefix_counts(t).tolist() == want(t), t
-        assert not asked, t
-    for t in ["été cafe\u0301 naïve", "é<|endoftext|>x naïve été", "l'été it's qu'il I'LL é're '' 's!'s", "\u0344 a\u0301\u0323 é"]:
-        assert counter.prefix_counts(t).tolist() == want(t), t
-    assert not any("naïve".startswith(x) for x in asked if x)
-    asked.clear()
-    t = "東京都は日本の首都である" * 500
+
+
+@pytest.mark.parametrize("unit", ["l'été d'Ève, it's “naïf” ", "l'e\u0301te\u0301 d'E\u0300ve, it's nai\u0308f ", "it's-we'll-", "e\u0301te\u0301", "ab<|endoftext|>", "東京都は"])
+def test_prefix_counts_of_long_texts(unit):
+    """5 MB of accented text with apostrophes, with and without spaces: time in proportion to its length."""
+    import time
+
+    counter, library = o4.PrefixCounter(vocabulary_path(o4.VOCABULARY)), load(vocabulary_path(o4.VOCABULARY))
+    spaced = " " in unit
+    t = unit * ((5_000_000 if spaced else 500_000) // len(unit.encode()))
+    began = time.time()
     got = counter.prefix_counts(t)
-    assert not asked and [int(got[i]) for i in (1, 1000, len(t))] == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in (1, 1000, len(t))]
+    assert time.time() - began < 10
+    for i in (1, 1001, 20_000):
+        assert got[i] == len(library.encode(t[:i], add_special_tokens=False).ids)
+    assert got[-1] == counter.of_text(t)
+
+
+def test_vocabularies_of_other_kinds():
+    with pytest.raises(ValueError):
+        o4.PrefixCounter(vocabulary_path("byte_bpe_50k.json"))
 
 
 def test_token_counts(spark):
     pairs, library = rows(), load(vocabulary_path(o4.VOCABULARY))
-    want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in pairs]
-    assert plain(o4.token_counts(frame(spark, pairs))) == sorted(want, key=str)
-    assert plain(o4.token_counts(empty(spark))) == []
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = o4.token_counts(frame(spark, pairs))
+    want = [(i, len((t or "").encode()), n := size(t or ""), n > 2048) for i, t in pairs]
+    assert plain(got.select("doc_id", "n_bytes", "n_tokens", "over_limit")) == sorted(want, key=str)
+    for limit in (5, 2048):
+        for r in o4.token_counts(frame(spark, pairs), limit=limit).collect():
+            t = next(t or "" for i, t in pairs if i == r.doc_id and len((t or "").encode()) == r.n_bytes)
+            assert size(t[: r.fits_chars]) <= limit and (r.fits_chars == len(t)) == (r.n_tokens <= limit)
+            assert all(size(t[:i]) > limit for i in range(r.fits_chars + 1, min(len(t), r.fits_chars + 12) + 1))
+    tables = o4.prefix_table(frame(spark, pairs))
+    for r in o4.cut(tables, 40).collect():
+        texts = [t or "" for i, t in pairs if i == r.doc_id]
+        assert any(size(t[: r.chars]) == r.n_tokens <= 40 and (r.chars == len(t) or t[r.chars] in " \n") or r.chars == 0 for t in texts)
+    assert plain(o4.token_counts(empty(spark))) == [] and plain(o4.cut(o4.prefix_table(empty(spark)), 5)) == []
 
 
 def test_stream_of_bytes():
