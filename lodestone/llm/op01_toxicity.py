@@ -1,16 +1,21 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Voters: each word of a small lexicon votes where a text has it; and patterns (whole words, or words that begin with certain
-4 to 6 bytes) that the labelled sample shows to go with toxic texts. The label model explains all votes by a hidden class:
-expectation maximisation estimates the class balance and each voter's firing rate in either class; correlations between
-voters, given the class, are estimated from its residuals, and a voter's vote is divided by its correlation with the others,
-so that copies of one pattern don't count as independent witnesses. The posterior labels train a logistic regression over
-the presence of the words and beginnings that tell most; it scores every whole text.
-
-Labels: rows whose crc32(doc_id as text) mod 5 is not 0, at most SAMPLE of them, the first by hash of doc_id: a documented
-bound on fitting alone. Of several labels of one doc_id the largest counts; null labels are left out. Without labelled rows
-the lexicon's voters alone make the score. Null texts count as empty; empty texts are scored by the classifier's constant.
-Repeated rows give equal scores; an empty table gives an empty result; other columns are ignored.
+5 to 7 bytes, lower-cased), proposed by the labelled sample: of those e^ODDS times as common in toxic texts the at most VOTERS
+that tell most. The label model explains all votes by a hidden class and by
+one another: in each class the voters form a forest (`Forest`), in which a voter depends on the class and on one other voter
+that it goes with most, given the class. Expectation maximisation estimates the class balance, each voter's firing rate in
+either class (its accuracy) and the rates given the other voter (its correlations), and finds the forest anew from the
+posterior; so a voter that only repeats another adds nothing to the posterior. The posterior labels train a ridge logistic
+regression over the presence of the at most FEATURES words and beginnings that tell most for the class; it scores every whole
+text.
+
+Labels: rows whose crc32(doc_id as text) mod 5 is not 0, at most SAMPLE of them, the first by hash of doc_id. SAMPLE, VOTERS
+and FEATURES are documented bounds on fitting alone; each text is scored whole, however long. Of several labels of one doc_id
+the largest counts; null labels are left out. Without labelled rows the lexicon's voters alone make the score. Features that
+tell equally much are ordered by their hash, voters that go together equally much by their number. Null texts count as empty;
+empty texts are scored by the classifier's constant. Repeated rows give equal scores; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, is_held_out, map_batches, mix, record, slices, training_rows, word_hash
 
-SAMPLE, VOTERS, FEATURES, PREFIXES = 8192, 128, 1024, (4, 5, 6)
+SAMPLE, VOTERS, FEATURES, ODDS, PREFIXES = 8192, 128, 1024, 4.0, (5, 6, 7)
 #: A lexicon of plain insults; the mined patterns add what the corpus itself uses.
 LEXICON = (
     "idiot idiots moron morons stupid trash scum loser losers pathetic worthless disgusting clown clowns jerk fool dumb garbage filth vermin "
@@ -34,7 +40,7 @@ LEXICON = (
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) pairs, each once: hashes of a text's words and of their beginnings, sorted by row."""
-    words = Words(texts)
+    words = Words(pc.utf8_lower(texts))
     rows, keys = [words.doc], [words.hash]
     for n in PREFIXES:
         at, h = words.prefix(n)
@@ -60,7 +66,7 @@ class Presence:
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
         """Boolean, texts by features. Looks words up before it makes them unique."""
-        words = Words(texts)
+        words = Words(pc.utf8_lower(texts))
         out = np.zeros((words.n_docs, len(self.sorted)), bool)
         if len(self.sorted):
             self._mark(out, words.doc, words.hash)
@@ -77,38 +83,70 @@ class Presence:
         out[docs[maybe[good]], self.order[place[good]]] = True
 
 
-def label_model(votes: np.ndarray, balance: float = 0.1, rounds: int = 60) -> np.ndarray:
+class Forest:
+    """What each voter depends on besides the class: `parent` of each (itself: none), in an order where parents come first."""
+
+    def __init__(self, votes: np.ndarray, posterior: np.ndarray, least: float = 0.02):
+        n, m = votes.shape
+        # Mutual information of each pair of voters given the class, from the four weighted counts of the pair.
+        info = np.zeros((m, m))
+        for w in (posterior, 1 - posterior):
+            total = w.sum() + 1e-9
+            both = (votes * w[:, None]).T @ votes / total
+            one = np.diag(both).copy()
+            for cell, a, b in ((both, one[:, None], one), (one[:, None] - both, one[:, None], 1 - one), (one - both, 1 - one[:, None], one), (1 - one[:, None] - one + both, 1 - one[:, None], 1 - one)):
+                cell, mass = np.maximum(cell, 0), np.maximum(a * b, 1e-12)
+                info += total / n * np.where(cell > 1e-12, cell * np.log(np.maximum(cell, 1e-12) / mass), 0)
+        np.fill_diagonal(info, 0)
+        # The forest of greatest information (as Chow and Liu have it); pairs under the bound per row of the rarer voter stay apart.
+        rate = np.maximum(votes.mean(0), 1e-9)
+        strong = info > least * np.minimum(rate[:, None], rate)
+        self.parent, self.order, best, link = np.arange(m), [], np.full(m, -1.0), np.arange(m)
+        todo = np.ones(m, bool)
+        while todo.any():
+            i = int(np.argmax(np.where(todo, best, -2)))
+            todo[i] = False
+            self.order.append(i)
+            self.parent[i] = link[i] if best[i] > 0 else i
+            better = todo & strong[i] & (info[i] > best)
+            best[better], link[better] = info[i][better], i
+
+
+def label_model(votes: np.ndarray, balance: float = 0.1, rounds: int = 60, forests: int = 3) -> np.ndarray:
     """Posterior of the hidden class for each row of Boolean votes (rows by voters).
 
     A voter that doesn't fire abstains; one more voter, for the other class, fires where all others abstain. The class
-    balance is given; no voter may speak against its own class.
+    balance is given; no voter may speak against its own class, whatever the voter that it depends on said.
     """
     n, m = votes.shape
     if not n or not m:
         return np.zeros(n)
-    v = np.column_stack([votes, ~votes.any(1)]).astype(np.float64)
-    posterior = np.where(votes.any(1), 0.9, 0.02)
-    weight = np.ones(m + 1)
-    for stage in range(2):
+    silent = ~votes.any(1)
+    v = votes.astype(np.float64)
+    posterior = np.where(silent, 0.02, 0.9)
+    parent = np.arange(m)
+    for _ in range(forests):
+        above = v[:, parent]  # a voter without a parent depends on one that never fires
+        above[:, parent == np.arange(m)] = 0
         for _ in range(rounds):
-            # Firing rates of each voter in either class, which is its accuracy; smoothed.
-            on = (v.T @ posterior + 0.05) / (posterior.sum() + 1)
-            off = (v.T @ (1 - posterior) + 0.05) / ((1 - posterior).sum() + 10)
-            said = np.log(on / off)
-            said[:m], said[m] = np.maximum(said[:m], 0), min(said[m], 0)
-            logit = np.log(balance / (1 - balance)) + v @ (weight * said)
+            logit = np.full(n, np.log(balance / (1 - balance)))
+            for said in (0, 1):
+                given = above == said
+                on, off = posterior @ (given & votes), (1 - posterior) @ (given & votes)
+                on = (on + 0.05) / (posterior @ given + 1)
+                off = (off + 0.05) / ((1 - posterior) @ given + (10 if said == 0 else 1))
+                logit += (given & votes) @ np.maximum(np.log(on / off), 0)
+            quiet = (posterior @ silent + 0.05) / (posterior.sum() + 1), ((1 - posterior) @ silent + 0.05) / ((1 - posterior).sum() + 1)
+            logit += silent * min(np.log(quiet[0] / quiet[1]), 0)
             new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             moved = np.abs(new - posterior).max()
             posterior = new
             if moved < 1e-6:
                 break
-        if stage == 0:  # correlations given the class, from the residuals
-            rest = (v - np.outer(posterior, on) - np.outer(1 - posterior, off)) * np.sqrt(np.maximum(posterior, 1e-3))[:, None]
-            rest[:, ~v.any(0)] = rest[:, m] = 0
-            spread = np.sqrt((rest**2).sum(0)) + 1e-9
-            corr = (rest.T @ rest) / np.outer(spread, spread)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.7, corr, 0).sum(0))
+        found = Forest(v, posterior).parent
+        if np.array_equal(found, parent):
+            break
+        parent = found
     return posterior
 
 
@@ -138,7 +176,7 @@ class Model:
 
 
 def telling(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """The features that tell most about the label: keys, signed log-odds; and the numbers of toxic and clean rows."""
+    """The features that tell most for the label: keys, log-odds; and the numbers of toxic and clean rows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 4 << 20):
@@ -152,7 +190,7 @@ def telling(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     counts = map_batches(sample.select("text", "label"), work, "key long, pos long, neg long").groupBy("key").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     a, b = (F.col("pos") + 0.5) / (p + 1), (F.col("neg") + 0.5) / (n + 1)
     gain = F.col("pos") * F.log(a / b) + F.col("neg") * F.log(b / a)
-    top = counts.filter("pos + neg >= 2").select("key", F.log(a / b).alias("odds"), gain.alias("gain")).orderBy(F.desc("gain"), "key").limit(FEATURES).collect()
+    top = counts.filter("pos + neg >= 2").select("key", F.log(a / b).alias("odds"), gain.alias("gain")).filter("odds > 0").orderBy(F.desc("gain"), "key").limit(FEATURES).collect()
     return np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top]), p, n
 
 
@@ -160,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
     sample = training_rows(docs, labels, label, limit)
     keys, odds, toxic, clean = telling(sample)
     lexicon = np.array([word_hash(w) for w in LEXICON], np.uint64)
-    mined = keys[odds > 2][:VOTERS]
+    mined = keys[odds > ODDS][:VOTERS]
     voters = np.unique(np.concatenate((lexicon, mined)))
     keys = np.unique(np.concatenate((keys, voters)))
     presence = Presence(keys)
@@ -176,7 +214,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = S
         return Model(lexicon, np.full(len(lexicon), 4.0), -2.0)
     x = np.unpackbits(np.array([np.frombuffer(r, np.uint8) for r in rows], np.uint8).reshape(len(rows), -1), axis=1)[:, : len(keys)].astype(bool)
     posterior = label_model(x[:, votes], (toxic + 1) / (toxic + clean + 2))
-    # Features that only tell against the class stay in: their weights come from the posterior labels too.
     return Model(keys, *logistic(x, posterior))
 
 
