@@ -1,19 +1,26 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-Terms are the runs of three character classes (letters by case, digits, spaces, each ASCII mark; so they read alike in any
-language) and steps of how often a text's words repeat. Term counts are damped and weighted by rarity; a truncated singular
-value decomposition of the labelled sample gives the latent space. The sample's vectors are broadcast (at most SAMPLE x RANK
-floats), every document's cosine with all of them is computed exactly, block by block, and the NEIGHBOURS nearest vote with
-their similarity as weight.
-
-Labels: rows whose crc32(doc_id as text) mod 5 is not 0, at most SAMPLE of them, the first by hash of doc_id: a documented
-bound on fitting alone. Nothing but the text is an input of a score. Where one doc_id has several labels the largest counts;
-null labels are left out. With no labelled row every score is 1. Null texts count as empty and are scored. Repeated rows give
-equal scores; an empty table gives an empty result; other columns are ignored.
+Terms are a text's words (lower-cased, hashed to 2^WORD_BITS places), the runs of three character classes (letters by case,
+digits, spaces, each ASCII mark; so they read alike in any language) and steps of how often its words repeat. Term counts are
+damped and weighted by rarity, words and classes each to equal length; a truncated singular value decomposition of the labelled
+sample over its WORDS commonest words and CLASSES commonest runs gives the latent space. The sample's vectors are broadcast (at
+most SAMPLE x RANK floats), every document's cosine with all of them is computed exactly, block by block, and the NEIGHBOURS
+nearest vote with the eighth power of their similarity as weight.
+
+Ties: all neighbours within TIE of the NEIGHBOURS-th cosine vote too, so copies in the sample count alike and the order of the
+sample doesn't matter; what rounding leaves (a block's shape may change a cosine's last digit) is below TIE. Terms that are
+equally common are ordered by number.
+
+Labels: rows whose crc32(doc_id as text) mod 5 is not 0, at most SAMPLE of them, the first by hash of doc_id. SAMPLE, WORDS and
+CLASSES are documented bounds on fitting alone; each text is scored whole, however long. Nothing but the text is an input of a
+score. Where one doc_id has several labels the largest counts; null labels are left out. With no labelled row every score is 1,
+and a warning says so. Null texts count as empty and are scored. Repeated rows give equal scores; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import Words, flat, is_held_out, map_batches, record, slices, training_rows
 
-SAMPLE, RANK, NEIGHBOURS, THRESHOLD = 8192, 32, 15, 0.3
+SAMPLE, RANK, NEIGHBOURS, THRESHOLD = 8192, 48, 15, 0.3
+WORD_BITS, WORDS, CLASSES, TIE = 16, 1024, 2048, 1e-5
 #: Texts that are turned into dense term rows at a time, and documents in a block of cosine products.
 ROWS, BLOCK = 128, 512
 _REPEAT = 24
@@ -42,11 +50,13 @@ def _classes() -> tuple[np.ndarray, int]:
 
 
 CLASS, N_CLASS = _classes()
-N_TERMS = N_CLASS**3 + _REPEAT
+#: Terms of classes and steps come first, then the places of words.
+N_CLASSES = N_CLASS**3 + _REPEAT
+N_TERMS = N_CLASSES + (1 << WORD_BITS)
 
 
-def term_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, term, count) of each text's terms, a slice at a time; rows count through."""
+def term_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and count of each text's terms. Words that share a place come as often as there are words."""
     data, offsets = flat(texts)
     n = len(offsets) - 1
     c = CLASS[data]
@@ -59,24 +69,39 @@ def term_rows(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     found, counts = np.unique(key, return_counts=True)
     # How much the words repeat: the share of words, and of pairs of neighbours, that are not the first of their kind.
     words = Words(texts)
+    wdoc = words.doc.astype(np.uint64)
     with np.errstate(over="ignore"):
+        apart = (wdoc << np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15)
         pair = words.hash[:-1] * np.uint64(0xD6E8FEB86659FD93) + words.hash[1:]
         both = words.doc[:-1] == words.doc[1:]
-        one = np.unique(words.hash ^ (words.doc.astype(np.uint64) << np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
-        two = np.unique(pair[both] ^ (words.doc[:-1][both].astype(np.uint64) << np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15), return_index=True)[1]
+        one, times = np.unique(words.hash ^ apart, return_index=True, return_counts=True)[1:]
+        two = np.unique(pair[both] ^ apart[:-1][both], return_index=True)[1]
     share = []
     for total, kinds in ((words.counts, np.bincount(words.doc[one], minlength=n)), (np.bincount(words.doc[:-1][both], minlength=n), np.bincount(words.doc[:-1][both][two], minlength=n))):
         share.append(1 - kinds / np.maximum(total, 1))
     rows = np.arange(n)
     extra = [N_CLASS**3 + np.minimum(11, (12 * share[0]).astype(np.int64)), N_CLASS**3 + 12 + np.minimum(11, (12 * share[1]).astype(np.int64))]
     weight = np.maximum(8, np.diff(offsets) // 8)
+    place = N_CLASSES + (words.hash[one] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     return (
-        np.concatenate([found // N_TERMS, rows, rows]),
-        np.concatenate([found % N_TERMS, *extra]),
-        np.concatenate([counts, weight, weight]).astype(np.float64),
+        np.concatenate([found // N_TERMS, rows, rows, words.doc[one]]),
+        np.concatenate([found % N_TERMS, *extra, place]),
+        np.concatenate([counts, weight, weight, times]).astype(np.float64),
     )
 
 
+def leading(gram: np.ndarray, rank: int, rounds: int = 12) -> np.ndarray:
+    """The leading eigenvectors of a symmetric matrix, by subspace iteration from a fixed start."""
+    m = len(gram)
+    if m <= 4 * rank:
+        return np.ascontiguousarray(np.linalg.eigh(gram)[1][:, ::-1][:, :rank])
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(m, 2 * rank)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(gram @ q)[0]
+    small = np.linalg.eigh(q.T @ gram @ q)[1][:, ::-1]
+    return np.ascontiguousarray((q @ small)[:, :rank])
+
+
 class Space:
     """Fitted on the sample: kept terms, their weights, the projection, and the labelled vectors."""
 
@@ -84,8 +109,11 @@ class Space:
         n = len(labels)
         self.prior, self.labels = (float(labels.mean()) if n else prior), labels.astype(np.float64)
         df = np.bincount(terms, minlength=N_TERMS)
-        kept = np.flatnonzero(df >= 2) if n > 1 else np.flatnonzero(df)
-        kept = kept[np.argsort(-df[kept], kind="stable")][:2048]
+        parts = []
+        for lo, hi, most in ((0, N_CLASSES, CLASSES), (N_CLASSES, N_TERMS, WORDS)):
+            kept = lo + np.flatnonzero(df[lo:hi] >= (2 if n > 1 else 1))
+            parts.append(kept[np.argsort(-df[kept], kind="stable")][:most])
+        kept, self.classes = np.concatenate(parts), len(parts[0])
         self.place = np.full(N_TERMS, -1, np.int32)
         self.place[kept] = np.arange(len(kept))
         self.idf = np.log((1 + n) / (1 + df[kept])) + 1
@@ -97,25 +125,24 @@ class Space:
         for a in range(0, n, BLOCK):
             x = self.dense(rows[cut(a)] - a, terms[cut(a)], counts[cut(a)], min(BLOCK, n - a))
             gram += x.T @ x
-        _, vectors = np.linalg.eigh(gram)
-        self.axes = np.ascontiguousarray(vectors[:, ::-1][:, :rank]).astype(np.float32)
+        self.axes = leading(gram, rank).astype(np.float32)
         self.known = np.concatenate([self.project(rows[cut(a)] - a, terms[cut(a)], counts[cut(a)], min(BLOCK, n - a)) for a in range(0, n, BLOCK)]) if n else np.zeros((0, self.axes.shape[1]), np.float32)
 
     def dense(self, rows, terms, counts, n: int) -> np.ndarray:
         at = self.place[terms]
         good = at >= 0
-        x = np.zeros((n, len(self.idf)))
-        x[rows[good], at[good]] = np.log1p(counts[good])
-        x *= self.idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.maximum(norm, 1e-9)
+        x = np.bincount(rows[good] * len(self.idf) + at[good], counts[good], n * len(self.idf)).reshape(n, len(self.idf))
+        x = np.log1p(x) * self.idf
+        for part in (x[:, : self.classes], x[:, self.classes :]):
+            part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+        return x
 
     def project(self, rows, terms, counts, n: int) -> np.ndarray:
         v = self.dense(rows, terms, counts, n).astype(np.float32) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def vote(self, vectors: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-        """Share of label 1 among the k nearest, weighted by similarity."""
+        """Share of label 1 among the k nearest and those that tie with the k-th, weighted by similarity."""
         m = len(self.known)
         if not m:
             return np.full(len(vectors), self.prior)
@@ -123,9 +150,11 @@ class Space:
         out = np.empty(len(vectors))
         for a in range(0, len(vectors), BLOCK):
             near = vectors[a : a + BLOCK] @ self.known.T
-            top = np.argpartition(near, m - k, axis=1)[:, m - k :]
-            weight = np.maximum(np.take_along_axis(near, top, 1).astype(np.float64), 1e-6) ** 8
-            out[a : a + BLOCK] = (weight * self.labels[top]).sum(1) / weight.sum(1)
+            last = np.partition(near, m - k, axis=1)[:, m - k]
+            row, at = np.nonzero(near >= last[:, None] - TIE)
+            weight = np.maximum(near[row, at].astype(np.float64), 1e-6) ** 8
+            n = len(near)
+            out[a : a + BLOCK] = np.bincount(row, weight * self.labels[at], n) / np.bincount(row, weight, n)
         return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -146,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
             yield record(doc_id=part.column("doc_id"), label=part.column("label"), terms=pa.array([t[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), counts=pa.array([c[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()))
 
     # Terms are at most N_TERMS a row, some hundreds in practice; the rows are bounded by the sample.
-    found = map_batches(training_rows(docs, labels, label, limit), work, "doc_id long, label int, terms binary, counts binary").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    found = map_batches(training_rows(docs, labels, label, limit), work, "doc_id long, label int, terms binary, counts binary").orderBy("doc_id").toArrow()
+    if not len(found):
+        warnings.warn("no labelled row to learn from: every document scores 1", stacklevel=3)
     terms = [np.frombuffer(x, "<i4") for x in found.column("terms").to_pylist()]
     counts = [np.frombuffer(x, "<f4") for x in found.column("counts").to_pylist()]
     rows = np.repeat(np.arange(len(terms)), [len(x) for x in terms])

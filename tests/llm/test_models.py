@@ -57,6 +57,102 @@ def test_label_model():
     assert ((posterior > 0.5) == y).mean() > 0.97
 
 
+def slow_information(votes, w):
+    """Conditional mutual information of each pair, cell by cell."""
+    n, m = votes.shape
+    out = np.zeros((m, m))
+    for i in range(m):
+        for j in range(m):
+            for weight in (w, 1 - w):
+                total = weight.sum()
+                for a in (0, 1):
+                    for b in (0, 1):
+                        p = weight[(votes[:, i] == a) & (votes[:, j] == b)].sum() / total
+                        q = weight[votes[:, i] == a].sum() / total * weight[votes[:, j] == b].sum() / total
+                        out[i, j] += total / n * p * np.log(p / q) if p > 1e-12 and i != j else 0
+    return out
+
+
+def test_forest_of_voters():
+    """The dependence forest against all pairs in falling order of information, joined where they close no ring."""
+    rng = np.random.default_rng(5)
+    base = rng.random((500, 7)) < 0.3
+    votes = np.column_stack([base, base[:, 0] & (rng.random(500) < 0.9), base[:, 1] | (rng.random(500) < 0.05), base[:, 0] ^ (rng.random(500) < 0.02)]).astype(float)
+    w = rng.random(500)
+    info, rate, m = slow_information(votes, w), votes.mean(0), votes.shape[1]
+    component, edges = list(range(m)), set()
+    for x, i, j in sorted(((info[i, j], i, j) for i in range(m) for j in range(i)), reverse=True):
+        if x > 0.02 * min(rate[i], rate[j]) and component[i] != component[j]:
+            component = [component[i] if c == component[j] else c for c in component]
+            edges.add(frozenset((i, j)))
+    forest = o1.Forest(votes, w)
+    assert {frozenset((i, p)) for i, p in enumerate(forest.parent.tolist()) if i != p} == edges and len(edges) >= 3
+    place = {x: k for k, x in enumerate(forest.order)}
+    assert all(p == i or place[p] < place[i] for i, p in enumerate(forest.parent.tolist()))
+
+
+def slow_label_model(votes, balance, rounds, forests):
+    """The same estimate, row by row and voter by voter."""
+    n, m = votes.shape
+    post = [0.9 if votes[r].any() else 0.02 for r in range(n)]
+    parent = list(range(m))
+    for _ in range(forests):
+        for _ in range(rounds):
+            rate = {}
+            for j in range(m):
+                for said in (0, 1):
+                    rows_ = [r for r in range(n) if (parent[j] != j and votes[r, parent[j]]) == bool(said)]
+                    on = (sum(post[r] for r in rows_ if votes[r, j]) + 0.05) / (sum(post[r] for r in rows_) + 1)
+                    off = (sum(1 - post[r] for r in rows_ if votes[r, j]) + 0.05) / (sum(1 - post[r] for r in rows_) + (1 if said else 10))
+                    rate[j, said] = max(np.log(on / off), 0)
+            silent = [r for r in range(n) if not votes[r].any()]
+            quiet = min(np.log((sum(post[r] for r in silent) + 0.05) / (sum(post) + 1) / ((sum(1 - post[r] for r in silent) + 0.05) / (n - sum(post) + 1))), 0)
+            new = []
+            for r in range(n):
+                logit = np.log(balance / (1 - balance)) + sum(rate[j, int(parent[j] != j and votes[r, parent[j]])] for j in range(m) if votes[r, j]) + (0 if votes[r].any() else quiet)
+                new.append(1 / (1 + np.exp(-min(max(logit, -30), 30))))
+            moved = max(abs(a - b) for a, b in zip(new, post, strict=True))
+            post = new
+            if moved < 1e-6:
+                break
+        found = o1.Forest(votes.astype(float), np.array(post)).parent.tolist()
+        if found == parent:
+            break
+        parent = found
+    return post
+
+
+def test_label_model_against_loops():
+    rng = np.random.default_rng(3)
+    y = rng.random(150) < 0.25
+    votes = np.column_stack([rng.random(150) < np.where(y, 0.5, 0.03) for _ in range(5)])
+    votes = np.column_stack([votes, votes[:, 0] & (rng.random(150) < 0.9), votes[:, 1]])
+    assert o1.label_model(votes, 0.25, 8, 3) == pytest.approx(slow_label_model(votes, 0.25, 8, 3), abs=1e-9)
+
+
+def test_copied_voter_adds_nothing():
+    """A weak voter's copies must not outvote it: with them its posterior stays what it is alone."""
+    rng = np.random.default_rng(4)
+    y = rng.random(4000) < 0.2
+    good = np.column_stack([rng.random(4000) < np.where(y, 0.6, 0.01) for _ in range(4)])
+    weak = rng.random(4000) < np.where(y, 0.3, 0.1)
+    alone = o1.label_model(np.column_stack([good, weak]), 0.2)
+    copied = o1.label_model(np.column_stack([good, weak, *[weak] * 6]), 0.2)
+    lone = weak & ~good.any(1)
+    assert abs(alone[lone].mean() - copied[lone].mean()) < 0.05
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """20,000 rows under one labelled id are one row of the sample: the one of least text."""
+    from lodestone.llm.common import training_rows
+
+    docs = spark.range(20_000).select(o1.F.lit(2).cast("long").alias("doc_id"), o1.F.concat(o1.F.lit("text "), "id").alias("text")).unionByName(spark.createDataFrame([(3, None), (3, "x"), (None, "y")], "doc_id long, text string"))
+    known = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (3, 1, 1), (4, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert not held_out(2) and not held_out(3)
+    got = sorted(tuple(r) for r in training_rows(docs, known, "quality", 8192).collect())
+    assert got == [(2, "text 0", 1), (3, "", 1)]
+
+
 def test_quality(spark):
     pairs, _, poor = classified(spark)
     docs, known = frame(spark, pairs), labels(spark, [p for p in pairs if p[0] < 5000], quality=lambda i, t: int(i not in poor))
@@ -67,19 +163,79 @@ def test_quality(spark):
     kept = o8.keep_good(docs, known)
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
     assert o8.quality(empty(spark), known).count() == 0
-    assert {r.score for r in o8.quality(docs, known.limit(0)).collect()} == {1.0}
+    with pytest.warns(UserWarning, match="no labelled row"):
+        assert {r.score for r in o8.quality(docs, known.limit(0)).collect()} == {1.0}
 
 
 def test_exact_votes():
     rng = np.random.default_rng(2)
-    texts = pa.array([sentence(random.Random(i), 20) for i in range(60)])
+    texts = pa.array([sentence(random.Random(i % 50), 20) for i in range(60)])  # ten of them twice
     space = o8.Space(*o8.term_rows(texts), rng.integers(0, 2, 60).astype(float))
     v = space.known[:7]
-    near = v @ space.known.T
-    for got, row in zip(space.vote(v, 5), near, strict=True):
-        top = np.argsort(-row)[:5]
-        w = np.maximum(row[top].astype(float), 1e-6) ** 8
-        assert got == pytest.approx((w * space.labels[top]).sum() / w.sum(), rel=1e-3)
+    for got, row in zip(space.vote(v, 5), (v @ space.known.T).astype(float), strict=True):
+        top = [j for j in range(60) if row[j] >= sorted(row)[-5] - o8.TIE]
+        w = [max(row[j], 1e-6) ** 8 for j in top]
+        assert got == pytest.approx(sum(x * space.labels[j] for x, j in zip(w, top, strict=True)) / sum(w), rel=1e-9)
+    # The sample's order and a block's shape change nothing.
+    order = rng.permutation(60)
+    mixed = o8.Space.__new__(o8.Space)
+    mixed.__dict__ |= space.__dict__ | {"known": space.known[order], "labels": space.labels[order]}
+    assert mixed.vote(v, 5) == pytest.approx(space.vote(v, 5), abs=1e-6) and space.vote(v[:1], 5) == pytest.approx(space.vote(v, 5)[:1], abs=1e-6)
+
+
+def slow_terms(text):
+    """Term counts of one text, character by character."""
+    from collections import Counter
+
+    from lodestone.llm.common import word_hash
+
+    data = (text or "").encode()
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 4 if b == 10 else 3 if b <= 32 else 0 if 97 <= b <= 122 or b > 127 else 5 + [c for c in range(33, 128) if not chr(c).isalnum()].index(b)
+    out = Counter()
+    for a, b, c in zip(data, data[1:], data[2:]):
+        out[(kind(a) * o8.N_CLASS + kind(b)) * o8.N_CLASS + kind(c)] += 1
+    words = __import__("re").findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    for lo, units in ((0, words), (12, list(zip(words, words[1:])))):
+        out[o8.N_CLASS**3 + lo + min(11, int(12 * (1 - len(set(units)) / max(len(units), 1))))] += max(8, len(data) // 8)
+    for w in words:
+        out[o8.N_CLASSES + (word_hash(w) >> 64 - o8.WORD_BITS)] += 1
+    return out
+
+
+def test_terms_projection_and_scores():
+    """Terms, latent space, projection and score against loops and a whole decomposition."""
+    texts = [t or "" for _, t in rows(n=60) if len(t or "") < 20_000]
+    row, term, count = o8.term_rows(pa.array(texts))
+    found = [{} for _ in texts]
+    for r, t, c in zip(row.tolist(), term.tolist(), count.tolist(), strict=True):
+        found[r][t] = found[r].get(t, 0) + c
+    assert found == [dict(slow_terms(t)) for t in texts]
+    y = np.array([i % 3 == 0 for i in range(len(texts))], float)
+    space = o8.Space(row, term, count, y)
+    df = {}
+    for x in found:
+        for t in x:
+            df[t] = df.get(t, 0) + 1
+    # A word's place that two words of a text share counts once for each of them in the library's df; here there are none.
+    kept = [t for lo, hi, most in ((0, o8.N_CLASSES, o8.CLASSES), (o8.N_CLASSES, o8.N_TERMS, o8.WORDS)) for t in sorted((t for t in df if lo <= t < hi and df[t] >= 2), key=lambda t: (-df[t], t))[:most]]
+    x = np.array([[np.log1p(f.get(t, 0)) * (np.log((1 + len(texts)) / (1 + df[t])) + 1) for t in kept] for f in found])
+    for lo, hi in ((0, o8.N_CLASSES), (o8.N_CLASSES, o8.N_TERMS)):
+        at = [i for i, t in enumerate(kept) if lo <= t < hi]
+        x[:, at] /= np.maximum(np.linalg.norm(x[:, at], axis=1, keepdims=True), 1e-9)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    v = u[:, : o8.RANK] * s[: o8.RANK]
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    assert space.known @ space.known.T == pytest.approx(v @ v.T, abs=2e-2)
+    want = []
+    for r in v @ v.T:
+        top = [j for j in range(len(r)) if r[j] >= sorted(r)[-o8.NEIGHBOURS] - o8.TIE]
+        w = [max(r[j], 1e-6) ** 8 for j in top]
+        want.append(sum(a * y[j] for a, j in zip(w, top, strict=True)) / sum(w))
+    assert np.mean(np.abs(space.score(pa.array(texts)) - want) < 0.05) > 0.9
+    g = np.random.default_rng(1).normal(size=(400, 30)) * np.linspace(3, 0.1, 30)
+    g = g @ g.T
+    q, whole = o8.leading(g, 8), np.linalg.eigh(g)[1][:, ::-1][:, :8]
+    assert np.abs(np.linalg.svd(q.T @ whole)[1] - 1).max() < 1e-3
 
 
 PAGE = """<html><head><title>t</title></head><body><div class='cookie-notice'>We use cookies</div><nav><a href=x>Home</a></nav><div id=content><h1>Big &amp; news</h1>
