@@ -433,6 +433,75 @@ def test_pipeline_rows(spark):
     assert all(a + n == b for (a, n), (b, _) in zip(stream, stream[1:])) and stream[0][0] == 0
 
 
+def tables(path, docs, known, benchmark):
+    for name, df in (("documents", docs), ("labels", known), ("benchmark", benchmark)):
+        df.write.parquet(f"{path}/{name}.parquet")
+    return f"file://{path}"
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """All five stages on nulls, empty and long texts, repeated rows and columns with clashing names, each against brute force."""
+    import zlib
+
+    import corpus_pipeline as c
+
+    from lodestone.llm import op03_packing as o3
+    from lodestone.llm.common import saved, table
+    from lodestone.llm.tokens import load, vocabulary_path
+
+    from .test_text_ops import brute_components, brute_fingerprint, brute_hits
+
+    rng = random.Random(20)
+    item = sentence(rng, 14)
+    pairs, _, poor = classified(spark, 150)
+    pairs += [(9000, f"so {item} it is"), (9001, "password: abcdefghijkl is mine"), (9002, "password: abcdefghijkl is mine"), (None, "orphan words here"), (None, None), (None, None)]
+    docs = frame(spark, pairs).withColumns({"__id": o1.F.lit("x"), "fp": o1.F.lit(1.5), "n": o1.F.lit(None).cast("string"), "text_": o1.F.lit("t")})
+    known = labels(spark, [p for p in pairs if p[0] is not None and p[0] < 5000], quality=lambda i, t: int(i not in poor))
+    d = tables(str(tmp_path), docs, known, spark.createDataFrame([("a", item), ("b", None), (None, "one"), ("c", "...")], "item_id string, text string"))
+    docs = table(spark, d, "documents")
+    key = lambda df: sorted(map(str, df.select("doc_id", "text").collect()))
+    stage = dict(c.STAGES)
+    good = saved(stage["quality_classifier"](spark, docs, d), "a")
+    want = [r for r in o8.quality(docs, known).collect() if r.predicted]
+    assert sorted(str(r.doc_id) for r in good.select("doc_id").collect()) == sorted(str(r.doc_id) for r in want) and good.count() < len(pairs)
+    kept = saved(stage["simhash_near_dedup"](spark, good, d), "b")
+    rows_ = [(r.doc_id, r.text) for r in good.collect()]
+    comp = brute_components([brute_fingerprint(t) for _, t in rows_], 4)
+    least = {}
+    for (i, t), g in zip(rows_, comp, strict=True):
+        least[g] = min(least.get(g, (True, 0, "")), (i is None, i or 0, str(t))) if g in least else (i is None, i or 0, str(t))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(x[:2] for x in least.values())
+    clean = saved(stage["benchmark_decontamination"](spark, kept, d), "c")
+    assert key(clean) == sorted(str(r) for r in kept.select("doc_id", "text").collect() if not brute_hits(r.text, [("a", item)])[4]) and clean.count() < kept.count()
+    safe = saved(stage["secret_scans"](spark, clean, d), "d")
+    assert safe.count() == clean.count() and any(r.text == "[assign] is mine" and r.n_chars == 16 for r in safe.collect())
+    for x in (good, kept, clean, safe):
+        assert x.columns == docs.columns and {(r["__id"], r.fp, r.n, r.text_) for r in x.collect()} == {("x", 1.5, None, "t")}
+    library = load(vocabulary_path(o3.VOCABULARY))
+    ids = lambda t: np.array([*library.encode(t or "", add_special_tokens=False).ids, o3.END_ID], "<u4")
+    packed = stage["packing"](spark, safe, d).collect()
+    assert sum(r.length for r in packed) == sum(len(ids(r.text)) for r in safe.collect())
+    whole = {(str(r.doc_id), r.ids_crc32) for r in packed if r.length == r.doc_tokens}
+    assert all((str(r.doc_id), zlib.crc32(ids(r.text).tobytes())) in whole for r in safe.collect() if len(ids(r.text)) < 100 and sum(p.doc_id == r.doc_id for p in packed) == 1)
+    assert sorted((str(r.doc_id), r.length) for r in c.run(spark, d).collect()) and c.run(spark, d).columns == stage["packing"](spark, safe, d).columns
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as c
+
+    known = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([], "item_id string, text string")
+    d = tables(str(tmp_path / "none"), empty(spark), known, benchmark)
+    with pytest.warns(UserWarning):
+        assert c.run(spark, d).count() == 0
+    docs = frame(spark, rows())
+    for name, stage in c.STAGES:
+        assert stage(spark, empty(spark), d).count() == 0, name
+    with pytest.warns(UserWarning):
+        assert c.quality_classifier(spark, docs, d).count() == docs.count()  # no label: all stay
+    assert c.benchmark_decontamination(spark, docs, d).count() == docs.count()
+
+
 def plain_rows(df):
     return sorted((r.doc_id, r.doc_tokens) for r in df.select("doc_id", "doc_tokens").distinct().collect())
 
