@@ -5,8 +5,8 @@ texts (lower-cased ASCII) by the trigrams that some rule asks for, combines the
 regular expression only on the candidates. A rule that has no mandatory trigram scans every text of the slice.
 
 The three base kinds come first; further kinds add spans and change none of the base ones. Positions are code points, the end
-excluded. Very long texts are scanned whole, in time in proportion to their length. Null texts count as empty. Rows are independent: repeated rows and ids give repeated results, an empty table an
-empty one; other columns are ignored.
+excluded. Very long texts are scanned whole, in time in proportion to their length. Null texts count as empty. Rows are
+independent: repeated rows and ids give repeated results, an empty table an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
