@@ -94,4 +94,4 @@ def title_ratio(a: Column, b: Column) -> Column:
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else token_set_ratio(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    return F.pandas_udf(ratio, "double", F.PandasUDFType.SCALAR)(a, b)
+    return F.pandas_udf(ratio, "double")(a, b)

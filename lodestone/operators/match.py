@@ -1,13 +1,12 @@
 """Which rows are the same paper: equal identifiers, or titles alike and years close.
 
-Identifiers go through one equality join on (kind, value). Titles are compared only where they share a token or, without a
-common token, a piece of text in nearly the same place; the ratio itself runs in Arrow batches over those pairs.
+Identifiers go through one equality join on (kind, value). Titles meet only where their likeness can reach the ratio at all,
+by the rarest of their words or pieces, so a word that most titles share makes no block; the ratio itself runs in Arrow batches
+over the pairs that lengths and word counts leave.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,35 +37,80 @@ def _titles(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.select(F.col(key).alias(name), N.title(F.col("title")).alias("t"), y.cast("int").alias("y")).filter("t <> ''")
 
 
+#: Keys that may be listed as common: those with more than a LISTED-th of all rows, so fewer than LISTED of them.
+LISTED = 1 << 16
+
+
+def _rarest(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """rows (t, k, size, ...) with f: how often k comes in counts (k), 0 unless it is common. The common ones are a bounded list."""
+    n = counts.groupBy("k").agg(F.count(F.lit(1)).alias("f"))
+    total = n.agg(F.sum("f").alias("total"))
+    common = n.crossJoin(F.broadcast(total)).filter(F.col("f") > F.col("total") / LISTED).select("k", "f")
+    return rows.join(F.broadcast(common), "k", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """t, n, q, by: each title's (f, k, size), the rarest first."""
+    return rows.groupBy("t", "n").agg(F.first("q").alias("q"), F.sort_array(F.collect_list(F.struct("f", "k", "size"))).alias("by"))
+
+
+def _within(small: DataFrame, large: DataFrame, slack: float) -> DataFrame:
+    """s, l: titles whose words nearly all stand in another.
+
+    Such a title lacks words of at most a share `most` of its characters, so of its rarest words that make more than that
+    share one at least is common to both; only those words are looked up.
+    """
+    most = 2 * slack / (1 + slack)
+    words = lambda d: d.select("t", "n", F.explode("tok").alias("k"), F.lit(0).alias("q"))
+    both = words(small).unionByName(words(large))
+    by = _ordered(_rarest(words(small).withColumn("size", F.length("k") + 1), "k", both))
+    before = lambda i: F.aggregate(F.slice("by", 1, i), F.lit(0), lambda acc, x: acc + x["size"])
+    few = F.filter("by", lambda x, i: F.when(i == 0, True).otherwise(before(i) <= F.lit(most) * F.col("n") + 1e-9))
+    keys = by.select(F.col("t").alias("s"), F.explode(F.transform(few, lambda x: x["k"])).alias("k"))
+    return keys.join(words(large).select(F.col("t").alias("l"), "k"), "k").select("s", "l")
+
+
 def _pieces(a: DataFrame, b: DataFrame, slack: float) -> DataFrame:
-    """l, r of titles whose sorted tokens, joined, may lie within a ratio of 1 - slack.
+    """l, r: titles that may differ in few characters.
 
-    Such a pair of lengths m and n differs in at most D = n 2 slack / (1 - slack) insertions and deletions, so of D + 1 equal
-    pieces of the right one some piece stands in the left one, moved by D places at most.
+    Such a left title of n characters differs in at most D = n 2 slack / (1 - slack) insertions and deletions. Its words are
+    cut into pieces of q characters, 4 or fewer where that leaves no more than D of them; each edit spoils one at most, so of
+    any D + 1 pieces one stands in a word of the right title: the rarest ones are looked up.
     """
     c, widest = 2 * slack / (1 - slack), (1 + slack) / (1 - slack)
-    joined = F.array_join(F.array_sort("tok"), " ")
-    right = b.select("r", joined.alias("s")).withColumn("n", F.length("s")).withColumn("d", F.floor(F.col("n") * c + 1e-9).cast("int")).filter("d > 0")
-    at = lambda i: F.floor(i * F.col("n") / (F.col("d") + 1)).cast("int")
-    right = right.select("r", "s", "n", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i")).withColumn("p", at(F.col("i")))
-    right = right.select("r", "n", "d", "p", F.expr("substring(s, p + 1, floor((i + 1) * n / (d + 1)) - p)").alias("piece"))
-    left = a.select("l", joined.alias("s")).withColumn("m", F.length("s")).filter(F.col("m") * widest * c >= 1)
-    shortest = F.greatest(F.floor(1 / (c + widest / F.col("m"))).cast("int"), F.lit(1))
-    left = left.select("l", "s", "m", F.explode(F.sequence(shortest, F.lit(math.ceil(1 / c)))).alias("w")).filter("w <= m")
-    left = left.select("l", "m", "s", "w", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("w"))).alias("q")).select("l", "m", "q", F.expr("substring(s, q + 1, w)").alias("piece"))
-    close = (F.abs(F.col("p") - F.col("q")) <= F.col("d")) & (F.greatest("m", "n") <= F.least("m", "n") * widest + 1e-9)
-    return left.join(right, "piece").filter(close).select("l", "r")
+    most = F.floor(F.col("n") * c + 1e-9).cast("int")
+    cut = lambda q: F.flatten(F.transform("tok", lambda w: F.when(F.length(w) >= q, F.transform(F.sequence(F.lit(0), F.floor(F.length(w) / q).cast("int") - 1), lambda i: F.substr(w, i * q + 1, F.lit(q)))).otherwise(F.array().cast("array<string>"))))
+    left = a.withColumn("d", most).filter("d > 0")
+    pieces = F.when(F.size(cut(4)) > F.col("d"), F.struct(F.lit(4).alias("q"), cut(4).alias("p"))).when(F.size(cut(2)) > F.col("d"), F.struct(F.lit(2).alias("q"), cut(2).alias("p"))).otherwise(F.struct(F.lit(1).alias("q"), cut(1).alias("p")))
+    left = left.select("t", "n", pieces.alias("x")).select("t", "n", "x.q", F.explode("x.p").alias("k")).withColumn("size", F.lit(1))
+    grams = lambda w, q: F.when(F.length(w) >= q, F.transform(F.sequence(F.lit(1), F.length(w) - q + 1), lambda i: F.substr(w, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    every = F.flatten(F.transform("tok", lambda w: F.concat(grams(w, 4), grams(w, 2), grams(w, 1))))
+    right = b.filter(F.col("n") * widest * c >= 1).select(F.col("t").alias("r"), F.col("n").alias("m"), F.explode(F.array_distinct(every)).alias("k"))
+    by = _ordered(_rarest(left, "k", left.select("k").unionByName(right.select("k"))))
+    keys = by.withColumn("d", most).select(F.col("t").alias("l"), "n", F.explode(F.array_distinct(F.transform(F.slice("by", 1, F.col("d") + 1), lambda x: x["k"]))).alias("k"))
+    return keys.join(right, "k").filter(F.greatest("m", "n") <= F.least("m", "n") * widest + 1e-9).select("l", "r")
 
 
 def title_pairs(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> DataFrame:
     """l, r: all pairs of normalised titles (columns t, distinct here) that could reach the ratio, and some that don't.
 
-    Titles that share a token meet in that token's block; others in a piece's block. A token that most titles have makes a
-    large block: give left and right sides that were cut down before (a run's candidates against its seed and references).
+    A pair reaches it in one of three ways: the words of one nearly all stand in the other (either way round), or the two
+    differ in few characters.
     """
-    a, b = (d.select(F.col("t").alias(n)).distinct().withColumn("tok", F.array_distinct(F.split(n, " "))) for d, n in ((left, "l"), (right, "r")))
-    ax, bx = a.select("l", F.explode("tok").alias("k")), b.select("r", F.explode("tok").alias("k"))
-    return ax.join(bx, "k").select("l", "r").unionByName(_pieces(a, b, 1 - ratio)).distinct()
+    slack = 1 - ratio
+    tok = F.array_distinct(F.filter(F.split("t", " "), lambda w: w != ""))
+    a, b = (d.select("t").distinct().withColumn("tok", tok).withColumn("n", F.length(F.array_join("tok", " "))) for d in (left, right))
+    held = _within(a, b, slack).select(F.col("s").alias("l"), F.col("l").alias("r"))
+    holds = _within(b, a, slack).select("l", F.col("s").alias("r"))
+    pairs = held.unionByName(holds).unionByName(_pieces(a, b, slack)).distinct()
+    # What the ratio can be at most, from the words alone.
+    x, y = F.split("l", " "), F.split("r", " ")
+    size = lambda w: F.aggregate(w, F.lit(0), lambda acc, z: acc + F.length(z) + 1)
+    n, m = size(F.array_distinct(x)) - 1, size(F.array_distinct(y)) - 1
+    most = 2 * slack / (1 + slack)
+    lacks, misses = size(F.array_except(x, y)), size(F.array_except(y, x))
+    near = F.greatest(n, m) <= F.least(n, m) * (1 + slack) / (1 - slack) + 1e-9
+    return pairs.filter((lacks <= n * most + 1e-9) | (misses <= m * most + 1e-9) | near)
 
 
 def title_matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:

@@ -301,6 +301,17 @@ def test_titles_against_all_pairs(spark):
         assert got == want and alone > 3
 
 
+def test_common_words_make_no_block(spark):
+    """300 titles that share two words are not compared pair by pair, while one that is part of all of them still meets them."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    titles = [f"towards {word()} {word()} learning {word()}" for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert match.title_pairs(df, df).count() < 2000
+    one = spark.createDataFrame([("learning towards",)], "t string")
+    assert match.title_pairs(one, df).count() == match.title_pairs(df, one).count() == 300
+
+
 def test_keywords_of_all_languages(spark, tmp_path):
     texts = ["Größe größe naïve-Modelle Straße Wörter 日本語", "L'étude Étude Über-sicht the corpus Corpus", "", None, "Kelvin \u212aelvin İstanbul this With", *["mot%d-é palabra niño Haus " % i * 20 for i in range(3)]]
     spark.createDataFrame([(i, t, ["fr", "de", "es", "en"][i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
