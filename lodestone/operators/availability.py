@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import tokens
+from .lineage import unused
 
 # Patterns and what each that occurs adds to a chunk's score.
 HEADINGS = [
@@ -72,7 +73,8 @@ def budgeted(df: DataFrame, part: list[str], order: list[Column], size: str, bud
     """The longest prefix within the budget, in order; always the first row. It ends at the first row that overflows."""
     w = Window.partitionBy(*part).orderBy(*order)
     running = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__cum", running).withColumn("__n", F.row_number().over(w)).filter((F.col("__cum") <= budget) | (F.col("__n") == 1)).drop("__cum", "__n")
+    cum, n = unused(df, "cum"), unused(df, "n")
+    return df.withColumn(cum, running).withColumn(n, F.row_number().over(w)).filter((F.col(cum) <= budget) | (F.col(n) == 1)).drop(cum, n)
 
 
 def context(chunks: DataFrame, part: str = "paper_id", index: str = "chunk_index", text: str = "content", budget: int = 1500, section: str | None = None, groups=GROUPS, fallback: str = "data") -> DataFrame:
@@ -102,5 +104,6 @@ def formatted(chunks: DataFrame, part: str, index: str = "chunk_index", key: str
 
 def first_half(df: DataFrame, part: list[str], order: list[Column]) -> DataFrame:
     """For a second attempt: the first max(1, n div 2) rows of each part."""
-    n = df.groupBy(*part).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2)).alias("__keep"))
-    return df.join(n, part).withColumn("__n", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter("__n <= __keep").drop("__n", "__keep")
+    at, keep = unused(df, "at"), unused(df, "keep")
+    n = df.groupBy(*part).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2)).alias(keep))
+    return df.join(n, part).withColumn(at, F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col(at) <= F.col(keep)).drop(at, keep)

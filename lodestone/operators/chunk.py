@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import tokens
 from ..functions.text import is_clean
+from ..ship import ship
 
 PARENT, PARENT_OVERLAP, CHILD, CHILD_OVERLAP = 768, 96, 256, 48
 
@@ -15,22 +19,44 @@ def _step(size: int, overlap: int) -> int:
     return size - overlap if size > overlap else size
 
 
-def parents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = PARENT, overlap: int = PARENT_OVERLAP) -> DataFrame:
+def subwords(spark, tokenizer_file: str) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Cutting into a tokenizer file's subwords, and joining them to text again, both in Arrow batches (for `chunks`)."""
+    ship(spark)
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(tokenizer_file)
+        return pd.Series([e.tokens for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)])
+
+    @F.pandas_udf("string")
+    def joined(parts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(tokenizer_file)
+        return pd.Series([t.decode([t.token_to_id(x) for x in p]) for p in parts])
+
+    return cut, joined
+
+
+def parents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = PARENT, overlap: int = PARENT_OVERLAP, cut: Callable[[Column], Column] = tokens) -> DataFrame:
     """key, p_start, p_tokens: windows at each step; short ones at the end too. Documents without tokens have none."""
-    t = docs.select(key, tokens(F.col(text)).alias("__t")).filter(F.size("__t") > 0)
+    t = docs.select(key, cut(F.col(text)).alias("__t")).filter(F.size("__t") > 0)
     return t.withColumn("p_start", F.explode(F.sequence(F.lit(0), F.size("__t") - 1, F.lit(_step(size, overlap))))).select(key, "p_start", F.slice("__t", F.col("p_start") + 1, size).alias("p_tokens"))
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", parent: tuple[int, int] = (PARENT, PARENT_OVERLAP), child: tuple[int, int] = (CHILD, CHILD_OVERLAP), min_words: int = 20) -> DataFrame:
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", parent: tuple[int, int] = (PARENT, PARENT_OVERLAP), child: tuple[int, int] = (CHILD, CHILD_OVERLAP), min_words: int = 20, cut: Callable[[Column], Column] = tokens, joined: Callable[[Column], Column] = lambda c: F.array_join(c, " ")) -> DataFrame:
     """key, chunk_index, chunk_type, parent_index, start, token_count, content of all clean chunks, in order: parent, its children.
 
     Children stop after the first clean one that reaches its parent's end; unclean ones don't stop them. Texts are dealt by
-    key once, before windows multiply them; both window functions then find their rows in place.
+    key once, before windows multiply them; both window functions then find their rows in place. Tokens are white-space
+    ones unless `cut` and `joined` (see `subwords`) say otherwise.
     """
-    clean = parents(docs.select(key, text).repartition(key), key, text, *parent).withColumn("content", F.array_join("p_tokens", " ")).filter(is_clean(F.col("content"), min_words))
+    clean = parents(docs.select(key, text).repartition(key), key, text, *parent, cut).withColumn("content", joined(F.col("p_tokens"))).filter(is_clean(F.col("content"), min_words))
     size, step = child[0], _step(*child)
     kids = clean.select(key, "p_start", "p_tokens", F.explode(F.sequence(F.lit(0), F.size("p_tokens") - 1, F.lit(step))).alias("c"))
-    kids = kids.select(key, "p_start", "c", F.size("p_tokens").alias("n"), F.slice("p_tokens", F.col("c") + 1, size).alias("w")).withColumn("content", F.array_join("w", " ")).filter(is_clean(F.col("content"), min_words))
+    kids = kids.select(key, "p_start", "c", F.size("p_tokens").alias("n"), F.slice("p_tokens", F.col("c") + 1, size).alias("w")).withColumn("content", joined(F.col("w"))).filter(is_clean(F.col("content"), min_words))
     earlier = Window.partitionBy(key, "p_start").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
     kids = kids.withColumn("done", F.max(F.col("c") + size >= F.col("n")).over(earlier)).filter(~F.coalesce("done", F.lit(False)))
     rows = clean.select(key, "p_start", F.lit(0).alias("is_child"), F.lit(0).alias("c"), F.size("p_tokens").alias("token_count"), "content").unionByName(kids.select(key, "p_start", F.lit(1).alias("is_child"), "c", F.size("w").alias("token_count"), "content"))

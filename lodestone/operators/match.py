@@ -134,6 +134,20 @@ def lookup(rows: DataFrame, entities: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(best.withColumnRenamed("l", key), key, "left")
 
 
+def get_work(rows: DataFrame, works: DataFrame, key: str = "id") -> DataFrame:
+    """rows and found: the key of the work that has the row's one deciding identifier, normalised: OpenAlex, else DOI, else arXiv.
+
+    A row is looked up by that identifier alone; one that no work has gives null. Of several works the least key counts.
+    """
+    order = ("openalex_id", "doi", "arxiv_id")
+    given = lambda d, c: _NORMAL[c](F.col(c)) if c in d.columns else F.lit(None).cast("string")
+    wanted = F.coalesce(*[F.when(F.coalesce(F.trim(F.col(c)), F.lit("")) != "", F.struct(F.lit(c).alias("kind"), given(rows, c).alias("value"))) for c in order if c in rows.columns])
+    has = works.select(F.col(key).alias("found"), F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), given(works, c).alias("value")) for c in order])).alias("p")).select("found", "p.kind", "p.value").filter("value is not null")
+    ask = rows.select(F.col(key).alias("l"), wanted.alias("p")).select("l", "p.kind", "p.value")
+    found = ask.join(has, ["kind", "value"]).groupBy("l").agg(F.min("found").alias("found"))
+    return rows.join(found.withColumnRenamed("l", key), key, "left")
+
+
 def same_identity(resolved: DataFrame, floor: float = 0.85) -> DataFrame:
     """Rows (title, resolved_title, ...) whose resolved work is dropped (resolved_ok false) if its title is another."""
     ship(resolved.sparkSession)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .fuse import keep_first
 from .lineage import checkpointed
+from .screen import worth_evaluating
 
 TARGET, DEPTH, FLOOR = 20, 100, 3.0
 
@@ -22,7 +23,7 @@ def one_round(queue: DataFrame, accepted: Column, run: str = "run_id", rank: str
     w = Window.partitionBy(run).orderBy(rank)
     first = F.row_number().over(Window.partitionBy(run, key).orderBy(rank)) == 1
     rows = queue.withColumn("__first", first)
-    worth = F.col("__first") & F.coalesce(F.col(score) >= floor, F.lit(True)) if score in queue.columns else F.col("__first")
+    worth = F.col("__first") & worth_evaluating(F.col(score), floor) if score in queue.columns else F.col("__first")
     rows = rows.withColumn("evaluated", worth).withColumn("accepted", F.coalesce(worth & accepted, F.lit(False)))
     before = F.coalesce(F.sum(F.col("accepted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("position", F.row_number().over(w)).withColumn("__before", before)
@@ -52,3 +53,9 @@ def loop(queue: DataFrame, accept: Callable[[DataFrame], Column], expand: Callab
             break
         seen = keep(seen.unionByName(more, allowMissingColumns=True))
     return seen
+
+
+def counters(seen: DataFrame, run: str = "run_id") -> DataFrame:
+    """run, looked_at, evaluated, accepted, pruned: what a loop's rows come to."""
+    n = lambda c: F.sum(F.col(c).cast("long"))
+    return seen.groupBy(run).agg(F.count(F.lit(1)).alias("looked_at"), n("evaluated").alias("evaluated"), n("accepted").alias("accepted"), (n("evaluated") - n("accepted")).alias("pruned"))

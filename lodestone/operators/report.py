@@ -41,13 +41,51 @@ def bibtex(df: DataFrame, keep_venue: bool = True) -> Column:
 
 def report_rows(candidates: DataFrame, papers: DataFrame, summaries: DataFrame, include_abstract_only: bool = False) -> DataFrame:
     """Candidates with their paper and summary, those without an accepted summary left out unless asked for."""
-    s = summaries.withColumnRenamed("is_accepted", "__ok").drop("run_id")
+    s = summaries.withColumn("summary_accepted", F.coalesce("is_accepted", F.lit(True))).drop("run_id", "is_accepted")
     rows = candidates.join(papers.withColumnRenamed("id", "paper_id"), "paper_id").join(s, "candidate_paper_id", "left")
-    return rows if include_abstract_only else rows.filter(F.coalesce("__ok", F.lit(False)))
+    return rows if include_abstract_only else rows.filter(F.coalesce("summary_accepted", F.lit(False)))
 
 
-def render(rows: list[dict], title: str) -> str:
-    """A page of a run's report rows (already cut to the report's size)."""
-    esc = lambda x: html.escape("" if x is None else str(x))
-    cards = "\n".join(f"<section><h2>{esc(r.get('title'))}</h2><p>{esc(r.get('paragraph_summary'))}</p><p>{esc(r.get('data_availability'))} {esc(r.get('data_location'))}</p><pre>{esc(r.get('bibtex'))}</pre></section>" for r in rows)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{esc(title)}</title></head><body><h1>{esc(title)}</h1>\n{cards}\n</body></html>"
+#: Parts of a summary, in a report's order, with their headings.
+PARTS = {"problem_formulation": "Problem", "methodological_novelty": "Method", "empirical_findings": "Findings", "paragraph_summary": "Summary", "relationship_to_target": "Relationship to Target Paper"}
+
+
+def card(df: DataFrame) -> Column:
+    """A report row as HTML. Columns that df lacks, and empty ones, leave their line out; without a summary the abstract stands."""
+    have = set(df.columns)
+    text = lambda c: F.nullif(F.array_join(c, ", ") if dict(df.dtypes)[c].startswith("array") else F.col(c).cast("string"), F.lit("")) if c in have else F.lit(None).cast("string")
+
+    def safe(c: Column) -> Column:
+        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+            c = F.replace(c, F.lit(mark), F.lit(name))
+        return c
+
+    line = lambda before, c, after: F.concat(F.lit(before), c, F.lit(after))
+    label = lambda name, c: line(f"<span class='badge'>{name}: ", safe(c), "</span>")
+    link = lambda before, c, name: F.concat(F.lit(f"<a href='{before}"), safe(c), F.lit(f"'>{name}</a>"))
+    year = F.coalesce(text("publication_year"), F.lit("N/A"))
+    summary = F.coalesce(*[text(c) for c in PARTS])
+    parts = [F.when(text(c).isNotNull(), F.concat(F.lit(f"<h3>{head}</h3><p>"), safe(text(c)), F.lit("</p>"))) for c, head in PARTS.items()]
+    abstract = F.when(summary.isNull(), line("<p>", safe(F.coalesce(text("abstract"), F.lit("No abstract text available."))), "</p>"))
+    score = F.when(text("abstract_relevance_score").isNotNull(), F.concat(F.lit("<span class='badge'>Abstract Relevance: "), text("abstract_relevance_score"), F.lit("/10 ("), F.upper(F.coalesce(text("abstract_relevance_tier"), F.lit(""))), F.lit(")</span>")))
+    place = safe(text("data_location"))
+    where = F.when(text("data_location").startswith("http"), F.concat(F.lit("<p><a href='"), place, F.lit("'>"), place, F.lit("</a></p>"))).otherwise(line("<p><code>", place, "</code></p>"))
+    return F.concat_ws(
+        "\n", F.lit("<section>"), line("<h2>", safe(F.coalesce(text("title"), F.lit("Untitled"))), "</h2>"), F.concat(F.lit("<p>"), F.coalesce(safe(text("authors")), F.lit("")), F.lit(" ("), year, F.lit("), <em>"), F.coalesce(safe(text("venue")), F.lit("Academic Venue")), F.lit("</em></p>")),
+        line("<span class='badge'>Rank #", text("rrf_rank"), "</span>"), score, F.when(F.lower(text("is_open_access")) == "true", F.lit("<span class='badge'>Open Access</span>")), label("Verdict", text("self_critique_verdict")), label("Data", text("data_availability")),
+        F.when(text("abstract_relevance_reasoning").isNotNull(), line("<p>", safe(text("abstract_relevance_reasoning")), "</p>")), *parts, abstract, where, F.when(text("oa_pdf_url").isNotNull(), link("", text("oa_pdf_url"), "View PDF")), F.when(text("doi").isNotNull(), link("https://doi.org/", text("doi"), "DOI Link")),
+        line("<pre>", safe(text("bibtex")), "</pre>"), F.lit("</section>"),
+    )
+
+
+def render(cards: list[str], title: str, paper: dict | None = None, exclusion_status: str = "incomplete") -> str:
+    """A run's page from its rows' cards (already cut to the report's size)."""
+    esc = lambda x: html.escape("N/A" if x in (None, "") else str(x))
+    p = paper or {}
+    head = f"<p>Target Input Paper: <strong>{esc(p.get('title'))}</strong></p><p>DOI: {esc(p.get('doi'))} | arXiv: {esc(p.get('arxiv_id'))} | Year: {esc(p.get('publication_year'))} | Exclusion Status: {esc(exclusion_status)}</p>"
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{esc(title)} - {esc(p.get('title'))}</title></head><body><h1>{esc(title)}</h1>\n{head}\n<h2>Discovered Related Literature ({len(cards)} Papers)</h2>\n" + "\n".join(cards) + "\n</body></html>"
+
+
+def export(rows: DataFrame, title: str, paper: dict | None = None, exclusion_status: str = "incomplete", rank: str = "rrf_rank") -> str:
+    """The page of report rows, by rank; a run has some hundred at most."""
+    return render([r[0] for r in rows.withColumn("bibtex", bibtex(rows)).transform(lambda d: d.select(card(d).alias("card"), rank)).orderBy(rank).select("card").collect()], title, paper, exclusion_status)

@@ -9,7 +9,8 @@ from ..functions.scoring import cosine, relevance_score, relevance_tier
 
 
 def missing_abstract(abstract: Column) -> Column:
-    return F.trim(F.coalesce(abstract, F.lit(""))) == ""
+    """Null, or white space alone."""
+    return ~F.coalesce(abstract, F.lit("")).rlike(r"(?U)\S")
 
 
 def scored(candidates: DataFrame, seed_vector: DataFrame, policy: str = "pass", vector: str = "embedding") -> DataFrame:

@@ -30,6 +30,12 @@ HEADINGS = ", ".join(f"{heads[0]}:" for heads in SECTIONS.values())
 AGAIN = f"\n\nThe reply must hold all of these headings: {HEADINGS}"
 
 
+REPAIR = (
+    "\n\nThe reply before this one broke a rule. Give one JSON object with datasets and overall_status. Every dataset that is reported needs evidence quoted from a chunk; an open one needs a url, accession or"
+    " repository (code alone is not data); one that is not available needs the words that deny it; not_reported has no evidence of access."
+)
+
+
 class Model(Protocol):
     def summary(self, prompt: str) -> str: ...
 
@@ -59,6 +65,45 @@ class RuleModel:
         return json.dumps({"is_relevant_to_seed_topic": True, "relevance_score": 8, "factual_grounding_score": 9, "verdict": "accepted"})
 
 
+class PresetModel:
+    """A stand-in whose replies follow from one preset: an availability status, malformed (nothing parses) or rejected.
+
+    Evidence quotes the first chunk of the prompt.
+    """
+
+    #: Of each preset the datasets that its reply reports: status and what tells of it.
+    DATASETS = {
+        "publicly_available": [("publicly_available", {"url": "https://data.example.org/set", "repository": "Open store"})],
+        "restricted": [("restricted", {"access_conditions": "On reasonable request."})],
+        "not_available": [("not_available", {"access_conditions": "Cannot be shared, for privacy."})],
+        "not_reported": [],
+        "mixed": [("publicly_available", {"accession": "GSE12345"}), ("restricted", {"access_conditions": "After an agreement."})],
+        "unclear": [("restricted", {"access_conditions": "From the authors."})],
+    }
+
+    def __init__(self, preset: str = "publicly_available"):
+        self.preset = preset
+
+    def summary(self, prompt: str) -> str:
+        title = re.search(r"Title: (.+)", prompt)
+        return "\n".join(f"{heads[0]}: What the paper {title[1] if title else 'at hand'} says of this." for heads in SECTIONS.values())
+
+    def availability(self, prompt: str) -> str:
+        if self.preset == "malformed":
+            return "no JSON here"
+        chunk = re.search(r"\[id=(\S+)[^\n]*\]\n([^\n]*)", prompt)
+        quote = chunk[2][:50] if chunk else "Data are available."
+        found = self.DATASETS.get(self.preset, self.DATASETS["unclear"])
+        datasets = [{"dataset_name": f"Set {i}", "role": "primary" if i == 1 else "validation", "status": status, "evidence": [{"source_chunk_id": chunk[1] if chunk else "chunk-1", "quote": quote}], **told} for i, (status, told) in enumerate(found, 1)]
+        return json.dumps({"datasets": datasets, "overall_status": self.preset})
+
+    def critique(self, prompt: str) -> str:
+        if self.preset == "malformed":
+            return "{"
+        good = self.preset != "rejected"
+        return json.dumps({"is_relevant_to_seed_topic": good, "relevance_score": 8.5 if good else 3.0, "factual_grounding_score": 9.0 if good else 4.0, "verdict": "accepted" if good else "rejected", "critique_rationale": ""})
+
+
 def trimmed(chunks: DataFrame, part: str, index: str, budget: int, text: str = "content", size: str = "token_count") -> DataFrame:
     """Whole chunks in order while they fit the budget; a first chunk that is larger than the budget is cut to it."""
     kept = availability.budgeted(chunks, [part], [F.col(index)], size, budget)
@@ -134,7 +179,8 @@ def summarized(rows: DataFrame, model: Model, attempts: int = 2, least: tuple[fl
     out = _asked(rows, "__s", model.summary, parsed_summary, "prompt", "retry_prompt", attempts)
     out = out.withColumn("is_valid", F.col("__s").isNotNull()).select("*", *[F.col("__s")[k].alias(k) for k in SECTIONS]).drop("__s")
     out = out.withColumn("__c", F.when(F.col("is_valid"), F.coalesce("context", F.lit(NO_CHUNKS))))
-    out = _asked(out, "__a", model.availability, parsed_availability, "__c", "__c", attempts)
+    out = out.withColumn("__more", F.concat("__c", F.lit(REPAIR)))
+    out = _asked(out, "__a", model.availability, parsed_availability, "__c", "__more", attempts).drop("__more")
     datasets = F.col("__a.datasets")
     evidence = F.coalesce(F.exists(datasets, lambda d: F.size(d["evidence"]) > 0), F.lit(False))
     out = out.withColumn("data_availability", validate.overall_status(F.transform(datasets, lambda d: d["status"]), evidence)).withColumn("data_location", validate.data_location(datasets)).drop("__a")

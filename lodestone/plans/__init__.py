@@ -1,3 +1,3 @@
 """Registered queries with their SQL."""
 
-from . import papers, queries  # noqa: F401
+from . import more, papers, queries  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import clean_text
+from ..operators.lineage import unused
 
 
 def binaries(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
@@ -29,8 +30,9 @@ def access_url(df: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     arxiv = F.concat(F.lit("https://arxiv.org/pdf/"), F.nullif(F.col("arxiv_id"), F.lit("")), F.lit(".pdf"))
     if resolved is None:
         return df.withColumn("access_url", F.coalesce(F.nullif(F.col("oa_pdf_url"), F.lit("")), arxiv))
-    out = df.join(resolved.select("doi", F.col("url").alias("__url")), "doi", "left")
-    return out.withColumn("access_url", F.coalesce(F.nullif(F.col("oa_pdf_url"), F.lit("")), "__url", arxiv)).drop("__url")
+    url = unused(df, "url")
+    out = df.join(resolved.select("doi", F.col("url").alias(url)), "doi", "left")
+    return out.withColumn("access_url", F.coalesce(F.nullif(F.col("oa_pdf_url"), F.lit("")), url, arxiv)).drop(url)
 
 
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -61,3 +63,27 @@ def latest(status: DataFrame, key: str, at: str) -> DataFrame:
     """Status updates as an append-only table: the last one of each key."""
     cols = [c for c in status.columns if c != key]
     return status.groupBy(key).agg(F.max_by(F.struct(*cols), at).alias("r")).select(key, "r.*")
+
+
+def scan(df: DataFrame, equal: dict, order: list[str] | None = None) -> DataFrame:
+    """Rows whose columns equal the given values (None: any value), in order. The filters reach the files."""
+    for c, value in equal.items():
+        if value is not None:
+            df = df.filter(F.col(c) == value)
+    return df.orderBy(*order) if order else df
+
+
+def candidates_of(candidates: DataFrame, run) -> DataFrame:
+    return scan(candidates, {"run_id": run}, ["rrf_rank"])
+
+
+def chunks_of(chunks: DataFrame, run, paper=None, chunk_type: str | None = None) -> DataFrame:
+    return scan(chunks, {"run_id": run, "paper_id": paper, "chunk_type": chunk_type}, ["chunk_index"])
+
+
+def to_index(candidates: DataFrame, require_pdf: bool = False, pdf_text: str = "pdf_text") -> DataFrame:
+    """candidates with text: the file's where there is one; else abstract or title, or, if a file is required, no row."""
+    has = F.coalesce(F.col("pdf_path"), F.lit("")) != ""
+    rows = candidates.filter(has) if require_pdf else candidates
+    plain = F.coalesce(F.nullif(F.col("abstract"), F.lit("")), F.col("title"))
+    return rows.withColumn("text", F.when(has, F.col(pdf_text)).otherwise(plain))

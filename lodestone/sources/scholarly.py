@@ -8,45 +8,65 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions.text import inverted_abstract
 
-PERSON = "author:array<struct<persName:struct<forename:array<struct<_type:string,_VALUE:string>>,surname:string>>>"
-BIBL = f"analytic struct<title:struct<_level:string,_VALUE:string>,{PERSON},idno:array<struct<_type:string,_VALUE:string>>>, monogr struct<title:struct<_level:string,_VALUE:string>,{PERSON},idno:array<struct<_type:string,_VALUE:string>>,imprint:struct<date:struct<_when:string,_VALUE:string>>>, idno array<struct<_type:string,_VALUE:string>>"
-
-
 def _first(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+def _plain(xml: Column, between: str = "") -> Column:
+    """The text of a piece of XML: tags out, the five named references resolved, white space runs as one space."""
+    out = F.regexp_replace(xml, r"(?s)<!--.*?-->|<[^>]*>", between)
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(mark))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
+def _element(xml: Column, name: str, attribute: str = "") -> Column:
+    """The whole of the first element of that name (and attribute, a pattern); null if there is none."""
+    return F.nullif(F.regexp_extract(xml, rf"(?s)<{name}\b{attribute}[^>]*?(?:/>|>.*?</{name}\s*>)", 0), F.lit(""))
+
+
+def _inside(xml: Column, name: str, kinds: list[str], attribute: str = "type") -> Column:
+    """Text of the first element of that name whose attribute is the first of `kinds`, else the next one."""
+    return F.coalesce(*[_first(_plain(_element(xml, name, rf"""[^>]*?\b{attribute}\s*=\s*["']{k}["']"""))) for k in kinds])
+
+
+def _people(xml: Column) -> Column:
+    """Names (first forename, surname) of all authors with a persName, in order."""
+    all_ = F.regexp_extract_all(xml, F.lit(r"(?s)(<author\b(?:[^>]*[^/])?>.*?</author\s*>)"), 1)
+
+    def name(author: Column) -> Column:
+        person = _element(author, "persName")
+        return F.when(person.isNotNull(), N.person(_inside(person, "forename", ["first"]), _plain(_element(person, "surname"))))
+
+    return F.filter(F.transform(all_, name), lambda x: x.isNotNull())
+
+
 def tei_header(xml: Column) -> dict[str, Column]:
-    """The paper's own data, from the header alone, never from what it cites."""
-    at = lambda path: _first(F.xpath_string(xml, F.lit(f"//teiHeader{path}")))
-    names = F.xpath(xml, F.lit("//teiHeader//author/persName/surname/text()"))
+    """The paper's own data, from the header alone, never from what it cites; from the whole document if it has no header."""
+    head = F.coalesce(_element(xml, "teiHeader"), xml)
+    date = F.coalesce(_element(head, "date", r"""[^>]*?\btype\s*=\s*["']published["']"""), _element(head, "date"))
     return {
-        "title": F.coalesce(at("//title[@type='main']"), at("//title"), F.lit("Untitled")),
-        "abstract": F.coalesce(F.trim(F.regexp_replace(F.xpath_string(xml, F.lit("//teiHeader//abstract")), r"\s+", " ")), F.lit("")),
-        "surnames": names,
-        "doi": F.coalesce(at("//idno[@type='DOI']"), at("//idno[@type='doi']")),
-        "arxiv_id": F.coalesce(at("//idno[@type='arXiv']"), at("//idno[@type='arxiv']")),
-        "publication_year": N.year_of(F.coalesce(at("//date[@type='published']/@when"), at("//date/@when"))),
+        "title": F.coalesce(_inside(head, "title", ["main"]), _first(_plain(_element(head, "title"))), F.lit("Untitled")),
+        "abstract": F.coalesce(_plain(_element(head, "abstract"), " "), F.lit("")),
+        "authors": _people(head),
+        "doi": _inside(head, "idno", ["DOI", "doi"]),
+        "arxiv_id": _inside(head, "idno", ["arXiv", "arxiv"]),
+        "publication_year": N.year_of(F.regexp_extract(date, r"""^<date\b[^>]*?\bwhen\s*=\s*["']([^"']*)""", 1)),
     }
 
 
-def _people(people: Column) -> Column:
-    first = lambda p: F.get(F.filter(p["persName"]["forename"], lambda f: f["_type"] == "first"), 0)["_VALUE"]
-    return F.filter(F.transform(F.coalesce(people, F.array()), lambda p: N.person(first(p), p["persName"]["surname"])), lambda x: x.isNotNull())
-
-
 def tei_references(df: DataFrame, xml: str = "xml", key: str = "id") -> DataFrame:
-    """key, pos, title, authors, doi, arxiv_id, year, extraction_method: one row for each biblStruct, each parsed by itself."""
-    bibl = F.regexp_extract_all(F.regexp_extract(xml, r"(?s)(<listBibl.*</listBibl>)", 1), F.lit(r"(?s)(<biblStruct\b.*?</biblStruct>)"), 1)
-    rows = df.select(key, F.posexplode(bibl).alias("pos", "b"))
-    b = F.from_xml("b", BIBL, {"attributePrefix": "_", "valueTag": "_VALUE", "ignoreNamespace": "true"})
-    rows = rows.select(key, "pos", b.alias("b"))
-    ids = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<struct<_type:string,_VALUE:string>>")) for c in ("b.analytic.idno", "b.monogr.idno", "b.idno")])
-    of = lambda kind: _first(F.get(F.filter(ids, lambda i: F.lower(i["_type"]) == kind), 0)["_VALUE"])
+    """key, pos, raw_citation, title, authors, doi, arxiv_id, year, extraction_method: a row for each biblStruct.
+
+    They stand in the first listBibl, else in the back matter, else anywhere. A title is the article's (level a), else the
+    monograph's (m), else one without a level; the year is that of the first date, wherever it stands.
+    """
+    held = F.coalesce(_element(F.col(xml), "listBibl"), _element(F.col(xml), "back"), F.col(xml))
+    rows = df.select(key, F.posexplode(F.regexp_extract_all(held, F.lit(r"(?s)(<biblStruct\b.*?</biblStruct\s*>)"), 1)).alias("pos", "b"))
+    b = F.col("b")
     return rows.select(
-        key, "pos", F.coalesce(_first(F.col("b.analytic.title._VALUE")), _first(F.col("b.monogr.title._VALUE"))).alias("title"),
-        _people(F.coalesce(F.col("b.analytic.author"), F.col("b.monogr.author"))).alias("authors"),
-        of("doi").alias("doi"), of("arxiv").alias("arxiv_id"), N.year_of(F.col("b.monogr.imprint.date._when")).alias("year"), F.lit("grobid").alias("extraction_method"),
+        key, "pos", _plain(b, " ").alias("raw_citation"), F.coalesce(_inside(b, "title", ["a", "m"], "level"), _first(_plain(_element(b, "title", r"(?![^>]*\blevel\s*=)")))).alias("title"), _people(b).alias("authors"), _inside(b, "idno", ["DOI", "doi"]).alias("doi"), _inside(b, "idno", ["arXiv", "arxiv"]).alias("arxiv_id"),
+        N.year_of(F.regexp_extract(_element(b, "date"), r"""^<date\b[^>]*?\bwhen\s*=\s*["']([^"']*)""", 1)).alias("year"), F.lit("grobid").alias("extraction_method"),
     )
 
 
@@ -68,3 +88,23 @@ def works(df: DataFrame, json: str = "json") -> DataFrame:
         inverted_abstract(F.col("w.abstract_inverted_index")).alias("abstract"), F.coalesce("w.open_access.is_oa", F.lit(False)).alias("is_open_access"),
         F.col("w.open_access.oa_url").alias("oa_pdf_url"), F.coalesce("w.referenced_works", F.array().cast("array<string>")).alias("referenced_works"),
     )
+
+
+RECORD = "paperId string, title string, externalIds struct<DOI:string,ArXiv:string>, authors array<struct<name:string>>, year int, venue string, abstract string, isOpenAccess boolean, openAccessPdf struct<url:string>"
+
+
+def semantic_records(df: DataFrame, json: str = "json") -> DataFrame:
+    """Records of a search's or recommendation's reply (JSON with the records under data or recommendedPapers, or one record)."""
+    reply = F.from_json(json, f"data array<struct<{_typed(RECORD)}>>, recommendedPapers array<struct<{_typed(RECORD)}>>, {RECORD}")
+    one = F.struct(*[F.col("w")[c].alias(c) for c in ("paperId", "title", "externalIds", "authors", "year", "venue", "abstract", "isOpenAccess", "openAccessPdf")])
+    r = df.select(reply.alias("w")).select(F.explode(F.coalesce("w.data", "w.recommendedPapers", F.when(F.col("w.paperId").isNotNull(), F.array(one)))).alias("r"))
+    names = F.transform(F.coalesce("r.authors", F.array().cast("array<struct<name:string>>")), lambda a: a["name"])
+    return r.select(
+        F.coalesce("r.title", F.lit("")).alias("title"), F.filter(names, lambda x: F.coalesce(x, F.lit("")) != "").alias("authors"), N.doi(F.col("r.externalIds.DOI")).alias("doi"), N.arxiv(F.col("r.externalIds.ArXiv")).alias("arxiv_id"),
+        F.col("r.paperId").alias("s2_id"), F.col("r.year").alias("publication_year"), F.col("r.venue").alias("venue"), F.col("r.abstract").alias("abstract"), F.coalesce("r.isOpenAccess", F.lit(False)).alias("is_open_access"), F.col("r.openAccessPdf.url").alias("oa_pdf_url"),
+    )
+
+
+def _typed(schema: str) -> str:
+    """A list of columns as the fields of a struct."""
+    return ",".join(f"{x.split(' ', 1)[0]}:{x.split(' ', 1)[1]}" for x in schema.split(", "))

@@ -1,5 +1,6 @@
 """Small fixtures for the scholarly operators."""
 
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import normalize as N
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
-from lodestone.operators import availability, candidates, chunk, exclude, fuse, match, quota, report, retrieve, screen, summarize, validate
+from lodestone.operators import availability, candidates, chunk, components, embed, exclude, fuse, match, quota, report, retrieve, screen, summarize, validate
 from lodestone.plans import queries
 from lodestone.sources import files, paper_text, scholarly
 
@@ -187,7 +188,14 @@ def test_report(spark):
     p = spark.createDataFrame([("Attention Is All You Need", ["Ashish Vaswani", "Noam Shazeer"], 2017, "NeurIPS", None, "1706.03762")], "title string, authors array<string>, publication_year int, venue string, doi string, arxiv_id string")
     key, entry = p.select(report.bibtex_key(p), report.bibtex(p)).first()
     assert key == "vaswani2017attention" and "journal = {NeurIPS}" in entry and entry.endswith("\n}")
-    assert "<h2>a &lt;b&gt;</h2>" in report.render([{"title": "a <b>"}], "t")
+    rows = spark.createDataFrame(
+        [("Second", ["B"], 2020, None, "10.1/x", None, 2, None, None, None), ("a <b>", ["John Doe"], 2023, "ICML", None, "2301.00001", 1, "Single paragraph.", "Direct extension.", "https://host/x?a=1&b='2'")],
+        "title string, authors array<string>, publication_year int, venue string, doi string, arxiv_id string, rrf_rank int, paragraph_summary string, relationship_to_target string, data_location string",
+    )
+    page = report.export(rows, "Test <Report>", {"title": "Base Input Paper", "doi": "10.1000/base"}, "complete")
+    for part in ("<h1>Test &lt;Report&gt;</h1>", "Discovered Related Literature (2 Papers)", "<h2>a &lt;b&gt;</h2>", "Relationship to Target Paper</h3><p>Direct extension.", "Exclusion Status: complete", "arXiv: N/A", "No abstract text available.", "href='https://host/x?a=1&amp;b=&#39;2&#39;'", "<pre>@article{doe2023paper,", "archiveprefix"):
+        assert part in page, part
+    assert page.index("a &lt;b&gt;</h2>") < page.index("<h2>Second")
 
 
 TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStmt><title type="main">A Title</title></titleStmt><sourceDesc><biblStruct><idno type="DOI">10.1234/sample</idno>
@@ -199,7 +207,7 @@ TEI = """<TEI xmlns="http://www.tei-c.org/ns/1.0"><teiHeader><fileDesc><titleStm
 def test_sources(spark, tmp_path):
     x = spark.createDataFrame([(1, TEI)], "id int, xml string")
     h = x.select(*[c.alias(k) for k, c in scholarly.tei_header(F.col("xml")).items()]).first()
-    assert (h.title, h.doi, h.arxiv_id, h.publication_year) == ("A Title", "10.1234/sample", None, 2023)
+    assert (h.title, h.doi, h.arxiv_id, h.publication_year, h.authors, h.abstract) == ("A Title", "10.1234/sample", None, 2023, [], "")
     refs = scholarly.tei_references(x).orderBy("pos").collect()
     assert [(r.title, r.authors, r.doi, r.arxiv_id, r.year) for r in refs] == [("First cited", ["Ann Lee"], None, "1706.03762", 2017), ("Second", [], "10.1109/x", None, None)]
     w = spark.createDataFrame([('{"id":"https://openalex.org/W1","doi":"https://doi.org/10.1/A","display_name":"T","authorships":[{"author":{"display_name":"X"}}],"publication_year":2020,"abstract_inverted_index":{"b":[1],"a":[0]}}',)], "json string")
@@ -333,3 +341,88 @@ def test_relevance_of_all_scripts(spark, tmp_path):
     want = set(re.findall(r"\w{4,}", target.lower())) - set(S.TOPIC_STOPWORDS)
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(len(want & set(re.findall(r"\w{3,}", t.lower()))) / (len(want) + 1e-5), abs=1e-8), t
+
+
+def test_embedding(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, ""), (4, "abc")], "id int, text string").repartition(2)
+    got = {r.id: r.embedding for r in embed.embedded(df, "text").collect()}
+    assert got[2] is None and got[1] == got[4] and len(got[1]) == embed.SIZE and abs(sum(x * x for x in got[1]) - 1) < 1e-4
+    assert {r.id: r.embedding for r in embed.embedded(df, "text", lambda ts: [[0.0, 0.0] for _ in ts]).collect()}[1] == [0.0, 0.0]
+
+    def broken(texts):
+        raise ValueError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        embed.embedded(df, "text", broken).collect()
+
+
+@pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.json"), reason="no vocabulary here")
+def test_subword_chunks(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    from tokenizers import Tokenizer
+
+    text = " ".join(f"sentence number {i} has several plain words in it" for i in range(30))
+    cut, joined = chunk.subwords(spark, path)
+    rows = chunk.chunks(spark.createDataFrame([(1, text), (2, "")], "doc_id int, text string"), parent=(100, 20), child=(40, 10), min_words=5, cut=cut, joined=joined).orderBy("chunk_index").collect()
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    t = Tokenizer.from_file(path)
+    parents = [r for r in rows if r.chunk_type == "parent"]
+    assert [r.start for r in parents] == list(range(0, len(ids), 80)) and all(r.content == t.decode(ids[r.start : r.start + 100]) and r.token_count == len(ids[r.start : r.start + 100]) for r in parents)
+    assert any(r.chunk_type == "child" and r.token_count == 40 for r in rows) and {r.doc_id for r in rows} == {1}
+
+
+@pytest.mark.parametrize("preset, status", [("publicly_available", "publicly_available"), ("restricted", "restricted"), ("not_available", "not_available"), ("not_reported", "not_reported"), ("mixed", "mixed"), ("unclear", "restricted"), ("malformed", "not_reported"), ("rejected", "restricted")])
+def test_preset_model(spark, preset, status):
+    rows = spark.createDataFrame([(1, "Title: A\n", "A", "[id=c1 index=0]\nThe data cannot be shared freely.")], "id int, prompt string, title string, context string").withColumn("retry_prompt", F.col("prompt"))
+    got = summarize.summarized(rows, summarize.PresetModel(preset)).first()
+    assert got.is_valid and got.data_availability == status and got.is_accepted == (preset not in ("malformed", "rejected"))
+
+
+def test_repair_prompt(spark):
+    """The second attempt at an availability reply says what was wrong."""
+
+    class Second(summarize.RuleModel):
+        def availability(self, prompt):
+            return super().availability(prompt) if "broke a rule" in prompt else "{"
+
+    rows = spark.createDataFrame([(1, "p", "p", "T", "[id=c1 index=0]\ndeposited as GSE12")], "id int, prompt string, retry_prompt string, title string, context string")
+    assert summarize.summarized(rows, Second()).first().data_availability == "publicly_available"
+    assert summarize.summarized(rows, Second(), attempts=1).first().data_availability == "not_reported"
+
+
+def test_json_lines_and_columns(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"prompt": "x", "n": 1}\n{"prompt": "y"}\n')
+    assert sorted((r.prompt, r.n) for r in files.json_lines(spark, str(tmp_path / "a.jsonl"), "prompt string, n long").collect()) == [("x", 1), ("y", None)]
+    df = files.with_columns(spark.createDataFrame([("x", 1)], "prompt string, extra int"), {"n": "long", "prompt": "string"})
+    assert df.dtypes == [("n", "bigint"), ("prompt", "string"), ("extra", "int")] and tuple(df.first()) == (None, "x", 1)
+
+
+def test_rows_named_as_our_own(spark):
+    """Helper columns give way to columns of the same name."""
+    df = spark.createDataFrame([("a", 1, 10, "keep", "me"), ("a", 2, 95, "and", "this")], "k string, i int, size int, __n string, __cum string")
+    got = availability.budgeted(df, ["k"], [F.col("i")], "size", 50)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [("a", 1, 10, "keep", "me")]
+    assert [tuple(r) for r in availability.first_half(df, ["k"], [F.col("i")]).select(df.columns).collect()] == [("a", 1, 10, "keep", "me")]
+    assert [tuple(r) for r in fuse.keep_first(df, ["k"], [F.col("i")]).collect()] == [("a", 1, 10, "keep", "me")]
+
+
+def test_components_with_hot_vertices(spark):
+    """Stars, chains and rings, with a hub that counts as hot."""
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 201), (201, 202), (202, 200), (300, 300), (59, 150)] + [(i, 500) for i in range(400, 450)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    want = {x: find(x) for x in parent if find(x) != x}
+    for hot in (10_000, 5):
+        assert {r.v: r.root for r in components.components(df, hot=hot).collect()} == want
+    from lodestone.operators import lineage
+
+    assert lineage.shared_dir(spark) in lineage.run_path(spark, "x") and spark.sparkContext.applicationId in lineage.run_path(spark, "x")
