@@ -119,8 +119,9 @@ class Space:
         self.idf = np.log((1 + n) / (1 + df[kept])) + 1
         # X'X is terms by terms, so fitting needs no more than a block of rows at a time.
         gram = np.zeros((len(kept), len(kept)))
-        order = np.argsort(rows, kind="stable")
-        rows, terms, counts = rows[order], terms[order], counts[order]
+        if len(rows) and (rows[1:] < rows[:-1]).any():
+            order = np.argsort(rows, kind="stable")
+            rows, terms, counts = rows[order], terms[order], counts[order]
         cut = lambda a: slice(*np.searchsorted(rows, [a, a + BLOCK]))
         for a in range(0, n, BLOCK):
             x = self.dense(rows[cut(a)] - a, terms[cut(a)], counts[cut(a)], min(BLOCK, n - a))
@@ -178,10 +179,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     found = map_batches(training_rows(docs, labels, label, limit), work, "doc_id long, label int, terms binary, counts binary").orderBy("doc_id").toArrow()
     if not len(found):
         warnings.warn("no labelled row to learn from: every document scores 1", stacklevel=3)
-    terms = [np.frombuffer(x, "<i4") for x in found.column("terms").to_pylist()]
-    counts = [np.frombuffer(x, "<f4") for x in found.column("counts").to_pylist()]
-    rows = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
-    return Space(rows, np.concatenate([np.zeros(0, np.int64), *terms]).astype(np.int64), np.concatenate([np.zeros(0), *counts]).astype(np.float64), np.array(found.column("label").to_pylist(), np.float64))
+    terms, counts = (np.frombuffer(b"".join(found.column(c).to_pylist()), kind) for c, kind in (("terms", "<i4"), ("counts", "<f4")))
+    rows = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) // 4 for x in found.column("terms").to_pylist()])
+    return Space(rows, terms, counts, np.array(found.column("label").to_pylist(), np.float64))
 
 
 def scored(docs: DataFrame, space: Space, emit: Callable, schema) -> DataFrame:
