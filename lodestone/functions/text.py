@@ -69,7 +69,11 @@ SECTIONS = {
 
 
 def sections(c: Column) -> dict[str, Column]:
-    """Each section's text with white space collapsed, null if it is missing or has 5 characters or fewer; a summary of over 300 words is cut to 290."""
+    """Each section's text with white space collapsed, null if it is missing or has 5 characters or fewer; a summary of over 300 words is cut to 290.
+
+    A section ends at any heading of a later section, in whichever of its spellings, not just at the usual next one: a reply
+    that leaves a section out doesn't run two of them together.
+    """
     out = {}
     names = list(SECTIONS)
     for i, name in enumerate(names):

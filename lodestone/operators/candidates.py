@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -38,16 +39,18 @@ def screened(seed_vector: DataFrame, candidates: DataFrame, scorer: Callable[[Da
     """Candidates of at least the threshold, best first, with final_rank; all of them compete where none reaches it.
 
     scorer adds abstract_relevance_score and abstract_relevance_tier to rows with an abstract. It is run at once, by `keep`;
-    if it fails anywhere, all rows are scored by their vectors instead. Ties: key.
+    if it fails anywhere, a warning says why and all rows are scored by their vectors instead. scored_by tells of each row
+    which of the two it was. Ties: key.
     """
-    by_vector = screen.scored(candidates, seed_vector, policy, vector)
+    by_vector = screen.scored(candidates, seed_vector, policy, vector).withColumn("scored_by", F.lit("vector"))
     out = by_vector
     if scorer is not None:
         blank = screen.missing_abstract(F.col("abstract"))
         try:
-            told = keep(scorer(candidates.filter(~blank)))
+            told = keep(scorer(candidates.filter(~blank)).withColumn("scored_by", F.lit("scorer")))
             out = by_vector.filter(blank).unionByName(told, allowMissingColumns=True)
-        except Exception:  # noqa: BLE001 - whatever the scorer raises, the vectors answer
+        except Exception as e:  # noqa: BLE001 - whatever the scorer raises, the vectors answer
+            warnings.warn(f"the scorer failed, vectors answer: {e}", stacklevel=2)
             out = by_vector
     return screen.relaxed(out, "abstract_relevance_score", least, most, [F.col(key)])
 

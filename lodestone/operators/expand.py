@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import tokens
 from .exclude import exclude, novel
 from .fuse import keep_first
+from .lineage import unused
 
 
 def references(works: DataFrame, key: str = "id", limit: int = 100, refs: str = "referenced_works") -> DataFrame:
@@ -32,15 +33,18 @@ def attempts(query: str, most: int = 3) -> list[list[str]]:
 
 
 def search(works: DataFrame, query: str, text: Column, limit: int = 100, order: list[Column] | None = None) -> DataFrame:
-    """Works that hold all terms, by the first attempt that any work answers. One pass: each work gets its earliest attempt."""
+    """Works that hold all terms, by the first attempt that any work answers: attempt, and the first `limit` by order.
+
+    One pass: the first rows by attempt and order hold all that the earliest answered attempt can give.
+    """
     tries = attempts(query)
     if not tries:
         return works.limit(0).withColumn("attempt", F.lit(0))
     words = tokens(F.lower(text))
     attempt = F.coalesce(*[F.when(F.size(F.array_except(F.array(*[F.lit(t.lower()) for t in ts]), words)) == 0, F.lit(i)) for i, ts in enumerate(tries)])
-    hits = works.withColumn("attempt", attempt).filter("attempt is not null")
-    first = hits.agg(F.min("attempt").alias("__first"))
-    return hits.join(F.broadcast(first), F.col("attempt") == F.col("__first")).drop("__first").orderBy(*(order or [F.lit(1)])).limit(limit)
+    first = works.withColumn("attempt", attempt).filter("attempt is not null").orderBy("attempt", *(order or [F.lit(1)])).limit(limit)
+    least = unused(first, "least")
+    return first.withColumn(least, F.min("attempt").over(Window.partitionBy())).filter(F.col("attempt") == F.col(least)).drop(least).orderBy(*(order or [F.lit(1)]))  # of `limit` rows
 
 
 def expansion(accepted: DataFrame, edges: DataFrame, works: DataFrame, seed: DataFrame, cited: DataFrame, seen: DataFrame, status: str = "complete", limit: int = 50, key: str = "id") -> DataFrame:

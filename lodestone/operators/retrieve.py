@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import tokens
@@ -22,19 +24,24 @@ def term_counts(rows: DataFrame, part: str, key: str, text: str) -> DataFrame:
 def bm25(rows: DataFrame, query: str, part: str, key: str, text: str, k1: float = K1, b: float = B, places: int = 9) -> DataFrame:
     """part, key, score of every row, those without a query term scoring 0. Query terms count as often as they occur.
 
-    Rows are matched against the query's terms as arrays before anything is exploded, so the shuffles carry only query terms.
+    One pass sums each part's rows, lengths and document frequencies (combined before the shuffle, a row a part); the other
+    scores each row by itself. Nothing is exploded, and no row's text or hits are shuffled.
     """
     terms = query.lower().split()
     weights = {t: terms.count(t) for t in terms}
-    t = rows.select(part, key, tokens(F.lower(text)).alias("__t")).select(part, key, F.size("__t").alias("dl"), F.filter("__t", lambda x: x.isin(list(weights)) if weights else F.lit(False)).alias("__q"))
-    stats = t.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    hits = t.filter(F.size("__q") > 0).select(part, key, "dl", F.explode("__q").alias("term")).groupBy(part, key, "dl", "term").agg(F.count(F.lit(1)).alias("f"))
-    df = hits.groupBy(part, "term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]) if weights else F.create_map()
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    gain = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))))
-    scores = hits.join(df, [part, "term"]).join(stats, part).groupBy(part, key).agg(F.sum(gain * (weight[F.col("term")] if weights else F.lit(0))).alias("s"))
-    return rows.select(part, key).join(scores, [part, key], "left").select(part, key, F.round(F.coalesce("s", F.lit(0.0)), places).alias("score"))
+    if not weights:
+        return rows.select(part, key, F.lit(0.0).alias("score"))
+    t = rows.select(part, key, tokens(F.lower(text)).alias("__t")).select(part, key, F.size("__t").alias("__dl"), F.filter("__t", lambda x: x.isin(list(weights))).alias("__q"))
+    has = [F.sum(F.array_contains("__q", x).cast("long")).alias(f"__df{i}") for i, x in enumerate(weights)]
+    stats = t.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avgdl"), *has)
+    norm = F.lit(k1) * (1 - b + b * F.col("__dl") / F.greatest(F.col("__avgdl"), F.lit(1e-9)))
+
+    def gain(i: int, term: str, weight: int) -> Column:
+        f, df = F.size(F.filter("__q", lambda x: x == term)), F.col(f"__df{i}")
+        return F.when(F.array_contains("__q", term), weight * F.log((F.col("__n") - df + 0.5) / (df + 0.5) + 1) * f * (k1 + 1) / (f + norm)).otherwise(0.0)
+
+    score = reduce(lambda x, y: x + y, [gain(i, x, w) for i, (x, w) in enumerate(weights.items())])
+    return t.join(stats, part, "left").select(part, key, F.round(F.coalesce(score, F.lit(0.0)), places).alias("score"))
 
 
 def top(df: DataFrame, part: str, score: str, tie: str, k: int, descending: bool = True) -> DataFrame:

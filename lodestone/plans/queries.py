@@ -244,33 +244,17 @@ STOP = "[" + ", ".join(f"'{w}'" for w in S.STOPWORDS) + "]"
 TOPIC = "[" + ", ".join(f"'{w}'" for w in S.TOPIC_STOPWORDS) + "]"
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z\\-]{{3,}}'), lambda w: NOT list_contains({STOP}, lower(w))) AS w FROM documents WHERE lang = 'en'),
+@query(f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z\\-]{{3,}}'), lambda w: NOT list_contains({STOP}, lower(w))) AS w FROM documents),
 u AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM w), f AS (SELECT doc_id, lower(t) AS l, arg_min(t, i) AS t, min(i) AS i FROM u GROUP BY doc_id, lower(t)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f)
 SELECT w.doc_id, coalesce(string_agg(t, ' ' ORDER BY i), '') AS keywords FROM w LEFT JOIN (SELECT * FROM r WHERE n <= 10) r ON w.doc_id = r.doc_id GROUP BY w.doc_id""")
 def keyword_extract(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", S.keywords(F.col("text")).alias("keywords"))
-
-
-@query(ORACLES["keyword_extract"].replace(" WHERE lang = 'en'", ""))
-def keyword_extract_all(spark, sf_dir):
-    """keyword_extract over all languages."""
     return table(spark, sf_dir, "documents").select("doc_id", S.keywords(F.col("text")).alias("keywords"))
 
 
-@query(f"""WITH t AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{4,}}')), lambda w: NOT list_contains({TOPIC}, w)) AS t FROM benchmark ORDER BY item_id LIMIT 1)
-SELECT doc_id, round(len(list_intersect((SELECT t FROM t), list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')))) / ((SELECT len(t) FROM t) + 1e-5::DOUBLE), 9) AS relevance
-FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')""")
-def lexical_relevance(spark, sf_dir):
-    target = table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()[0]
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    return d.select("doc_id", F.round(S.lexical_relevance(F.lit(target), F.col("text")), 9).alias("relevance"))
-
-
 @query(f"""WITH t AS (SELECT list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{4,}}')), lambda w: NOT list_contains({TOPIC}, w)) AS t FROM benchmark ORDER BY item_id LIMIT 1)
 SELECT doc_id, round(CASE WHEN (SELECT len(t) FROM t) = 0 THEN 1 ELSE len(list_intersect((SELECT t FROM t), list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{3,}}')))) / ((SELECT len(t) FROM t) + 1e-5::DOUBLE) END, 9) AS relevance FROM documents""")
-def lexical_relevance_all(spark, sf_dir):
-    """lexical_relevance over all documents."""
+def lexical_relevance(spark, sf_dir):
     target = table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()[0]
     return table(spark, sf_dir, "documents").select("doc_id", F.round(S.lexical_relevance(F.lit(target), F.col("text")), 9).alias("relevance"))
 
@@ -342,7 +326,7 @@ def relaxed_search(spark, sf_dir):
 
 @query("SELECT doc_id, sha256(replace(text, chr(1), '')) AS sha256, octet_length(encode(text)) AS n_bytes FROM documents")
 def content_hash(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.regexp_replace("text", "\\u0001", ""), 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return table(spark, sf_dir, "documents").select("doc_id", files.content_hash(F.regexp_replace("text", "\\u0001", "").cast("binary")).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 @query("SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey")

@@ -9,9 +9,13 @@ from ..functions.normalize import clean_text
 from ..operators.lineage import unused
 
 
+def content_hash(content: Column) -> Column:
+    return F.sha2(content, 256)
+
+
 def binaries(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """path, content, sha256, length of each file; a missing path is an error."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content", F.sha2("content", 256).alias("sha256"), "length")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content", content_hash(F.col("content")).alias("sha256"), "length")
 
 
 def is_pdf(content: Column, most: int = 50 << 20) -> Column:

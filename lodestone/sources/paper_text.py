@@ -91,11 +91,14 @@ def with_title_and_abstract(df: DataFrame, text: str = "text") -> DataFrame:
         ends = line.rlike(SECTION)
         below = (acc["phase"] == 1) & ~ends
         size = acc["n"] + F.when(below, F.length(line)).otherwise(0)
-        phase = F.when(acc["phase"] == 2, 2).when(acc["phase"] == 0, F.when(line.rlike(ABSTRACT), 1).otherwise(0)).when(ends, F.when(F.size(acc["out"]) > 0, 2).otherwise(0)).when(size >= ABSTRACT_CHARS, 2).otherwise(1)
-        return F.struct(phase.cast("int").alias("phase"), size.cast("int").alias("n"), F.when(below, F.array_append(acc["out"], line)).otherwise(acc["out"]).alias("out"))
+        phase = F.when(acc["phase"] == 0, F.when(line.rlike(ABSTRACT), 1).otherwise(0)).when(ends, F.when(F.size(acc["out"]) > 0, 2).otherwise(0)).when(size >= ABSTRACT_CHARS, 2).otherwise(1)
+        step = F.struct(phase.cast("int").alias("phase"), size.cast("int").alias("n"), F.when(below, F.array_append(acc["out"], line)).otherwise(acc["out"]).alias("out"))
+        return F.when(acc["phase"] == 2, acc).otherwise(step)  # nothing is looked at behind the abstract
 
     empty = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-    abstract = F.nullif(F.trim(F.aggregate("__lines", empty, span, lambda acc: F.array_join(acc["out"], " "))), F.lit(""))
+    heading = F.array_position(F.transform("__lines", lambda x: x.rlike(ABSTRACT)), True).cast("int")
+    from_it = F.when(heading > 0, F.slice("__lines", heading, F.size("__lines"))).otherwise(F.array().cast("array<string>"))
+    abstract = F.nullif(F.trim(F.aggregate(from_it, empty, span, lambda acc: F.array_join(acc["out"], " "))), F.lit(""))
     return out.withColumn("title", title).withColumn("abstract", abstract).drop("__lines", "__top")
 
 

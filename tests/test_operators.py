@@ -323,7 +323,7 @@ def test_common_words_make_no_block(spark):
 def test_keywords_of_all_languages(spark, tmp_path):
     texts = ["Größe größe naïve-Modelle Straße Wörter 日本語", "L'étude Étude Über-sicht the corpus Corpus", "", None, "Kelvin \u212aelvin İstanbul this With", *["mot%d-é palabra niño Haus " % i * 20 for i in range(3)]]
     spark.createDataFrame([(i, t, ["fr", "de", "es", "en"][i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.keywords for r in queries.keyword_extract_all(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.keywords for r in queries.keyword_extract(spark, str(tmp_path)).collect()}
     for i, t in enumerate(texts):
         first = {}
         for w in re.findall(r"[A-Za-z][A-Za-z\-]{3,}", t or ""):
@@ -337,7 +337,7 @@ def test_relevance_of_all_scripts(spark, tmp_path):
     texts = ["GRÖSSE größe", "Naïve ÉTUDE", "σοφος ΣΟΦΟΣ", "Слова", "١٢٣٤ x²³¼½", "cafe\u0301", "cafe", "Ⓐword word", "THIS_IS", "naïveté", "", "plain ascii", "日本語 テキスト — naïve"]
     spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, target)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.doc_id: r.relevance for r in queries.lexical_relevance_all(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.relevance for r in queries.lexical_relevance(spark, str(tmp_path)).collect()}
     want = set(re.findall(r"\w{4,}", target.lower())) - set(S.TOPIC_STOPWORDS)
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(len(want & set(re.findall(r"\w{3,}", t.lower()))) / (len(want) + 1e-5), abs=1e-8), t
