@@ -267,3 +267,28 @@ def abstract_span(spark, sf_dir):
     text = F.concat(F.lit("A paper about much of this\nAnn Lee\nAbstract\n"), F.trim(F.regexp_replace("t", r"\s+", " ")), F.lit("\nthe end.\n1. Introduction\nIt began long ago."))
     return paper_text.with_title_and_abstract(d.select("doc_id", text.alias("text"))).select("doc_id", "abstract")
 
+
+
+@query("""SELECT n_nationkey AS run_id, n_nationkey * 1000 + k AS id, k AS position, n_nationkey % 5 <> 0 AND k % 2 = 0 AS accepted FROM nation, (SELECT unnest(range(1, 11)) AS k) WHERE k <= CASE WHEN n_nationkey % 5 = 0 THEN 10 ELSE 6 END""")
+def quota_expansion(spark, sf_dir):
+    """Whole loops: a queue of three works a run, two more by each expansion, until three are accepted or ten were looked at."""
+    runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("run_id"))
+    more = lambda d, first, n: d.select("run_id", F.explode(F.sequence(first, first + n - 1)).alias("rank")).withColumn("id", F.col("run_id") * 1000 + F.col("rank"))
+    last = lambda seen: seen.groupBy("run_id").agg(F.max("rank").alias("last"))
+    good = lambda d: (F.col("run_id") % 5 != 0) & (F.col("rank") % 2 == 0)
+    seen = quota.loop(more(runs, F.lit(1).cast("long"), 3), good, lambda accepted, seen: more(last(seen), F.col("last") + 1, 2), target=3, depth=10)
+    return seen.select("run_id", "id", F.col("position").cast("long").alias("position"), "accepted")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey % 2 = 0")
+def guarded_rows(spark, sf_dir):
+    """Rows behind the guard inside a plan: all of them have a complete exclusion."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "complete").otherwise("incomplete").alias("status"))
+    return exclude.guarded(p.filter("status = 'complete'"), F.col("status")).select("id")
+
+
+@query("SELECT 'D' || p_partkey AS id, CAST(p_size AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS venue FROM part")
+def migrated_columns(spark, sf_dir):
+    """A table brought to a newer schema: what it lacks is null, its own columns keep their values."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n"), F.concat(F.lit("D"), _k("p_partkey")).alias("id"))
+    return files.with_columns(p, {"id": "string", "n": "long", "venue": "string"})

@@ -426,3 +426,15 @@ def test_components_with_hot_vertices(spark):
     from lodestone.operators import lineage
 
     assert lineage.shared_dir(spark) in lineage.run_path(spark, "x") and spark.sparkContext.applicationId in lineage.run_path(spark, "x")
+
+
+def test_extracted_texts(spark):
+    """An injected PDF reader's pages end to end; a file that it can't read has a null text."""
+
+    def pages(data):
+        if data.startswith(b"bad"):
+            raise ValueError("broken")
+        return data.decode().split("|")
+
+    df = spark.createDataFrame([("a", bytearray(b"one|t\x00wo")), ("b", bytearray(b"bad|x")), ("c", bytearray(b""))], "path string, content binary")
+    assert {r.path: r.text for r in paper_text.extracted(df, pages).collect()} == {"a": "one\ntwo", "b": None, "c": ""}

@@ -38,3 +38,20 @@ def test_entry(spark):
 
     assert set(q.QUERIES) <= set(entry.queries())
     assert entry.entry(spark).columns == ["source", "doc_id", "rrf", "rank"]
+
+
+def test_entry_without_the_optional_part(monkeypatch):
+    """A library that only the training-data queries need is missing: the others stay."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [n for n in sys.modules if n.startswith(("lodestone.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    import lodestone
+
+    monkeypatch.delattr(lodestone, "llm", raising=False)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    monkeypatch.setitem(sys.modules, "lodestone.llm", None)
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(entry.queries()) == set(q.QUERIES)
