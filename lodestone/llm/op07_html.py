@@ -172,9 +172,9 @@ class Page:
 
     def _close(self, names: set[str], stop: set[str]) -> None:
         """Close the nearest open one of `names`, if none of `stop` is nearer."""
-        nearest = lambda kinds: max((p[-1] for x in kinds if (p := self.places.get(x))), default=0)
+        nearest = lambda kinds: max([p[-1] for x in kinds if (p := self.places.get(x))], default=0)
         k = nearest(names)
-        if k > nearest(stop):
+        if k and k > nearest(stop):
             self._pop(k)
 
     def measures(self) -> dict[str, np.ndarray]:
@@ -296,13 +296,15 @@ class Trees:
         return self
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        rows = np.arange(len(x))
-        for t in range(self.rounds):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (x[rows, self.split[t, node]] > self.cut[t, node])
-            out += self.leaf[t][node - (1 << self.depth) + 1]
+        """Each tree's value from its leaves up, every node on its feature's whole column."""
+        x, out = np.asfortranarray(x), np.full(len(x), self.base)
+        for split, cut, leaf in zip(self.split.tolist(), self.cut, self.leaf, strict=True):
+            values = list(leaf)
+            for k in range(len(split) - 1, -1, -1):
+                left, right = values[-2:]
+                values[-2:] = []
+                values.insert(0, np.where(x[:, split[k]] > cut[k], right, left))
+            out += values[0]
         return out
 
 
