@@ -59,6 +59,14 @@ class PrefixCounter:
             self.rank[left, right] = rank
             self.parts.setdefault(whole, (left, right, rank))
         self.longest = max(map(len, self.vocab))
+        # By its last two symbols, how long a token can be: inside a word, and at its end.
+        self.reach: dict[str, int] = {}
+        self.reach_closed: dict[str, int] = {}
+        for token in self.vocab:
+            self.reach[token[-2:]] = max(len(token), self.reach.get(token[-2:], 1))
+            if token.endswith(MARK):
+                body = token[: -len(MARK)]
+                self.reach_closed[body[-2:]] = max(len(body), self.reach_closed.get(body[-2:], 1))
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         odd = any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or regex.search(r"\s", x["content"]) for x in spec["added_tokens"])
         if spec["model"].get("end_of_word_suffix") != MARK or odd:
@@ -114,11 +122,11 @@ class PrefixCounter:
 
         Given those of a shorter prefix, goes on from there, in place.
         """
-        vocab, stands, longest = self.vocab, self.stands, self.longest
+        vocab, stands, reach = self.vocab, self.stands, self.reach
         if last is None or count is None:
             last, count = [-1], [0]
         for end in range(len(last), len(symbols) + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(max(0, end - reach.get(symbols[max(0, end - 2) : end], 1)), end):
                 token = vocab.get(symbols[start:end])
                 if token is not None and (start == 0 or stands(last[start], token)):
                     last.append(token)
@@ -128,7 +136,7 @@ class PrefixCounter:
 
     def closed(self, symbols: str, last: list[int], count: list[int], end: int) -> int:
         """Tokens of the prefix up to end, as a whole word."""
-        for start in range(max(0, end - self.longest), end):
+        for start in range(max(0, end - self.reach_closed.get(symbols[max(0, end - 2) : end], 1)), end):
             token = self.vocab.get(symbols[start:end] + MARK)
             if token is not None and (start == 0 or self.stands(last[start], token)):
                 return count[start] + 1
