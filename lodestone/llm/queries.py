@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_toxicity, op02_binary, op03_packing, op04_counts, op05_simhash, op06_secrets, op07_html, op08_quality, op09_order_minhash, op10_decontaminate
+from . import op01_toxicity, op02_binary, op03_packing, op04_counts, op05_simhash, op06_secrets, op07_html, op08_quality, op09_order_minhash, op10_decontaminate, op11_ranked
+from . import op12_sentencepiece as op12_encode
+from . import op13_divergence as op13_audit
 from .common import table
 
 
@@ -48,7 +50,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_binary_ids, op3_packing, op4_token_counts, op5_simhash, op6_secret_scans, op7_html_text, op8_quality, op9_order_minhash, op10_decontamination)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_encode.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_audit.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_binary_ids, op3_packing, op4_token_counts, op5_simhash, op6_secret_scans, op7_html_text, op8_quality, op9_order_minhash, op10_decontamination, op11_ranked_search, op12_sentencepiece, op13_divergence)
+}
 
 #: Whole words and windows of words can be had in SQL; the other operators are tested against brute force in tests/llm.
 ORACLES = {
@@ -65,5 +82,35 @@ hit_items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+""",    "op11_ranked_search": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+size AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+asked AS (SELECT DISTINCT term FROM q),
+tf AS (SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) JOIN asked USING (term) GROUP BY ALL),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term),
+weight AS (SELECT term, floor(1000.0::DOUBLE * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, size),
+part AS (SELECT q.item_id, tf.r, tf.doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // total))) AS s FROM tf JOIN weight USING (term) JOIN q USING (term), size),
+score AS (SELECT item_id, doc_id, sum(s)::BIGINT AS score FROM part GROUP BY item_id, r, doc_id),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INT AS rank, doc_id, score FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+said AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM said GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+gc AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM said JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+gn AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS total FROM groups LEFT JOIN gc USING (lang, source) GROUP BY ALL),
+gp AS (SELECT g.lang, g.source, k.term, coalesce(n, 0)::HUGEINT AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0)::HUGEINT + 1)) // (total + v) AS p
+  FROM gn g JOIN v USING (lang) JOIN kept k USING (lang) LEFT JOIN gc ON gc.lang = g.lang AND gc.source = g.source AND gc.term = k.term),
+lp AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 1)) // (total + v) AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM gc GROUP BY ALL) JOIN (SELECT lang, sum(total)::HUGEINT AS total FROM gn GROUP BY lang) USING (lang) JOIN v USING (lang)),
+pair_sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair_sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value FROM gp JOIN lp USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM terms) WHERE rank <= 200
 """,
 }
