@@ -31,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MEMOS, map_batches, record, saved, slices
+from .common import MEMOS, map_batches, record, run_path, saved, slices
 from .op11_ranked import ranges
 from .terms import LETTER_BYTES, Terms
 
 LEAST, TOP, SCALE = 3, 200, 1_000_000_000
-#: Bytes of kept terms (with 16 for each) in a block of the vocabulary: its automata take some thirty times as many.
-BLOCK_BYTES = 2 << 20
-SLICE, HELD_COUNTS = 4 << 20, 4 << 20
+#: Bytes of kept terms (with 16 for each) in a block of the vocabulary: their automata take five to ten times as many.
+BLOCK_BYTES = 24 << 20
+#: Bytes of text in a slice; counts that a task holds before it sums and, if they stay many, emits them.
+SLICE, HELD_COUNTS = 8 << 20, 1 << 20
 #: Pairs of postings that are worked at a time.
 PAIRS = 1 << 18
 
@@ -69,52 +70,70 @@ _built: dict[str, dict] = {}
 MEMOS.append(_built.clear)
 
 
-def automata(name: str, block: list[tuple[str, str]]) -> dict:
+def automata(name: str, lang: pa.Array, term: pa.Array) -> dict:
     """lang to the automaton of its terms in the block, each padded by spaces; a term's value is its place in the block."""
     if name not in _built:
         import ahocorasick
 
         _built.clear()
         made: dict = {}
-        for i, (lang, term) in enumerate(block):
-            if lang not in made:
-                made[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            made[lang].add_word(f" {term} ", i)
-        for a in made.values():
-            a.make_automaton()
+        for a in range(0, len(term), 1 << 14):
+            for i, (x, t) in enumerate(zip(lang.slice(a, 1 << 14).to_pylist(), term.slice(a, 1 << 14).to_pylist(), strict=True), a):
+                if x not in made:
+                    made[x] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+                made[x].add_word(f" {t} ", i)
+        for x in made.values():
+            x.make_automaton()
         _built[name] = made
     return _built[name]
 
 
+class Counts:
+    """Occurrences by group and place in the block, summed whenever there are many."""
+
+    def __init__(self, width: int):
+        self.width, self.groups, self.held, self.size = width, {}, [], 0
+
+    def add(self, group: tuple[str, str], found: np.ndarray) -> None:
+        at, n = np.unique(found, return_counts=True)
+        self.held.append((self.groups.setdefault(group, len(self.groups)) * self.width + at, n))
+        self.size += len(at)
+
+    def sum(self) -> None:
+        keys, back = np.unique(np.concatenate([k for k, _ in self.held]), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, back, np.concatenate([x for _, x in self.held]))
+        self.held, self.size = [(keys, n)], len(keys)
+
+    def taken(self, lang: pa.Array, term: pa.Array) -> pa.RecordBatch:
+        self.sum()
+        keys, n = self.held[0]
+        place = pa.array(keys % self.width)
+        source = pa.array([x for _, x in self.groups], pa.utf8()).take(pa.array(keys // self.width))
+        self.groups, self.held, self.size = {}, [], 0
+        return record(lang=lang.take(place), source=source, term=term.take(place), n=n)
+
+
 def _recounted(docs: DataFrame, name: str, held) -> DataFrame:
     """lang, source, term, n: each task's occurrences of a broadcast block's terms."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value
-        by_lang = automata(name, block)
-        counts: dict[tuple[str, str], np.ndarray] = {}
-        lang_of, term_of = (pa.array([x[i] for x in block], pa.utf8()) for i in (0, 1))
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            for (_, source), n in counts.items():
-                at = np.flatnonzero(n)
-                yield record(lang=lang_of.take(pa.array(at)), source=pa.array([source] * len(at), pa.utf8()), term=term_of.take(pa.array(at)), n=n[at])
-            counts.clear()
-
+        lang, term = held.value
+        by_lang, counts = automata(name, lang, term), Counts(len(term))
         for part in slices(batches, "text", SLICE):
             groups: dict[tuple[str, str], list[str]] = {}
-            for lang, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                if lang in by_lang:
-                    groups.setdefault((lang, source), []).append(text)
+            for x, source, text in zip(*(part.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+                if x in by_lang:
+                    groups.setdefault((x, source), []).append(text)
             for key, texts in groups.items():
                 said = f" {' '.join(texts)} ".encode("utf-8", "surrogatepass").translate(PADDED).decode("utf-8", "surrogatepass")
-                found = np.fromiter(map(itemgetter(1), by_lang[key[0]].iter(said)), np.int64)
-                if key not in counts:
-                    if (len(counts) + 1) * len(block) > HELD_COUNTS:
-                        yield from emit()
-                    counts[key] = np.zeros(len(block), np.int64)
-                counts[key] += np.bincount(found, minlength=len(block))
-        yield from emit()
+                counts.add(key, np.fromiter(map(itemgetter(1), by_lang[key[0]].iter(said)), np.int64))
+            if counts.size > HELD_COUNTS:
+                counts.sum()
+                if counts.size > HELD_COUNTS // 2:
+                    yield counts.taken(lang, term)
+        if counts.held:
+            yield counts.taken(lang, term)
 
     return map_batches(docs, work, "lang string, source string, term string, n long", keeps_memos=True)
 
@@ -124,11 +143,13 @@ def occurrences(docs: DataFrame, kept: DataFrame, block: int = BLOCK_BYTES) -> D
     spark = docs.sparkSession
     size = kept.agg(F.sum(F.octet_length("term") + F.octet_length("lang") + 16)).first()[0] or 0
     n_blocks = max(1, -(-size // block))
-    dealt = kept.groupBy(F.pmod(F.xxhash64("lang", "term"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("lang", "term")).alias("terms"))
+    dealt = saved(kept.select("lang", "term", F.pmod(F.xxhash64("lang", "term"), F.lit(n_blocks)).alias("block")).sortWithinPartitions("block"), "vocabulary")
     parts = []
-    for b, row in enumerate(saved(dealt, "vocabulary", maxRecordsPerFile=1).toLocalIterator()):
-        held = spark.sparkContext.broadcast([(x.lang, x.term) for x in row.terms])
-        parts.append(_recounted(docs, f"{spark.sparkContext.applicationId}-{held._jbroadcast.id() if held._jbroadcast is not None else b}", held))
+    for b in range(n_blocks):
+        rows = dealt.filter(F.col("block") == b).select("lang", "term").toArrow().combine_chunks()
+        if rows.num_rows:
+            held = spark.sparkContext.broadcast(tuple(rows.column(c).combine_chunks() for c in ("lang", "term")))
+            parts.append(_recounted(docs, run_path(spark, "automata"), held))
     if not parts:
         return spark.createDataFrame([], "lang string, source string, term string, n long")
     return reduce(DataFrame.unionByName, parts).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
