@@ -1,18 +1,21 @@
 """Which rows are the same paper: equal identifiers, or titles alike and years close.
 
-Identifiers go through one equality join on (kind, value). Titles meet only where their likeness can reach the ratio at all,
-by the rarest of their words or pieces, so a word that most titles share makes no block; the ratio itself runs in Arrow batches
-over the pairs that lengths and word counts leave.
+Identifiers go through one equality join on (kind, value). Titles meet only where their likeness can reach the ratio at all:
+by the rarest of their words, short ones by what is left of them after a deletion or two, longer ones by the rarest of their
+pieces. No word that most titles share makes a block; of pieces that all long titles share, one may, where a title has no D + 1
+rarer ones. The ratio itself runs in Arrow batches over the pairs that lengths and word counts leave.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.scoring import title_ratio
 from ..ship import ship
+from .lineage import saved
 
 IDS = ("doi", "arxiv_id", "openalex_id", "s2_id")
 _NORMAL = {"doi": N.doi, "arxiv_id": N.arxiv, "openalex_id": N.openalex_id, "s2_id": N.s2_id}
@@ -71,7 +74,7 @@ def _within(small: DataFrame, large: DataFrame, slack: float) -> DataFrame:
 
 
 def _pieces(a: DataFrame, b: DataFrame, slack: float) -> DataFrame:
-    """l, r: titles that may differ in few characters.
+    """l, r: titles that may differ in few characters, for left ones of more than DELETIONS differences.
 
     Such a left title of n characters differs in at most D = n 2 slack / (1 - slack) insertions and deletions. Its words are
     cut into pieces of q characters, 4 or fewer where that leaves no more than D of them; each edit spoils one at most, so of
@@ -80,29 +83,77 @@ def _pieces(a: DataFrame, b: DataFrame, slack: float) -> DataFrame:
     c, widest = 2 * slack / (1 - slack), (1 + slack) / (1 - slack)
     most = F.floor(F.col("n") * c + 1e-9).cast("int")
     cut = lambda q: F.flatten(F.transform("tok", lambda w: F.when(F.length(w) >= q, F.transform(F.sequence(F.lit(0), F.floor(F.length(w) / q).cast("int") - 1), lambda i: F.substr(w, i * q + 1, F.lit(q)))).otherwise(F.array().cast("array<string>"))))
-    left = a.withColumn("d", most).filter("d > 0")
+    left = a.withColumn("d", most).filter(F.col("d") > DELETIONS)
     pieces = F.when(F.size(cut(4)) > F.col("d"), F.struct(F.lit(4).alias("q"), cut(4).alias("p"))).when(F.size(cut(2)) > F.col("d"), F.struct(F.lit(2).alias("q"), cut(2).alias("p"))).otherwise(F.struct(F.lit(1).alias("q"), cut(1).alias("p")))
     left = left.select("t", "n", pieces.alias("x")).select("t", "n", "x.q", F.explode("x.p").alias("k")).withColumn("size", F.lit(1))
     grams = lambda w, q: F.when(F.length(w) >= q, F.transform(F.sequence(F.lit(1), F.length(w) - q + 1), lambda i: F.substr(w, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
     every = F.flatten(F.transform("tok", lambda w: F.concat(grams(w, 4), grams(w, 2), grams(w, 1))))
-    right = b.filter(F.col("n") * widest * c >= 1).select(F.col("t").alias("r"), F.col("n").alias("m"), F.explode(F.array_distinct(every)).alias("k"))
+    right = b.filter(F.floor(F.col("n") * widest * c + 1e-9) > DELETIONS).select(F.col("t").alias("r"), F.col("n").alias("m"), F.explode(F.array_distinct(every)).alias("k"))
     by = _ordered(_rarest(left, "k", left.select("k").unionByName(right.select("k"))))
     keys = by.withColumn("d", most).select(F.col("t").alias("l"), "n", F.explode(F.array_distinct(F.transform(F.slice("by", 1, F.col("d") + 1), lambda x: x["k"]))).alias("k"))
     return keys.join(right, "k").filter(F.greatest("m", "n") <= F.least("m", "n") * widest + 1e-9).select("l", "r")
 
 
+#: Titles that may differ in so many insertions and deletions are met by what is left after them; longer ones by pieces.
+DELETIONS = 2
+
+
+def remains(words: list[str], most: int) -> list[set[str]]:
+    """What may be left of a title's words after 0, 1, ... `most` deletions of a character, or of the space between two words.
+
+    Each is the sorted words, one space apart. Which words of a pair of titles face each other isn't known before they meet, so
+    a space may join any two words in their sorted order. Words come in order of the alphabet and keep their places.
+    """
+    now, found = {tuple(sorted(words))}, []
+    for left in range(most, -1, -1):
+        found.append({" ".join(sorted(w for w in x if w)) for x in now})
+        if left:
+            cut = {(*x[:i], w[:k] + w[k + 1 :], *x[i + 1 :]) for x in now for i, w in enumerate(x) for k in range(len(w))}
+            now = cut | {(*x[:i], x[i] + x[j], *x[i + 1 : j], *x[j + 1 :]) for x in now for j in range(1, len(x)) for i in range(j)}
+    return found
+
+
+def _deletions(a: DataFrame, b: DataFrame, slack: float) -> DataFrame:
+    """l, r: titles that may differ in few characters, for left ones of at most DELETIONS differences.
+
+    With D as in _pieces, such a pair has a text in common that is left of one title after i deletions and of the other after
+    j, i + j <= D. A key is the hash of such a text: there are some n of them for D = 1 and n^2 / 2 for D = 2, where n < 36 at
+    the ratio 0.96, and titles meet only where such texts are equal, whatever words they share.
+    """
+    c, widest = 2 * slack / (1 - slack), (1 + slack) / (1 - slack)
+
+    def keys(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = [(t, d, i, k) for t, tok, d in zip(*(x.to_pylist() for x in part.columns), strict=True) for i, level in enumerate(remains(tok, min(d, DELETIONS))) for k in level]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*rows), (pa.utf8(), pa.int32(), pa.int32(), pa.utf8()), strict=True)], names=["t", "d", "i", "k"])
+
+    def left_after(d: DataFrame, most) -> DataFrame:
+        rows = d.withColumn("d", most.cast("int")).filter("d > 0").select("t", "tok", "d")
+        return rows.mapInArrow(keys, "t string, d int, i int, k string").select("t", "d", "i", F.xxhash64("k").alias("k"))
+
+    left = left_after(a.filter(F.floor(F.col("n") * c + 1e-9) <= DELETIONS), F.floor(F.col("n") * c + 1e-9)).withColumnsRenamed({"t": "l", "i": "x"})
+    right = left_after(b.filter(F.floor(F.col("n") / widest * c - 1e-9) <= DELETIONS), F.floor(F.col("n") * widest * c + 1e-9)).withColumnsRenamed({"t": "r", "i": "y"}).drop("d")
+    return left.join(right, "k").filter("x + y <= d").select("l", "r").distinct()
+
+
 def title_pairs(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> DataFrame:
     """l, r: all pairs of normalised titles (columns t, distinct here) that could reach the ratio, and some that don't.
 
     A pair reaches it in one of three ways: the words of one nearly all stand in the other (either way round), or the two
-    differ in few characters.
+    differ in few characters. The distinct titles are written once; where a side has none, there is nothing to look for.
     """
+    ship(left.sparkSession)
     slack = 1 - ratio
     tok = F.array_distinct(F.filter(F.split("t", " "), lambda w: w != ""))
-    a, b = (d.select("t").distinct().withColumn("tok", tok).withColumn("n", F.length(F.array_join("tok", " "))) for d in (left, right))
+    a, b = (saved(d.select("t").filter("t <> ''").distinct(), "titles") for d in (left, right))
+    if a.isEmpty() or b.isEmpty():
+        return left.sparkSession.createDataFrame([], "l string, r string")
+    a, b = (d.withColumn("tok", tok).withColumn("n", F.length(F.array_join("tok", " "))) for d in (a, b))
     held = _within(a, b, slack).select(F.col("s").alias("l"), F.col("l").alias("r"))
     holds = _within(b, a, slack).select("l", F.col("s").alias("r"))
-    pairs = held.unionByName(holds).unionByName(_pieces(a, b, slack)).distinct()
+    pairs = held.unionByName(holds).unionByName(_deletions(a, b, slack)).unionByName(_pieces(a, b, slack)).distinct()
     # What the ratio can be at most, from the words alone.
     x, y = F.split("l", " "), F.split("r", " ")
     size = lambda w: F.aggregate(w, F.lit(0), lambda acc, z: acc + F.length(z) + 1)

@@ -44,6 +44,21 @@ def fuzzy_titles_near(spark, sf_dir):
     return match.title_matches(_retitled(spark, sf_dir), _titled(spark, sf_dir)).select("l", "r", F.round("ratio", 6).alias("ratio"))
 
 
+#: Suppliers' codes of two or three letters that a part's code of three becomes by losing one letter, or is.
+SHORT = """SELECT s_suppkey AS l, p_partkey AS r, CASE WHEN s_suppkey % 2 = 0 THEN round(28.0 / 29, 6) ELSE 1.0 END AS ratio
+FROM (SELECT s_suppkey, substr(md5(p_name), 1, CASE WHEN s_suppkey % 2 = 0 THEN 2 ELSE 3 END) AS code FROM supplier JOIN part ON p_partkey = s_suppkey),
+(SELECT p_partkey, substr(md5(p_name), 1, 3) AS c FROM part) WHERE code IN (c, substr(c, 1, 2), substr(c, 2, 2), substr(c, 1, 1) || substr(c, 3, 1))"""
+
+
+@query(f"SELECT l, r, CAST(ratio AS DOUBLE) AS ratio FROM ({SHORT})")
+def short_titles(spark, sf_dir):
+    """Short titles that share all words but one: equal, or a letter apart."""
+    code = lambda n: F.concat(F.lit("A Survey of "), F.substr(F.md5("p_name"), F.lit(1), F.lit(n)))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", code(3).alias("title"))
+    s = table(spark, sf_dir, "supplier").join(p.withColumnRenamed("id", "s_suppkey"), "s_suppkey").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, code(2)).otherwise(code(3)).alias("title"))
+    return match.title_matches(s, p).select("l", "r", F.round("ratio", 6).alias("ratio"))
+
+
 @query(f"SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT r FROM {ALIKE}) AND p_partkey > 40")
 def exclusion_by_title(spark, sf_dir):
     """Neither cited under a like title nor the seed, whose identifiers some share."""
@@ -101,6 +116,25 @@ def tei_authors(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), h["title"].alias("title"), F.array_join(h["authors"], "|").alias("authors"), h["abstract"].alias("abstract"), h["publication_year"].alias("publication_year"), h["arxiv_id"].alias("arxiv_id"))
 
 
+def _marked_up(spark, sf_dir) -> DataFrame:
+    """Parts as TEI with a prefix, references, CDATA, comments, instructions and elements within elements."""
+    head = F.concat(F.lit("<t:title type='main'>Caf&#233; &#x41;&amp;B <![CDATA[x<y]]> <t:hi>of</t:hi> "), "p_name", F.lit("</t:title><t:idno type='doi'>10.1/&lt;<!-- x -->"), _k("p_partkey"), F.lit("</t:idno><t:abstract><t:div><t:p>On <t:hi>its <t:hi>own</t:hi></t:hi>.</t:p><t:p>More&nbsp;"), "p_type", F.lit("</t:p></t:div></t:abstract>"))
+    cited = F.concat(F.lit("<t:biblStruct><t:analytic><!-- <t:title level='a'>No</t:title> --><t:title t:level='a'><![CDATA[A & B: ]]>"), "p_type", F.lit("</t:title><t:author><t:persName><t:forename type='first'>Zo&#235;</t:forename><t:surname>"), "p_brand", F.lit("</t:surname></t:persName></t:author></t:analytic><t:monogr><t:imprint><t:date when='1999-01'/></t:imprint></t:monogr></t:biblStruct>"))
+    xml = F.concat(F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<!DOCTYPE TEI>\n<t:TEI xmlns:t='http://www.tei-c.org/ns/1.0'><!-- <teiHeader><title type='main'>No</title><abstract>No</abstract></teiHeader> --><t:teiHeader>"), head, F.lit("</t:teiHeader><t:text><t:back><t:listBibl>"), cited, F.lit("</t:listBibl></t:back></t:text>"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(xml, F.when(F.col("p_partkey") % 5 == 0, F.lit("<unclosed>")).otherwise(F.lit("</t:TEI>"))).alias("xml"))
+
+
+@query("SELECT p_partkey AS id, 'Café A&B x<y of ' || p_name AS title, '10.1/<' || p_partkey AS doi, 'On its own . More ' || p_type AS abstract FROM part")
+def tei_header_markup(spark, sf_dir):
+    h = scholarly.tei_header(F.col("xml"))
+    return _marked_up(spark, sf_dir).select("id", h["title"].alias("title"), h["doi"].alias("doi"), h["abstract"].alias("abstract"))
+
+
+@query("SELECT p_partkey AS id, 0 AS pos, 'A & B: ' || p_type AS title, 'Zoë ' || p_brand AS author, 1999 AS year, 'A & B: ' || p_type || ' Zoë ' || p_brand AS raw_citation FROM part")
+def tei_references_markup(spark, sf_dir):
+    return scholarly.tei_references(_marked_up(spark, sf_dir)).select("id", "pos", "title", F.get("authors", F.lit(0)).alias("author"), "year", "raw_citation")
+
+
 @query("""SELECT p_partkey AS id, 0 AS pos, p_name AS title, CASE WHEN p_partkey % 3 = 0 THEN 'Bo ' || p_brand END AS author, CAST(1990 + p_size AS INTEGER) AS year, trim(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' Bo ' || p_brand ELSE '' END || ' & sons ' || p_type) AS raw_citation FROM part""")
 def tei_references_anywhere(spark, sf_dir):
     """Citations in a list, in back matter without one, or in neither; titles of level m; raw citations."""

@@ -2,57 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import normalize as N
 from ..functions.text import inverted_abstract
-
-def _first(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
-
-
-def _plain(xml: Column, between: str = "") -> Column:
-    """The text of a piece of XML: tags out, the five named references resolved, white space runs as one space."""
-    out = F.regexp_replace(xml, r"(?s)<!--.*?-->|<[^>]*>", between)
-    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(mark))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
-
-
-def _element(xml: Column, name: str, attribute: str = "") -> Column:
-    """The whole of the first element of that name (and attribute, a pattern); null if there is none."""
-    return F.nullif(F.regexp_extract(xml, rf"(?s)<{name}\b{attribute}[^>]*?(?:/>|>.*?</{name}\s*>)", 0), F.lit(""))
+from ..ship import ship
+from . import tei
 
 
-def _inside(xml: Column, name: str, kinds: list[str], attribute: str = "type") -> Column:
-    """Text of the first element of that name whose attribute is the first of `kinds`, else the next one."""
-    return F.coalesce(*[_first(_plain(_element(xml, name, rf"""[^>]*?\b{attribute}\s*=\s*["']{k}["']"""))) for k in kinds])
+HEADER = "title string, abstract string, authors array<string>, doi string, arxiv_id string, publication_year int"
+REFERENCE = "pos int, raw_citation string, title string, authors array<string>, doi string, arxiv_id string, year int, extraction_method string"
 
 
-def _people(xml: Column) -> Column:
-    """Names (first forename, surname) of all authors with a persName, in order."""
-    all_ = F.regexp_extract_all(xml, F.lit(r"(?s)(<author\b(?:[^>]*[^/])?>.*?</author\s*>)"), 1)
-
-    def name(author: Column) -> Column:
-        person = _element(author, "persName")
-        return F.when(person.isNotNull(), N.person(_inside(person, "forename", ["first"]), _plain(_element(person, "surname"))))
+def tei_header(xml: Column) -> dict[str, Column]:
+    """The paper's own data, from the header alone, never from what it cites; from the whole document if it has no header.
+    A null document is one without any data. All fields come from one parse."""
 
-    return F.filter(F.transform(all_, name), lambda x: x.isNotNull())
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tei.header(x) for x in texts], columns=[c.split(" ")[0] for c in HEADER.split(", ")], dtype=object)
 
-
-def tei_header(xml: Column) -> dict[str, Column]:
-    """The paper's own data, from the header alone, never from what it cites; from the whole document if it has no header."""
-    head = F.coalesce(_element(xml, "teiHeader"), xml)
-    date = F.coalesce(_element(head, "date", r"""[^>]*?\btype\s*=\s*["']published["']"""), _element(head, "date"))
-    return {
-        "title": F.coalesce(_inside(head, "title", ["main"]), _first(_plain(_element(head, "title"))), F.lit("Untitled")),
-        "abstract": F.coalesce(_plain(_element(head, "abstract"), " "), F.lit("")),
-        "authors": _people(head),
-        "doi": _inside(head, "idno", ["DOI", "doi"]),
-        "arxiv_id": _inside(head, "idno", ["arXiv", "arxiv"]),
-        "publication_year": N.year_of(F.regexp_extract(date, r"""^<date\b[^>]*?\bwhen\s*=\s*["']([^"']*)""", 1)),
-    }
+    found = F.pandas_udf(read, HEADER)(xml)
+    return {c.split(" ")[0]: found[c.split(" ")[0]] for c in HEADER.split(", ")}
 
 
 def tei_references(df: DataFrame, xml: str = "xml", key: str = "id") -> DataFrame:
@@ -61,13 +38,19 @@ def tei_references(df: DataFrame, xml: str = "xml", key: str = "id") -> DataFram
     They stand in the first listBibl, else in the back matter, else anywhere. A title is the article's (level a), else the
     monograph's (m), else one without a level; the year is that of the first date, wherever it stands.
     """
-    held = F.coalesce(_element(F.col(xml), "listBibl"), _element(F.col(xml), "back"), F.col(xml))
-    rows = df.select(key, F.posexplode(F.regexp_extract_all(held, F.lit(r"(?s)(<biblStruct\b.*?</biblStruct\s*>)"), 1)).alias("pos", "b"))
-    b = F.col("b")
-    return rows.select(
-        key, "pos", _plain(b, " ").alias("raw_citation"), F.coalesce(_inside(b, "title", ["a", "m"], "level"), _first(_plain(_element(b, "title", r"(?![^>]*\blevel\s*=)")))).alias("title"), _people(b).alias("authors"), _inside(b, "idno", ["DOI", "doi"]).alias("doi"), _inside(b, "idno", ["arXiv", "arxiv"]).alias("arxiv_id"),
-        N.year_of(F.regexp_extract(_element(b, "date"), r"""^<date\b[^>]*?\bwhen\s*=\s*["']([^"']*)""", 1)).alias("year"), F.lit("grobid").alias("extraction_method"),
-    )
+    ship(df.sparkSession)
+    rows = df.select(key, xml)
+    kind = rows.schema[key].dataType
+    types = to_arrow_schema(StructType([StructField(key, kind), *StructType.fromDDL(REFERENCE)]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, r) for i, x in enumerate(batch.column(1).to_pylist()) for r in tei.references(x)]
+            of = batch.column(0).take(pa.array([i for i, _ in found], pa.int64()))
+            columns = [pa.array([r[f.name] for _, r in found], f.type) for f in list(types)[1:]]
+            yield pa.RecordBatch.from_arrays([of, *columns], names=types.names)
+
+    return rows.mapInArrow(read, StructType([StructField(key, kind), *StructType.fromDDL(REFERENCE)]))
 
 
 WORK = (

@@ -320,6 +320,62 @@ def test_common_words_make_no_block(spark):
     assert match.title_pairs(one, df).count() == match.title_pairs(df, one).count() == 300
 
 
+def test_short_titles_of_one_make(spark):
+    """730 titles that share all words but one: few pairs, and none is missed."""
+    rng = random.Random(9)
+    codes = sorted({"".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice([2, 3, 3, 3]))) for _ in range(820)})[:730]
+    titles = [f"a survey of {c}" for c in codes]
+    df = spark.createDataFrame(list(enumerate(titles)), "id int, title string")
+    assert match.title_pairs(*[df.select(F.col("title").alias("t"))] * 2).count() < 20 * len(titles)
+    want = {(i, j) for i, x in enumerate(titles) for j, y in enumerate(titles) if S.token_set_ratio(x, y) >= match.RATIO}
+    assert {(r.l, r.r) for r in match.title_matches(df, df).collect()} == want and len(want) > len(titles)
+
+
+def test_titles_two_edits_apart(spark):
+    """Titles of 24 to 38 characters whose words are cut, joined, reordered or changed, against all pairs."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 8)))
+    titles = [t for t in {" ".join(word() for _ in range(rng.randint(3, 7))) for _ in range(300)} if 22 <= len(t) <= 40][:120]
+    near = []
+    for t in titles:
+        for _ in range(3):
+            x = list(t)
+            for _ in range(rng.randint(1, 2)):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = rng.choice(["", "", "k", " "])
+            w = "".join(x).split()
+            rng.shuffle(w)
+            near.append(" ".join(w))
+    left, right = (spark.createDataFrame(list(enumerate(ts)), "id int, title string") for ts in (titles, near))
+    for a, b, x, y in ((left, right, titles, near), (right, left, near, titles)):
+        want = {(i, j) for i, p in enumerate(x) for j, q in enumerate(y) if S.token_set_ratio(p, q) >= match.RATIO}
+        assert {(r.l, r.r) for r in match.title_matches(a, b).collect()} == want and len(want) > 50
+
+
+def test_no_titles(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "id int, title string")
+    some = spark.createDataFrame([(1, "a title")], "id int, title string")
+    assert match.title_matches(rows, some).count() == match.title_matches(some, rows).count() == match.title_matches(rows, rows).count() == 0
+
+
+def test_tei_of_all_makes(spark):
+    odd = ["<TEI><teiHeader><title>Kept &eacute; &unknown;x</title><idno type='DOI'>10.1/a</idno><author><persName>", "no xml", "", None, "<a>" * 3000 + "<title>deep</title>", "<TEI><abstract>a\n<b/>b</abstract><date type='x' when='20'/><date type='published' when='abcd'/></TEI>"]
+    x = spark.createDataFrame(list(enumerate(odd)), "id int, xml string")
+    got = x.select("id", *[c.alias(k) for k, c in scholarly.tei_header(F.col("xml")).items()]).orderBy("id").collect()
+    assert [(r.title, r.doi, r.abstract, r.authors, r.publication_year) for r in got] == [("Kept é x", "10.1/a", "", [], None), ("Untitled", None, "", [], None), ("Untitled", None, "", [], None), ("Untitled", None, "", [], None), ("deep", None, "", [], None), ("Untitled", None, "a b", [], None)]
+    assert scholarly.tei_references(x).count() == 0 and scholarly.tei_references(x.limit(0)).count() == 0
+
+
+def test_patterns_by_their_anchors(spark):
+    """Every pattern with and without the search for its anchors first, letters that only case folding knows among them."""
+    said = ["Data\u00a0 Availability", "data  AVAILABILITY", "GSE12", "g\u017fe1", "GSEx1", "xGSE1", "PRJEB77 ds3", "E-ABCD-1", "e-abcd-12", "\u212aode and data availability", "not publicly\navailable", "ethical re\u017ftrictions", "privacy restriction", "Ava\u0130lability of data", "phs000001.v1.p1", "syn7", "authorization accession", "", None]
+    df = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    plain = [(p, n) for g, n in availability.GROUPS for p in g]
+    want = {r.id: r.s for r in df.select("id", sum((F.when(F.coalesce("text", F.lit("")).rlike(f"(?iu){p}"), n).otherwise(0.0) for p, n in plain), F.lit(0.0)).alias("s")).collect()}
+    assert {r.id: r.s for r in df.select("id", availability.pattern_score(F.col("text")).alias("s")).collect()} == want and sum(v > 0 for v in want.values()) > 12
+    assert availability.anchors(r"\b(?:SRP|SRR)\d+(?:\.v\d+)?\b") == [["srp", "srr"]] and availability.anchors(r"\bprivacy\s+restrictions?\b") == [["privacy"], ["restriction"]]
+
+
 def test_keywords_of_all_languages(spark, tmp_path):
     texts = ["Größe größe naïve-Modelle Straße Wörter 日本語", "L'étude Étude Über-sicht the corpus Corpus", "", None, "Kelvin \u212aelvin İstanbul this With", *["mot%d-é palabra niño Haus " % i * 20 for i in range(3)]]
     spark.createDataFrame([(i, t, ["fr", "de", "es", "en"][i % 4]) for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
