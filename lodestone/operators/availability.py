@@ -59,12 +59,13 @@ ODD_LETTERS = ("\u0130", "\u0131", "\u017f", "\u212a")
 def anchors(pattern: str) -> list[list[str]]:
     """Lower-case texts that a match of the pattern can't do without: of each list, one.
 
-    Read from its literals of two characters or more, and from alternatives in brackets; what is optional doesn't count.
+    Read from its literals of two characters or more, and from alternatives in brackets; what is optional doesn't count. The
+    longest come first, as the fewest texts hold them.
     """
     rest = re.sub(r"\(\?:[^()]*\)\?|\w\?|\\b", "\n", pattern)
     found = [x.lower().split("|") for x in re.findall(r"\(\?:([^()]*)\)", rest) if re.fullmatch(r"[\w|]+", x)]
     rest = re.sub(r"\(\?:[^()]*\)|\[[^]]*\]|\{\d+\}|\\[A-Za-z]|[+*.]", "\n", rest)
-    return found + [[x.lower()] for x in rest.split("\n") if len(x) > 1]
+    return sorted(found + [[x.lower()] for x in rest.split("\n") if len(x) > 1], key=lambda ways: -min(map(len, ways)))
 
 
 def pattern_score(text: Column, section: Column | None = None, groups=GROUPS) -> Column:
@@ -75,12 +76,12 @@ def pattern_score(text: Column, section: Column | None = None, groups=GROUPS) ->
     t = F.concat(F.coalesce(section, F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))) if section is not None else F.coalesce(text, F.lit(""))
 
     def score(x: Column) -> Column:
-        odd = reduce(lambda a, b: a | b, [x["t"].contains(c) for c in ODD_LETTERS])
         may = lambda p: reduce(lambda a, b: a & b, [reduce(lambda a, b: a | b, [x["low"].contains(w) for w in ways]) for ways in anchors(p)], F.lit(True))
-        return reduce(lambda a, b: a + b, [F.when((may(p) | odd) & x["t"].rlike(f"(?iu){p}"), F.lit(points)).otherwise(0.0) for patterns, points in groups for p in patterns])
+        return reduce(lambda a, b: a + b, [F.when((may(p) | x["odd"]) & x["t"].rlike(f"(?iu){p}"), F.lit(points)).otherwise(0.0) for patterns, points in groups for p in patterns])
 
     # An array of one: its element is computed once, and named.
-    return F.element_at(F.transform(F.array(F.struct(t.alias("t"), F.lower(t).alias("low"))), score), 1)
+    odd = reduce(lambda a, b: a | b, [t.contains(c) for c in ODD_LETTERS])
+    return F.element_at(F.transform(F.array(F.struct(t.alias("t"), F.lower(t).alias("low"), odd.alias("odd"))), score), 1)
 
 
 def with_dense_bonus(scored: DataFrame, ranked: DataFrame, part: str, index: str, places: int = 10) -> DataFrame:

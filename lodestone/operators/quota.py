@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fuse import keep_first
-from .lineage import checkpointed
+from .lineage import checkpointed, unused
 from .screen import worth_evaluating
 
 TARGET, DEPTH, FLOOR = 20, 100, 3.0
@@ -20,14 +20,15 @@ TARGET, DEPTH, FLOOR = 20, 100, 3.0
 
 def one_round(queue: DataFrame, accepted: Column, run: str = "run_id", rank: str = "rank", key: str = "id", target: int = TARGET, depth: int = DEPTH, floor: float = FLOOR, score: str = "abstract_relevance_score") -> DataFrame:
     """Rows of each run's queue that are looked at: position, evaluated, accepted. Repeats of a key are looked at, not evaluated."""
-    w = Window.partitionBy(run).orderBy(rank)
-    first = F.row_number().over(Window.partitionBy(run, key).orderBy(rank)) == 1
-    rows = queue.withColumn("__first", first)
-    worth = F.col("__first") & worth_evaluating(F.col(score), floor) if score in queue.columns else F.col("__first")
+    # Only a run's first `depth` rows can matter; tasks cut to them before the shuffle.
+    rows = queue.withColumn("position", F.row_number().over(Window.partitionBy(run).orderBy(rank))).filter(F.col("position") <= depth)
+    first, before = unused(rows, "first"), unused(rows, "before")
+    rows = rows.withColumn(first, F.row_number().over(Window.partitionBy(run, key).orderBy("position")) == 1)
+    worth = F.col(first) & worth_evaluating(F.col(score), floor) if score in queue.columns else F.col(first)
     rows = rows.withColumn("evaluated", worth).withColumn("accepted", F.coalesce(worth & accepted, F.lit(False)))
-    before = F.coalesce(F.sum(F.col("accepted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("position", F.row_number().over(w)).withColumn("__before", before)
-    return rows.filter((F.col("__before") < target) & (F.col("position") <= depth)).drop("__before", "__first")
+    earlier = Window.partitionBy(run).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(before, F.coalesce(F.sum(F.col("accepted").cast("int")).over(earlier), F.lit(0)))
+    return rows.filter(F.col(before) < target).drop(before, first)
 
 
 def loop(queue: DataFrame, accept: Callable[[DataFrame], Column], expand: Callable[[DataFrame, DataFrame], DataFrame] | None = None, target: int = TARGET, depth: int = DEPTH, run: str = "run_id", key: str = "id", keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
@@ -44,7 +45,7 @@ def loop(queue: DataFrame, accept: Callable[[DataFrame], Column], expand: Callab
         new = expand(seen.filter("accepted"), seen).join(short, run)
         fresh = new.join(seen.select(run, key).distinct(), [run, key], "left_anti")
         fresh = keep_first(fresh, [run, key], [F.col("rank")])
-        more = one_round(fresh, accept(fresh), run=run, key=key, target=1 << 30, depth=1 << 30)
+        more = one_round(fresh, accept(fresh), run=run, key=key, target=1 << 30, depth=depth)
         w = Window.partitionBy(run).orderBy("rank")
         got = F.coalesce(F.sum(F.col("accepted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         more = more.withColumn("__b", got + F.col("a")).withColumn("position", F.col("position") + F.col("n")).filter((F.col("__b") < target) & (F.col("position") <= depth)).drop("__b", "a", "n")

@@ -50,16 +50,18 @@ def report_rows(candidates: DataFrame, papers: DataFrame, summaries: DataFrame,
 PARTS = {"problem_formulation": "Problem", "methodological_novelty": "Method", "empirical_findings": "Findings", "paragraph_summary": "Summary", "relationship_to_target": "Relationship to Target Paper"}
 
 
+def _safe(c: Column) -> Column:
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(mark), F.lit(name))
+    return c
+
+
 def card(df: DataFrame) -> Column:
     """A report row as HTML. Columns that df lacks, and empty ones, leave their line out; without a summary the abstract stands."""
     have = set(df.columns)
     text = lambda c: F.nullif(F.array_join(c, ", ") if dict(df.dtypes)[c].startswith("array") else F.col(c).cast("string"), F.lit("")) if c in have else F.lit(None).cast("string")
 
-    def safe(c: Column) -> Column:
-        for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;"), ("'", "&#39;")):
-            c = F.replace(c, F.lit(mark), F.lit(name))
-        return c
-
+    safe = _safe
     line = lambda before, c, after: F.concat(F.lit(before), c, F.lit(after))
     label = lambda name, c: line(f"<span class='badge'>{name}: ", safe(c), "</span>")
     link = lambda before, c, name: F.concat(F.lit(f"<a href='{before}"), safe(c), F.lit(f"'>{name}</a>"))
@@ -86,6 +88,28 @@ def render(cards: list[str], title: str, paper: dict | None = None, exclusion_st
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{esc(title)} - {esc(p.get('title'))}</title></head><body><h1>{esc(title)}</h1>\n{head}\n<h2>Discovered Related Literature ({len(cards)} Papers)</h2>\n" + "\n".join(cards) + "\n</body></html>"
 
 
+def write_pages(rows: DataFrame, heads: DataFrame, path: str, run: str = "run_id", rank: str = "rrf_rank") -> None:
+    """A page for each run of `heads`, as one text file under path/run=...: its head, its rows' cards by rank, its foot.
+
+    heads: run, title, and what is known of paper_title, doi, arxiv_id, publication_year, exclusion_status. Rows of equal rank
+    stand by their cards; rows of runs without a head are left out, a run without rows is a page without cards. Each run's rows
+    are dealt to one task and sorted there, on disk if need be; nothing passes the driver.
+    """
+    said = lambda c: _safe(F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("N/A"))) if c in heads.columns else F.lit("N/A")
+    status = F.coalesce(F.nullif(F.col("exclusion_status"), F.lit("")), F.lit("incomplete")) if "exclusion_status" in heads.columns else F.lit("incomplete")
+    cards = rows.select(F.col(run).alias("run"), F.col(rank).cast("double").alias("rank"), card(rows).alias("value"))
+    n = cards.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    top = F.concat(
+        F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>"), said("title"), F.lit(" - "), said("paper_title"), F.lit("</title></head><body><h1>"), said("title"), F.lit("</h1>\n<p>Target Input Paper: <strong>"), said("paper_title"),
+        F.lit("</strong></p><p>DOI: "), said("doi"), F.lit(" | arXiv: "), said("arxiv_id"), F.lit(" | Year: "), said("publication_year"), F.lit(" | Exclusion Status: "), _safe(status), F.lit("</p>\n<h2>Discovered Related Literature ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" Papers)</h2>"),
+    )
+    runs = heads.withColumn("run", F.col(run)).join(n, "run", "left")
+    lines = runs.select("run", F.lit(0).alias("place"), F.lit(0.0).alias("rank"), top.alias("value")).unionByName(heads.select(F.col(run).alias("run"), F.lit(2).alias("place"), F.lit(0.0).alias("rank"), F.lit("</body></html>").alias("value")))
+    lines = lines.unionByName(cards.join(heads.select(F.col(run).alias("run")), "run", "left_semi").select("run", F.lit(1).alias("place"), "rank", "value"))
+    placed = lines.repartition("run").sortWithinPartitions("run", "place", "rank", "value").select(F.col("run").alias(run), "value")
+    placed.write.mode("overwrite").partitionBy(run).text(path)
+
+
 def export(rows: DataFrame, title: str, paper: dict | None = None, exclusion_status: str = "incomplete", rank: str = "rrf_rank") -> str:
-    """The page of report rows, by rank; a run has some hundred at most."""
+    """The page of one run's report rows, by rank, as a string: the caller's driver holds it (see write_pages for files)."""
     return render([r[0] for r in rows.withColumn("bibtex", bibtex(rows)).transform(lambda d: d.select(card(d).alias("card"), rank)).orderBy(rank).select("card").collect()], title, paper, exclusion_status)

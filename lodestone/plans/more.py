@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import availability, chunk, embed, exclude, expand, fuse, match, quota, report, screen, summarize, validate
+from ..operators import availability, chunk, embed, exclude, expand, fuse, inverted, match, quota, report, screen, summarize, validate
+from ..operators.lineage import run_path
 from ..sources import files, paper_text, scholarly
-from .queries import ORACLES, query, table
+from .queries import CLEAN_MACRO, ORACLES, SEARCH, SEED, TOKENS, query, table
 
 
 def _k(c: str):
@@ -294,6 +295,19 @@ def report_cards(spark, sf_dir):
     return p.select("id", report.card(p).alias("card"))
 
 
+@query("""SELECT run_id, md5('<!DOCTYPE html><html><head><meta charset=''utf-8''><title>Related &amp; new - Base ' || run_id || '</title></head><body><h1>Related &amp; new</h1>' || chr(10) || '<p>Target Input Paper: <strong>Base ' || run_id || '</strong></p><p>DOI: N/A | arXiv: N/A | Year: ' || (1990 + run_id) ||
+' | Exclusion Status: complete</p>' || chr(10) || '<h2>Discovered Related Literature (' || n || ' Papers)</h2>' || chr(10) || cards || chr(10) || '</body></html>' || chr(10)) AS digest, 1 AS n_files
+FROM (SELECT p_size AS run_id, count(*) AS n, string_agg('<section>' || chr(10) || '<h2>' || p_name || ' &lt;x&gt;</h2>' || chr(10) || '<p> (N/A), <em>Academic Venue</em></p>' || chr(10) || '<span class=''badge''>Rank #' || p_partkey || '</span>' || chr(10) || '<p>No abstract text available.</p>' || chr(10) || '</section>', chr(10) ORDER BY p_partkey) AS cards FROM part GROUP BY p_size)""")
+def report_pages(spark, sf_dir):
+    """A page for each size of parts, written and read back as files."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("run_id"), F.concat("p_name", F.lit(" <x>")).alias("title"), F.col("p_partkey").alias("rrf_rank"))
+    heads = p.select("run_id").distinct().select("run_id", F.lit("Related & new").alias("title"), F.concat(F.lit("Base "), _k("run_id")).alias("paper_title"), (F.col("run_id") + 1990).alias("publication_year"), F.lit("complete").alias("exclusion_status"))
+    path = run_path(spark, "reports")
+    report.write_pages(p, heads, path)
+    files_ = spark.read.text(path, wholetext=True)
+    return files_.groupBy(F.col("run_id").cast("int").alias("run_id")).agg(F.md5(F.max("value")).alias("digest"), F.count(F.lit(1)).cast("int").alias("n_files"))
+
+
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g'), '^\W+$', '')) || ' the end.' AS abstract FROM documents WHERE regexp_full_match(substr(text, 1, 60), '[a-zA-Z .,\n]*') AND regexp_matches(substr(text, 1, 60), '[a-z]{3}')""")
 def abstract_span(spark, sf_dir):
     """The lines between a heading that says abstract and the next section."""
@@ -326,3 +340,50 @@ def migrated_columns(spark, sf_dir):
     """A table brought to a newer schema: what it lacks is null, its own columns keep their values."""
     p = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("n"), F.concat(F.lit("D"), _k("p_partkey")).alias("id"))
     return files.with_columns(p, {"id": "string", "n": "long", "venue": "string"})
+
+
+#: The second query of each source, and the vector that comes second.
+AGAIN = "la que die qqqq de"
+SECOND = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1 OFFSET 1)"
+
+
+@query(ORACLES["bm25_topk"])
+def stored_bm25(spark, sf_dir):
+    """The same rows as bm25_topk, from postings that were written once."""
+    d = table(spark, sf_dir, "documents")
+    asked = d.select("source").distinct().select("source", F.lit(1).alias("query_id"), F.lit(SEARCH).alias("text"))
+    return inverted.sparse(inverted.build(d, "source", "doc_id", "text"), asked, "source", "doc_id", 30, places=6).select("source", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(ORACLES["relaxed_search"])
+def stored_relaxed_search(spark, sf_dir):
+    """The same rows as relaxed_search, from postings."""
+    index = inverted.build(table(spark, sf_dir, "documents"), "source", "doc_id", "text")
+    return inverted.search(index, "the of and qqqq zzzz", 100).select(F.col("key").alias("doc_id"), F.col("attempt").cast("long").alias("attempt"))
+
+
+@query(f"""WITH qs AS (SELECT 1 AS query_id, '{SEARCH}' AS qt, {SEED} AS v UNION ALL SELECT 2, '{AGAIN}', {SECOND}),
+q AS (SELECT query_id, unnest(string_split(qt, ' ')) AS term FROM qs),
+t AS (SELECT source, doc_id, {TOKENS.format('lower(text)')} AS w FROM documents),
+st AS (SELECT source, count(*) AS n, avg(len(w)) AS avgdl FROM t GROUP BY source),
+h AS (SELECT source, doc_id, dl, term, count(*) AS f FROM (SELECT source, doc_id, len(w) AS dl, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT source, term, count(*) AS df FROM h GROUP BY ALL),
+s AS (SELECT query_id, source, doc_id, sum(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s FROM h JOIN df USING (source, term) JOIN st USING (source) JOIN q USING (term) GROUP BY ALL),
+sp AS (SELECT query_id, source, doc_id, row_number() OVER (PARTITION BY query_id, source ORDER BY round(coalesce(s, 0), 9) DESC, doc_id) AS s_rank FROM (SELECT query_id, source, doc_id FROM t, qs) LEFT JOIN s USING (query_id, source, doc_id)),
+de AS (SELECT query_id, source, doc_id, row_number() OVER (PARTITION BY query_id, source ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), v), 9) DESC, doc_id) AS d_rank FROM documents JOIN embeddings ON vec_id = doc_id, qs),
+f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.source, b.source) AS source, coalesce(a.doc_id, b.doc_id) AS doc_id, d_rank, s_rank, round(coalesce(1.0::DOUBLE / (60 + d_rank), 0) + coalesce(1.0::DOUBLE / (60 + s_rank), 0), 12) AS rrf
+  FROM (SELECT * FROM de WHERE d_rank <= 30) a FULL JOIN (SELECT * FROM sp WHERE s_rank <= 30) b ON a.source = b.source AND a.doc_id = b.doc_id AND a.query_id = b.query_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rrf DESC, d_rank NULLS LAST, s_rank NULLS LAST) AS place FROM f),
+k AS (SELECT query_id, p.source, p.doc_id, place, text AS c FROM p JOIN documents d ON p.doc_id = d.doc_id WHERE place <= 12),
+r AS (SELECT query_id, source, doc_id, row_number() OVER (PARTITION BY query_id, source ORDER BY place) AS rank FROM (SELECT * FROM k WHERE {CLEAN_MACRO.replace("string_split(c, ' ')", "list_filter(regexp_split_to_array(c, '\\s+'), lambda t: t <> '')")})),
+m AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id ORDER BY query_id, rank) AS time FROM r WHERE rank <= 4)
+SELECT source, doc_id, query_id, row_number() OVER (PARTITION BY source ORDER BY query_id, rank) AS pos FROM m WHERE time = 1""")
+def many_queries(spark, sf_dir):
+    """Two queries of each source over its documents, each by words and vector; what both find stands with the first."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    d = table(spark, sf_dir, "documents").join(e, "doc_id", "left")
+    two = e.orderBy("doc_id").limit(2).select((F.row_number().over(Window.orderBy("doc_id"))).alias("query_id"), "embedding")
+    texts = spark.createDataFrame([(1, SEARCH), (2, AGAIN)], "query_id int, text string")
+    asked = d.select("source").distinct().select("source", F.explode(F.array(F.lit(1), F.lit(2))).alias("query_id")).join(F.broadcast(texts.join(two, "query_id")), "query_id")  # two rows
+    lists = inverted.hybrid(d, inverted.build(d, "source", "doc_id", "text"), asked, "source", "doc_id", "text", ks=(30, 30, 4))
+    return inverted.merged(lists, "source", "doc_id").select("source", "doc_id", "query_id", F.col("pos").cast("long").alias("pos"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import normalize as N
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
-from lodestone.operators import availability, candidates, chunk, components, embed, exclude, fuse, match, quota, report, retrieve, screen, summarize, validate
+from lodestone.operators import availability, candidates, chunk, components, embed, exclude, expand, fuse, inverted, match, quota, report, retrieve, screen, summarize, validate
 from lodestone.plans import queries
 from lodestone.sources import files, paper_text, scholarly
 
@@ -373,7 +373,45 @@ def test_patterns_by_their_anchors(spark):
     plain = [(p, n) for g, n in availability.GROUPS for p in g]
     want = {r.id: r.s for r in df.select("id", sum((F.when(F.coalesce("text", F.lit("")).rlike(f"(?iu){p}"), n).otherwise(0.0) for p, n in plain), F.lit(0.0)).alias("s")).collect()}
     assert {r.id: r.s for r in df.select("id", availability.pattern_score(F.col("text")).alias("s")).collect()} == want and sum(v > 0 for v in want.values()) > 12
-    assert availability.anchors(r"\b(?:SRP|SRR)\d+(?:\.v\d+)?\b") == [["srp", "srr"]] and availability.anchors(r"\bprivacy\s+restrictions?\b") == [["privacy"], ["restriction"]]
+    assert availability.anchors(r"\b(?:SRP|SRR)\d+(?:\.v\d+)?\b") == [["srp", "srr"]] and availability.anchors(r"\bprivacy\s+restrictions?\b") == [["restriction"], ["privacy"]]
+
+
+def test_stored_index(spark, monkeypatch):
+    """Words and vectors of many queries at once against one query at a time, with terms named to the scan and joined."""
+    rng = random.Random(12)
+    said = lambda: " ".join(rng.choices("ab cd ef gh The kl mn".split(), k=rng.randint(0, 12)))
+    rows = [(rng.choice(["p", "q", "r"]), i, rng.choice([None, said(), said(), said()]), [rng.uniform(-1, 1) for _ in range(4)] if i % 5 else None) for i in range(120)]
+    df = spark.createDataFrame([*rows, rows[3], (None, 500, "ab cd", None)], "part string, id int, content string, embedding array<float>").repartition(3)
+    texts, vectors = {1: "the ab", 2: "kl kl nothing", 3: ""}, {1: [1.0, 0.0, 0.5, 0.0], 2: [0.0, 0.0, 0.0, 0.0], 3: [0.1, 0.2, -0.3, 0.4]}
+    asked = spark.createDataFrame([(p, q, texts[q], vectors[q]) for p in ("p", "q", "none") for q in texts], "part string, query_id int, text string, embedding array<float>")
+    index = inverted.build(df, "part", "id", "content")
+    for named, held in ((4096, 4096), (0, 0)):
+        monkeypatch.setattr(inverted, "NAMED", named)
+        monkeypatch.setattr(inverted, "HELD", held)
+        words = {(r.part, r.query_id, r.rank, r.id): r.score for r in inverted.sparse(index, asked, "part", "id", 30).collect()}
+        near = {(r.part, r.query_id, r.rank, r.id): r.score for r in inverted.dense(df, asked, "part", "id", k=10).collect()}
+        for q in texts:
+            inside = df.filter("part in ('p', 'q')")
+            one = retrieve.top(retrieve.bm25(df, texts[q], "part", "id", "content"), "part", "score", "id", 30).filter("part in ('p', 'q')")
+            assert {k[:1] + k[2:]: v for k, v in words.items() if k[1] == q} == pytest.approx({(r.part, r.rank, r.id): r.score for r in one.collect()})
+            assert {k[:1] + k[2:]: v for k, v in near.items() if k[1] == q} == pytest.approx({(r.part, r.rank, r.id): r.score for r in retrieve.dense(inside, vectors[q], "part", "id", k=10).collect()})
+    for text in ("the ab kl zz zz zz", "zz", "ab", ""):
+        want = [(r.id, r.attempt) for r in expand.search(df, text, F.col("content"), 7, [F.col("id")]).collect()]
+        assert sorted((r.key, r.attempt) for r in inverted.search(index, text, 7).collect()) == sorted(want)
+    assert inverted.sparse(inverted.build(df.limit(0), "part", "id", "content"), asked, "part", "id").count() == 0
+
+
+def test_report_pages(spark, tmp_path):
+    """Files of several runs are the pages that one run at a time gives, a run without rows among them."""
+    rows = spark.createDataFrame([(r, i, f"Paper <{i}> & co", None if i % 2 else "10.1/x", "v", 2000 + i, ["A B"]) for r in (1, 2) for i in range(30, 0, -1)] + [(9, 1, "no head", None, None, None, None)], "run_id int, rrf_rank int, title string, doi string, venue string, publication_year int, authors array<string>").repartition(5)
+    heads = spark.createDataFrame([(1, "T <1>", "Base", "10.1/b", "complete"), (2, "T2", None, None, None), (3, "Empty", "", "", "")], "run_id int, title string, paper_title string, doi string, exclusion_status string")
+    report.write_pages(rows, heads, str(tmp_path / "out"))
+    got = {r.run_id: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
+    for h in heads.collect():
+        cards = [r.c for r in rows.filter(F.col("run_id") == h.run_id).select(report.card(rows).alias("c"), "rrf_rank").orderBy("rrf_rank").collect()]
+        want = report.render(cards, h.title, {"title": h.paper_title, "doi": h.doi}, h.exclusion_status or "incomplete")
+        assert got[h.run_id].split("\n") == ([*want.split("\n"), ""] if cards else [x for x in want.split("\n") if x] + [""])
+    assert sorted(got) == [1, 2, 3]
 
 
 def test_keywords_of_all_languages(spark, tmp_path):
