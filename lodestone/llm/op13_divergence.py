@@ -152,7 +152,8 @@ def occurrences(docs: DataFrame, kept: DataFrame, block: int = BLOCK_BYTES) -> D
             parts.append(_recounted(docs, run_path(spark, "automata"), held))
     if not parts:
         return spark.createDataFrame([], "lang string, source string, term string, n long")
-    return reduce(DataFrame.unionByName, parts).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    # Tasks have summed already: one shuffle, without a partial sum before it.
+    return reduce(DataFrame.unionByName, parts).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
 
 def share(n, total):
