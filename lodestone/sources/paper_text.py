@@ -146,16 +146,20 @@ def references(papers: DataFrame, parsed: DataFrame, texts: DataFrame, known: Da
 
 
 def extracted(files: DataFrame, pages: Callable[[bytes], list[str]], key: str = "path", content: str = "content") -> DataFrame:
-    """key, text: the texts of a file's pages end to end, each with a line end, without NUL; null where `pages` raises."""
+    """key, text, error: the texts of a file's pages end to end, each with a line end, without NUL.
+
+    Where `pages` raises, text is null and error says what; else error is null.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(data: bytes) -> str | None:
+        def one(data: bytes) -> tuple[str | None, str | None]:
             try:
-                return "\n".join(pages(bytes(data))).replace("\x00", "")
-            except Exception:  # noqa: BLE001 - a broken file is a null text, not a failed job
-                return None
+                return "\n".join(pages(bytes(data))).replace("\x00", ""), None
+            except Exception as e:  # noqa: BLE001 - a broken file is a row with its error, not a failed job
+                return None, f"{type(e).__name__}: {e}"
 
         for b in batches:
-            yield pd.DataFrame({key: b[key], "text": [one(x) for x in b[content]]})
+            got = [one(x) for x in b[content]]
+            yield pd.DataFrame({key: b[key], "text": [t for t, _ in got], "error": [e for _, e in got]})
 
-    return files.select(key, content).mapInPandas(work, f"{key} {dict(files.dtypes)[key]}, text string")
+    return files.select(key, content).mapInPandas(work, f"{key} {dict(files.dtypes)[key]}, text string, error string")

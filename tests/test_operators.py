@@ -531,4 +531,6 @@ def test_extracted_texts(spark):
         return data.decode().split("|")
 
     df = spark.createDataFrame([("a", bytearray(b"one|t\x00wo")), ("b", bytearray(b"bad|x")), ("c", bytearray(b""))], "path string, content binary")
-    assert {r.path: r.text for r in paper_text.extracted(df, pages).collect()} == {"a": "one\ntwo", "b": None, "c": ""}
+    got = paper_text.extracted(df, pages).collect()
+    assert {r.path: r.text for r in got} == {"a": "one\ntwo", "b": None, "c": ""}
+    assert [r.path for r in got if r.error] == ["b"] and ": " in next(r.error for r in got if r.error)
