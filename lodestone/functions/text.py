@@ -52,6 +52,39 @@ def is_clean(c: Column, min_words: int = MIN_WORDS) -> Column:
     return ~is_reference(c) & ~is_low_quality(c, min_words)
 
 
+#: What a block of tokens is counted for: (name, pattern, whether the next token is seen too). `years`, `breaks` and `names`
+#: find at least as many places as the patterns above that they stand for; `pairs` begin in the block.
+COUNTED = (
+    ("words", "[a-zA-Z]{3,}", False), ("urls", r"https?://\S+|s3-\S+", False), ("bare", r"(?<!\S)[^a-zA-Z\s]+(?!\S)", False),
+    ("links", MARKERS[0][0], False), ("files", MARKERS[1][0], True), ("others", MARKERS[2][0], True), ("dois", MARKERS[3][0], False),
+    ("years", r"(?:^|\d ?);", False), ("breaks", r"[\u0085\u2028\u2029]", False), ("names", r"(?<=^|,|, )[A-Z][a-z]+ ?,|^,", False),
+)
+
+
+def marks(parts: Column, unit: int) -> Column:
+    """White-space tokens counted in blocks of `unit`: an array of structs of COUNTED, for `summed` and `surely_clean`."""
+    text = lambda b, n: F.array_join(F.slice(parts, b * unit + 1, n), " ")
+    both = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / unit).cast("int")), lambda b: F.struct(text(b, unit).alias("own"), text(b, unit + 1).alias("more")))
+    return F.transform(both, lambda x: F.struct(*[count_matches(x["more" if more else "own"], pattern).alias(name) for name, pattern, more in COUNTED]))
+
+
+def summed(blocks: Column) -> Column:
+    zero = F.struct(*[F.lit(0).alias(name) for name, _, _ in COUNTED])
+    return F.aggregate(blocks, zero, lambda acc, x: F.struct(*[(acc[name] + x[name]).alias(name) for name, _, _ in COUNTED]))
+
+
+def surely_clean(s: Column, n: Column, min_words: int = MIN_WORDS) -> Column:
+    """Whether a window of n tokens with these sums is clean (`is_clean` of it); null where the sums don't tell.
+
+    A pair of words that begins with a window's last token is counted but lies outside, so sums of pairs may be one too many.
+    A number is all that stands between commas only where fewer than three tokens have a letter.
+    """
+    unclean = (s["words"] < min_words) | (s["urls"] >= 2) | (s["bare"] > n * 0.5) | (s["links"] >= MARKERS[0][1]) | (s["dois"] >= MARKERS[3][1])
+    unclean = unclean | (s["files"] > MARKERS[1][1]) | (s["others"] > MARKERS[2][1])
+    clean = (s["files"] < MARKERS[1][1]) & (s["others"] < MARKERS[2][1]) & (s["years"] < MARKERS[4][1]) & (s["breaks"] + 1 < MARKERS[5][1]) & (s["names"] < 6) & (n - s["bare"] >= 3)
+    return F.when(unclean, False).when(clean, True)
+
+
 def json_object(c: Column) -> Column:
     """What lies between the first { and the last } of a reply, code fences taken off; without braces the trimmed text."""
     c = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?m)^```(?:json)?\s*", ""), r"(?m)\s*```$", "")

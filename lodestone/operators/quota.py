@@ -34,25 +34,30 @@ def one_round(queue: DataFrame, accepted: Column, run: str = "run_id", rank: str
 def loop(queue: DataFrame, accept: Callable[[DataFrame], Column], expand: Callable[[DataFrame, DataFrame], DataFrame] | None = None, target: int = TARGET, depth: int = DEPTH, run: str = "run_id", key: str = "id", keep: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """Rounds of evaluation; whenever the queue is empty and the quota isn't met, expand(accepted, seen) makes the next one.
 
-    A round looks at a new row or is the last, so depth bounds the rounds. keep writes and rereads a round's result, without
-    which plans grow by the round (cluster jobs pass one that uses the shared folder).
+    A round looks at a new row or is the last, so depth bounds the rounds. keep writes and rereads what a round adds and the
+    counts so far, one row a run, without which plans grow by the round (cluster jobs pass one that uses the shared folder).
+    No round writes an earlier one's rows again.
     """
+    counted = lambda d: d.groupBy(run).agg(F.sum(F.col("accepted").cast("int")).alias("a"), F.count(F.lit(1)).alias("n"))
     seen = keep(one_round(queue, accept(queue), run=run, key=key, target=target, depth=depth))
+    counts = keep(counted(seen)) if expand else None
     while expand:
-        short = seen.groupBy(run).agg(F.sum(F.col("accepted").cast("int")).alias("a"), F.count(F.lit(1)).alias("n")).filter((F.col("a") < target) & (F.col("n") < depth))
+        short = counts.filter((F.col("a") < target) & (F.col("n") < depth))
         if short.isEmpty():
             break
-        new = expand(seen.filter("accepted"), seen).join(short, run)
+        new = expand(seen.filter("accepted"), seen)
+        a, n, got = unused(new, "a"), unused(new, "n"), unused(new, "got")
+        new = new.join(short.withColumnsRenamed({"a": a, "n": n}), run)
         fresh = new.join(seen.select(run, key).distinct(), [run, key], "left_anti")
         fresh = keep_first(fresh, [run, key], [F.col("rank")])
         more = one_round(fresh, accept(fresh), run=run, key=key, target=1 << 30, depth=depth)
-        w = Window.partitionBy(run).orderBy("rank")
-        got = F.coalesce(F.sum(F.col("accepted").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        more = more.withColumn("__b", got + F.col("a")).withColumn("position", F.col("position") + F.col("n")).filter((F.col("__b") < target) & (F.col("position") <= depth)).drop("__b", "a", "n")
-        more = keep(more)
+        earlier = Window.partitionBy(run).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+        more = more.withColumn(got, F.coalesce(F.sum(F.col("accepted").cast("int")).over(earlier), F.lit(0)) + F.col(a)).withColumn("position", F.col("position") + F.col(n))
+        more = keep(more.filter((F.col(got) < target) & (F.col("position") <= depth)).drop(got, a, n))
         if more.isEmpty():
             break
-        seen = keep(seen.unionByName(more, allowMissingColumns=True))
+        counts = keep(counts.unionByName(counted(more)).groupBy(run).agg(F.sum("a").alias("a"), F.sum("n").alias("n")))
+        seen = seen.unionByName(more, allowMissingColumns=True)
     return seen
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import availability, chunk, embed, exclude, expand, fuse, inverted, match, quota, report, screen, summarize, validate
 from ..operators.lineage import run_path
-from ..sources import files, paper_text, scholarly
+from ..sources import files, paper_text, scholarly, store
+from .papers import abstract_sql
 from .queries import CLEAN_MACRO, ORACLES, SEARCH, SEED, TOKENS, query, table
 
 
@@ -308,14 +309,34 @@ def report_pages(spark, sf_dir):
     return files_.groupBy(F.col("run_id").cast("int").alias("run_id")).agg(F.md5(F.max("value")).alias("digest"), F.count(F.lit(1)).cast("int").alias("n_files"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g'), '^\W+$', '')) || ' the end.' AS abstract FROM documents WHERE regexp_full_match(substr(text, 1, 60), '[a-zA-Z .,\n]*') AND regexp_matches(substr(text, 1, 60), '[a-z]{3}')""")
+@query(abstract_sql("SELECT doc_id, text || chr(10) || '1. Introduction' AS text FROM documents", 0))
 def abstract_span(spark, sf_dir):
-    """The lines between a heading that says abstract and the next section."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("t")).filter(F.col("t").rlike(r"\A[a-zA-Z .,\n]*\z") & F.col("t").rlike("[a-z]{3}"))
-    text = F.concat(F.lit("A paper about much of this\nAnn Lee\nAbstract\n"), F.trim(F.regexp_replace("t", r"\s+", " ")), F.lit("\nthe end.\n1. Introduction\nIt began long ago."))
-    return paper_text.with_title_and_abstract(d.select("doc_id", text.alias("text"))).select("doc_id", "abstract")
+    """The lines between a heading that says abstract and the next section: each whole text in a paper's frame."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("A paper about much of this\nAnn Lee\nAbstract\n"), "text", F.lit("\n1. Introduction\nIt began long ago.")).alias("text"))
+    return paper_text.with_title_and_abstract(d).select("doc_id", "abstract")
 
 
+#: Parts as papers: 500 DOIs, of which those of even number have the arXiv id of one of 250, so that two DOIs share it.
+PARTS = """SELECT p_partkey AS id, 'd' || (p_partkey % 500) AS doi, CASE WHEN p_partkey % 2 = 0 THEN 'a' || (p_partkey % 250) END AS arxiv_id, p_name AS title FROM part"""
+
+
+@query(f"""WITH p AS ({PARTS}), q AS (SELECT *, CASE WHEN arxiv_id IS NULL THEN '0:' || doi ELSE min('0:' || doi) OVER (PARTITION BY arxiv_id) END AS least FROM p),
+e AS (SELECT sha1(least) AS paper_id, arg_min(doi, id) AS doi, arg_min(arxiv_id, id) AS arxiv_id, arg_min(title, id) AS title FROM q GROUP BY least),
+s AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'd' || s_suppkey END AS doi, 'a' || s_suppkey AS arxiv_id, s_name AS title FROM supplier),
+t AS (SELECT s.*, d.least AS by_doi, a.least AS by_arxiv FROM s LEFT JOIN (SELECT DISTINCT doi, least FROM q) d ON s.doi = d.doi LEFT JOIN (SELECT arxiv_id, min(least) AS least FROM q GROUP BY arxiv_id) a ON s.arxiv_id = a.arxiv_id),
+n AS (SELECT sha1(coalesce('0:' || doi, '1:' || arxiv_id)) AS paper_id, doi, arxiv_id, title FROM t WHERE by_doi IS NULL AND by_arxiv IS NULL)
+SELECT * FROM e UNION ALL SELECT * FROM n""")
+def registered_papers(spark, sf_dir):
+    """Two batches written by get-or-create, the first one twice, and the stored papers read back."""
+    k = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("d"), (k % 500).cast("string")).alias("doi"), F.when(k % 2 == 0, F.concat(F.lit("a"), (k % 250).cast("string"))).alias("arxiv_id"), F.col("p_name").alias("title"))
+    n = F.col("s_suppkey")
+    suppliers = table(spark, sf_dir, "supplier").select(n.alias("id"), F.when(n % 3 == 0, F.concat(F.lit("d"), n.cast("string"))).alias("doi"), F.concat(F.lit("a"), n.cast("string")).alias("arxiv_id"), F.col("s_name").alias("title"))
+    path = run_path(spark, "papers-store")
+    for batch in (parts, parts, suppliers):
+        store.get_or_create(batch, path, buckets=8)
+    return store.stored(spark, f"{path}/papers").select("paper_id", "doi", "arxiv_id", "title")
+
 
 @query("""SELECT n_nationkey AS run_id, n_nationkey * 1000 + k AS id, k AS position, n_nationkey % 5 <> 0 AND k % 2 = 0 AS accepted FROM nation, (SELECT unnest(range(1, 11)) AS k) WHERE k <= CASE WHEN n_nationkey % 5 = 0 THEN 10 ELSE 6 END""")
 def quota_expansion(spark, sf_dir):

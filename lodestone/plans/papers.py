@@ -92,18 +92,37 @@ def _people(c: str) -> str:
     return PEOPLE.format(c, TOKENS.format(c))
 
 
-@query(rf"""WITH l AS ({LINES}), s AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS l FROM l),
+def abstract_sql(texts: str, heading: int | None = None) -> str:
+    """doc_id, abstract: the lines behind the first abstract heading (or the given line) to a section heading or the line that reaches the limit."""
+    first = r"(SELECT doc_id, min(i) AS h FROM x WHERE regexp_matches(line, '(?i)^\s*abstract\s*[:.]?\s*$') GROUP BY doc_id)" if heading is None else f"(SELECT doc_id, {heading} AS h FROM d)"
+    return rf"""WITH d AS ({texts}), l AS ({LINES.replace("documents", "d")}), y AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS l FROM l),
+x AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM y), f AS {first},
+e AS (SELECT x.doc_id, min(i) AS e FROM x JOIN f USING (doc_id) WHERE i > h AND regexp_matches(line, '(?i)^\s*(?:[0-9]+\.?\s+)?(introduction|keywords|index terms)\b') GROUP BY x.doc_id),
+b AS (SELECT x.doc_id, i, line, coalesce(sum(length(line)) OVER (PARTITION BY x.doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x JOIN f USING (doc_id) LEFT JOIN e ON x.doc_id = e.doc_id WHERE i > h AND (e IS NULL OR i < e)),
+g AS (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS abstract FROM b WHERE before < 2500 GROUP BY doc_id)
+SELECT d.doc_id, abstract FROM d LEFT JOIN g USING (doc_id)"""
+
+
+TITLE_SQL = rf"""WITH l AS ({LINES}), s AS (SELECT doc_id, list_filter(list_transform(l, lambda x: trim(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x <> '') AS l FROM l),
 b AS (SELECT doc_id, l, CASE WHEN len(list_filter(l, lambda x: NOT regexp_matches(x, {BANNER}))) > 0 THEN list_position(list_transform(l, lambda x: regexp_matches(x, {BANNER})), false) ELSE len(l) END AS i FROM s WHERE len(l) > 0),
 t AS (SELECT doc_id, l[i] AS a, l[i + 1] AS b, l[i + 2] AS c FROM b),
 u AS (SELECT *, b IS NOT NULL AND NOT regexp_matches(a, '[.!?:]\s*$') AND NOT {_people('b')} AS two FROM t)
-SELECT s.doc_id, CASE WHEN NOT two THEN a WHEN c IS NOT NULL AND NOT regexp_matches(b, '[.!?:]\s*$') AND NOT {_people('c')} THEN a || ' ' || b || ' ' || c ELSE a || ' ' || b END AS title FROM s LEFT JOIN u ON s.doc_id = u.doc_id""")
+SELECT s.doc_id, CASE WHEN NOT two THEN a WHEN c IS NOT NULL AND NOT regexp_matches(b, '[.!?:]\s*$') AND NOT {_people('c')} THEN a || ' ' || b || ' ' || c ELSE a || ' ' || b END AS title FROM s LEFT JOIN u ON s.doc_id = u.doc_id"""
+
+
+@query(TITLE_SQL)
 def line_title(spark, sf_dir):
     return paper_text.with_title_and_abstract(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "title")
 
 
-@query("")
+@query(rf"""WITH ti AS ({TITLE_SQL}), ab AS ({abstract_sql("SELECT doc_id, text FROM documents")}),
+fl AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches(x, '(?i)^\s*(?:[0-9]+\.?\s+)?(introduction|keywords|index terms)\b')), true) AS hd FROM ({LINES})),
+fr AS (SELECT doc_id, CASE WHEN coalesce(hd, 0) = 0 THEN substr(text, 1, 4000) ELSE array_to_string(l[1:hd - 1], chr(10)) END AS front, text FROM fl JOIN documents USING (doc_id))
+SELECT doc_id, title, coalesce(abstract, substr(text, 1, 1000)) AS abstract,
+nullif(regexp_replace(regexp_extract(front, '10\.\d{{4,9}}/[-._;()/:A-Za-z0-9]+'), '[.,;]+$', ''), '') AS doi, nullif(regexp_extract(front, '(?i)(?:arXiv:\s*|arxiv/|abs/)?(\d{{4}}\.\d{{4,5}}(?:v\d+)?)', 1), '') AS arxiv_id
+FROM fr JOIN ti USING (doc_id) JOIN ab USING (doc_id)""")
 def text_metadata(spark, sf_dir):
-    """Title, abstract and own identifiers of each text (the abstract is a fold over lines; held against fixtures in the tests)."""
+    """Title, abstract and own identifiers of each whole text."""
     return paper_text.metadata(table(spark, sf_dir, "documents"), "doc_id")
 
 

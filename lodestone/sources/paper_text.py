@@ -1,7 +1,8 @@
 """A paper's own data from its plain text: front matter, title, abstract, body, and the identifiers that it cites.
 
 Text comes as a column (PDF libraries are outside: `extracted` takes a function from bytes to page texts). Lines are staged as
-a column once, so that no expression splits a text twice. Null text counts as empty.
+a column once, so that no expression splits a text twice, and only of texts that hold a word of the headings looked for; titles
+read the start of a text, and more only if their lines aren't in it. Null text counts as empty.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..operators.lineage import unused
 
 # Line ends, headings, banners, and what tells a title line from an author line.
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -25,6 +27,12 @@ CONNECTORS = "of the and for with in on using via to a an from into under over a
 TITLE_END = r"[.!?:]\s*$"
 FRONT_CHARS, ABSTRACT_CHARS, TITLE_LINES, SHORT_ABSTRACT = 4000, 2500, 3, 1000
 
+# What a text must hold for one of its lines to be such a heading; other texts aren't cut into lines for it.
+MATTER_WORDS = r"(?i)introduction|keywords|index terms|ref\s*er\s*en\s*ces|bibliography|works cited|availability|supplementary|contributions|competing"
+ABSTRACT_WORD = "(?i)abstract"
+#: So many characters are looked at for a title first, the whole text only if they don't hold its lines.
+TITLE_CHARS = 2000
+
 
 def lines(text: Column) -> Column:
     """Lines, without an empty one after a closing line end."""
@@ -45,12 +53,13 @@ def _until(staged: Column, n: Column) -> Column:
 def with_matter(df: DataFrame, text: str = "text") -> DataFrame:
     """df with front (lines before the first section heading, else the first characters) and body (lines before the first
     back-matter heading of the second half, else all)."""
-    out = df.withColumn("__lines", lines(F.col(text)))
-    out = out.withColumn("__front", _first_line(F.col("__lines"), SECTION)).withColumn("__back", _first_line(F.col("__lines"), BACK_MATTER, F.floor(F.size("__lines") / 2)))
+    parts, first, back = (unused(df, c) for c in ("lines", "front", "back"))
+    out = df.withColumn(parts, F.when(F.col(text).rlike(MATTER_WORDS), lines(F.col(text))))
+    out = out.withColumn(first, _first_line(F.col(parts), SECTION)).withColumn(back, _first_line(F.col(parts), BACK_MATTER, F.floor(F.size(parts) / 2)))
     whole = F.coalesce(F.col(text), F.lit(""))
-    front = F.when(F.col("__front").isNull(), F.substring(whole, 1, FRONT_CHARS)).otherwise(_until(F.col("__lines"), F.col("__front")))
-    body = F.when(F.col("__back").isNull(), whole).otherwise(_until(F.col("__lines"), F.col("__back")))
-    return out.withColumn("front", front).withColumn("body", body).drop("__lines", "__front", "__back")
+    front = F.when(F.col(first).isNull(), F.substring(whole, 1, FRONT_CHARS)).otherwise(_until(F.col(parts), F.col(first)))
+    body = F.when(F.col(back).isNull(), whole).otherwise(_until(F.col(parts), F.col(back)))
+    return out.withColumn("front", front).withColumn("body", body).drop(parts, first, back)
 
 
 def front_matter(text: Column, most: int = FRONT_CHARS) -> Column:
@@ -74,17 +83,23 @@ def with_title_and_abstract(df: DataFrame, text: str = "text") -> DataFrame:
     Title: banners are skipped; up to two more lines go on a line that doesn't end in a mark, unless they name people.
     Abstract: the lines below a heading, to the next section heading or the line that reaches the limit.
     """
-    out = df.withColumn("__lines", F.filter(F.transform(lines(F.col(text)), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != ""))
-    plain = F.array_position(F.transform("__lines", lambda x: ~x.rlike(BANNER)), True)
-    start = F.when(plain > 0, plain).otherwise(F.size("__lines")).cast("int")
-    out = out.withColumn("__top", F.when(F.size("__lines") > 0, F.slice("__lines", F.greatest(start, F.lit(1)), F.lit(TITLE_LINES))))
+    trimmed = lambda x: F.filter(F.transform(x, lambda y: F.trim(F.regexp_replace(y, r"^\s+|\s+$", ""))), lambda y: y != "")
+    plain = lambda x: F.array_position(F.transform(x, lambda y: ~y.rlike(BANNER)), True).cast("int")
+    head, at, top, under, short = (unused(df, c) for c in ("head", "at", "top", "under", "short"))
+    # The last line of a piece may be cut; a title that needs it, or lines behind it, is looked for in the whole text.
+    pieces, longer_text = F.split(F.substring(F.coalesce(F.col(text), F.lit("")), 1, TITLE_CHARS), LINE_END), F.length(text) > TITLE_CHARS
+    out = df.withColumn(head, trimmed(F.when(longer_text, F.slice(pieces, F.lit(1), F.size(pieces) - 1)).otherwise(pieces))).withColumn(at, plain(F.col(head)))
+    out = out.withColumn(short, longer_text & ((F.col(at) == 0) | (F.col(at) + TITLE_LINES - 1 > F.size(head))))
+    out = out.withColumn(head, F.when(F.col(short), trimmed(lines(F.col(text)))).otherwise(F.col(head)))
+    out = out.withColumn(at, F.when(F.col(short), plain(F.col(head))).otherwise(F.col(at)))
+    out = out.withColumn(top, F.when(F.size(head) > 0, F.slice(F.col(head), F.when(F.col(at) > 0, F.col(at)).otherwise(F.size(head)), F.lit(TITLE_LINES))))
 
     def longer(acc: Column, line: Column) -> Column:
         done = acc["done"] | acc["t"].rlike(TITLE_END) | _names_people(line)
         return F.struct(F.when(done, acc["t"]).otherwise(F.concat(acc["t"], F.lit(" "), line)).alias("t"), done.alias("done"))
 
-    first = F.struct(F.get("__top", F.lit(0)).alias("t"), F.lit(False).alias("done"))
-    title = F.aggregate(F.slice("__top", 2, TITLE_LINES), first, longer, lambda acc: acc["t"])
+    first = F.struct(F.get(top, F.lit(0)).alias("t"), F.lit(False).alias("done"))
+    title = F.aggregate(F.slice(top, 2, TITLE_LINES), first, longer, lambda acc: acc["t"])
 
     def span(acc: Column, line: Column) -> Column:
         # phase 0: before a heading, 1: below it, 2: done
@@ -96,10 +111,13 @@ def with_title_and_abstract(df: DataFrame, text: str = "text") -> DataFrame:
         return F.when(acc["phase"] == 2, acc).otherwise(step)  # nothing is looked at behind the abstract
 
     empty = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-    heading = F.array_position(F.transform("__lines", lambda x: x.rlike(ABSTRACT)), True).cast("int")
-    from_it = F.when(heading > 0, F.slice("__lines", heading, F.size("__lines"))).otherwise(F.array().cast("array<string>"))
+    heading = lambda x: F.array_position(F.transform(x, lambda y: y.rlike(ABSTRACT)), True).cast("int")
+    none = F.array().cast("array<string>")
+    out = out.withColumn(under, F.when(F.col(text).rlike(ABSTRACT_WORD), trimmed(lines(F.col(text)))).otherwise(none))
+    out = out.withColumn(at, heading(F.col(under)))
+    from_it = F.when(F.col(at) > 0, F.slice(F.col(under), F.col(at), F.size(under))).otherwise(none)
     abstract = F.nullif(F.trim(F.aggregate(from_it, empty, span, lambda acc: F.array_join(acc["out"], " "))), F.lit(""))
-    return out.withColumn("title", title).withColumn("abstract", abstract).drop("__lines", "__top")
+    return out.withColumn("title", title).withColumn("abstract", abstract).drop(head, at, top, under, short)
 
 
 def largest_font_title(spans: DataFrame, key: str, size: str = "size", top: str = "top", pos: str = "pos", text: str = "text") -> DataFrame:

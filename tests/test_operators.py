@@ -12,7 +12,7 @@ from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.operators import availability, candidates, chunk, components, embed, exclude, expand, fuse, inverted, match, quota, report, retrieve, screen, summarize, validate
 from lodestone.plans import queries
-from lodestone.sources import files, paper_text, scholarly
+from lodestone.sources import files, paper_text, scholarly, store
 
 PAPER = "id string, title string, doi string, arxiv_id string, openalex_id string, s2_id string, publication_year int, year int"
 
@@ -155,6 +155,67 @@ def test_validation(spark):
     assert [r.data_availability for r in files.remap_legacy(s).collect()] == ["unclear"] * 3
 
 
+def test_chunk_counts(spark):
+    """Sums of blocks say of every window what the text itself does, or leave it open; few are open in prose."""
+    rng = random.Random(5)
+    prose = "one two 12 ; 3 the method shows results of many trials".split()
+    odd = ["et", "al.", "Supplementary", "Figure", "10.1234/ab", "1999;", "2001", ";", "12", "https://x.org", "s3-", "s3.x", "Lee,", "Smith,Lee,", ",", "Lee", "1.", "A", "x\u2028y", "\u2028", "12.", "B", "é", "-", "7,8,9,", "x.tar.gz", "y.fasta"]
+    rows = [(i, [rng.choice(odd if rng.random() < share else prose) for _ in range(rng.choice((5, 16, 31, 64)))]) for i in range(400) for share in (rng.choice((0.05, 0.3, 1.0)),)]
+    rows += [(1000, ["12,"] * 6), (1001, "a " * 5), (1002, "Lee, Smith, Lee, Wood, Lee, Smith, Lee, Hill, and more words stand here".split())]
+    rows = [(i, w.split() if isinstance(w, str) else w) for i, w in rows]
+    for unit in (1, 4, 16):
+        d = spark.createDataFrame(rows, "id int, w array<string>").withColumn("s", T.summed(T.marks(F.col("w"), unit)))
+        got = d.select("id", T.surely_clean(F.col("s"), F.size("w"), 3).alias("sure"), T.is_clean(F.array_join("w", " "), 3).alias("is")).collect()
+        assert [r for r in got if r.sure is not None and r.sure != r["is"]] == []
+        assert sum(r.sure is None for r in got) < len(got) / 2 and {r["is"] for r in got} == {True, False}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows] + [(2000, None), (2001, ""), (2002, " \n ")], "doc_id int, text string")
+    sizes = {"parent": (24, 8), "child": (8, 4), "min_words": 3}
+    whole = chunk.chunks(docs, **sizes, joined=lambda c: F.array_join(c, " "))  # reads every window
+    assert sorted(map(tuple, chunk.chunks(docs, **sizes).collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
+def test_titles_behind_the_start(spark):
+    """A title further back than what is read first, and texts just at that size."""
+    skip = "Preprint\n" * 300
+    texts = {1: skip + "A Long Way\nto the title of it\nAnn Lee\n", 2: "x" * 1999 + "\ny of it", 3: "x" * 3000, 4: skip, 5: "", 6: None, 7: "First of all\r\n" + "second of these " * 200, 8: skip + "\nAbstract\nfar back"}
+    got = {r.id: (r.title, r.abstract) for r in paper_text.with_title_and_abstract(spark.createDataFrame(list(texts.items()), "id int, text string")).collect()}
+    assert got[1][0] == "A Long Way to the title of it" and got[2][0] == "x" * 1999 + " y of it" and got[3][0] == "x" * 3000
+    assert got[4][0] == "Preprint" and got[5] == got[6] == (None, None) and got[7][0] == "First of all " + ("second of these " * 200).strip() and got[8][1] == "far back"
+
+
+def test_upsert(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert store.stored(spark, path) is None
+    store.upsert(spark.createDataFrame([], "id int, v string"), path, ["id"])
+    assert store.stored(spark, path) is None
+    first = spark.createDataFrame([(i, f"a\0{i}") for i in range(20)], "id int, v string")
+    for _ in range(2):
+        store.upsert(first, path, ["id"], buckets=4)
+        assert sorted(r.v for r in store.stored(spark, path).collect()) == sorted(f"a{i}" for i in range(20))
+    store.upsert(spark.createDataFrame([(3, "b", 1), (30, "c", 2)], "id int, v string, w int"), path, ["id"], buckets=4)
+    store.upsert(spark.createDataFrame([(3, "no", 9), (31, "d", 9)], "id int, v string, w int"), path, ["id"], update=False, buckets=4)
+    got = {r.id: (r.v, r.w) for r in store.stored(spark, path).collect()}
+    assert len(got) == 22 and got[3] == ("b", 1) and got[30] == ("c", 2) and got[31] == ("d", 9) and got[4] == ("a4", None)
+
+
+def test_get_or_create(spark, tmp_path):
+    path, schema = str(tmp_path / "papers"), "id int, doi string, arxiv_id string, s2_id string, title string"
+    batch = spark.createDataFrame([(1, "A", "X", None, None), (2, "B", "X", "", "two"), (3, "B", None, None, "three"), (4, None, None, None, "alone"), (5, "", None, None, "alone"), (6, None, None, "S", "six"), (7, "C", None, "S", "sev\0en")], schema)
+    got = {r.id: (r.paper_id, r.created) for r in store.get_or_create(batch, path, buckets=4).collect()}
+    key = {i: k for i, (k, _) in got.items()}
+    assert all(c for _, c in got.values()) and key[1] == key[2] == key[3] and key[6] == key[7] and len(set(key.values())) == 4
+    papers = lambda: sorted(map(str, store.stored(spark, f"{path}/papers").drop("bucket").collect()))
+    once = papers()
+    assert len(once) == 4 and any("title='two'" in r and "doi='A'" in r for r in once)
+    again = {r.id: (r.paper_id, r.created) for r in store.get_or_create(batch, path, buckets=4).collect()}
+    assert papers() == once and again == {i: (k, False) for i, k in key.items()}
+    # Found by the first kind that leads anywhere; what is found learns nothing; the rest are new.
+    more = spark.createDataFrame([(1, "A", None, "S", None), (2, "no", None, "S", None), (3, "Z", "Q", None, "new"), (4, "no", None, None, None)], schema)
+    got = {r.id: (r.paper_id, r.created) for r in store.get_or_create(more, path, buckets=4).collect()}
+    assert got[1] == (key[1], False) and got[2] == (key[6], False) and got[3][1] and got[4][1] and len(papers()) == 6
+    assert store.get_or_create(batch.limit(0), path, buckets=4).count() == 0 and len(papers()) == 6
+
+
 def test_quota(spark):
     rows = [("r", f"p{i}", i, i != 1) for i in range(9)]
     q = spark.createDataFrame(rows, "run_id string, id string, rank int, ok boolean")
