@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import availability, chunk, embed, exclude, expand, fuse, inverted, match, quota, report, screen, summarize, validate
+from ..functions import scoring as S
+from ..operators import availability, candidates, chunk, embed, exclude, expand, fuse, inverted, match, quota, report, screen, summarize, validate
 from ..operators.lineage import run_path
 from ..sources import files, paper_text, scholarly, store
 from .papers import abstract_sql
@@ -316,6 +317,44 @@ def abstract_span(spark, sf_dir):
     return paper_text.with_title_and_abstract(d).select("doc_id", "abstract")
 
 
+@query("""WITH q AS (SELECT source AS run_id, doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN (doc_id % 10)::DOUBLE END AS score, coalesce(quality = 1, false) AS ok FROM documents LEFT JOIN labels USING (doc_id)),
+r AS (SELECT *, coalesce(score >= 3, true) AS evaluated, row_number() OVER (PARTITION BY run_id ORDER BY id) AS position FROM q),
+b AS (SELECT *, coalesce(sum((evaluated AND ok)::INT) OVER (PARTITION BY run_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+SELECT run_id, id, position, evaluated, evaluated AND ok AS accepted FROM b WHERE before < 25 AND position <= 400""")
+def scored_queue(spark, sf_dir):
+    """A queue with scores: what lies below the floor is looked at and passed over, what has no score isn't."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    q = table(spark, sf_dir, "documents").select("doc_id", "source").join(labels, "doc_id", "left")
+    k = F.col("doc_id")
+    q = q.select(F.col("source").alias("run_id"), k.alias("id"), k.alias("rank"), "quality", F.when(k % 7 != 0, (k % 10).cast("double")).alias("abstract_relevance_score"))
+    out = quota.one_round(q, F.col("quality") == 1, target=25, depth=400)
+    return out.select("run_id", "id", F.col("position").cast("long").alias("position"), "evaluated", "accepted")
+
+
+@query("""WITH c AS (SELECT vec_id AS id, CASE WHEN vec_id % 4 = 0 THEN 5.0 ELSE (vec_id % 100) / 10.0 END AS score, vec_id % 4 = 0 AS blank FROM embeddings)
+SELECT id, score, CASE WHEN blank THEN 'moderate' WHEN score >= 8 THEN 'high' WHEN score >= 6 THEN 'moderate' WHEN score >= 4 THEN 'low' ELSE 'irrelevant' END AS tier, CASE WHEN blank THEN 'vector' ELSE 'scorer' END AS scored_by, row_number() OVER (ORDER BY score DESC, id) AS final_rank FROM c""")
+def scorer_ranks(spark, sf_dir):
+    """An injected scorer for all rows with an abstract, the fixed score for the rest; none reaches the threshold, so all compete."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.when(F.col("vec_id") % 4 != 0, F.concat(F.lit("about "), _k("label"))).alias("abstract"))
+    by_model = lambda d: d.withColumn("abstract_relevance_score", (F.col("id") % 100) / 10.0).withColumn("abstract_relevance_tier", S.relevance_tier(F.col("abstract_relevance_score")))
+    out = candidates.screened(e.orderBy("id").limit(1).select("embedding"), e, by_model, least=9.95, most=(1 << 31) - 1)
+    return out.select("id", F.col("abstract_relevance_score").alias("score"), F.col("abstract_relevance_tier").alias("tier"), "scored_by", F.col("final_rank").cast("long").alias("final_rank"))
+
+
+@query("""WITH f AS (SELECT s_suppkey AS id, '%PDF-' || chr(10) || 'Report of ' || s_name || chr(12) || 'nation ' || s_nationkey || chr(10) AS content FROM supplier)
+SELECT id, sha256(content) AS sha256, length(content) AS length, true AS is_pdf, replace(replace(content, '%PDF-' || chr(10), ''), chr(12), chr(10)) AS text, CAST(NULL AS VARCHAR) AS error FROM f""")
+def scanned_files(spark, sf_dir):
+    """A file for each supplier, written, scanned as bytes, told by its hash and read by an injected reader of pages."""
+    content = F.concat(F.lit("%PDF-\nReport of "), "s_name", F.lit("\fnation "), _k("s_nationkey"))
+    path = run_path(spark, "files")
+    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), content.alias("value")).write.partitionBy("id").text(path)
+    found = files.binaries(spark, path, "*.txt")
+    pages = lambda data: data.decode().removeprefix("%PDF-\n").split("\f")
+    texts = paper_text.extracted(found, pages)
+    rows = found.select("path", "sha256", "length", files.is_pdf(F.col("content")).alias("is_pdf")).join(texts, "path")
+    return rows.select(F.regexp_extract("path", r"/id=(\d+)/", 1).cast("long").alias("id"), "sha256", "length", "is_pdf", "text", "error")
+
+
 #: Parts as papers: 500 DOIs, of which those of even number have the arXiv id of one of 250, so that two DOIs share it.
 PARTS = """SELECT p_partkey AS id, 'd' || (p_partkey % 500) AS doi, CASE WHEN p_partkey % 2 = 0 THEN 'a' || (p_partkey % 250) END AS arxiv_id, p_name AS title FROM part"""
 
