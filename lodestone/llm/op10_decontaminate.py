@@ -6,10 +6,14 @@ are extended: a document window that shares its fingerprint is compared with the
 by their words, and neighbouring windows make up the hit span. Items of fewer than 10 words are one window each; there every
 run of that many words is a fingerprint (a window of one).
 
-The benchmark is a set of queries run against all documents, in blocks of about BLOCK_BYTES of text (an item longer than that
-is a block of its own). Executors build each block's index, plain arrays of some ten times the block's bytes at most; blocks
-are written one a file, pass through the driver one at a time and are broadcast. A worker keeps HELD blocks at hand and reads
-the others again for each slice of documents.
+A benchmark of at most BROADCAST_BYTES of text is a set of queries run against all documents, in blocks of about BLOCK_BYTES
+(an item longer than that is a block of its own). Executors build each block's index, plain arrays of some ten times the
+block's bytes at most; blocks are written one a file, pass through the driver one at a time and are broadcast.
+
+A larger benchmark is joined by shuffle. Its fingerprints become a filter of fixed size (2^SIEVE_BITS bits, broadcast), which
+only saves work: document windows whose fingerprint may be the benchmark's are kept with their words, and windows are joined on
+those words. Texts are known by their SHA-256 there, so copies of one text are matched once; windows and texts that hold many
+rows are salted. The rows are the same either way.
 
 Null or wordless texts have no words and no hits; null and wordless items never hit, items with a null id are left out.
 Repeated rows are scored each; repeated item_ids count once, and an id's texts all count for it. Very long texts are looked
@@ -24,12 +28,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Words, gram_hashes, map_batches, mix, record, saved, slices
+from ..operators.components import hot_keys, spread_join
+from .common import Words, gram_hashes, map_batches, mix, record, saved, slices, unused
 
-WINDOW, GRAM, BLOCK_BYTES, HELD = 10, 5, 8 << 20, 4
+WINDOW, GRAM, BLOCK_BYTES, BROADCAST_BYTES = 10, 5, 8 << 20, 32 << 20
+#: Bits of the filter for larger benchmarks, and tasks that each make one.
+SIEVE_BITS, SIEVE_TASKS = 28, 32
 RUN = WINDOW - GRAM + 1
 _SIEVE = 20
 
@@ -110,6 +117,30 @@ def _rows(rows: np.ndarray) -> np.ndarray:
     return gram_hashes(np.ascontiguousarray(rows).ravel(), rows.shape[1])[:: rows.shape[1]]
 
 
+def _windows(words: Words, window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length of the items' windows, and the words at which such windows begin."""
+    size = words.counts[words.doc]  # words of each word's item
+    for n in np.unique(np.minimum(words.counts, window)).tolist():
+        if n:
+            m = len(size) - n + 1
+            yield n, np.flatnonzero((words.doc[:m] == words.doc[n - 1 :]) & ((size[:m] >= n) if n == window else (size[:m] == n)))
+
+
+def _spaced(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words end to end, one space apart, with their starts and ends."""
+    lengths = words.ends - words.starts
+    ends = np.cumsum(lengths + 1) - 1
+    stream = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
+    stream[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)] = words.bytes[words.bytes != 0]
+    return stream, ends - lengths, ends
+
+
+def _prints(words: Words, n: int, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
+    """The fingerprint of the window of n words at each word."""
+    gram = gram if n == window else n
+    return window_minima(gram_hashes(words.hash, gram), n - gram + 1)
+
+
 class Index:
     """A block of items: names, the words of all (lower-cased, one space apart) and the levels of window lengths."""
 
@@ -124,20 +155,11 @@ class Index:
         words = Words(texts)
         self.size += len(words.bytes)
         numbers = np.array([self.numbers.setdefault(x, len(self.numbers)) for x in names], np.int32)
-        lengths = words.ends - words.starts
-        ends = np.cumsum(lengths + 1) - 1
-        stream = np.full(int(ends[-1]) + 1 if len(ends) else 0, 0x20, np.uint8)
-        stream[np.arange(int(lengths.sum())) + np.repeat(np.arange(len(lengths)), lengths)] = words.bytes[words.bytes != 0]
-        self.held.append((stream, (ends - lengths + self.chars).astype(np.int64), (ends + self.chars).astype(np.int64)))
+        stream, starts, ends = _spaced(words)
+        self.held.append((stream, (starts + self.chars).astype(np.int64), (ends + self.chars).astype(np.int64)))
         other = mix(words.hash ^ np.uint64(0x5851F42D4C957F2D))
-        size = words.counts[words.doc]  # words of each word's item
-        for n in np.unique(np.minimum(words.counts, self.window)).tolist():
-            if not n:
-                continue
-            gram = self.gram if n == self.window else n
-            hashes = gram_hashes(words.hash, n)
-            at = np.flatnonzero((words.doc[: len(hashes)] == words.doc[n - 1 :]) & ((size[: len(hashes)] >= n) if n == self.window else (size[: len(hashes)] == n)))
-            prints = window_minima(gram_hashes(words.hash, gram), n - gram + 1)[at]
+        for n, at in _windows(words, self.window):
+            prints, hashes = _prints(words, n, self.window, self.gram)[at], gram_hashes(words.hash, n)
             self.parts.setdefault(n, []).append((np.unique(prints), hashes[at], gram_hashes(other, n)[at], (at + self.words).astype(np.int32), numbers[words.doc[at]]))
         self.words += len(words.starts)
         self.chars += len(stream)
@@ -159,6 +181,10 @@ class Index:
         return self.stream[self.starts[i] : self.ends[i + n - 1]].tobytes()
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+
+
 def blocks(benchmark: DataFrame, limit: int) -> Iterator[Index]:
     """The indexes of the items, in blocks of about `limit` bytes, built on executors and read one at a time."""
 
@@ -172,8 +198,7 @@ def blocks(benchmark: DataFrame, limit: int) -> Iterator[Index]:
         if index.size:
             yield record(blob=pa.array([pickle.dumps(index.close(), protocol=5)], pa.binary()))
 
-    items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    for row in saved(map_batches(items, work, "blob binary"), "benchmark", maxRecordsPerFile=1).toLocalIterator():
+    for row in saved(map_batches(_items(benchmark), work, "blob binary"), "benchmark", maxRecordsPerFile=1).toLocalIterator():
         yield pickle.loads(row.blob)
 
 
@@ -183,27 +208,126 @@ def matched(docs: DataFrame, benchmark: DataFrame, emit: Callable, schema, limit
     indexes = [spark.sparkContext.broadcast(x) for x in blocks(benchmark, limit)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", SLICE_BYTES if len(indexes) <= HELD else 8 * SLICE_BYTES):
+        for part in slices(batches, "text"):
             words = Words(part.column("text"))
             steps = np.zeros(len(words.hash) + 1, np.int64)
             items: list[set[str]] = [set() for _ in range(part.num_rows)]
-            for k, held in enumerate(indexes):
-                index = held.value
+            for index in (x.value for x in indexes):
                 for level in index.levels:
                     for i, found in level.hits(words, index):
                         steps[i] += 1
                         steps[i + level.length] -= 1
                         items[words.doc[i]].update(index.names[x] for x in found.tolist())
-                if k >= HELD:  # the next use reads it again
-                    del index
-                    held.__dict__.pop("_value", None)
             yield emit(part, words, np.cumsum(steps[:-1]) > 0, items)
 
     return map_batches(docs, work, schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document."""
+class Sieve:
+    """Which hashes may be among those added: two of 2^SIEVE_BITS bits tell of each."""
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(1 << SIEVE_BITS - 3, np.uint8) if bits is None else bits
+
+    @staticmethod
+    def _places(hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for p in (hashes & np.uint64((1 << SIEVE_BITS) - 1), hashes >> np.uint64(64 - SIEVE_BITS)):
+            yield p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        for at, bit in self._places(hashes):
+            np.bitwise_or.at(self.bits, at, bit)
+
+    def may(self, hashes: np.ndarray) -> np.ndarray:
+        return np.logical_and.reduce([(self.bits[at] & bit) != 0 for at, bit in self._places(hashes)])
+
+
+def _item_windows(benchmark: DataFrame) -> DataFrame:
+    """n, said (its words), items (all that hold it, sorted) of each different window of the benchmark."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            words = Words(part.column("text"))
+            stream, starts, ends = _spaced(words)
+            for n, at in _windows(words, WINDOW):
+                said = [stream[starts[i] : ends[i + n - 1]].tobytes() for i in at.tolist()]
+                yield record(n=np.full(len(at), n, np.int32), said=pa.array(said, pa.binary()), item=part.column("item_id").take(pa.array(words.doc[at])))
+
+    return map_batches(_items(benchmark), work, "n int, said binary, item string").groupBy("n", "said").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _sieve(benchmark: DataFrame) -> Sieve:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = Sieve()
+        for part in slices(batches, "text"):
+            words = Words(part.column("text"))
+            for n, at in _windows(words, WINDOW):
+                sieve.add(np.unique(_prints(words, n)[at]))
+        yield record(bits=pa.array([sieve.bits.tobytes()], pa.binary()))
+
+    whole = Sieve()
+    for row in saved(map_batches(_items(benchmark).coalesce(SIEVE_TASKS), work, "bits binary"), "sieve", maxRecordsPerFile=1).toLocalIterator():
+        whole.bits |= np.frombuffer(row.bits, np.uint8)
+    return whole
+
+
+def _hot(rows: DataFrame, key: str, among: DataFrame | None = None) -> DataFrame | None:
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sizes = saved(sizes if among is None else sizes.join(among, key, "left_semi"), "sizes")
+    return hot_keys(sizes, key, sizes.agg(F.sum("n")).first()[0] or 0)
+
+
+def shared(texts: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key, n_hit, items (sorted) of each text (key, text) that holds a window of the benchmark, by shuffle joins."""
+    spark = texts.sparkSession
+    known = saved(_item_windows(benchmark), "benchmark-windows")
+    lengths = sorted(r.n for r in known.select("n").distinct().collect())  # 1 to WINDOW
+    held = spark.sparkContext.broadcast(_sieve(benchmark).bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = Sieve(held.value)
+        for part in slices(batches, "text"):
+            words = Words(part.column("text"))
+            stream, starts, ends = _spaced(words)
+            first = np.cumsum(words.counts) - words.counts
+            for n in lengths:
+                at = np.flatnonzero(sieve.may(_prints(words, n)))
+                at = at[words.doc[at] == words.doc[at + n - 1]]
+                said = [stream[starts[i] : ends[i + n - 1]].tobytes() for i in at.tolist()]
+                yield record(key=part.column("key").take(pa.array(words.doc[at])), at=at - first[words.doc[at]], n=np.full(len(at), n, np.int32), said=pa.array(said, pa.binary()))
+
+    windows = saved(map_batches(texts.select("key", "text"), work, "key string, at long, n int, said binary").distinct(), "document-windows")
+    hits = saved(spread_join(windows, known.drop("n"), "said", "key", _hot(windows, "said")).select("key", "at", "n", "items"), "window-hits")
+    # Words of a window that no window before it covers.
+    before = Window.partitionBy("key").orderBy("at", "n")
+    end, seen = F.col("at") + F.col("n"), F.coalesce(F.max(F.col("at") + F.col("n")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n_hit = hits.select("key", F.greatest(F.lit(0), end - F.greatest(seen, "at")).alias("new")).groupBy("key").agg(F.sum("new").alias("n_hit"))
+    items = hits.select("key", "items").distinct().select("key", F.explode("items").alias("item")).groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return saved(n_hit.join(items, "key"), "shared")
+
+
+def _large(benchmark: DataFrame, limit: int) -> bool:
+    return (_items(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0) > limit
+
+
+def _key() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each document; benchmarks of over `limit` bytes are joined by shuffle."""
+    if _large(benchmark, limit):
+        docs = docs.select("doc_id", "text", _key().alias("key"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "text"):
+                yield record(doc_id=part.column("doc_id"), key=part.column("key"), n_words=Words(part.column("text")).counts.astype(np.int64))
+
+        counts = saved(map_batches(docs, count, "doc_id long, key string, n_words long"), "counts")
+        rows = spread_join(counts, shared(docs, benchmark), "key", "doc_id", _hot(counts, "key"), "left")
+        items = F.coalesce("items", F.array().cast("array<string>"))
+        n_hit, n_items, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.size(items), F.array_join(items, ",")
+        return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
     def emit(part, words, covered, items):
         n_hit = np.bincount(words.doc[covered], minlength=part.num_rows).astype(np.int64)
@@ -213,8 +337,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return matched(docs.select("doc_id", "text"), benchmark, emit, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The documents without a hit, with all their columns."""
+    if _large(benchmark, limit):
+        key = unused(docs, "key")
+        keyed = docs.withColumn(key, _key())
+        found = shared(keyed.select(F.col(key).alias("key"), "text"), benchmark).select(F.col("key").alias(key))
+        return spread_join(keyed, found, key, "doc_id", _hot(keyed, key, found), "left_anti").drop(key)
 
     def emit(part, words, covered, items):
         return part.filter(pa.array(np.bincount(words.doc[covered], minlength=part.num_rows) == 0))

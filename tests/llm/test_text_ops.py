@@ -13,6 +13,7 @@ from lodestone.llm import op05_simhash as o5
 from lodestone.llm import op06_secrets as o6
 from lodestone.llm import op09_order_minhash as o9
 from lodestone.llm import op10_decontaminate as o10
+from lodestone.operators.components import hot_keys
 
 from .helpers import F, empty, frame, plain, rows, sentence
 
@@ -317,12 +318,39 @@ def test_decontamination(spark, block):
         assert plain(got) == sorted(((i, brute_hits(t, items)[2]) for i, t in pairs), key=str)
         return
     assert plain(o10.contamination(docs, benchmark)) == sorted(((i, *brute_hits(t, items)) for i, t in pairs), key=str)
+    joined = o10.contamination(docs, benchmark, limit=0)
+    assert joined.columns == o10.contamination(docs, benchmark).columns and plain(joined) == plain(o10.contamination(docs, benchmark))
+    clash = docs.withColumn("__key", F.lit("mine")).withColumn("n", F.lit(None).cast("int"))
+    assert o10.clean(clash, benchmark, limit=0).columns == clash.columns and plain(o10.clean(clash, benchmark, limit=0)) == plain(o10.clean(clash, benchmark))
+    assert o10.contamination(empty(spark), benchmark, limit=0).count() == 0 and not o10._large(benchmark.limit(0), 0)
     kept = o10.clean(docs, benchmark)
     assert kept.columns == docs.columns and kept.count() == sum(not brute_hits(t, items)[4] for _, t in pairs)
     assert o10.contamination(empty(spark), benchmark).count() == 0
     assert not any(r.contaminated for r in o10.contamination(docs, benchmark.limit(0)).collect())
 
 
+def test_benchmark_by_shuffle_with_hot_texts(spark, monkeypatch):
+    """Many copies of one text and a window that many texts share, with salts for both: rows as from the broadcast."""
+    monkeypatch.setattr(o10, "hot_keys", lambda sizes, key, total: hot_keys(sizes, key, total, 20))
+    rng = random.Random(4)
+    held = [sentence(rng, 30) for _ in range(12)]
+    common = " ".join(held[0].split()[:12])
+    benchmark = spark.createDataFrame([(i, t + " " + common) for i, t in enumerate(held)], "item_id long, text string")
+    texts = [held[3] + " " + common] * 60 + [f"{sentence(rng, 8)} {common} {sentence(rng, 5)} {rng.choice(held)}" for _ in range(60)] + [sentence(rng, 40) for _ in range(60)]
+    docs = frame(spark, list(enumerate(texts)))
+    assert plain(o10.contamination(docs, benchmark, limit=0)) == plain(o10.contamination(docs, benchmark))
+    assert plain(o10.clean(docs, benchmark, limit=0)) == plain(o10.clean(docs, benchmark))
+
+
+def test_sieve():
+    """What was added is always found; of others few."""
+    rng = np.random.default_rng(2)
+    some, others = (rng.integers(0, 1 << 64, 100_000, dtype=np.uint64) for _ in range(2))
+    sieve = o10.Sieve()
+    sieve.add(some)
+    assert sieve.may(some).all() and sieve.may(others).mean() < 0.01
+
+
 def test_benchmark_block_memory():
     """An index of two million words: arrays of about ten times its bytes, and built without more than that again."""
     import pickle
