@@ -5,8 +5,11 @@ tokens, its depth, its siblings and its ancestors. Boosted trees score how likel
 is hierarchical: the page's labelling is the one of greatest total score in which no element is kept under one that is
 dropped, found by one pass from the leaves up. The text of kept elements is joined by blocks.
 
+A page without attribute tokens or telling tags (article, nav, aside, header, footer) is judged by its shape alone, by
+trees of its own: density of text and links, place, siblings. Reader comments look like paragraphs there and stay.
+
 The trees are trained here, on pages that training_pages() writes by rule (its elements' places are known), so no page of the
-corpus is ever needed as a label; training takes about a second on the driver and the model is some kilobytes.
+corpus is ever needed as a label; training takes a few seconds on the driver and the model is some kilobytes.
 
 Null pages count as empty and have no text. A page without any kept text gives an empty string. Unclosed tags end where HTML
 lets them end. A tag whose quotes never close ends at its first `>`, and from there on the page's quotes are not honoured; a
@@ -43,6 +46,8 @@ _QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 #: References to numbers beyond all characters: as long as the page, if it likes.
 _HUGE = re.compile(r"&#(?:[xX]0*+[0-9a-fA-F]{7,}+|0*+[0-9]{8,}+);?")
 ELEMENTS = 1 << 16
+#: Training pages without any hint, for trees of their own.
+BARE = 800
 _ATTR = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -68,7 +73,8 @@ TAGS = (
 )
 _KIND = {t: i for i, words in enumerate(TAGS) for t in words.split()}
 N_GROUPS, N_TAGS = len(TOKENS), len(TAGS)
-_BAD_TAGS = frozenset("nav menu aside footer header form".split())
+#: Tags that say what they hold; a page without them or attribute tokens is judged by its shape alone.
+_HINTS = frozenset(_KIND[t] for t in "article nav aside footer header".split())
 
 
 class Page:
@@ -204,9 +210,10 @@ class Page:
         same = count[inverse]
         same[0] = 0
         kind = np.array([_KIND.get(t, N_TAGS) for t in number], np.int64)[name]
+        hinted = any(self.groups) or any(_KIND.get(t) in _HINTS for t in number)
         return {
             "chars": chars, "words": words, "marks": marks, "linked": linked_, "inner": after - first - 1, "own": own[0], "depth": np.array(self.depth, np.int64), "kids": kids, "index": index,
-            "before": np.where(chunks > 0, np.array(self.opened, np.int64), -1), "above": np.array(self.above, np.int64), "groups": np.array(self.groups, np.int64), "parent": np.maximum(parent, 0), "same": same, "kind": kind,
+            "before": np.where(chunks > 0, np.array(self.opened, np.int64), -1), "above": np.array(self.above, np.int64), "groups": np.array(self.groups, np.int64), "parent": np.maximum(parent, 0), "same": same, "kind": kind, "hinted": hinted,
         }
 
     def features(self, m: dict[str, np.ndarray] | None = None, a: int = 0, b: int | None = None) -> np.ndarray:
@@ -223,6 +230,7 @@ class Page:
         cols += [kind == k for k in range(N_TAGS)]
         cols += [groups >> k & 1 for k in range(N_GROUPS)]
         cols += [above >> k & 1 for k in range(N_GROUPS + N_TAGS)]
+        cols.append(np.full(len(chars), m["hinted"]))
         return np.array([np.asarray(c, np.float32) for c in cols]).T
 
     def decode(self, scores: np.ndarray) -> np.ndarray:
@@ -308,8 +316,8 @@ class Trees:
         return out
 
 
-def training_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[str, set[str]]]:
-    """Pages written by rule. Elements of the article (and all around them) carry data-k=1, all others data-k=0."""
+def training_pages(n: int = 500, seed: int = 7, bare: int = 0) -> Iterator[str]:
+    """Pages written by rule, n with hints and `bare` without. Elements of the article (and all around them) carry data-k=1, all others data-k=0."""
     rng = random.Random(seed)
     syllables = "an the or in be lo mi ra tu sen da kor vel os ti un ach ver ció eau ñe ö ü é".split()
 
@@ -395,7 +403,62 @@ def training_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[str, set[str]]
                 inner = mark(rng.choice(["div", "main", "section"]), 1, inner, rng.choice(["", named("main"), 'class="wrap"', 'class="row"']))
         return inner
 
-    for _ in range(n):
+    def links(k):
+        between = rng.choice([" ", " | ", "<br data-k=0>", " &middot; "])
+        return between.join(mark("a", 0, words(1, 3), f'href="/{i}"') for i in range(k))
+
+    def menu():
+        inner = rng.choice([links, linklist])(rng.randint(2, 9))
+        return rng.choice([inner, mark("div", 0, inner), mark("p", 0, inner)]) if inner.startswith("<ul") or inner.startswith("<ol") else mark(rng.choice(["div", "p", "center"]), 0, inner)
+
+    def plain_article():
+        tag = rng.choice(["p", "p", "p", "div"])
+        parts = [mark(rng.choice(["h1", "h1", "h2"]), 1, words(2, 9))] if rng.random() < 0.9 else []
+        for _ in range(rng.randint(2, 9)):
+            r = rng.random()
+            if r < 0.7:
+                parts.append(paragraph() if tag == "p" else mark("div", 1, words(4, 80)))
+            elif r < 0.82:
+                parts.append(mark(rng.choice(["h2", "h3"]), 1, words(1, 7)))
+            elif r < 0.92:
+                parts.append(mark(rng.choice(["ul", "ol"]), 1, "".join(mark("li", 1, words(3, 16)) for _ in range(rng.randint(2, 5)))))
+            else:
+                parts.append(mark("blockquote", 1, words(5, 30)))
+        if rng.random() < 0.4:  # the heading stands over a box of all else
+            first = parts.pop(0) if len(parts) > 1 else ""
+            parts = [first, mark("div", 1, "".join(parts))]
+        return "".join(parts)
+
+    def related():
+        head = mark(rng.choice(["h3", "h4", "b"]), 0, words(1, 3))
+        return mark("div", 0, head + rng.choice([linklist, links])(rng.randint(2, 6)))
+
+    def bare_page():
+        """No class, id or sectioning tag: a menu, the article in a box, a table cell or the body itself, links and small print."""
+        before = [x() for x in (lambda: mark(rng.choice(["div", "center"]), 0, words(1, 6)), menu, menu) if rng.random() < 0.6]
+        after = [x() for x in (related, menu) if rng.random() < 0.4]
+        small = words(2, 9) + rng.choice(["", " " + links(rng.randint(1, 3))])
+        if rng.random() < 0.85:
+            after.append(mark("div", 0, rng.choice([small, mark("p", 0, small)])))
+        inner, r = plain_article(), rng.random()
+        if r < 0.35:
+            inner = mark("div", 1, inner)
+        elif r < 0.6:
+            cell = inner if rng.random() < 0.5 else mark("div", 1, inner)
+            cells = [mark("td", 0, rng.choice([links, linklist])(rng.randint(2, 8))), mark("td", 1, cell)]
+            if rng.random() < 0.3:
+                rng.shuffle(cells)
+            inner = mark("table", 1, mark("tr", 1, "".join(cells)))
+        inner = "".join([*before, inner, *after])
+        for _ in range(rng.randint(0, 2)):
+            if rng.random() < 0.4:
+                inner = mark("div", 1, inner)
+        return f"<html data-k=1>{mark('head', 0, mark('title', 0, words(2, 8)))}<body data-k=1>{inner}</body></html>"
+
+    for i in range(n + bare):
+        if i >= n:
+            yield bare_page()
+            continue
         before = [junk(k) for k in ("header", "nav", "ad", "notice", "form", "side", "nav") if rng.random() < 0.4]
         after = [junk(k, rng.random() < 0.5) for k in ("aside", "ad", "side", "share", "form", "notice") if rng.random() < 0.3]
         if rng.random() < 0.3:
@@ -409,20 +472,39 @@ def training_pages(n: int = 500, seed: int = 7) -> Iterator[tuple[str, set[str]]
 _KNOWN = re.compile(r"<([a-zA-Z][^\s/>]*) data-k=([01])")
 
 
-@lru_cache(maxsize=1)
-def trained() -> Trees:
+class Models:
+    """Trees for pages with hints and trees for those without; the last feature tells which."""
+
+    def __init__(self, hinted: Trees, bare: Trees):
+        self.hinted, self.bare = hinted, bare
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        hinted, x = x[:, -1] > 0, x[:, :-1]
+        if hinted.all():
+            return self.hinted.score(x)
+        out = np.empty(len(x))
+        out[hinted], out[~hinted] = self.hinted.score(x[hinted]), self.bare.score(x[~hinted])
+        return out
+
+
+def _fitted(pages: Iterator[str]) -> Trees:
     xs, ys = [], []
-    for source in training_pages():
+    for source in pages:
         known = [int(m[2]) for m in _KNOWN.finditer(source) if m[1] != "br"]
         page = Page(source)
         if len(page.tags) != len(known) + 1:
             raise AssertionError("the parser and the writer differ")
-        xs.append(page.features()[1:])
+        xs.append(page.features()[1:, :-1])
         ys.append(known)
     return Trees().fit(np.concatenate(xs), np.concatenate(ys).astype(float))
 
 
-def extract_all(sources: list[str | None], model: Trees) -> list[str]:
+@lru_cache(maxsize=1)
+def trained() -> Models:
+    return Models(_fitted(training_pages()), _fitted(training_pages(0, bare=BARE)))
+
+
+def extract_all(sources: list[str | None], model: Models) -> list[str]:
     """The text of each page; pages are scored together until they have ELEMENTS elements, a larger one in parts."""
     out: list[str] = []
     held: list[tuple[Page, dict]] = []

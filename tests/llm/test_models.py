@@ -324,6 +324,53 @@ def test_pages_of_other_makes():
     assert wrong <= 1
 
 
+#: Pages without class names, ids or telling tags.
+PLAIN = [
+    (
+        """<!doctype html><html><head><title>A page</title></head><body><div><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sport</a></div>
+<h1>A bridge for the valley</h1><p>The council met on Monday and agreed, after long talk, to build the bridge that the valley has asked for.</p>
+<p>Work will begin in spring, the mayor said, if the river allows it.</p><h2>What it costs</h2><p>Nobody would name a figure.</p><ul><li>Stone from the old mill</li><li>Timber from the north wood</li></ul>
+<div>Copyright 2019 The Paper. <a href=/i>Imprint</a></div></body></html>""",
+        "A bridge for the valley\nThe council met on Monday and agreed, after long talk, to build the bridge that the valley has asked for.\nWork will begin in spring, the mayor said, if the river allows it.\nWhat it costs\nNobody would name a figure.\nStone from the old mill\nTimber from the north wood",
+    ),
+    (
+        """<html><body><table><tr><td><a href=1>One</a><br><a href=2>Two</a></td><td><div><h1>Salt and iron</h1><div>Ships from the south brought salt, and took iron home again, as they had for two hundred years.</div>
+<div>When the mine closed, the salt came by road.</div></div></td></tr></table><div><a href=x>Top</a> | <a href=y>Contact</a></div></body></html>""",
+        "Salt and iron\nShips from the south brought salt, and took iron home again, as they had for two hundred years.\nWhen the mine closed, the salt came by road.",
+    ),
+    (
+        """<body><div><div><ul><li><a href=1>Start</a></li><li><a href=2>Archive</a></li></ul></div><div><h1>On bees</h1><div><p>A hive in winter is not asleep, only quiet, and it eats what it has stored.</p><p>Open it late.</p></div></div>
+<div><h3>See also</h3><ul><li><a href=3>On wasps</a></li><li><a href=4>On ants</a></li></ul></div><div><p>All rights reserved.</p></div></div></body>""",
+        "On bees\nA hive in winter is not asleep, only quiet, and it eats what it has stored.\nOpen it late.",
+    ),
+    (
+        """<html><body><div><div><a href=/>The Lamp</a></div><div><a href=/a>Archive</a><a href=/b>Letters</a><a href=/c>About us</a></div></div><div><div><h1>The last ferryman</h1><p>For forty years Ansel rowed whoever came, and he never asked <i>where</i> they were going.</p>
+<p>The new road ends that. It crosses a mile upstream, and nobody, says Ansel, will pay to be slow.</p><blockquote>I don't mind, he says. My back minds less.</blockquote><p>He has sold one boat and kept the other.</p></div><div><div><a href=/1>Roads and rivers</a></div><div><a href=/2>Old trades</a></div></div></div><div>The Lamp, Mill Street 4</div></body></html>""",
+        "The last ferryman\nFor forty years Ansel rowed whoever came, and he never asked where they were going.\nThe new road ends that. It crosses a mile upstream, and nobody, says Ansel, will pay to be slow.\nI don't mind, he says. My back minds less.\nHe has sold one boat and kept the other.",
+    ),
+    (
+        """<html><head><title>x</title></head><body><center><a href=/>Index</a> | <a href=/m>Map</a> | <a href=/q>Questions</a></center><h1>Grafting pears</h1><p>Cut the scions in January, while the tree sleeps, and keep them in damp sand.<p>Graft when the sap rises:
+<ol><li>Saw the stock off level.</li><li>Split it a thumb deep, no more.</li><li>Set two scions, bark to bark, and seal all with wax.</li></ol><h2>After care</h2><p>Rub off the shoots below the graft, and stake what grows.<p><a href=/>Index</a> | <a href=/top>Top</a></body></html>""",
+        "Grafting pears\nCut the scions in January, while the tree sleeps, and keep them in damp sand.\nGraft when the sap rises:\nSaw the stock off level.\nSplit it a thumb deep, no more.\nSet two scions, bark to bark, and seal all with wax.\nAfter care\nRub off the shoots below the graft, and stake what grows.",
+    ),
+]
+
+
+def test_pages_without_names():
+    """Blocks found and blocks wanted, on pages written by hand and on unseen ones of the training rule."""
+    model, right, found, wanted = o7.trained(), 0, 0, 0
+    for (_, want), got in zip(PLAIN, o7.extract_all([p for p, _ in PLAIN], model), strict=True):
+        want, got = set(want.split("\n")), set(got.split("\n"))
+        right, found, wanted = right + len(want & got), found + len(got), wanted + len(want)
+    assert right / found >= 0.95 and right / wanted >= 0.95
+    right, total = 0, 0
+    for source in o7.training_pages(0, 99, bare=60):
+        page = o7.Page(source)
+        known = [1, *(int(m[2]) for m in o7._KNOWN.finditer(source) if m[1] != "br")]
+        right, total = right + int((page.decode(model.score(page.features())) == np.array(known, bool)).sum()), total + len(known)
+    assert right / total > 0.98
+
+
 def test_decoding_is_hierarchical():
     model, good, total = o7.trained(), 0, 0
     for source in o7.training_pages(60, 99):
