@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import discard, saved
+from .lineage import discard, saved, unused
 
 SALTS, HOT, HOT_KEYS = 16, 10_000, 1 << 16
 
@@ -31,11 +31,12 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: DataF
     """left join right (one row a key) where some keys of left are hot: their rows are dealt to SALTS tasks by a hash of `by`."""
     if hot is None:
         return left.join(right, key, how)
-    known = F.broadcast(hot.select(key, F.lit(SALTS).alias("__salts")))
-    salts = F.coalesce("__salts", F.lit(1))
-    a = left.join(known, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), salts)).drop("__salts")
-    b = right.join(known, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long")))).drop("__salts")
-    return a.join(b, [key, "__salt"], how).drop("__salt")
+    salt, salts = (unused(left, x, right) for x in ("salt", "salts"))
+    known = F.broadcast(hot.select(key, F.lit(SALTS).alias(salts)))
+    n = F.coalesce(salts, F.lit(1))
+    a = left.join(known, key, "left").withColumn(salt, F.pmod(F.xxhash64(by), n)).drop(salts)
+    b = right.join(known, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")))).drop(salts)
+    return a.join(b, [key, salt], how).drop(salt)
 
 
 def components(edges: DataFrame, name: str = "stars", hot: int = HOT) -> DataFrame:

@@ -20,8 +20,9 @@ def ranked(df: DataFrame, by: list[Column], partition: list[str] | None = None,
 
 def bag(first: DataFrame, second: DataFrame, rank: str = "source_rank") -> DataFrame:
     """Two lists of one source end to end: the second's ranks go on after the first's."""
-    n = first.agg(F.coalesce(F.max(rank), F.lit(0)).alias("__n"))
-    return first.unionByName(second.crossJoin(F.broadcast(n)).withColumn(rank, F.col(rank) + F.col("__n")).drop("__n"))
+    n = unused(second, "n")
+    last = first.agg(F.coalesce(F.max(rank), F.lit(0)).alias(n))  # one row
+    return first.unionByName(second.crossJoin(F.broadcast(last)).withColumn(rank, F.col(rank) + F.col(n)).drop(n))
 
 
 def source_rank(df: DataFrame, entity: str, source: str, rank: str) -> DataFrame:

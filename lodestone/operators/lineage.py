@@ -64,9 +64,9 @@ def drop_saved(spark: SparkSession) -> None:
     _delete(spark, _run_dir(spark))
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
+def unused(df: DataFrame, name: str, *others: DataFrame) -> str:
+    """A column name that neither df nor any of the others has."""
+    taken = {c.lower() for d in (df, *others) for c in d.columns}
     name = f"__{name}"
     while name.lower() in taken:
         name += "_"

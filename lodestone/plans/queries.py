@@ -296,7 +296,7 @@ def report_rows(spark, sf_dir):
 
 @query(r"SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
 def page_header_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
+    return table(spark, sf_dir, "pages").select("page_id", *(c.alias(name) for name, c in files.page_header(F.col("html"), F.col("url")).items()))
 
 
 @query("""WITH q AS (SELECT source AS run_id, doc_id AS id, coalesce(quality = 1 AND toxic = 0, false) AS ok FROM documents LEFT JOIN labels USING (doc_id)),

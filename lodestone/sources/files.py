@@ -39,6 +39,11 @@ def access_url(df: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     return out.withColumn("access_url", F.coalesce(F.nullif(F.col("oa_pdf_url"), F.lit("")), url, arxiv)).drop(url)
 
 
+def page_header(html: Column, url: Column) -> dict[str, Column]:
+    """title (text of the first title element as written; empty if none) and host (with its port; empty for another scheme) of a web page."""
+    return {"title": F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1), "host": F.regexp_extract(url, r"^https?://([^/]+)", 1)}
+
+
 def json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(path)

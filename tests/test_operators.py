@@ -229,12 +229,32 @@ def test_quota(spark):
     assert [r.evaluated for r in quota.one_round(dup, F.col("ok"), target=10).orderBy("rank").collect()] == [True, False, True]
 
 
+def test_salted_join_keeps_columns(spark):
+    """Names of either side that look like the salt's stay."""
+    from lodestone.operators.components import spread_join
+
+    left = spark.createDataFrame([(i % 3, i, "mine") for i in range(30)], "k int, i int, __salt string")
+    right = spark.createDataFrame([(k, k * 10) for k in range(3)], "k int, __salts int")
+    hot = spark.createDataFrame([(1,)], "k int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = (spread_join(left, right, "k", "i", h, how) for h in (hot, None))
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_page_header(spark):
+    from lodestone.sources import files
+
+    df = spark.createDataFrame([("<html><title>a\nb</title><title>c</title>", "https://x.org:80/y"), ("<p>", "ftp://x"), (None, None)], "html string, url string")
+    got = df.select(*(c.alias(n) for n, c in files.page_header(F.col("html"), F.col("url")).items())).collect()
+    assert [tuple(r) for r in got] == [("a\nb", "x.org:80"), ("", ""), (None, None)]
+
+
 def test_quota_rounds(spark):
     """A chain of works, one new work a round: the quota, the depth or the end of the chain stops it, each run for itself."""
     columns = "run_id string, id string, rank int, ok boolean"
     start = spark.createDataFrame([(r, f"{r}0", 0, True) for r in "abc"], columns)
     length = {"a": 30, "b": 8, "c": 30}
-    works = spark.createDataFrame([(r, f"{r}{i}", i, r != "c" or i == 0) for r in "abc" for i in range(length[r])], columns).withColumn("n", F.col("rank")).localCheckpoint()
+    works = spark.createDataFrame([(r, f"{r}{i}", i, r != "c" or i == 0) for r in "abc" for i in range(length[r])], columns).withColumn("n", F.col("rank"))
 
     def expand(accepted, seen):
         last = seen.groupBy("run_id").agg(F.max("rank").alias("last"))
