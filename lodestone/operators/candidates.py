@@ -12,7 +12,7 @@ from ..functions.scoring import cosine, keywords, lexical_relevance
 from . import fuse, screen
 from .exclude import exclude
 from .lineage import checkpointed
-from .match import matches
+from .match import links
 
 PRE_LIMIT, LEAST, MOST = 50, 6.0, 20
 
@@ -64,7 +64,7 @@ def build(seed: DataFrame, cited: DataFrame, lists: dict[str, list[DataFrame]],
     pool = checkpointed(pooled(lists))
     each = pool.select(key, "source", "source_rank").distinct()
     one = fuse.keep_first(pool, [key], [F.col("source_pos"), F.col("source_rank")])
-    roots = checkpointed(fuse.components(matches(one, one, key).filter("l < r"), one, key))
+    roots = checkpointed(fuse.components(links(one, key), one, key))
     records = fuse.merged(pool.join(roots, key).drop(key), "root", ["source_pos", "source_rank"], "source").withColumnRenamed("root", key)
     ranks = fuse.source_rank(each.join(roots, key), "root", "source", "source_rank")
     scores = fuse.rrf(ranks, ["root"], "source_rank").withColumnRenamed("root", key)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from . import components as stars
 from .lineage import unused
-from .match import matches
+from .match import links
 
 K, BOOST = 60, 5.0
 
@@ -70,8 +70,7 @@ def components(edges: DataFrame, vertices: DataFrame, key: str = "id") -> DataFr
 def deduplicated(pool: DataFrame, order: list[str], key: str = "id", source: str | None = None) -> DataFrame:
     """One merged record for each set of linked rows. Sets are connected components of the match relation: the merge doesn't
     depend on the order of arrival, and joins at least what a first-match pass would."""
-    m = matches(pool, pool, key).filter("l < r")
-    roots = components(m, pool, key)
+    roots = components(links(pool, key), pool, key)
     return merged(pool.join(roots, key).drop(key), "root", order, source).withColumnRenamed("root", key)
 
 

@@ -4,6 +4,9 @@ Identifiers go through one equality join on (kind, value). Titles meet only wher
 by the rarest of their words, short ones by what is left of them after a deletion or two, longer ones by the rarest of their
 pieces. No word that most titles share makes a block; of pieces that all long titles share, one may, where a title has no D + 1
 rarer ones. The ratio itself runs in Arrow batches over the pairs that lengths and word counts leave.
+
+Rows of one title and year match the same rows, and so do rows of one identifier. Where only what is matched (`matched`) or what
+hangs together (`links`) is asked for, such a class counts as one, and no pair of its rows is made.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions.scoring import title_ratio
 from ..ship import ship
+from .components import hot_keys, spread_join
 from .lineage import saved
 
 IDS = ("doi", "arxiv_id", "openalex_id", "s2_id")
@@ -164,6 +168,16 @@ def title_pairs(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> Data
     return pairs.filter((lacks <= n * most + 1e-9) | (misses <= m * most + 1e-9) | near)
 
 
+def _alike(a: DataFrame, b: DataFrame, ratio: float) -> DataFrame:
+    """lt, rt, ratio: the pairs of titles (t of each side) that reach it, written once."""
+    ship(a.sparkSession)
+    return saved(title_pairs(a, b, ratio).select(F.col("l").alias("lt"), F.col("r").alias("rt"), title_ratio("l", "r").alias("ratio")).filter(F.col("ratio") >= ratio), "alike")
+
+
+def _close(year_gap: int):
+    return F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= year_gap, F.lit(True))
+
+
 def title_matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
     """l, r, ratio of rows whose titles are alike, and whose years, where both are known, lie close. Equal titles are compared once."""
     ship(left.sparkSession)
@@ -173,6 +187,46 @@ def title_matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: flo
     return rows.filter(F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= year_gap, F.lit(True))).select("l", "r", "ratio")
 
 
+def _class_pairs(alike: DataFrame, a: DataFrame, b: DataFrame, year_gap: int) -> DataFrame:
+    """lt, ly, rt, ry: titles with years that match, of classes a and b (distinct t, y)."""
+    a, b = (d.select(F.col("t").alias(t), F.col("y").alias(y)) for d, t, y in ((a, "lt", "ly"), (b, "rt", "ry")))
+    return alike.select("lt", "rt").join(a, "lt").join(b, "rt").filter(_close(year_gap)).select("lt", "ly", "rt", "ry")
+
+
+def matched(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
+    """key of the left rows that match any right one, as `matches` has them, without a pair of rows."""
+    by_id = ids(left, key).join(ids(right, key).select("kind", "value").distinct(), ["kind", "value"], "left_semi").select(key)
+    a, b = _titles(left, key, key), _titles(right, key, key)
+    found = _class_pairs(_alike(a, b, ratio), a.select("t", "y").distinct(), b.select("t", "y").distinct(), year_gap).select("lt", "ly").distinct()
+    by_title = a.join(found, (F.col("t") == F.col("lt")) & F.col("y").eqNullSafe(F.col("ly")), "left_semi").select(key)
+    return by_id.unionByName(by_title).distinct()
+
+
+def _stars(rows: DataFrame, name: str) -> DataFrame:
+    """l, r: the least v of each value k, and each other one. Rows (v, k) of a hot value are dealt to several tasks."""
+    rows = saved(rows, name)
+    least = rows.groupBy("k").agg(F.min("v").alias("l"), F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(least, "k", rows.count())
+    return spread_join(rows, least.select("k", "l"), "k", "v", hot).filter("l < v").select("l", F.col("v").alias("r"))
+
+
+def links(pool: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
+    """l, r: links (l < r) that join the same rows, directly or by others, as the matches of a pool with itself.
+
+    Rows of an identifier, and rows of a title and year, are linked to the least of them; classes that match, by these least rows.
+    There are about as many links as rows have values, however many rows share one.
+    """
+    by_id = _stars(ids(pool, key).select(F.col(key).alias("v"), F.concat_ws("\x1f", "kind", "value").alias("k")), "identified")
+    titles = saved(_titles(pool, key, "v"), "titled")
+    by_title = _stars(titles.select("v", F.concat_ws("\x1f", F.coalesce(F.col("y").cast("string"), F.lit("-")), "t").alias("k")), "classes")
+    least = saved(titles.groupBy("t", "y").agg(F.min("v").alias("v")), "least")
+    pairs = _class_pairs(_alike(titles, titles, ratio), least, least, year_gap)
+    ends = lambda v, t, y: least.select(F.col("v").alias(v), F.col("t").alias(t), F.col("y").alias(y))
+    same = lambda x, v, t, y: x.join(ends(v, f"{t}_", f"{y}_"), (F.col(t) == F.col(f"{t}_")) & F.col(y).eqNullSafe(F.col(f"{y}_"))).drop(f"{t}_", f"{y}_")
+    between = same(same(pairs, "l", "lt", "ly"), "r", "rt", "ry").filter("l < r").select("l", "r")
+    return by_id.unionByName(by_title).unionByName(between).distinct()
+
+
 def matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
     """l, r: the same paper by identifier or by title."""
     return id_matches(left, right, key).unionByName(title_matches(left, right, key, ratio, year_gap).select("l", "r")).distinct()

@@ -615,3 +615,24 @@ def test_extracted_texts(spark):
     got = paper_text.extracted(df, pages).collect()
     assert {r.path: r.text for r in got} == {"a": "one\ntwo", "b": None, "c": ""}
     assert [r.path for r in got if r.error] == ["b"] and ": " in next(r.error for r in got if r.error)
+
+
+def test_rows_of_one_title(spark, monkeypatch):
+    """Many rows of few titles and identifiers: as many links as rows, components and matched rows as the pairs have them."""
+    rng = random.Random(5)
+    names = ["deep nets for text", "deep nets for texts", "a survey of soil", "on soil and water in the alps", "quite another work"]
+    rows = [(i, rng.choice([*names, None]), rng.choice([None, "10.1/a", "doi:10.1/A", f"10.1/{i}"]), rng.choice([2001, 2002, 2009, None] if i % 9 == 0 else [2001, 2009])) for i in range(300)]
+    pool = spark.createDataFrame(rows, "id int, title string, doi string, publication_year int")
+    found = match.links(pool)
+    assert found.count() < 3 * len(rows) < match.matches(pool, pool).count() and found.filter("l >= r").count() == 0
+    roots = lambda m: {(r.id, r.root) for r in fuse.components(m, pool).collect()}
+    assert roots(found) == roots(match.matches(pool, pool).filter("l < r"))
+    for least in (0, 1):  # with every value hot, and with none
+        monkeypatch.setattr(match, "hot_keys", lambda sizes, key, total, least=least: sizes.select(key) if least else None)
+        assert roots(match.links(pool)) == roots(found)
+    some, few = pool.filter("id % 2 = 0"), pool.filter("id % 50 = 1")
+    want = {r.l for r in match.matches(some, few).collect()}
+    assert {r.id for r in match.matched(some, few).collect()} == want and 0 < len(want) < 150
+    monkeypatch.setattr(match, "matches", None)
+    monkeypatch.setattr(match, "title_matches", None)
+    assert exclude.novel(some, few, few.limit(0)).count() == 150 - len(want)
