@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .match import matches
+from .match import matched
 
 
 class ExclusionIncomplete(ValueError):
@@ -32,11 +32,9 @@ def exclude(candidates: DataFrame, seed: DataFrame, cited: DataFrame, status: st
     """Candidates that match neither the seed nor a cited paper."""
     guard(status, allow_incomplete)
     known = seed.unionByName(cited, allowMissingColumns=True)
-    hit = matches(candidates, known, key).select(F.col("l").alias(key)).distinct()
-    return candidates.join(hit, key, "left_anti")
+    return candidates.join(matched(candidates, known, key), key, "left_anti")
 
 
 def novel(new: DataFrame, accepted: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
     """New rows that match nothing accepted or seen."""
-    hit = matches(new, accepted.unionByName(seen, allowMissingColumns=True), key).select(F.col("l").alias(key)).distinct()
-    return new.join(hit, key, "left_anti")
+    return new.join(matched(new, accepted.unionByName(seen, allowMissingColumns=True), key), key, "left_anti")
