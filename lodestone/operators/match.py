@@ -6,7 +6,8 @@ pieces. No word that most titles share makes a block; of pieces that all long ti
 rarer ones. The ratio itself runs in Arrow batches over the pairs that lengths and word counts leave.
 
 Rows of one title and year match the same rows, and so do rows of one identifier. Where only what is matched (`matched`) or what
-hangs together (`links`) is asked for, such a class counts as one, and no pair of its rows is made.
+hangs together (`links`) is asked for, such a class counts as one, and no pair of its rows is made. `title_matches` returns the
+pairs themselves; they are dealt to tasks by their number.
 """
 
 from __future__ import annotations
@@ -168,6 +169,10 @@ def title_pairs(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> Data
     return pairs.filter((lacks <= n * most + 1e-9) | (misses <= m * most + 1e-9) | near)
 
 
+#: Rows of either side that meet in one cell of the join of rows, and pairs that a task makes of them.
+CELL, PAIRS = 1 << 10, 1 << 22
+
+
 def _alike(a: DataFrame, b: DataFrame, ratio: float) -> DataFrame:
     """lt, rt, ratio: the pairs of titles (t of each side) that reach it, written once."""
     ship(a.sparkSession)
@@ -179,12 +184,28 @@ def _close(year_gap: int):
 
 
 def title_matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
-    """l, r, ratio of rows whose titles are alike, and whose years, where both are known, lie close. Equal titles are compared once."""
-    ship(left.sparkSession)
+    """l, r, ratio of rows whose titles are alike, and whose years, where both are known, lie close. Equal titles are compared once.
+
+    Titles n rows to m make n m pairs, however few titles there are: the rows of either are dealt to groups of about CELL, each
+    two groups meet in a cell, and there are as many tasks as all pairs need.
+    """
     a, b = _titles(left, key, "l"), _titles(right, key, "r")
-    alike = title_pairs(a, b, ratio).select(F.col("l").alias("lt"), F.col("r").alias("rt"), title_ratio("l", "r").alias("ratio")).filter(F.col("ratio") >= ratio)
-    rows = alike.join(a.select("l", F.col("t").alias("lt"), F.col("y").alias("ly")), "lt").join(b.select("r", F.col("t").alias("rt"), F.col("y").alias("ry")), "rt")
-    return rows.filter(F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= year_gap, F.lit(True))).select("l", "r", "ratio")
+    alike = _alike(a, b, ratio)
+    a, b = (d.withColumnsRenamed({"t": t, "y": y}) for d, t, y in ((a, "lt", "ly"), (b, "rt", "ry")))
+    sizes = lambda d, t, n: d.groupBy(t).agg(F.count(F.lit(1)).alias(n))
+    groups = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    cells = alike.join(sizes(a, "lt", "n"), "lt").join(sizes(b, "rt", "m"), "rt")
+    cells = saved(cells.select("lt", "rt", "ratio", "n", "m", groups("n").alias("p"), groups("m").alias("q"), F.monotonically_increasing_id().alias("pair")), "cells")
+    total = cells.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PAIRS))
+    one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(cells.select("lt", "ratio", "pair", "p", "q"), "lt").select("l", "ly", "ratio", "pair", one("l", "p").alias("i"), every("q").alias("j"))
+    b = b.join(cells.select("rt", "pair", "p", "q"), "rt").select("r", "ry", "pair", one("r", "q").alias("j"), every("p").alias("i"))
+    if total > PAIRS:
+        # By number, so that small inputs of a large result aren't put into few tasks.
+        a, b = (d.repartition(tasks, "pair", "i", "j") for d in (a, b))
+    return a.join(b, ["pair", "i", "j"]).filter(_close(year_gap)).select("l", "r", "ratio")
 
 
 def _class_pairs(alike: DataFrame, a: DataFrame, b: DataFrame, year_gap: int) -> DataFrame:

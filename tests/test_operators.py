@@ -636,3 +636,18 @@ def test_rows_of_one_title(spark, monkeypatch):
     monkeypatch.setattr(match, "matches", None)
     monkeypatch.setattr(match, "title_matches", None)
     assert exclude.novel(some, few, few.limit(0)).count() == 150 - len(want)
+
+
+def test_row_pairs_in_cells(spark, monkeypatch):
+    """Pairs of rows in cells of a few rows and tasks of a few pairs: the same ones, in more tasks than the inputs alone would take."""
+    rows = [(i, ("one title of many rows" if i % 3 else "one titles of many rows") if i % 7 else "another", 2000 + i % 4 if i % 5 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, title string, publication_year int")
+    whole = sorted(tuple(r) for r in match.title_matches(df, df).collect())
+    near = lambda a, b: S.token_set_ratio(a[1], b[1]) >= match.RATIO and (a[2] is None or b[2] is None or abs(a[2] - b[2]) <= 1)
+    assert [x[:2] for x in whole] == sorted((a[0], b[0]) for a in rows for b in rows if near(a, b))
+    monkeypatch.setattr(match, "CELL", 8)
+    monkeypatch.setattr(match, "PAIRS", 500)
+    dealt = match.title_matches(df, df)
+    assert sorted(tuple(r) for r in dealt.collect()) == whole
+    tasks = {r.t for r in dealt.select(F.spark_partition_id().alias("t")).distinct().collect()}
+    assert len(tasks) > 10
