@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import tokens
 from ..functions.text import is_clean, marks, summed, surely_clean
 from ..ship import ship
+from .lineage import let
 
 PARENT, PARENT_OVERLAP, CHILD, CHILD_OVERLAP = 768, 96, 256, 48
 
@@ -47,11 +48,6 @@ def parents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return t.select(key, F.explode(_windows(F.col("t"), size, _step(size, overlap), 1, None)).alias("x")).select(key, F.col("x.at").alias("p_start"), F.col("x.w").alias("p_tokens"))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value worked out once however often `use` names it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _windows(parts: Column, size: int, step: int, unit: int, blocks: Column | None) -> Column:
     """Array of (at, w, b): the windows of a row's tokens, each with its blocks of `unit` tokens."""
     cut = lambda p: F.struct(p.alias("at"), F.slice(parts, p + 1, size).alias("w"), (F.lit(None) if blocks is None else F.slice(blocks, F.floor(p / unit).cast("int") + 1, size // unit)).alias("b"))
@@ -71,13 +67,13 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", parent: tup
     """
     units, joined = (cut is tokens and joined is None), joined or (lambda c: F.array_join(c, " "))
     unit = math.gcd(parent[0], _step(*parent), child[0], _step(*child))
-    read = lambda w: _let(joined(w), lambda c: is_clean(c, min_words))
+    read = lambda w: let(joined(w), lambda c: is_clean(c, min_words))
 
     def clean(w: Column, b: Column) -> Column:
         if not units:
             return read(w)
-        sure = _let(summed(b), lambda s: surely_clean(s, F.size(w), min_words))
-        return _let(sure, lambda s: F.when(s.isNull(), read(w)).otherwise(s))
+        sure = let(summed(b), lambda s: surely_clean(s, F.size(w), min_words))
+        return let(sure, lambda s: F.when(s.isNull(), read(w)).otherwise(s))
 
     staged = docs.select(key, text).repartition(key).select(F.col(key), cut(F.col(text)).alias("t")).filter(F.size("t") > 0)
     if units:

@@ -27,7 +27,7 @@ from ..ship import ship
 from .expand import attempts
 from .fuse import keep_first
 from .lineage import saved
-from .retrieve import DENSE, FUSED, K1, RRF, SPARSE, B, fuse
+from .retrieve import DENSE, FUSED, K1, RRF, SPARSE, B, counted, fuse
 
 #: Terms of all queries that are named to the scan, and queries whose vectors are broadcast; beyond, joins take over.
 NAMED, HELD = 1 << 12, 1 << 14
@@ -42,12 +42,13 @@ class Index(NamedTuple):
 
 def build(rows: DataFrame, part: str, key: str, text: str) -> Index:
     """Write the index of all rows, one posting for each different term of a row."""
-    t = saved(rows.select(F.col(part).alias("part"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), tokens(F.lower(text)).alias("t")), "tokens")
-    counts = t.select("part", "key", "row", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "part", "key", "row", "dl").agg(F.count(F.lit(1)).alias("f"))
+    t = rows.select(F.col(part).alias("part"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), tokens(F.lower(text)).alias("t"))
+    t = saved(t.select("part", "key", "row", F.size("t").alias("dl"), counted(F.col("t")).alias("c")), "counts")
+    counts = t.select("part", "key", "row", "dl", F.explode("c").alias("c")).select("part", "key", "row", "dl", "c.term", "c.f")
     order = ["term", "part", "key", "row"]
     postings = saved(counts.repartitionByRange(*order).sortWithinPartitions(*order).select("term", "part", "key", "row", "f", "dl"), "inverted")
     dfs = saved(postings.groupBy("term", "part").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term", "part").sortWithinPartitions("term", "part"), "frequencies")
-    sizes = saved(t.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl")), "sizes")
+    sizes = saved(t.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "sizes")
     return Index(postings, dfs, sizes, t.select("part", "key", "row"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,3 +73,15 @@ def unused(df: DataFrame, name: str, *others: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df in a fixed number of tasks by a hash of columns. For small rows of which each makes much work (a text to build and parse):
+    a file of few row groups would be read by few tasks, and adaptive execution would put a small shuffle's rows together again."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)

@@ -10,15 +10,27 @@ from pyspark.sql import functions as F
 from ..functions.normalize import tokens
 from ..functions.scoring import cosine
 from ..functions.text import is_clean
+from .lineage import let
 
 K1, B, RRF = 1.5, 0.75, 60
 DENSE, SPARSE, FUSED = 30, 30, 8
 
 
+def counted(t: Column) -> Column:
+    """Array of (term, f): a row's different terms, in order, and how often each comes. Runs of the sorted tokens are measured in the
+    row itself, so that no token is shuffled."""
+    at = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    runs = lambda s, p: F.transform(p, lambda x, i: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(p, i + 1), F.size(s)) - x).cast("long").alias("f")))
+    some = let(F.array_sort(t), lambda s: let(at(s), lambda p: runs(s, p)))
+    return F.when(F.size(t) > 0, some).otherwise(F.array().cast("array<struct<term:string,f:bigint>>"))
+
+
 def term_counts(rows: DataFrame, part: str, key: str, text: str) -> DataFrame:
-    """part, key, term, f, dl."""
-    t = rows.select(part, key, tokens(F.lower(text)).alias("__t")).withColumn("dl", F.size("__t"))
-    return t.select(part, key, "dl", F.explode("__t").alias("term")).groupBy(part, key, "term").agg(F.count(F.lit(1)).alias("f"), F.first("dl").alias("dl"))
+    """part, key, term, f, dl. Texts are shuffled by key (several rows of one are taken together), their terms never."""
+    whole = rows.select(part, key, F.col(text).alias("__x")).groupBy(part, key).agg(F.collect_list("__x").alias("__x"))
+    t = whole.select(part, key, F.filter(F.transform("__x", lambda x: tokens(F.lower(x))), lambda x: F.size(x) > 0).alias("__t"))
+    t = t.select(part, key, F.size(F.get("__t", F.lit(0))).alias("dl"), F.explode(counted(F.flatten("__t"))).alias("__c"))
+    return t.select(part, key, F.col("__c.term").alias("term"), F.col("__c.f").alias("f"), "dl")
 
 
 def bm25(rows: DataFrame, query: str, part: str, key: str, text: str, k1: float = K1, b: float = B, places: int = 9) -> DataFrame:

@@ -651,3 +651,20 @@ def test_row_pairs_in_cells(spark, monkeypatch):
     assert sorted(tuple(r) for r in dealt.collect()) == whole
     tasks = {r.t for r in dealt.select(F.spark_partition_id().alias("t")).distinct().collect()}
     assert len(tasks) > 10
+
+
+def test_counts_in_the_row(spark):
+    """Terms counted in the row as from all tokens, by one shuffle of texts; repeated keys, empty and null texts among them."""
+    texts = ["b a  B c b", "", None, " \n", "x", "a a a"]
+    rows = spark.createDataFrame([(i % 2, i // 2 % 4, t) for i, t in enumerate(texts * 3)], "p int, id int, t string")
+    want: dict = {}
+    for r in rows.collect():
+        for w in (r.t or "").lower().split():
+            want[r.p, r.id, w] = want.get((r.p, r.id, w), 0) + 1
+    out = retrieve.term_counts(rows, "p", "id", "t")
+    assert {(r.p, r.id, r.term): r.f for r in out.collect()} == want and out.count() == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Generate" in plan.split("Exchange hashpartitioning")[0]
+    index = inverted.build(rows, "p", "id", "t")
+    assert index.postings.groupBy("part", "key", "term").agg(F.sum("f").alias("f")).count() == len(want)
+    assert sum(r.f for r in index.postings.collect()) == sum(want.values())
