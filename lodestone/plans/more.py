@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..operators import availability, candidates, chunk, embed, exclude, expand, fuse, inverted, match, quota, report, screen, summarize, validate
-from ..operators.lineage import run_path
+from ..operators.lineage import dealt, run_path
 from ..sources import files, paper_text, scholarly, store
 from .papers import abstract_sql
 from .queries import CLEAN_MACRO, ORACLES, SEARCH, SEED, TOKENS, query, table
@@ -116,7 +116,7 @@ def tei_authors(spark, sf_dir):
     person = F.concat(F.lit("<author><persName xml:id='x'><forename type='first'>Ann</forename><forename type='middle'>B</forename><surname>"), "p_brand", F.lit("</surname></persName></author><author><email>x</email></author><author><persName><surname>"), "p_type", F.lit("</surname></persName></author>"))
     data = F.concat(F.lit("<title level='a' type='main'>"), "p_name", F.lit("</title>"), person, F.lit("<idno type='arXiv'>2301.00001</idno><date when='"), (F.col("p_size") + 1990).cast("string"), F.lit("'/><abstract><p>On <hi>"), "p_name", F.lit("</hi>\n and more.</p></abstract>"))
     h = scholarly.tei_header(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("<TEI><teiHeader>"), data, F.lit("</teiHeader><text><title type='main'>No</title></text></TEI>"))).otherwise(F.concat(F.lit("<TEI>"), data, F.lit("</TEI>"))))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), h["title"].alias("title"), F.array_join(h["authors"], "|").alias("authors"), h["abstract"].alias("abstract"), h["publication_year"].alias("publication_year"), h["arxiv_id"].alias("arxiv_id"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), h["title"].alias("title"), F.array_join(h["authors"], "|").alias("authors"), h["abstract"].alias("abstract"), h["publication_year"].alias("publication_year"), h["arxiv_id"].alias("arxiv_id"))
 
 
 def _marked_up(spark, sf_dir) -> DataFrame:
@@ -124,7 +124,7 @@ def _marked_up(spark, sf_dir) -> DataFrame:
     head = F.concat(F.lit("<t:title type='main'>Caf&#233; &#x41;&amp;B <![CDATA[x<y]]> <t:hi>of</t:hi> "), "p_name", F.lit("</t:title><t:idno type='doi'>10.1/&lt;<!-- x -->"), _k("p_partkey"), F.lit("</t:idno><t:abstract><t:div><t:p>On <t:hi>its <t:hi>own</t:hi></t:hi>.</t:p><t:p>More&nbsp;"), "p_type", F.lit("</t:p></t:div></t:abstract>"))
     cited = F.concat(F.lit("<t:biblStruct><t:analytic><!-- <t:title level='a'>No</t:title> --><t:title t:level='a'><![CDATA[A & B: ]]>"), "p_type", F.lit("</t:title><t:author><t:persName><t:forename type='first'>Zo&#235;</t:forename><t:surname>"), "p_brand", F.lit("</t:surname></t:persName></t:author></t:analytic><t:monogr><t:imprint><t:date when='1999-01'/></t:imprint></t:monogr></t:biblStruct>"))
     xml = F.concat(F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<!DOCTYPE TEI>\n<t:TEI xmlns:t='http://www.tei-c.org/ns/1.0'><!-- <teiHeader><title type='main'>No</title><abstract>No</abstract></teiHeader> --><t:teiHeader>"), head, F.lit("</t:teiHeader><t:text><t:back><t:listBibl>"), cited, F.lit("</t:listBibl></t:back></t:text>"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(xml, F.when(F.col("p_partkey") % 5 == 0, F.lit("<unclosed>")).otherwise(F.lit("</t:TEI>"))).alias("xml"))
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), F.concat(xml, F.when(F.col("p_partkey") % 5 == 0, F.lit("<unclosed>")).otherwise(F.lit("</t:TEI>"))).alias("xml"))
 
 
 @query("SELECT p_partkey AS id, 'Café A&B x<y of ' || p_name AS title, '10.1/<' || p_partkey AS doi, 'On its own . More ' || p_type AS abstract FROM part")
@@ -145,7 +145,7 @@ def tei_references_anywhere(spark, sf_dir):
     one = F.concat(F.lit("<biblStruct xml:id='b'><monogr><title level='m'>"), "p_name", F.lit("</title>"), author, F.lit("<publisher>&amp; sons</publisher></monogr><series><date when='"), (F.col("p_size") + 1990).cast("string"), F.lit("-05'>"), "p_type", F.lit("</date></series></biblStruct>"))
     where = F.col("p_partkey") % 3
     xml = F.when(where == 0, F.concat(F.lit("<TEI><back><listBibl>"), one, F.lit("</listBibl></back></TEI>"))).when(where == 1, F.concat(F.lit("<TEI><back><div>"), one, F.lit("</div></back></TEI>"))).otherwise(F.concat(F.lit("<TEI>"), one, F.lit("</TEI>")))
-    out = scholarly.tei_references(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), xml.alias("xml")))
+    out = scholarly.tei_references(dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), xml.alias("xml")))
     return out.select("id", "pos", "title", F.get("authors", F.lit(0)).alias("author"), "year", "raw_citation")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import text as T
 from ..operators import availability, candidates, expand, fuse, match, summarize, validate
+from ..operators.lineage import dealt
 from ..sources import files, paper_text, scholarly
 from .queries import SEED, TOKENS, query, table
 
@@ -166,14 +167,14 @@ def works_parse(spark, sf_dir):
 def tei_header(spark, sf_dir):
     xml = F.concat(F.lit("<TEI><teiHeader><titleStmt><title type='main'>"), "p_name", F.lit("</title></titleStmt><idno type='DOI'>10.1/"), _text("p_partkey"), F.lit("</idno><date type='published' when='"), (F.col("p_size") + 1990).cast("string"), F.lit("-01-02'/></teiHeader><text><idno type='DOI'>10.9/cited</idno></text></TEI>"))
     h = scholarly.tei_header(xml)
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[h[c].alias(c) for c in ("title", "doi", "publication_year")])
+    return dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), *[h[c].alias(c) for c in ("title", "doi", "publication_year")])
 
 
 @query("""SELECT p_partkey AS id, 0 AS pos, p_name AS title, 'Ann ' || p_brand AS author, CAST(1990 + p_size AS INTEGER) AS year FROM part UNION ALL SELECT p_partkey, 1, p_type, NULL, NULL FROM part""")
 def tei_bibliography(spark, sf_dir):
     one = F.concat(F.lit("<biblStruct><analytic><title level='a'>"), "p_name", F.lit("</title><author><persName><forename type='first'>Ann</forename><surname>"), "p_brand", F.lit("</surname></persName></author></analytic><monogr><imprint><date when='"), (F.col("p_size") + 1990).cast("string"), F.lit("'/></imprint></monogr></biblStruct>"))
     two = F.concat(F.lit("<biblStruct><monogr><title>"), "p_type", F.lit("</title></monogr></biblStruct>"))
-    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("<TEI><back><listBibl>"), one, two, F.lit("</listBibl></back></TEI>")).alias("xml"))
+    d = dealt(table(spark, sf_dir, "part"), "p_partkey").select(F.col("p_partkey").alias("id"), F.concat(F.lit("<TEI><back><listBibl>"), one, two, F.lit("</listBibl></back></TEI>")).alias("xml"))
     return scholarly.tei_references(d).select("id", "pos", "title", F.get("authors", F.lit(0)).alias("author"), "year")
 
 

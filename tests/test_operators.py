@@ -668,3 +668,14 @@ def test_counts_in_the_row(spark):
     index = inverted.build(rows, "p", "id", "t")
     assert index.postings.groupBy("part", "key", "term").agg(F.sum("f").alias("f")).count() == len(want)
     assert sum(r.f for r in index.postings.collect()) == sum(want.values())
+
+
+@pytest.mark.parametrize("name", ["tei_header", "tei_authors", "tei_header_markup", "tei_references_markup", "tei_references_anywhere", "tei_bibliography"])
+def test_texts_made_in_many_tasks(spark, tmp_path, name):
+    """Documents made of a small file's rows are parsed in many tasks, not in that file's one."""
+    parts = spark.range(200).selectExpr("id as p_partkey", "concat('a b', id) as p_name", "'B' as p_brand", "'T' as p_type", "cast(id % 9 as int) as p_size")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    from lodestone.plans import more, papers  # noqa: F401 - they register the queries
+
+    out = queries.QUERIES[name](spark, str(tmp_path))
+    assert out.select(F.spark_partition_id().alias("t")).distinct().count() > 8
