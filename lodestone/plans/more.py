@@ -347,11 +347,12 @@ def scanned_files(spark, sf_dir):
     """A file for each supplier, written, scanned as bytes, told by its hash and read by an injected reader of pages."""
     content = F.concat(F.lit("%PDF-\nReport of "), "s_name", F.lit("\fnation "), _k("s_nationkey"))
     path = run_path(spark, "files")
-    table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), content.alias("value")).write.partitionBy("id").text(path)
+    # Many tasks write, and each commits its own files: the committer's first version moves them one by one on the driver.
+    rows = dealt(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").alias("id"), content.alias("value"))
+    rows.write.partitionBy("id").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     found = files.binaries(spark, path, "*.txt")
     pages = lambda data: data.decode().removeprefix("%PDF-\n").split("\f")
-    texts = paper_text.extracted(found, pages)
-    rows = found.select("path", "sha256", "length", files.is_pdf(F.col("content")).alias("is_pdf")).join(texts, "path")
+    rows = paper_text.extracted(found.withColumn("is_pdf", files.is_pdf(F.col("content"))), pages, keep=("sha256", "length", "is_pdf"))
     return rows.select(F.regexp_extract("path", r"/id=(\d+)/", 1).cast("long").alias("id"), "sha256", "length", "is_pdf", "text", "error")
 
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import normalize as N
 from ..operators.lineage import unused
@@ -163,8 +164,8 @@ def references(papers: DataFrame, parsed: DataFrame, texts: DataFrame, known: Da
     return refs, status
 
 
-def extracted(files: DataFrame, pages: Callable[[bytes], list[str]], key: str = "path", content: str = "content") -> DataFrame:
-    """key, text, error: the texts of a file's pages end to end, each with a line end, without NUL.
+def extracted(files: DataFrame, pages: Callable[[bytes], list[str]], key: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep, text, error: the texts of a file's pages end to end, each with a line end, without NUL.
 
     Where `pages` raises, text is null and error says what; else error is null.
     """
@@ -178,6 +179,7 @@ def extracted(files: DataFrame, pages: Callable[[bytes], list[str]], key: str =
 
         for b in batches:
             got = [one(x) for x in b[content]]
-            yield pd.DataFrame({key: b[key], "text": [t for t, _ in got], "error": [e for _, e in got]})
+            yield pd.DataFrame({**{c: b[c] for c in (key, *keep)}, "text": [t for t, _ in got], "error": [e for _, e in got]})
 
-    return files.select(key, content).mapInPandas(work, f"{key} {dict(files.dtypes)[key]}, text string, error string")
+    own = StructType([*(files.schema[c] for c in (key, *keep)), StructField("text", StringType()), StructField("error", StringType())])
+    return files.select(key, *keep, content).mapInPandas(work, own)

@@ -679,3 +679,12 @@ def test_texts_made_in_many_tasks(spark, tmp_path, name):
 
     out = queries.QUERIES[name](spark, str(tmp_path))
     assert out.select(F.spark_partition_id().alias("t")).distinct().count() > 8
+
+
+def test_extracted_keeps_columns(spark):
+    """What a file's row has besides its bytes goes with its text, so that files are scanned once and not joined again."""
+    rows = spark.createDataFrame([("a", b"x\x00\fy", 3, True), ("b", b"\xff", 1, None)], "path string, content binary, length long, is_pdf boolean")
+    out = paper_text.extracted(rows, lambda data: data.decode().split("\f"), keep=("length", "is_pdf"))
+    assert out.columns == ["path", "length", "is_pdf", "text", "error"]
+    a, b = out.orderBy("path").collect()
+    assert tuple(a) == ("a", 3, True, "x\ny", None) and (b.length, b.is_pdf, b.text) == (1, None, None) and b.error.startswith("UnicodeDecodeError")
