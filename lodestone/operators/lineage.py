@@ -85,3 +85,10 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     a file of few row groups would be read by few tasks, and adaptive execution would put a small shuffle's rows together again."""
     spark = df.sparkSession
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *by)
+
+
+def held_to(spark: SparkSession, size: int) -> None:
+    """Hold Arrow batches between the JVM and workers to about `size` bytes, where the session has no bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, size)

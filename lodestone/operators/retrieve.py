@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import tokens
 from ..functions.scoring import cosine
 from ..functions.text import is_clean
-from .lineage import let
+from .lineage import let, saved
 
 K1, B, RRF = 1.5, 0.75, 60
 DENSE, SPARSE, FUSED = 30, 30, 8
@@ -21,7 +21,7 @@ def counted(t: Column) -> Column:
     row itself, so that no token is shuffled."""
     at = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     runs = lambda s, p: F.transform(p, lambda x, i: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(p, i + 1), F.size(s)) - x).cast("long").alias("f")))
-    some = let(F.array_sort(t), lambda s: let(at(s), lambda p: runs(s, p)))
+    some = let(F.sort_array(t), lambda s: let(at(s), lambda p: runs(s, p)))
     return F.when(F.size(t) > 0, some).otherwise(F.array().cast("array<struct<term:string,f:bigint>>"))
 
 
@@ -36,23 +36,25 @@ def term_counts(rows: DataFrame, part: str, key: str, text: str) -> DataFrame:
 def bm25(rows: DataFrame, query: str, part: str, key: str, text: str, k1: float = K1, b: float = B, places: int = 9) -> DataFrame:
     """part, key, score of every row, those without a query term scoring 0. Query terms count as often as they occur.
 
-    One pass sums each part's rows, lengths and document frequencies (combined before the shuffle, a row a part); the other
-    scores each row by itself. Nothing is exploded, and no row's text or hits are shuffled.
+    Texts are read once, for their lengths and the counts of the query's terms, which are written. From these each part's rows,
+    lengths and document frequencies are summed (combined before the shuffle, a row a part), and each row is scored by itself.
+    Nothing is exploded, and no row's text or hits are shuffled.
     """
     terms = query.lower().split()
     weights = {t: terms.count(t) for t in terms}
     if not weights:
         return rows.select(part, key, F.lit(0.0).alias("score"))
     t = rows.select(part, key, tokens(F.lower(text)).alias("__t")).select(part, key, F.size("__t").alias("__dl"), F.filter("__t", lambda x: x.isin(list(weights))).alias("__q"))
-    has = [F.sum(F.array_contains("__q", x).cast("long")).alias(f"__df{i}") for i, x in enumerate(weights)]
+    t = saved(t.select(part, key, "__dl", F.transform(F.array(*map(F.lit, weights)), lambda x: F.size(F.filter("__q", lambda y: y == x))).alias("__f")), "hits")
+    has = [F.sum((F.get("__f", F.lit(i)) > 0).cast("long")).alias(f"__df{i}") for i in range(len(weights))]
     stats = t.groupBy(part).agg(F.count(F.lit(1)).alias("__n"), F.avg("__dl").alias("__avgdl"), *has)
     norm = F.lit(k1) * (1 - b + b * F.col("__dl") / F.greatest(F.col("__avgdl"), F.lit(1e-9)))
 
-    def gain(i: int, term: str, weight: int) -> Column:
-        f, df = F.size(F.filter("__q", lambda x: x == term)), F.col(f"__df{i}")
-        return F.when(F.array_contains("__q", term), weight * F.log((F.col("__n") - df + 0.5) / (df + 0.5) + 1) * f * (k1 + 1) / (f + norm)).otherwise(0.0)
+    def gain(i: int, weight: int) -> Column:
+        f, df = F.get("__f", F.lit(i)), F.col(f"__df{i}")
+        return F.when(f > 0, weight * F.log((F.col("__n") - df + 0.5) / (df + 0.5) + 1) * f * (k1 + 1) / (f + norm)).otherwise(0.0)
 
-    score = reduce(lambda x, y: x + y, [gain(i, x, w) for i, (x, w) in enumerate(weights.items())])
+    score = reduce(lambda x, y: x + y, [gain(i, w) for i, w in enumerate(weights.values())])
     return t.join(stats, part, "left").select(part, key, F.round(F.coalesce(score, F.lit(0.0)), places).alias("score"))
 
 
@@ -76,12 +78,21 @@ def fuse(dense_list: DataFrame, sparse_list: DataFrame, part: str, key: str, k:
     return both.groupBy(part, key).agg(F.max("d_rank").alias("d_rank"), F.max("s_rank").alias("s_rank")).withColumn("rrf", F.round(one("d_rank") + one("s_rank"), 12))
 
 
-def hybrid(rows: DataFrame, query: str, vector: list[float], part: str, key: str, text: str, embedding: str = "embedding", ks: tuple[int, int, int] = (DENSE, SPARSE, FUSED)) -> DataFrame:
-    """part, key, rrf, rank: the best of both lists; three times as many are fused, unclean texts dropped, then k kept."""
-    d = dense(rows, vector, part, key, embedding, ks[0])
+def picked(few: DataFrame, rows: DataFrame, part: str, key: str, text: str) -> DataFrame:
+    """few with the texts of its rows, written before anything is asked of them: a filter by text would else be worked out for all
+    texts ahead of the join. few is written too, so that its size is known and no text is shuffled where it is small."""
+    return saved(saved(few, "few").join(rows.select(part, key, text), [part, key]), "picked")
+
+
+def hybrid(rows: DataFrame, query: str, vector: list[float], part: str, key: str, text: str, embedding: str = "embedding", ks: tuple[int, int, int] = (DENSE, SPARSE, FUSED), vectors: DataFrame | None = None) -> DataFrame:
+    """part, key, rrf, rank: the best of both lists; three times as many are fused, unclean texts dropped, then k kept.
+
+    `vectors` (part, key, embedding) where the vectors don't stand with the texts, which then needn't be joined.
+    """
+    d = dense(rows if vectors is None else vectors, vector, part, key, embedding, ks[0])
     s = top(bm25(rows, query, part, key, text), part, "score", key, ks[1])
     order = [F.desc("rrf"), F.col("d_rank").asc_nulls_last(), F.col("s_rank").asc_nulls_last()]
     w = Window.partitionBy(part).orderBy(*order)
     fused = fuse(d, s, part, key).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= 3 * ks[2])
-    kept = fused.join(rows.select(part, key, text), [part, key]).filter(is_clean(F.col(text)))
+    kept = picked(fused, rows, part, key, text).filter(is_clean(F.col(text)))
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy("place"))).filter(F.col("rank") <= ks[2]).select(part, key, "rrf", "rank")

@@ -442,9 +442,10 @@ SELECT source, doc_id, query_id, row_number() OVER (PARTITION BY source ORDER BY
 def many_queries(spark, sf_dir):
     """Two queries of each source over its documents, each by words and vector; what both find stands with the first."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    d = table(spark, sf_dir, "documents").join(e, "doc_id", "left")
+    d = table(spark, sf_dir, "documents")
     two = e.orderBy("doc_id").limit(2).select((F.row_number().over(Window.orderBy("doc_id"))).alias("query_id"), "embedding")
-    texts = spark.createDataFrame([(1, SEARCH), (2, AGAIN)], "query_id int, text string")
-    asked = d.select("source").distinct().select("source", F.explode(F.array(F.lit(1), F.lit(2))).alias("query_id")).join(F.broadcast(texts.join(two, "query_id")), "query_id")  # two rows
-    lists = inverted.hybrid(d, inverted.build(d, "source", "doc_id", "text"), asked, "source", "doc_id", "text", ks=(30, 30, 4))
+    text = F.when(F.col("query_id") == 1, SEARCH).otherwise(AGAIN).alias("text")
+    asked = d.select("source").distinct().crossJoin(F.broadcast(two)).select("source", "query_id", text, "embedding")  # two rows
+    near = d.select("source", "doc_id").join(e, "doc_id")
+    lists = inverted.hybrid(d, inverted.build(d, "source", "doc_id", "text"), asked, "source", "doc_id", "text", ks=(30, 30, 4), vectors=near)
     return inverted.merged(lists, "source", "doc_id").select("source", "doc_id", "query_id", F.col("pos").cast("long").alias("pos"))

@@ -4,6 +4,7 @@ import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -688,3 +689,49 @@ def test_extracted_keeps_columns(spark):
     assert out.columns == ["path", "length", "is_pdf", "text", "error"]
     a, b = out.orderBy("path").collect()
     assert tuple(a) == ("a", 3, True, "x\ny", None) and (b.length, b.is_pdf, b.text) == (1, None, None) and b.error.startswith("UnicodeDecodeError")
+
+
+def test_index_in_runs(spark, monkeypatch):
+    """An index of many small runs: every posting once, texts read once, no posting shuffled; terms of each run in order."""
+    texts = ["b a  B\x0bc\tb", "", None, " \n", "x\u2003y \u0130x", "a a a", "\u0001 e\u0301 E\u0301"]
+    rows = spark.createDataFrame([(i % 3 or None, i, t) for i, t in enumerate(texts * 4)], "p int, id int, t string").repartition(2).cache()
+    want: dict = {}
+    lengths: dict = {}
+    for r in rows.select("p", "id", N.tokens(F.lower("t")).alias("w")).collect():
+        lengths[r.id] = len(r.w)
+        for w in r.w:
+            want[r.p, r.id, w] = want.get((r.p, r.id, w), 0) + 1
+    monkeypatch.setattr(inverted, "PIECE", 5)
+    monkeypatch.setattr(inverted, "RUN", 40)
+    index = inverted.build(rows, "p", "id", "t")
+    got = index.postings.collect()
+    assert {(r.part, r.key, r.term): r.f for r in got} == want and len(got) == len(want)
+    assert all(r.dl == lengths[r.key] for r in got) and sorted(r.key for r in index.rows.collect()) == list(range(len(texts) * 4))
+    df: dict = {}
+    for p, _, w in want:
+        df[p, w] = df.get((p, w), 0) + 1
+    assert {(r.part, r.term): r.df for r in index.dfs.collect()} == df
+    assert {r.part: r.n for r in index.sizes.collect()} == {p: sum((i % 3 or None) == p for i in range(len(texts) * 4)) for p in (None, 1, 2)}
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FileScan parquet" in plan
+    table = pa.table({"part": [1, 1], "key": [1, 2], "row": [0, 1], "text": ["b a b", "c a"]})
+    assert [t for b in inverted._run(table) for t in b.column(0).to_pylist()] == ["", "", "a", "a", "b", "c"]
+
+
+def test_texts_picked_before_they_are_read(spark):
+    """Whether a text is clean is asked of the few fused rows alone, not of every row ahead of the join; vectors may stand apart."""
+    asked = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i % 2, i, " ".join(["word"] * 25 + [f"w{i}"]), [float(i), 1.0]) for i in range(200)], "p int, id int, t string, embedding array<float>")
+
+    @F.udf("string")
+    def seen(t):
+        asked.add(1)
+        return t
+
+    few = rows.filter("id < 5").select("p", "id", F.col("id").alias("place"))
+    out = retrieve.picked(few, rows, "p", "id", "t").filter(seen("t").contains("w"))
+    assert sorted((r.id, r.t[-2:], r.place) for r in out.collect()) == [(i, f"w{i}", i) for i in range(5)]
+    assert asked.value == 5
+    one = retrieve.hybrid(rows, "w3 word", [1.0, 0.0], "p", "id", "t").collect()
+    apart = retrieve.hybrid(rows.drop("embedding"), "w3 word", [1.0, 0.0], "p", "id", "t", vectors=rows.drop("t")).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, apart)) and len(one) == 16
