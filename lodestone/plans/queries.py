@@ -350,8 +350,9 @@ SELECT source, doc_id, rrf, rank FROM (SELECT *, row_number() OVER (PARTITION BY
 def hybrid_search(spark, sf_dir):
     """Documents with the vector of their own number, where there is one."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    d = table(spark, sf_dir, "documents").join(e, "doc_id", "left")
-    return retrieve.hybrid(d, SEARCH, _seed(spark, sf_dir), "source", "doc_id", "text").withColumn("rank", F.col("rank").cast("long"))
+    d = table(spark, sf_dir, "documents")
+    near = d.select("source", "doc_id").join(e, "doc_id")
+    return retrieve.hybrid(d, SEARCH, _seed(spark, sf_dir), "source", "doc_id", "text", vectors=near).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT s_suppkey AS l, b.p_partkey AS r, 1.0::DOUBLE AS ratio FROM supplier JOIN part a ON a.p_partkey = s_suppkey JOIN part b ON b.p_name = a.p_name")
