@@ -6,12 +6,12 @@ come out as those same two: were a merge ever to cross the border of two pieces,
 alone as well. So a text's pieces are found from left to right: an Aho-Corasick automaton gives the longest piece at each
 position; a piece is taken if it goes with the one before and no failure is known where it ends, else the next shorter one
 that begins there is tried; where none is left, the position's bit is set in a field of failures and the last piece is taken
-back. Each position fails once at most, so the work grows with the text's length. Verdicts on pairs are kept in a bounded memo.
+back. Each position fails once at most, so the work grows with the text's length. Which piece may follow which is kept in a bounded memo.
 
 Text is normalised by the library and cut where no piece of the model can reach across: before a run of space marks (U+2581)
 that follows other characters, between a letter and a mark that no piece has behind a letter, and around line feeds if no
-piece holds one. Each different part is encoded once and kept in a
-bounded memo. Characters that are no piece become their bytes' pieces, as the model's byte fallback does, or the unknown id.
+piece holds one. Parts are numbered by Arrow some megabytes at a time; each different one is looked up once there, encoded if it
+is new, and kept in a bounded memo. Characters that are no piece become their bytes' pieces, as the model's byte fallback does, or the unknown id.
 
 Null texts count as empty: no ids, an empty decoded text. Control pieces' names in a text are ordinary text. Repeated rows are
 encoded each. Very long texts are encoded whole, part by part. An empty table gives an empty result; other columns are ignored.
@@ -20,8 +20,10 @@ encoded each. Very long texts are encoded whole, part by part. An empty table gi
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a text that are cut into parts at a time.
 STRETCH = 1 << 20
+#: Bytes of normalised text, about, whose parts are taken together.
+GROUP = 4 << 20
 NEVER = float("-inf")
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -55,18 +59,25 @@ class Pieces:
         self.letters = letters = {c for p in self.ids for c in p}
         if letters - self.ids.keys() or any(sp.is_unused(i) for i in self.ids.values()) or max(map(len, self.ids)) > 255:
             raise ValueError("a model whose pieces hold characters that are no pieces, or that has unused or very long pieces, can't be encoded this way")
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in self.ids:
-            self.automaton.add_word(p)
+        # By id: a piece, its length, and the next shorter piece with which it begins (-1: none).
+        self.names, self.sizes, self.shorter = [""] * sp.get_piece_size(), [0] * sp.get_piece_size(), [-1] * sp.get_piece_size()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p, i in self.ids.items():
+            self.names[i], self.sizes[i] = p, len(p)
+            self.shorter[i] = next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), -1)
+            self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         across = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         feed = "" if "\n" in letters else "\n"
         # Marks that no piece has behind a letter: a word may be cut before them.
         self.marks = {c for c in letters if not (c.isalnum() or c in f"_{SPACE}")}
         self.marks -= {p[i] for p in self.ids for i in range(1, len(p)) if LETTERS.match(p[i - 1])}
-        self.parts = re.compile("(?s:.+)" if across else f"{SPACE}+[^{SPACE}{feed}]*|[^{SPACE}{feed}]+" + ("|\n+" if feed else ""))
+        self.borders = re.compile(f"(?=[{''.join(map(re.escape, sorted(self.marks)))}])(?<=[^\\W\\d_])") if self.marks else None
+        self.feed = bool(feed)
+        ascii_only = lambda test: np.array([test(chr(i)) for i in range(128)] + [False] * 128)
+        self.is_letter, self.is_mark = ascii_only(str.isalpha), ascii_only(self.marks.__contains__)
         self.cut = None if across else re.compile(f"(?<=[^{SPACE}]){SPACE}")
-        self.known, self.pairs, self.shorter, self.merges = Memo(), Memo(1 << 19), {}, {}
+        self.known, self.pairs, self.merges = Memo(), Memo(1 << 19), {}
 
     def next_merge(self, symbols: list[str]) -> tuple[float, int] | None:
         """The score and the negated place of the merge that comes next."""
@@ -100,55 +111,64 @@ class Pieces:
                 i += 1
             else:
                 j += 1
-        self.pairs.put((before, piece), good)
         return good
 
-    def prefix(self, piece: str) -> str:
-        """The next shorter piece with which this one begins ("": none)."""
-        found = self.shorter.get(piece)
-        if found is None:
-            found = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.ids), "")
-            self.shorter[piece] = found
-        return found
-
-    def backtrack(self, text: str) -> list[str]:
-        """The pieces of a text all of whose characters are pieces."""
-        longest = bytearray(len(text))
-        for end, n in self.automaton.iter(text):
-            longest[end - n + 1] = n  # ends ascend, so the last one is the longest
-        failed, size, pairs = bytearray(len(text) // 8 + 1), len(text), self.pairs
-        taken, before = [], ""
-        at, piece = 0, text[: longest[0]]
+    def follower(self, before: int, piece: int) -> int:
+        """The longest piece that may follow the one before, of this piece and those with which it begins (-1: none); a pair's
+        key has 0 where nothing stands before."""
+        name, passed, pairs = self.names[before - 1] if before else "", [], self.pairs
+        while piece >= 0:
+            pair = before << 32 | piece
+            passed.append(pair)
+            if (known := pairs.get(pair)) is not None:
+                piece = known
+                break
+            if self.goes(name, self.names[piece]):
+                break
+            piece = self.shorter[piece]
+        for pair in passed:
+            pairs.put(pair, piece)
+        return piece
+
+    def backtrack(self, text: str) -> list[int]:
+        """The ids of the pieces of a text all of whose characters are pieces."""
+        sizes, shorter, known = self.sizes, self.shorter, self.pairs.young.get
+        size = len(text)
+        longest = [-1] * (size + 1)
+        for end, i in self.automaton.iter(text):
+            longest[end - sizes[i] + 1] = i  # ends ascend, so the last one is the longest
+        failed, failures = bytearray(size // 8 + 1), False
+        taken, before = [], 0
+        at, piece = 0, longest[0]
         while at < size:
-            while piece:
-                end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    known = pairs.get((before, piece))
-                    if known or known is None and self.goes(before, piece):
-                        break
-                piece = self.prefix(piece)
-            if piece:
+            while piece >= 0:
+                good = known(before << 32 | piece)
+                piece = self.follower(before, piece) if good is None else good
+                end = at + sizes[piece]
+                if piece < 0 or not (failures and failed[end >> 3] >> (end & 7) & 1):
+                    break
+                piece = shorter[piece]
+            if piece >= 0:
                 taken.append(piece)
-                at, before = end, piece
-                piece = text[at : at + longest[at]] if at < size else ""
+                at, before = end, piece + 1
+                piece = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                failures = True
                 piece = taken.pop()
-                at, before = at - len(piece), taken[-1] if taken else ""
-                piece = self.prefix(piece)
+                at, before = at - sizes[piece], taken[-1] + 1 if taken else 0
+                piece = shorter[piece]
         return taken
 
-    def part(self, text: str) -> tuple[int, ...]:
-        """Ids of one part, by its words and marks."""
+    def part(self, text: str) -> bytes:
+        """Ids (native 32-bit integers) of one part, by its words and marks."""
         found = self.known.get(text)
         if found is None:
-            cuts = [0, *(m.end() for m in LETTERS.finditer(text) if text[m.end() : m.end() + 1] in self.marks), len(text)]
-            if len(cuts) > 2:
-                found = tuple([i for a, z in zip(cuts, cuts[1:]) for i in self.part(text[a:z])])
-            elif self.letters.issuperset(text):
-                found = tuple([self.ids[p] for p in self.backtrack(text)])
+            cut = self.borders.split(text) if self.borders else [text]
+            if len(cut) > 1:
+                found = b"".join(map(self.part, cut))
             else:
-                found = tuple(self.mixed(text))
+                found = array("i", self.backtrack(text) if self.letters.issuperset(text) else self.mixed(text)).tobytes()
             self.known.put(text, found)
         return found
 
@@ -160,14 +180,14 @@ class Pieces:
                 unknown = False
                 continue
             if i > start:
-                yield from (self.ids[p] for p in self.backtrack(text[start:i]))
+                yield from self.backtrack(text[start:i])
             if self.fallback:
                 yield from (self.bytes[b] for b in c.encode())
             elif not unknown:
                 yield self.library.unk_id()
             start, unknown = i + 1, True
         if start < len(text):
-            yield from (self.ids[p] for p in self.backtrack(text[start:]))
+            yield from self.backtrack(text[start:])
 
     def stretches(self, text: str) -> Iterator[str]:
         """A normalised text in stretches of about STRETCH characters, cut between parts."""
@@ -180,19 +200,57 @@ class Pieces:
             at = end.start()
         yield text[at:] if at else text
 
+    def starts(self, data: bytes, firsts: np.ndarray) -> np.ndarray:
+        """Where parts begin in normalised texts that begin at `firsts`; borders of letters beyond ASCII are left to part()."""
+        a = np.frombuffer(data, np.uint8)
+        cut = np.zeros(len(a), bool)
+        if self.cut and len(a) > 2:
+            space = np.zeros(len(a), bool)
+            space[:-2] = (a[:-2] == 0xE2) & (a[1:-1] == 0x96) & (a[2:] == 0x81)
+            cut |= space
+            cut[3:] &= ~space[:-3]
+            cut[1:] |= self.is_letter[a[:-1]] & self.is_mark[a[1:]]
+            if self.feed:
+                feed = a == 10
+                cut[1:] |= feed[1:] != feed[:-1]
+        cut[firsts] = True
+        return np.flatnonzero(cut)
+
+    def group(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some normalised texts, none empty, one after the other, and how many each has."""
+        self.known.turn()
+        self.pairs.turn()
+        data = b"".join(held)
+        firsts = np.cumsum([0, *map(len, held)])
+        starts = self.starts(data, firsts[:-1])
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        ids = [self.part(parts[i]) if x is None else x for i, x in enumerate(self.known.get_all(parts))]
+        sizes, which = np.array([len(x) for x in ids]) // 4, coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(ends[-1])
+        until = np.append(0, ends)[np.searchsorted(starts, firsts)]
+        return np.frombuffer(b"".join(ids), np.int32)[at], np.diff(until)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and how many each has."""
+        flat, counts, held, of, size = [np.empty(0, np.int32)], np.zeros(len(texts), np.int64), [], [], 0
+        stretches = ((i, stretch) for i, text in enumerate(texts) if text for stretch in self.stretches(self.library.normalize(text)) if stretch)
+        for i, stretch in chain(stretches, [(-1, "")]):
+            if held and (i < 0 or size > GROUP):
+                ids, n = self.group(held)
+                flat.append(ids)
+                np.add.at(counts, of, n)
+                held, of, size = [], [], 0
+            held.append(stretch.encode())
+            of.append(i)
+            size += len(held[-1])
+        return np.concatenate(flat), counts
+
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for stretch in self.stretches(self.library.normalize(text)):
-            self.known.turn()
-            self.pairs.turn()
-            parts = self.parts.findall(stretch)
-            found = self.known.get_all(parts)
-            for i, x in enumerate(found):
-                if x is None:
-                    found[i] = self.part(parts[i])
-            for x in found:
-                ids += x
-        return ids
+        return self.encode_all([text])[0].tolist()
 
 
 @lru_cache(maxsize=1)
@@ -207,23 +265,20 @@ MEMOS.append(pieces.cache_clear)
 def _map(df: DataFrame, column: str, model: str, work, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = pieces(model)
-        for part in slices(batches, column):
+        for part in slices(batches, column, GROUP):
             yield work(part, by)
 
     return map_batches(df, run, schema, keeps_memos=True)
 
 
-def _lists(ids: list[list[int]]) -> pa.Array:
-    flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)), pa.array(flat))
-
-
 def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, ids (array of int), decoded: each text's ids, and the text that the library decodes from them."""
 
     def work(part: pa.RecordBatch, by: Pieces) -> pa.RecordBatch:
-        ids = [by.encode(x) if x else [] for x in part.column("text").to_pylist()]
-        return record(doc_id=part.column("doc_id"), ids=_lists(ids), decoded=[by.library.decode(x) if x else "" for x in ids])
+        flat, counts = by.encode_all(part.column("text").to_pylist())
+        ends = np.cumsum(counts)
+        decoded = [by.library.decode(flat[end - n : end].tolist()) if n else "" for n, end in zip(counts.tolist(), ends.tolist(), strict=True)]
+        return record(doc_id=part.column("doc_id"), ids=pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat)), decoded=decoded)
 
     return _map(docs.select("doc_id", "text"), "text", model or vocabulary_path(MODEL), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
 

@@ -234,3 +234,19 @@ def test_audit_keeps_its_top_and_stands_empty_tables(spark):
 def test_terms_are_told_apart_by_bytes():
     t = Terms(pa.array(["Ba ba-É", None, "", "é1ba"]), LETTER_BYTES)
     assert t.dictionary.to_pylist() == ["ba", "É", "é"] and t.doc.tolist() == [0, 0, 0, 3, 3] and t.sizes.tolist() == [3, 0, 0, 2]
+
+
+def test_parts_are_looked_up_once_a_group(model, monkeypatch):
+    """Repeated parts of many texts cost one look into the memo; texts in groups of any size come out as the library's."""
+    texts = ["the cat, the cat", "", " \n\n the\n ▁ ▁▁x\n", "é, naïve; naïve;", "a\n", "\n", "\t▁", "x" * 50, "日本, 語 the", "the cat, the cat " * 300] * 2
+    want = [model.library.encode(t) for t in texts]
+    asked = []
+    get_all = model.known.get_all
+    monkeypatch.setattr(model.known, "get_all", lambda keys: asked.append(len(keys)) or get_all(keys))
+    for size in (o12.GROUP, 1, 20):
+        monkeypatch.setattr(o12, "GROUP", size)
+        asked.clear()
+        flat, counts = model.encode_all(texts)
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == [i for x in want for i in x]
+        assert size < 100 or sum(asked) < 50
+    assert model.encode_all([])[1].size == 0 and model.encode_all([""])[1].tolist() == [0]
