@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,25 +55,36 @@ def is_clean(c: Column, min_words: int = MIN_WORDS) -> Column:
     return ~is_reference(c) & ~is_low_quality(c, min_words)
 
 
-#: What a block of tokens is counted for: (name, pattern, whether the next token is seen too). `years`, `breaks` and `names`
-#: find at least as many places as the patterns above that they stand for; `pairs` begin in the block.
+#: What a block of tokens is counted for: (name, pattern, whether the next token is seen too, what a match can't do without: one
+#: of these, in lower case; none where every block is searched). `years`, `breaks` and `names` find at least as many places as
+#: the patterns above that they stand for; `pairs` begin in the block.
 COUNTED = (
-    ("words", "[a-zA-Z]{3,}", False), ("urls", r"https?://\S+|s3-\S+", False), ("bare", r"(?<!\S)[^a-zA-Z\s]+(?!\S)", False),
-    ("links", MARKERS[0][0], False), ("files", MARKERS[1][0], True), ("others", MARKERS[2][0], True), ("dois", MARKERS[3][0], False),
-    ("years", r"(?:^|\d ?);", False), ("breaks", r"[\u0085\u2028\u2029]", False), ("names", r"(?<=^|,|, )[A-Z][a-z]+ ?,|^,", False),
+    ("words", "[a-zA-Z]{3,}", False, ()), ("urls", r"https?://\S+|s3-\S+", False, ("://", "s3-")), ("bare", r"(?<!\S)[^a-zA-Z\s]+(?!\S)", False, ()),
+    ("links", MARKERS[0][0], False, ("://", ".tar.gz", ".bcf", ".vcf", "s3.", "s3-", ".fasta")), ("files", MARKERS[1][0], True, ("supplementary ",)),
+    ("others", MARKERS[2][0], True, ("et al",)), ("dois", MARKERS[3][0], False, ("10.",)), ("years", r"(?:^|\d ?);", False, (";",)),
+    ("breaks", r"[\u0085\u2028\u2029]", False, ("\u0085", "\u2028", "\u2029")), ("names", r"(?<=^|,|, )[A-Z][a-z]+ ?,|^,", False, (",",)),
 )
 
 
 def marks(parts: Column, unit: int) -> Column:
-    """White-space tokens counted in blocks of `unit`: an array of structs of COUNTED, for `summed` and `surely_clean`."""
+    """White-space tokens counted in blocks of `unit`: an array of structs of COUNTED, for `summed` and `surely_clean`.
+
+    A pattern is run only where what it can't do without is found, as in most blocks it isn't.
+    """
     text = lambda b, n: F.array_join(F.slice(parts, b * unit + 1, n), " ")
     both = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / unit).cast("int")), lambda b: F.struct(text(b, unit).alias("own"), text(b, unit + 1).alias("more")))
-    return F.transform(both, lambda x: F.struct(*[count_matches(x["more" if more else "own"], pattern).alias(name) for name, pattern, more in COUNTED]))
+    both = F.transform(both, lambda x: F.struct(x["own"].alias("own"), x["more"].alias("more"), F.lower(x["more"]).alias("low")))
+
+    def count(x: Column, pattern: str, more: bool, needed: tuple[str, ...]) -> Column:
+        found = count_matches(x["more" if more else "own"], pattern)
+        return F.when(reduce(or_, [F.contains(x["low"], F.lit(s)) for s in needed]), found).otherwise(0) if needed else found
+
+    return F.transform(both, lambda x: F.struct(*[count(x, pattern, more, needed).alias(name) for name, pattern, more, needed in COUNTED]))
 
 
 def summed(blocks: Column) -> Column:
-    zero = F.struct(*[F.lit(0).alias(name) for name, _, _ in COUNTED])
-    return F.aggregate(blocks, zero, lambda acc, x: F.struct(*[(acc[name] + x[name]).alias(name) for name, _, _ in COUNTED]))
+    zero = F.struct(*[F.lit(0).alias(name) for name, *_ in COUNTED])
+    return F.aggregate(blocks, zero, lambda acc, x: F.struct(*[(acc[name] + x[name]).alias(name) for name, *_ in COUNTED]))
 
 
 def surely_clean(s: Column, n: Column, min_words: int = MIN_WORDS) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import tokens
 from ..functions.text import is_clean, marks, summed, surely_clean
 from ..ship import ship
-from .lineage import let
+from .lineage import dealt, let
 
 PARENT, PARENT_OVERLAP, CHILD, CHILD_OVERLAP = 768, 96, 256, 48
 
@@ -58,7 +58,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", parent: tup
     """key, chunk_index, chunk_type, parent_index, start, token_count, content of all clean chunks, in order: parent, its children.
 
     Children stop after the first clean one that reaches its parent's end; unclean ones don't stop them. Texts are dealt by
-    key once, before windows multiply them; both window functions then find their rows in place. Tokens are white-space
+    key once, to a fixed number of tasks, before windows multiply them; both window functions then find their rows in place. Tokens are white-space
     ones unless `cut` and `joined` (see `subwords`) say otherwise.
 
     What makes white-space windows unclean is counted once, in blocks of as many tokens as divide every window and step; a
@@ -75,7 +75,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", parent: tup
         sure = let(summed(b), lambda s: surely_clean(s, F.size(w), min_words))
         return let(sure, lambda s: F.when(s.isNull(), read(w)).otherwise(s))
 
-    staged = docs.select(key, text).repartition(key).select(F.col(key), cut(F.col(text)).alias("t")).filter(F.size("t") > 0)
+    staged = dealt(docs.select(key, text), key).select(F.col(key), cut(F.col(text)).alias("t")).filter(F.size("t") > 0)
     if units:
         staged = staged.withColumn("m", marks(F.col("t"), unit))
     rows = staged.select(key, F.explode(_windows(F.col("t"), parent[0], _step(*parent), unit, F.col("m") if units else None)).alias("x"))

@@ -735,3 +735,23 @@ def test_texts_picked_before_they_are_read(spark):
     one = retrieve.hybrid(rows, "w3 word", [1.0, 0.0], "p", "id", "t").collect()
     apart = retrieve.hybrid(rows.drop("embedding"), "w3 word", [1.0, 0.0], "p", "id", "t", vectors=rows.drop("t")).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, apart)) and len(one) == 16
+
+
+def test_blocks_are_counted_as_by_their_patterns(spark):
+    """Counts behind what a pattern can't do without are the plain ones, odd cases and letters that fold to ASCII among them."""
+    odd = "HTTP://A https://b ftp://c S3-x s3.y .TAR.GZ .Bcf .FASTA .fastaq Supplementary Figure SUPPLEMENTARY note \u017fupplementary Table et al ET AL et\u00a0al 10.1234/ 10.12/ 2020; ; 5 ; x\u0085y \u2028 Smith, Jones , , , \u212aing, 7 \u0130 s3 - :// a 12"
+    rng = random.Random(5)
+    rows = [(i, rng.sample(odd.split(" "), k=rng.randint(1, 40))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, odd.split(" "))], "id int, t array<string>")
+    text = lambda b, n: F.array_join(F.slice("t", b * 4 + 1, n), " ")
+    blocks = F.sequence(F.lit(0), F.floor((F.size("t") - 1) / 4).cast("int"))
+    plain = F.transform(blocks, lambda b: F.struct(*[T.count_matches(text(b, 5 if more else 4), p).alias(n) for n, p, more, *_ in T.COUNTED]))
+    got = df.select("id", T.marks(F.col("t"), 4).alias("m"), plain.alias("p")).collect()
+    assert all(r.m == r.p for r in got) and all(any(m[n] for r in got for m in r.m) for n, *_ in T.COUNTED)
+    assert all(x[3] for x in T.COUNTED if x[0] not in ("words", "bare"))
+
+
+def test_chunks_in_many_tasks(spark):
+    """Texts of a few MB are cut and read in as many tasks as larger ones."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("word"), i)), " ").alias("text"))
+    assert chunk.chunks(docs).select(F.spark_partition_id().alias("t")).distinct().count() > 8
