@@ -7,7 +7,7 @@ rarer ones. The ratio itself runs in Arrow batches over the pairs that lengths a
 
 Rows of one title and year match the same rows, and so do rows of one identifier. Where only what is matched (`matched`) or what
 hangs together (`links`) is asked for, such a class counts as one, and no pair of its rows is made. `title_matches` returns the
-pairs themselves; they are dealt to tasks by their number.
+pairs themselves: lists of keys meet, and are unfolded to pairs by tasks that they are dealt to by number.
 """
 
 from __future__ import annotations
@@ -169,8 +169,8 @@ def title_pairs(left: DataFrame, right: DataFrame, ratio: float = RATIO) -> Data
     return pairs.filter((lacks <= n * most + 1e-9) | (misses <= m * most + 1e-9) | near)
 
 
-#: Rows of either side that meet in one cell of the join of rows, and pairs that a task makes of them.
-CELL, PAIRS = 1 << 10, 1 << 22
+#: Keys of either side that meet in one cell of the join of rows, and pairs that a task makes of them.
+CELL, PAIRS = 1 << 10, 1 << 24
 
 
 def _alike(a: DataFrame, b: DataFrame, ratio: float) -> DataFrame:
@@ -183,29 +183,47 @@ def _close(year_gap: int):
     return F.coalesce(F.abs(F.col("ly") - F.col("ry")) <= year_gap, F.lit(True))
 
 
-def title_matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP) -> DataFrame:
+def _same(t: str, y: str):
+    """Rows of a class that t and y name. Unknown years are a class of their own."""
+    return (F.col("t") == F.col(t)) & F.col("y").eqNullSafe(F.col(y))
+
+
+def _lists(rows: DataFrame, cells: DataFrame, v: str, t: str, y: str, parts: str) -> DataFrame:
+    """t, y, part, vs: the keys v of each class that cells name, dealt to `parts` lists of about CELL by their rows' numbers."""
+    known = cells.select(t, y, parts).distinct()
+    part = F.pmod(F.xxhash64("row"), F.col(parts)).cast("int")
+    held = rows.join(known, _same(t, y)).select(t, y, part.alias("part"), v).groupBy(t, y, "part").agg(F.collect_list(v).alias("vs"), F.count_if(F.isnull(v)).cast("int").alias("gone"))
+    # Null keys are rows too; collect_list leaves them out.
+    lost = F.array_repeat(F.lit(None).cast(rows.schema[v].dataType), F.col("gone"))
+    return held.select(F.col(t).alias("t"), F.col(y).alias("y"), "part", F.when(F.col("gone") > 0, F.concat("vs", lost)).otherwise(F.col("vs")).alias("vs"))
+
+
+def title_matches(left: DataFrame, right: DataFrame, key: str = "id", ratio: float = RATIO, year_gap: int = YEAR_GAP, digits: int | None = None) -> DataFrame:
     """l, r, ratio of rows whose titles are alike, and whose years, where both are known, lie close. Equal titles are compared once.
 
-    Titles n rows to m make n m pairs, however few titles there are: the rows of either are dealt to groups of about CELL, each
-    two groups meet in a cell, and there are as many tasks as all pairs need.
+    Titles n rows to m make n m pairs, however few titles there are. So titles with years are matched, and the ratio is rounded to
+    `digits` places if they are given; the keys of each are put into lists of about CELL, each two lists meet in a cell, and there
+    are as many tasks as all pairs need. Up to there nothing has a row for each pair, only for each cell.
     """
-    a, b = _titles(left, key, "l"), _titles(right, key, "r")
-    alike = _alike(a, b, ratio)
-    a, b = (d.withColumnsRenamed({"t": t, "y": y}) for d, t, y in ((a, "lt", "ly"), (b, "rt", "ry")))
-    sizes = lambda d, t, n: d.groupBy(t).agg(F.count(F.lit(1)).alias(n))
+    a, b = (saved(_titles(d, key, v).withColumn("row", F.monotonically_increasing_id()), "titled") for d, v in ((left, "l"), (right, "r")))
+    sizes = lambda d, t, y, n: d.groupBy(F.col("t").alias(t), F.col("y").alias(y)).agg(F.count(F.lit(1)).alias(n))
     groups = lambda n: F.ceil(F.col(n) / CELL).cast("int")
-    cells = alike.join(sizes(a, "lt", "n"), "lt").join(sizes(b, "rt", "m"), "rt")
-    cells = saved(cells.select("lt", "rt", "ratio", "n", "m", groups("n").alias("p"), groups("m").alias("q"), F.monotonically_increasing_id().alias("pair")), "cells")
+    pairs = _alike(a, b, ratio).join(sizes(a, "lt", "ly", "n"), "lt").join(sizes(b, "rt", "ry", "m"), "rt").filter(_close(year_gap))
+    said = F.col("ratio") if digits is None else F.round("ratio", digits).alias("ratio")
+    cells = saved(pairs.select("lt", "ly", "rt", "ry", said, "n", "m", groups("n").alias("p"), groups("m").alias("q"), F.monotonically_increasing_id().alias("pair")), "cells")
     total = cells.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
-    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PAIRS))
-    one = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    ls, rs = (_lists(a, cells, "l", "lt", "ly", "p"), _lists(b, cells, "r", "rt", "ry", "q"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    a = a.join(cells.select("lt", "ratio", "pair", "p", "q"), "lt").select("l", "ly", "ratio", "pair", one("l", "p").alias("i"), every("q").alias("j"))
-    b = b.join(cells.select("rt", "pair", "p", "q"), "rt").select("r", "ry", "pair", one("r", "q").alias("j"), every("p").alias("i"))
+    met = cells.select("lt", "ly", "rt", "ry", "ratio", "pair", "q", every("p").alias("i")).select("lt", "ly", "rt", "ry", "ratio", "pair", "i", every("q").alias("j"))
+    a = met.join(ls, _same("lt", "ly") & (F.col("part") == F.col("i"))).select("pair", "i", "j", "ratio", F.col("vs").alias("ls"))
+    b = met.join(rs, _same("rt", "ry") & (F.col("part") == F.col("j"))).select("pair", "i", "j", F.col("vs").alias("rs"))
     if total > PAIRS:
         # By number, so that small inputs of a large result aren't put into few tasks.
+        tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PAIRS))
         a, b = (d.repartition(tasks, "pair", "i", "j") for d in (a, b))
-    return a.join(b, ["pair", "i", "j"]).filter(_close(year_gap)).select("l", "r", "ratio")
+    # A merge join goes by left rows, so a task holds the pairs of one left key with a list, not those of a cell.
+    a = a.select("pair", "i", "j", "ratio", F.explode("ls").alias("l"))
+    return a.join(b.hint("merge"), ["pair", "i", "j"]).select("l", F.explode("rs").alias("r"), "ratio")
 
 
 def _class_pairs(alike: DataFrame, a: DataFrame, b: DataFrame, year_gap: int) -> DataFrame:

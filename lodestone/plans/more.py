@@ -44,7 +44,7 @@ FROM supplier JOIN part a ON a.p_partkey = s_suppkey JOIN part b ON b.p_name = a
 @query(f"SELECT l, r, CAST(ratio AS DOUBLE) AS ratio FROM {ALIKE}")
 def fuzzy_titles_near(spark, sf_dir):
     """Titles that are equal, part of one another, or one letter apart."""
-    return match.title_matches(_retitled(spark, sf_dir), _titled(spark, sf_dir)).select("l", "r", F.round("ratio", 6).alias("ratio"))
+    return match.title_matches(_retitled(spark, sf_dir), _titled(spark, sf_dir), digits=6)
 
 
 #: Suppliers' codes of two or three letters that a part's code of three becomes by losing one letter, or is.
@@ -59,7 +59,7 @@ def short_titles(spark, sf_dir):
     code = lambda n: F.concat(F.lit("A Survey of "), F.substr(F.md5("p_name"), F.lit(1), F.lit(n)))
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", code(3).alias("title"))
     s = table(spark, sf_dir, "supplier").join(p.withColumnRenamed("id", "s_suppkey"), "s_suppkey").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, code(2)).otherwise(code(3)).alias("title"))
-    return match.title_matches(s, p).select("l", "r", F.round("ratio", 6).alias("ratio"))
+    return match.title_matches(s, p, digits=6)
 
 
 @query(f"SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT r FROM {ALIKE}) AND p_partkey > 40")

@@ -362,4 +362,4 @@ def fuzzy_title_pairs(spark, sf_dir):
 
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.lit(None).cast("int").alias("publication_year"))
     s = table(spark, sf_dir, "supplier").join(p.withColumnRenamed("id", "k"), F.col("k") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("id"), F.concat(F.col("title"), F.lit("!")).alias("title"), F.lit(None).cast("int").alias("publication_year"))
-    return match.title_matches(s, p).select("l", "r", F.round("ratio", 6).alias("ratio"))
+    return match.title_matches(s, p, digits=6)

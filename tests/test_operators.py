@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pytest
@@ -654,6 +655,28 @@ def test_row_pairs_in_cells(spark, monkeypatch):
     assert len(tasks) > 10
 
 
+def test_row_pairs_from_lists(spark):
+    """Joins meet lists of keys, not rows; repeated and null keys, unknown years and rounded ratios among the pairs."""
+    kinds = [("lists of many rows", 2000), ("list of many rows", 2001), ("lists of many rows", None), ("lists of many rows", 2002), ("another", 2000)]
+    rows = [(None if i % 50 == 3 else i // 2, *kinds[i % 5]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, title string, publication_year int")
+    found = match.title_matches(df, df, ratio=0.9, digits=3)
+    got = Counter(tuple(r) for r in found.collect())
+    alike = {(a, b): S.token_set_ratio(a[0], b[0]) for a in kinds for b in kinds if a[1] is None or b[1] is None or abs(a[1] - b[1]) <= 1}
+    want = Counter((a[0], b[0], round(alike[a[1:], b[1:]], 3)) for a in rows for b in rows if alike.get((a[1:], b[1:]), 0) >= 0.9)
+    assert got == want and sum(n for (x, y, _), n in got.items() if x is None or y is None) > 500
+
+    def joined(node) -> int:
+        name, below = node.nodeName(), node.children()
+        if name == "AdaptiveSparkPlan":
+            return joined(node.executedPlan())
+        if "QueryStage" in name:
+            return joined(node.plan())
+        return (node.metrics().apply("numOutputRows").value() if "Join" in name else 0) + sum(joined(below.apply(i)) for i in range(below.size()))
+
+    assert 0 < joined(found._jdf.queryExecution().executedPlan()) < 10 * len(rows) < sum(got.values()) / 10
+
+
 def test_counts_in_the_row(spark):
     """Terms counted in the row as from all tokens, by one shuffle of texts; repeated keys, empty and null texts among them."""
     texts = ["b a  B c b", "", None, " \n", "x", "a a a"]
