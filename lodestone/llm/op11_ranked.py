@@ -2,7 +2,8 @@
 
 Shards. One pass counts the documents with terms (N) and their terms (L). A second one writes the index: each SHARD_BYTES of a
 partition's texts make a shard, one row with its documents' ids and sizes, its terms with their document frequencies, and the
-posting lists (gaps between documents and occurrences, in byte planes). Every term of every document is there.
+posting lists (gaps between documents and occurrences, in byte planes). Every term of every document is there. A shard is a row
+group of its own, as readers and writers hold whole row groups: a task holds one shard, however many its files have.
 
 Variable blocks. A posting's impact is its part of the score without the term's weight. Each list is cut into blocks by dynamic
 programming over granules of GRANULE postings: the cuts minimise the sum, over blocks, of (largest impact x postings), that is
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,10 @@ FIRST = 256
 #: Different query terms that may be broadcast while document frequencies are summed.
 LISTED = 1 << 18
 
-INDEX = "ids array<long>, sizes binary, terms array<string>, dfs array<int>, gaps binary, tfs binary, cuts array<int>, ends binary, maxima binary"
+#: How the index is written: a row group for each row, and no statistics of blobs: a writer keeps their least and largest, whole
+#: blobs here, until its file ends.
+ROW_GROUPS = {"parquet.block.row.count.limit": 1} | {f"parquet.column.statistics.enabled#{c}": "false" for c in ("sizes", "gaps", "tfs", "ends", "maxima")}
+INDEX = "shard long, ids array<long>, sizes binary, terms array<string>, dfs array<int>, gaps binary, tfs binary, cuts array<int>, ends binary, maxima binary"
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -156,17 +161,22 @@ def build(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, number = 0, TaskContext.get().partitionId() << 32
+
+        def row() -> pa.RecordBatch:
+            x = shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0], n, total)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *x.columns], names=["shard", *x.schema.names])
+
         for part in slices(batches, "text", SHARD_BYTES):
             if held and size + part.nbytes > SHARD_BYTES:
-                yield shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0], n, total)
-                held, size = [], 0
+                yield row()
+                held, size, number = [], 0, number + 1
             held.append(part)
             size += part.nbytes
         if held:
-            yield shard(pa.Table.from_batches(held).combine_chunks().to_batches()[0], n, total)
+            yield row()
 
-    return saved(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, INDEX), "postings"), n, total
+    return saved(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, INDEX), "postings", **ROW_GROUPS), n, total
 
 
 class Shard:
@@ -344,12 +354,14 @@ def search(index: DataFrame, n: int, total: int, items: DataFrame, k: int = TOP,
     n_blocks = max(1, -(-terms.count() // block))
     asked = saved(terms.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))).groupBy("block", "item_id").agg(F.collect_list(F.struct("term", "w")).alias("terms")), "queries")
     found = spark.createDataFrame([], f"item_id {kind}, doc_id long, score long")
+    # By number, which row groups are skipped by; a limit would shuffle the first shards of every task.
+    few = index.filter(F.col("shard").isin([r.shard for r in index.select("shard").orderBy(F.xxhash64("shard")).limit(SEEDS).collect()]))
     for b in range(n_blocks):
         rows = asked.filter(F.col("block") == b).select("item_id", "terms").orderBy("item_id").toArrow()
         if not rows.num_rows:
             continue
         queries = spark.sparkContext.broadcast(Queries(rows))
-        seeds = best_of(_searched(index.limit(SEEDS), queries, None, n, total, k, kind), k).filter(F.col("rank") == k).select("item_id", "score").toArrow()
+        seeds = best_of(_searched(few, queries, None, n, total, k, kind), k).filter(F.col("rank") == k).select("item_id", "score").toArrow()
         reached = dict(zip(seeds.column("item_id").to_pylist(), seeds.column("score").to_pylist(), strict=True))
         least = spark.sparkContext.broadcast(np.array([reached.get(i, 1) for i in rows.column("item_id").to_pylist()], np.int64))
         found = found.unionByName(_searched(index, queries, least, n, total, k, kind))

@@ -5,9 +5,11 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lodestone.llm import op11_ranked as o11
@@ -71,6 +73,22 @@ def test_ranked_in_blocks_and_small_shards(spark, monkeypatch):
     assert plain(o11.search(index, n, total, items, 5, block=3)) == ranked(pairs, ITEMS, 5)
 
 
+def test_a_row_group_for_each_shard(spark, monkeypatch):
+    """Tasks of many shards: each is a row group of its own, whose writer keeps no blob, under a number of its own; the same rows."""
+    monkeypatch.setattr(o11, "SHARD_BYTES", 1 << 12)
+    pairs = rows(seed=6, n=150)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    index, n, total = o11.build(frame(spark, pairs).repartition(2))
+    kept = [pq.ParquetFile(f).metadata for f in Path(index.__dict__["saved_path"].removeprefix("file://")).glob("*.parquet")]
+    count = sum(m.num_rows for m in kept)
+    assert count > 10 and [m.num_row_groups for m in kept] == [m.num_rows for m in kept]
+    groups = [m.row_group(g) for m in kept for g in range(m.num_row_groups)]
+    stats = {g.column(c).path_in_schema: g.column(c).is_stats_set for g in groups for c in range(g.num_columns)}
+    assert stats["shard"] and not any(stats[c] for c in ("sizes", "gaps", "tfs", "ends", "maxima"))
+    assert index.select("shard").distinct().count() == count
+    assert plain(o11.search(index, n, total, items, 5)) == ranked(pairs, ITEMS, 5)
+
+
 def test_ranked_on_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert o11.ranked(empty(spark), items).count() == 0
